@@ -2,8 +2,9 @@
 
 Features of a text: its words, its word pairs, and its pairs of word shapes
 with a mark where a word repeats the one before; each is hashed into one table
-and weighs its share of the text's tokens, so a score is a sparse dot product. Texts
-of fewer than ``damp`` features weigh theirs as if they had that many.
+and weighs its share of the text's tokens, so a score is a sparse dot product. The
+bias is fixed at the sample's log odds, so a text that shows little is scored
+by the share of label 1.
 
 Training takes a bounded, hash-chosen sample of labelled rows (``max_docs``).
 The sample is dealt into shards; each shard runs FTRL updates over its rows,
@@ -45,7 +46,6 @@ class Ftrl:
     l1: float = 1e-4
     l2: float = 1e-5
     scale: float = 8.0
-    damp: int = 60
 
 
 _KIND = bytes.maketrans(
@@ -100,8 +100,8 @@ def _vectors(batches: Iterator[pa.RecordBatch], p: Ftrl) -> Iterator[pa.RecordBa
         for text in batch.column("text").to_pylist():
             f = features(text, p.bits)
             buckets, n = np.unique(f, return_counts=True)
-            at.append(np.r_[0, buckets].astype(np.int32))
-            by.append(np.r_[1.0, n * (p.scale / max(p.damp, len(f)))].astype(np.float32))
+            at.append(buckets)
+            by.append((n * (p.scale / max(1, len(f)))).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
             [batch.column("shard"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(by, pa.list_(pa.float32()))],
             names=["shard", "label", "at", "by"],
@@ -122,7 +122,7 @@ def _trainer(p: Ftrl, state):
     return run
 
 
-def _train(rows: pd.DataFrame, p: Ftrl, z0: np.ndarray, n0: np.ndarray) -> pd.DataFrame:
+def _train(rows: pd.DataFrame, p: Ftrl, bias: float, z0: np.ndarray, n0: np.ndarray) -> pd.DataFrame:
     """One pass of FTRL over a shard from the state (z0, n0); the buckets it has touched."""
     z, n = z0.copy(), n0.copy()
     touched = np.zeros(len(z), bool)
@@ -132,7 +132,7 @@ def _train(rows: pd.DataFrame, p: Ftrl, z0: np.ndarray, n0: np.ndarray) -> pd.Da
     for i in order:
         at, by = ats[i], bys[i].astype(np.float64)
         w = _weights(z[at], n[at], p)
-        g = (1 / (1 + np.exp(-np.clip(w @ by, -35, 35))) - labels[i]) * by
+        g = (1 / (1 + np.exp(-np.clip(bias + w @ by, -35, 35))) - labels[i]) * by
         z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha * w
         n[at] += g * g
         touched[at] = True
@@ -151,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
         F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(p.shards)).cast("int").alias("shard"), "label", "text"
     )
     vectors = cut(train.mapInArrow(partial(_vectors, p=p), "shard int, label int, at array<int>, by array<float>"), "vectors")
+    ones, total = vectors.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+    bias = float(np.log((ones + 1) / (total - ones + 1)))
     for _ in range(p.rounds):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))  # 2 ** bits numbers each
+        state = docs.sparkSession.sparkContext.broadcast((bias, z, n))  # 2 ** bits numbers each
         ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "bucket int, z double, n double")
         # a bucket that a shard has not touched there keeps the state it began with
         mean = ran.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("shards")).toArrow()
@@ -160,7 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
         z, n = z.copy(), n.copy()
         z[k] = mean.column("z").to_numpy() / np.maximum(1, shards)
         n[k] = mean.column("n").to_numpy() / np.maximum(1, shards)
-    return _weights(z, n, p).astype(np.float32)
+    weights = _weights(z, n, p).astype(np.float32)
+    weights[0] = bias
+    return weights
 
 
 def _scores(batches: Iterator[pa.RecordBatch], weights, p: Ftrl) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def _scores(batches: Iterator[pa.RecordBatch], weights, p: Ftrl) -> Iterator[pa.
         out = []
         for text in batch.column("_q_text").to_pylist():
             f = features(text, p.bits)
-            out.append(float(w[0]) + float(w[f].sum(dtype=np.float64)) * p.scale / max(p.damp, len(f)))
+            out.append(float(w[0]) + float(w[f].sum(dtype=np.float64)) * p.scale / max(1, len(f)))
         score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
         rest = [c for c in batch.schema.names if c != "_q_text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "_q_score"])

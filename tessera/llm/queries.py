@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, mixing, near_dup, packing, quality_model
+from tessera.llm import (
+    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, toxicity, url_filter,
+)
 from tessera.llm.common import crc_mod
 
 
@@ -16,6 +18,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = crc_mod(F.col("doc_id"), 5) != 0
+    found = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), usable)
+    return found.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(_read(spark, sf_dir, "documents"))
+
+
+def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     weights = quality_model.fit(docs, _read(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
@@ -27,11 +48,19 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(_read(spark, sf_dir, "documents"), near_dup.Banding(words=2, percent=80))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_e8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -52,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_vocabulary": url_filter.oracle()}
