@@ -136,7 +136,9 @@ def near_duplicates(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     sets = cut(_candidate_sets(source, met, p), "sets")
     links = cut(_verified(pairs, sets, p), "links")
     component = cut(connected_components(links), "component")
-    component, links = _leftover(met, component, links, sets, p)
+    more = cut(_verified(_leftover(met, component, sets, p), sets, p), "links")
+    if not more.isEmpty():
+        component = connected_components(links.union(more))
     lookup = classes.select("sig", "vid").join(component, F.col("vid") == F.col("node"), "left").select(
         "sig", F.coalesce("component", "vid").alias("component")
     )
@@ -182,32 +184,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: Banding) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(partial(_linked, percent=p.percent), "a long, b long")
 
 
-def _leftover(met: DataFrame, component: DataFrame, links: DataFrame, sets: DataFrame, p: Banding) -> tuple[DataFrame, DataFrame]:
-    """Compare, table key by table key, the classes that are not yet in one component.
-
-    A key whose classes are all in one component is done. In the others the
-    next 2, 4, 8 ... classes in turn lead and meet the later classes of other
-    components, until every pair of different components has been compared.
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(part.column("vid").to_numpy(), n)), pa.array(np.repeat(part.column("comp").to_numpy(), n)),
+                    pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets)),
+                ],
+                names=["vid", "comp", "n", "token"],
+            )
+
+
+def _leftover(met: DataFrame, component: DataFrame, sets: DataFrame, p: Banding) -> DataFrame:
+    """Pairs of different components, among the classes that share a table key, that may still be linked.
+
+    A key whose classes are all in one component is done, and so is a key of
+    two classes, which have been compared. The classes of the others are joined
+    by a positional prefix filter, which loses no pair over the threshold: with
+    all shingles in one order, rarest first, such a pair shares one of the
+    first n - ceil(s n) + 1 shingles of either, with enough shingles after it.
+    Per shingle only the classes outside its largest component meet the rest.
     """
-    done = 1
-    while True:
-        rows = met.select("key", F.col("a").alias("vid")).distinct().union(met.select("key", F.col("b").alias("vid")))
-        rows = rows.join(component, F.col("vid") == F.col("node"), "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where((F.col("x") < F.col("y")) & (F.col("n") > done + 1))
-        active = cut(
-            rows.join(mixed.select("key"), "key").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("vid"))), "active"
-        )
-        if active.isEmpty():
-            return component, links
-        lead = active.where((F.col("rank") > done) & (F.col("rank") <= 2 * done + 1)).select(
-            "key", F.col("vid").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra")
-        )
-        pairs = active.join(lead, "key").where("rank > ra and comp <> ca").select("a", F.col("vid").alias("b")).distinct()
-        found = cut(_verified(pairs, sets, p), "links")
-        done = 2 * done + 1
-        if not found.isEmpty():
-            links = links.union(found)
-            component = cut(connected_components(links), "component")
+    members = met.select("key", F.col("a").alias("vid")).distinct().union(met.select("key", F.col("b").alias("vid")))
+    rows = members.join(component, F.col("vid") == F.col("node"), "left").select("key", "vid", F.coalesce("component", "vid").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x < y and k > 2")
+    active = cut(rows.join(mixed.select("key"), "key").select("vid", "comp").distinct(), "active")
+    tokens = cut(sets.join(active, "vid").select("vid", "comp", "shingles").mapInArrow(_tokens, "vid long, comp long, n long, token long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    position = F.row_number().over(W.partitionBy("vid").orderBy("df", "token"))
+    s = p.percent / 100
+    prefix = (
+        tokens.join(shared, "token").withColumn("pos", position)
+        .where((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(s * F.col("n") - 1e-9) + 1))
+        .select("token", "vid", "comp", "n", "pos")
+    )
+    prefix = cut(prefix, "prefix")
+    sizes = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select(
+        "token", F.col("m.comp").alias("most")
+    )
+    rest = prefix.join(largest, "token").select("token", "most", *(F.col(c).alias(f"{c}_r") for c in ("vid", "comp", "n", "pos")))
+    minor = rest.where("comp_r <> most").select("token", *(F.col(f"{c}_r").alias(f"{c}_m") for c in ("vid", "comp", "n", "pos")))
+    enough = 1 + F.least(F.col("n_m") - F.col("pos_m"), F.col("n_r") - F.col("pos_r")) >= s / (1 + s) * (F.col("n_m") + F.col("n_r")) - 1e-9
+    once = (F.col("comp_r") == F.col("most")) | (F.col("vid_m") < F.col("vid_r"))
+    met_here = minor.join(rest, "token").where((F.col("comp_m") != F.col("comp_r")) & once & enough)
+    return met_here.select(F.least("vid_m", "vid_r").alias("a"), F.greatest("vid_m", "vid_r").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
