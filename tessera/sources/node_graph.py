@@ -128,7 +128,7 @@ def loras_of(inputs: dict) -> list[dict]:
             if isinstance(s, dict) and s.get("on", s.get("active", True)) is not False:
                 name = next((s[k] for k in ("lora", "lora_name", "name") if k in s), None)
                 add(name, first(s, ["strength", "strength_model"]), first(s, ["strengthTwo", "strength_clip", "clipStrength"]))
-        if isinstance(value, str) and (key == "lora_name" or key.startswith("lora_") or MODEL_FILE.search(value)):
+        if isinstance(value, str) and "strength" not in key and (key == "lora_name" or key.startswith("lora_") or MODEL_FILE.search(value)):
             n = (re.search(r"\d+", key) or [""])[0]
             own = [f"lora_{n}_strength", f"lora_{n}_model_strength", f"strength_{n}", f"strength_model_{n}"] if n else []
             clips = [f"lora_{n}_clip_strength", f"strength_clip_{n}"] if n else []
