@@ -23,6 +23,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import cache, partial
 
 import numpy as np
@@ -41,33 +42,69 @@ SALTS = 64
 class ChunkIds(dict):
     """Token ids of space-free chunks as packed little-endian uint32.
 
-    The word vocabulary's tokenizer never joins text across white space, so a
-    text's ids are those of its chunks in turn. The first ``limit`` distinct
-    chunks are remembered, others only while their texts are at hand.
+    The word vocabulary's tokenizer lower-cases and never joins text across
+    white space, nor a letter with a stop or comma after it, so a text's ids
+    are those of its chunks in turn. Texts in Latin-1 are lower-cased before
+    they are looked up, where Python and the tokenizer agree on it. The first
+    ``limit`` distinct chunks are remembered, others only while their texts
+    are at hand.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.passing: dict[str, bytes] = {}
+        self.new: set[str] = set()
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.passing[chunk]
+    def __missing__(self, chunk: str) -> None:
+        self.new.add(chunk)
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         """Packed ids of each whole text."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.keys())
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.passing = {c: array("I", e.ids).tobytes() for c, e in zip(new, found)}
+        split = [_lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        found = [list(map(self.__getitem__, chunks)) for chunks in split]
+        passing = self._encoded()
+        for chunks, ids in zip(split, found):
+            at = -1
+            with suppress(ValueError):  # no further gap
+                while True:
+                    at = ids.index(None, at + 1)
+                    ids[at] = passing[chunks[at]]
+            yield b"".join(ids)
+
+    def _encoded(self) -> dict[str, bytes]:
+        """Ids of the chunks that were missing."""
+        cuts = {c: n for c in self.new if (n := _stop_at(c))}
+        bases = {c[:n] for c, n in cuts.items()} | {c[n:] for c, n in cuts.items()}
+        fresh = [c for c in (self.new - cuts.keys()) | bases if c not in self]
+        found = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        passing = {c: array("I", e.ids).tobytes() for c, e in zip(fresh, found)}
+        for c, n in cuts.items():
+            base, stop = c[:n], c[n:]
+            passing[c] = (passing.get(base) or self[base]) + (passing.get(stop) or self[stop])
+        self.new = set()
         if len(self) < self.limit:
-            self.update(self.passing)
-        for chunks in split:
-            yield b"".join(map(self.__getitem__, chunks))
+            self.update(passing)
+        return passing
+
+
+def _lowered(text: str) -> str:
+    if "<|" in text:  # special tokens are written in lower case
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _stop_at(chunk: str) -> int:
+    """Where the stops and commas after a chunk's last letter begin; 0 if there are none."""
+    base = chunk.rstrip(".,")
+    return len(base) if base and len(base) < len(chunk) and base[-1].isalpha() else 0
 
 
 @cache
