@@ -100,7 +100,7 @@ def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_
     )
     moves = table_of(moves)
     inserts = table_of(rows.join(renamed.select(F.col("new_id").alias("id")), "id", "left_anti"))
-    pending = young.count()
+    pending = young.join(known.select(F.col("abs_path").alias("norm_path")), "norm_path", "left_anti").count()
     touched = inserts.select("group_key_l1")
     if not moves.isEmpty():
         store.update("images", moves)

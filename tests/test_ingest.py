@@ -35,7 +35,9 @@ def test_sync_keeps_identity_through_renames(spark, tmp_path):
     (row,) = store.read("images").collect()
     assert row.id == first["a.png"].id and row.filename == "c.png"
     assert [r.internal_score for r in store.read("scores").collect()] == [80.0]
-    assert sync_source(store, 1, str(root)).pending == 1
+    (root / "d.png").write_bytes(graph("new", 3))
+    done = sync_source(store, 1, str(root))
+    assert (done.new, done.pending) == (0, 1)
 
 
 def test_templates_are_matched(spark, tmp_path):
