@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 1).
 
 Two interpolated Kneser-Ney models of the characters of words, one of toxic and
-one of ordinary texts. Both back off to one shared distribution of pooled
-continuation counts, so an expression that a class has hardly seen is judged
-alike by both. A word's evidence is the difference of its two
-log-likelihoods; evidence inside a noise band (``band`` nats) is shrunk to
-zero. A text's score is a logistic function of its length-normalised evidence,
-calibrated on labelled rows that the counts have not seen.
+one of ordinary texts; a word counts once per text. Both back off to one
+shared distribution of pooled continuation counts. Where the counts of an
+n-gram do not differ between the classes by more than ``evident`` standard
+deviations, both use the pooled counts, so a rare expression is judged alike
+by both. A word's evidence is the difference of its two log-likelihoods;
+evidence inside a noise band (``band`` nats) is dropped. A text's score is a
+logistic function of its length-normalised evidence, calibrated on labelled
+rows that the counts have not seen.
 
 Counts come from a bounded, hash-chosen sample of labelled rows (``max_docs``).
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,7 +44,8 @@ class Kneser:
     order: int = 6
     discount: float = 1.0
     shared_discount: float = 0.75
-    band: float = 20.0
+    band: float = 1.5
+    evident: float = 3.5
     #: Of the sample, the share that calibrates instead of being counted: one in so many.
     calibrate: int = 4
 
@@ -58,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            found[1 if label else 0].update(words(text))
+            found[1 if label else 0].update(set(words(text)))
         every = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_pydict({
             "word": pa.array(every, pa.string()),
@@ -108,8 +112,8 @@ class _Class:
         return max(self.counts.get(gram, 0) - self.discount, 0) / n if n else 0.0
 
 
-def ratios(grams: dict[str, tuple[int, int]], p: Kneser) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-likelihood ratio of each n-gram that either class has, and of backing off from each context."""
+def ratios(grams: dict[str, tuple[int, int]], p: Kneser) -> dict[str, float]:
+    """Log-likelihood ratio of each n-gram of two or more characters; 0 where the classes do not clearly differ."""
     order = max((len(g) for g in grams), default=1)
     shared: Counter = Counter()  # first order: pooled continuation counts
     for g in grams:
@@ -136,33 +140,34 @@ def ratios(grams: dict[str, tuple[int, int]], p: Kneser) -> tuple[dict[str, floa
                 one.own(g) + one.backoff(context) * below[0],
                 two.own(g) + two.backoff(context) * below[1],
             )
-            a, b = probability[g]
-            found[g] = math.log(max(a, 1e-12)) - math.log(max(b, 1e-12))
-    back = {}
-    for context in one.total.keys() | two.total.keys():
-        back[context] = math.log(max(one.backoff(context), 1e-12)) - math.log(max(two.backoff(context), 1e-12))
-    return found, back
+            found[g] = math.log(max(probability[g][0], 1e-12) / max(probability[g][1], 1e-12)) if _differs(g, one, two, p.evident) else 0.0
+    return found
+
+
+def _differs(gram: str, one: _Class, two: _Class, evident: float) -> bool:
+    """Whether the class shares of an n-gram's counts are off those of its context."""
+    a, b = one.counts.get(gram, 0), two.counts.get(gram, 0)
+    whole_a, whole = one.total.get(gram[:-1], 0), one.total.get(gram[:-1], 0) + two.total.get(gram[:-1], 0)
+    share, n = whole_a / whole, a + b
+    return abs(a - n * share) >= evident * math.sqrt(n * share * (1 - share) * (1 - n / whole) + 0.25)
 
 
 class Evidence(dict):
     """word: log-likelihood ratio outside the noise band; remembers the first ``limit`` words."""
 
-    def __init__(self, found: dict[str, float], back: dict[str, float], order: int, band: float, limit: int = 250_000) -> None:
+    def __init__(self, found: dict[str, float], order: int, band: float, limit: int = 250_000) -> None:
         super().__init__()
-        self.found, self.back, self.order, self.band, self.limit = found, back, order, band, limit
+        self.found, self.order, self.band, self.limit = found, order, band, limit
 
     def __missing__(self, word: str) -> float:
         s = _START + word + _END
         total = 0.0
         for j in range(1, len(s)):
-            i = max(0, j - self.order + 1)
-            while i < j:
-                r = self.found.get(s[i : j + 1])
+            for i in range(max(0, j - self.order + 1), j):
+                r = self.found.get(s[i : j + 1])  # the longest that is known
                 if r is not None:
                     total += r
                     break
-                total += self.back.get(s[i:j], 0.0)
-                i += 1
         value = total if abs(total) > self.band else 0.0
         if len(self) < self.limit:
             self[word] = value
@@ -175,14 +180,14 @@ def _evidence(text: str | None, by: Evidence) -> float:
     return sum(map(by.__getitem__, found)) / math.sqrt(len(found)) if found else 0.0
 
 
-_MODELS: dict[int, Evidence] = {}
+_MODELS: dict[str, Evidence] = {}
 
 
 def _model(shared, p: Kneser) -> Evidence:
     key = shared.value["id"]
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Evidence(shared.value["found"], shared.value["back"], p.order, p.band)
+        _MODELS[key] = Evidence(shared.value["found"], p.order, p.band)
     return _MODELS[key]
 
 
@@ -193,7 +198,7 @@ def _calibrating(batches: Iterator[pa.RecordBatch], shared, p: Kneser) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.float64())], names=["label", "x"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.02) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.0005) -> tuple[float, float]:
     """Slope and offset of a logistic curve, the slope held back by ``ridge``."""
     a, b = 0.0, 0.0
     for _ in range(steps):
@@ -232,8 +237,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "t
     )
     table = grams.toArrow()  # bounded by max_docs
     known = dict(zip(table.column("gram").to_pylist(), zip(table.column("n0").to_pylist(), table.column("n1").to_pylist())))
-    found, back = ratios(known, p)
-    shared = context.broadcast({"id": id(found), "found": found, "back": back})
+    shared = context.broadcast({"id": uuid.uuid4().hex, "found": ratios(known, p)})
     check = train.where("hold").select("text", "label").mapInArrow(
         partial(_calibrating, shared=shared, p=p), "label int, x double"
     ).toArrow()  # at most about max_docs / calibrate rows

@@ -77,8 +77,8 @@ def test_models_give_probabilities():
             for i in range(max(0, j - 3), j + 1):
                 n = grams.get(s[i : j + 1], (0, 0))
                 grams[s[i : j + 1]] = n[0] + a, n[1] + b
-    found, back = toxicity.ratios(grams, toxicity.Kneser(order=4))
-    e = toxicity.Evidence(found, back, 4, band=0.0)
+    found = toxicity.ratios(grams, toxicity.Kneser(order=4, evident=0.0))
+    e = toxicity.Evidence(found, 4, band=0.0)
     assert e["vequ"] > 0 > e["then"]
     own = toxicity._Class({g: n[0] for g, n in grams.items() if n[0] and len(g) > 1}, 1.0)
     for context in {g[:-1] for g in own.counts}:
