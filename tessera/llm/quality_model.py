@@ -40,12 +40,12 @@ class Ftrl:
     max_docs: int = 16_000
     bits: int = 18
     shards: int = 8
-    rounds: int = 3
-    alpha: float = 0.5
+    rounds: int = 6
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 1e-4
     l2: float = 1e-5
-    scale: float = 8.0
+    scale: float = 20.0
 
 
 _KIND = bytes.maketrans(
