@@ -20,6 +20,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class _Element:
     path: str
     number: int
     outside: bool  # part of what is not the article
-    link: bool
+    link: bool  # within a link
 
 
 @dataclass
@@ -75,10 +76,10 @@ class _Block:
     outside: bool
     above: tuple[int, ...]  # numbers of its elements
     parts: list[str] = field(default_factory=list)
-    nodes: list[tuple[str, int]] = field(default_factory=list)  # (path, letters)
+    paths: list[str] = field(default_factory=list)  # of its text nodes
     linked: int = 0
 
-    @property
+    @cached_property
     def text(self) -> str:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
@@ -120,8 +121,8 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
             current.parts.append(text)
             letters = len(text.strip())
             if letters:
-                current.nodes.append((stack[-1].path, len(found) - 1))
-                if any(e.link for e in stack):
+                current.paths.append(stack[-1].path)
+                if stack[-1].link:
                     current.linked += letters
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
@@ -156,7 +157,7 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
         if current is not None and outside != current.outside:
             current = None
         elements[number] = (stack[-1].number, tag)
-        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, outside, tag == "a"))
+        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, outside, stack[-1].link or tag == "a"))
     return found, elements
 
 
@@ -168,7 +169,7 @@ def path_scores(found: list[_Block], spread: float = 1.0) -> np.ndarray:
     shares = []
     for b in found:
         text = b.text
-        paths = [p for p, _ in b.nodes] or [""]
+        paths = b.paths or [""]
         for p in set(paths):
             share = paths.count(p) / len(paths)
             length[p] += len(text) * share
@@ -177,8 +178,8 @@ def path_scores(found: list[_Block], spread: float = 1.0) -> np.ndarray:
         shares.append(paths)
     if not found:
         return np.zeros(0)
-    by_length = np.array([np.mean([length[p] / nodes[p] for p in paths]) for paths in shares])
-    by_marks = np.array([np.mean([marks[p] / nodes[p] for p in paths]) for paths in shares])
+    by_length = np.array([sum(length[p] / nodes[p] for p in paths) / len(paths) for paths in shares])
+    by_marks = np.array([sum(marks[p] / nodes[p] for p in paths) / len(paths) for paths in shares])
     kernel = np.exp(-0.5 * (np.arange(-1, 2) / spread) ** 2)
     kernel /= kernel.sum()
 
@@ -201,9 +202,9 @@ def main_text(page: str | None, strictness: float = 0.5) -> str:
     weight: dict[str, float] = defaultdict(float)
     for k in inside:
         if found[k].linked * 2 < len(found[k].text):
-            weight[found[k].nodes[0][0] if found[k].nodes else ""] += scores[k] * len(found[k].text)
+            weight[found[k].paths[0] if found[k].paths else ""] += scores[k] * len(found[k].text)
     best = max(weight, key=lambda p: (weight[p], p), default=None)
-    strongest = [k for k in inside if best is not None and found[k].nodes and found[k].nodes[0][0] == best] or inside
+    strongest = [k for k in inside if best is not None and found[k].paths and found[k].paths[0] == best] or inside
     shared = set(found[strongest[0]].above[:-1] or (0,)).intersection(*(found[k].above for k in strongest))
     container = max(shared, default=0)
     named = [e for e in _upward(container, elements) if elements[e][1] in ("article", "main")]
