@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, toxicity, url_filter,
+    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, sql, toxicity, url_filter,
 )
 from tessera.llm.common import crc_mod
 
@@ -81,4 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_vocabulary": url_filter.oracle()}
+    return {
+        "op3_url_vocabulary": url_filter.oracle(),
+        "op6_minhash_near_dup": sql.NEAR_DUP,
+        "op7_e8_near_vectors": sql.NEAR_VECTORS,
+        "op8_pfair_mixing": sql.MIXING,
+    }
