@@ -1,15 +1,21 @@
 """Best-fit packing of documents into token sequences (operator 10).
 
-Bulk-synchronous best fit. Pieces are range-sorted by length, longest first.
-One superstep takes all pieces of one length: a sweep finds the successor
-gaps (the smallest gaps that hold a piece), pieces that want the same gaps are
-resolved by their rank within the length, the gaps shrink, and the next length
-follows. Pieces of one length, and sequences with one gap, are alike, so both
-sorted lists are kept run-length coded: the lengths are at most ``capacity``
-classes and every superstep leaves at most two runs more than it consumed.
-The sweep state is therefore bounded by the capacity whatever the corpus is;
-pieces themselves stay distributed, are ranked by a two-level count and look
-their place up by (length, rank).
+Bulk-synchronous best fit. Pieces and gaps (what sequences have left) are
+sorted by size, longest first, and dealt into size ranges. In a superstep every
+range is swept at once, on its own task: each piece takes its successor, the
+smallest gap of the range that holds it; pieces that want the same gap are
+resolved by rank (longer first, then by number within the length); gaps shrink
+and fall into lower ranges. The next superstep has half as many ranges, so
+that what found no gap in its range meets the larger ones; the last one sweeps
+the whole and opens new sequences for what is left. Pieces over half the
+capacity open their sequences before the first superstep.
+
+Pieces of one length, and sequences with one gap, are alike, so the sorted
+lists are run-length coded: ``capacity`` lengths at most, and a sweep leaves at
+most two runs more than it takes for each length. The state of the sweeps is
+therefore bounded by the capacity whatever the corpus is; pieces themselves
+stay distributed, are ranked by a two-level count and look their place up by
+(length, rank).
 
 Nulls and edges: a null or empty text has the end token alone; a null doc_id
 stays null; repeated rows are separate documents. Extra columns are ignored.
@@ -24,9 +30,10 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from contextlib import suppress
-from functools import cache, partial
+from functools import cache, partial, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -142,49 +149,93 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     )
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Supersteps over lengths, longest first: rows (length, first_rank, per_sequence, first_sequence, offset).
+PIECES, GAPS, PLACED, OPENED = range(4)
+#: Runs of the sweeps. PIECES: n unplaced pieces of length ``size`` from ``rank`` on. GAPS: n sequences from ``first`` on
+#: with ``size`` left. PLACED: pieces of length ``size`` from ``rank`` on go to sequences from ``first`` on, ``each`` to
+#: one, at ``offset``. OPENED: sequences up to ``first`` are in use.
+RUNS = ["kind", "size", "rank", "n", "each", "first", "offset"]
+_RUNS_DDL = ", ".join(f"{c} long" for c in RUNS)
+Run = tuple[int, int, int, int, int, int, int]
 
-    The pieces of ``length`` with rank at or over first_rank (up to the next
-    row's) go to consecutive sequences from first_sequence, ``per_sequence``
-    to each, from ``offset`` on.
+
+def sweep(runs: list[Run], capacity: int, last: bool) -> list[Run]:
+    """One superstep of a size range: best fit of its pieces, longest first, in its gaps.
+
+    Pieces without a gap stay, or in the ``last`` superstep open sequences.
     """
-    gaps: list[int] = []  # sorted sizes of the gaps there are
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap: runs (first sequence, how many)
-    rows, used = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                bisect.insort(gaps, gap)
-                runs[gap] = []
-            runs[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
+    sizes: list[int] = []  # sorted sizes of the gaps there are
+    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs (first sequence, how many)
+    out: list[Run] = []
+
+    def put(size: int, first: int, n: int) -> None:
+        if size and n:
+            if size not in gaps:
+                bisect.insort(sizes, size)
+                gaps[size] = []
+            gaps[size].append((first, n))
+
+    for r in sorted(runs, reverse=True):
+        if r[0] == GAPS:
+            put(r[1], r[5], r[3])
+    used = max((r[5] for r in runs if r[0] == OPENED), default=0)
+    for _, length, rank, left, *_ in sorted((r for r in runs if r[0] == PIECES), key=lambda r: (-r[1], r[2])):
         while left:
-            k = bisect.bisect_left(gaps, length)
-            if k < len(gaps):
-                gap = gaps[k]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[k]
-            else:
-                gap, first, n = capacity, used, -(-left // (capacity // length))
+            k = bisect.bisect_left(sizes, length)
+            if k < len(sizes):
+                size = sizes[k]
+                first, n = gaps[size].pop()
+                if not gaps[size]:
+                    del gaps[size], sizes[k]
+            elif last:
+                size, first, n = capacity, used, -(-left // (capacity // length))
                 used += n
-            each = gap // length
+            else:
+                out.append((PIECES, length, rank, left, 0, 0, 0))
+                break
+            each = size // length
             full, rest = divmod(left, each)
             take = min(n, full)
             if take:
-                rows.append((length, rank, each, first, capacity - gap))
+                out.append((PLACED, length, rank, take * each, each, first, capacity - size))
                 rank, left = rank + take * each, left - take * each
-                put(gap - each * length, first, take)
+                put(size - each * length, first, take)
             if take < n and left:  # the last sequence gets the rest
-                rows.append((length, rank, left, first + take, capacity - gap))
-                put(gap - left * length, first + take, 1)
+                out.append((PLACED, length, rank, left, left, first + take, capacity - size))
+                put(size - left * length, first + take, 1)
                 left, take = 0, take + 1
-            put(gap, first + take, n - take)
-    return np.array(rows, np.int64).reshape(-1, 5)
+            put(size, first + take, n - take)
+    out += [(GAPS, size, 0, n, 0, first, 0) for size, found in gaps.items() for first, n in found]
+    return out + [(OPENED, 0, 0, 0, 0, used, 0)] * any(r[0] == OPENED for r in runs)
+
+
+def _swept(capacity: int, last: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(sweep(list(map(tuple, rows[RUNS].to_numpy().tolist())), capacity, last), columns=RUNS, dtype="int64")
+
+    return run
+
+
+def best_fit(counts: DataFrame, capacity: int, ranges: int = 8) -> DataFrame:
+    """PLACED runs for pieces counted by length (size, n): supersteps over 8, 4, 2 and 1 size ranges."""
+    zero = F.lit(0).cast("long")
+    alone = F.col("size") * 2 > capacity
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), zero)
+    large = cut(counts.where(alone).withColumn("first", before), "large")  # at most capacity / 2 rows
+
+    def shaped(df: DataFrame, **given) -> DataFrame:
+        return df.select(*(given.get(c, F.col(c) if c in df.columns else zero).cast("long").alias(c) for c in RUNS))
+
+    placed = [shaped(large, kind=F.lit(PLACED), each=F.lit(1))]
+    state = shaped(large.where(F.col("size") < capacity), kind=F.lit(GAPS), size=F.lit(capacity) - F.col("size"))
+    state = state.union(shaped(counts.where(~alone), kind=F.lit(PIECES)))
+    state = state.union(shaped(large.agg(F.coalesce(F.max(F.col("first") + F.col("n")), zero).alias("first")), kind=F.lit(OPENED)))
+    while ranges:
+        band = F.floor((F.greatest(F.col("size"), F.lit(1)) - 1) * ranges / capacity)
+        state = cut(state.groupBy(band.alias("band")).applyInPandas(_swept(capacity, ranges == 1), _RUNS_DDL), "sweep")
+        placed.append(state.where(F.col("kind") == PLACED))
+        state = state.where(F.col("kind") != PLACED)
+        ranges //= 2
+    return reduce(DataFrame.union, placed)
 
 
 def _placed(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -211,8 +262,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     before = parts.withColumn(
         "before", F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("n")
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").count().withColumnRenamed("count", "n").toLocalIterator()}
-    plan = best_fit_plan(counts, capacity)
+    counts = table.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("n"))
+    runs = best_fit(counts, capacity).select("size", "rank", "each", "first", "offset").toArrow()  # bounded by the capacity
+    plan = np.stack([c.to_numpy() for c in runs.columns], axis=1) if runs.num_rows else np.zeros((0, 5), np.int64)
     within = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     # at most capacity * SALTS rows
     ranked = table.withColumn("within", within).join(F.broadcast(before), ["length", "_salt"]).withColumn("rank", F.col("within") + F.col("before"))
