@@ -5,7 +5,8 @@ line is found too, the sentences of its lines. A unit's digest is taken from
 its normalised form (A-Z lower-cased, white space runs as one space). Of all
 units with one digest, the occurrence earliest in (doc_id, offset) stays; the
 others are cut out of their texts. Units of fewer than ``min_words`` words are
-never cut.
+not compared by themselves: the short sentences after a sentence are cut along
+with it where they are the same as after its kept occurrence.
 
 Nulls and edges: a null text stays null and has no units; an empty text stays
 empty; a text that is nothing but repeats becomes empty, its row stays. A null
@@ -19,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -33,36 +35,50 @@ MIN_WORDS = 8
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+(?:[ \t]+|$)|[^.!?]+$|[^.!?]*[.!?]+")
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised form) of each unit; offsets are code points of the text.
+class Unit(NamedTuple):
+    """Offsets are code points of the text; the tail is what short sentences follow in the line."""
 
-    A line's unit takes its line end along; a line that is one sentence is one unit.
-    """
+    start: int
+    end: int
+    form: str
+    tail_end: int
+    tail: str
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[Unit]:
+    """The units of a text. A line's unit takes its line end along; a line that is one sentence is one unit."""
     at = 0
-    for line in text.splitlines(keepends=True) if "\r" not in text else re.findall(r"[^\n]*\n|[^\n]+", text):
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         words = line.split()
         if len(words) >= min_words:
-            whole = " ".join(words).lower()
-            yield at, at + len(line), whole
-            body = line.rstrip("\n")
-            parts = list(_SENTENCE.finditer(body))
-            if len(parts) > 1:
-                for m in parts:
-                    own = m[0].split()
-                    if len(own) >= min_words:
-                        yield at + m.start(), at + m.end(), " ".join(own).lower()
+            yield Unit(at, at + len(line), " ".join(words).lower(), at + len(line), "")
+            parts = [(m.start(), m.end(), m[0].split()) for m in _SENTENCE.finditer(line.rstrip("\n"))]
+            end, tail = 0, ""
+            found = []
+            for start, stop, own in reversed(parts if len(parts) > 1 else []):
+                end = end or stop
+                if len(own) >= min_words:
+                    found.append(Unit(at + start, at + stop, " ".join(own).lower(), at + end, tail))
+                    end, tail = 0, ""
+                else:
+                    tail = f"{' '.join(own)} {tail}".strip().lower()
+            yield from reversed(found)
         at += len(line)
 
 
+_COLUMNS = ("rank", "key", "start", "end", "d1", "d2", "tail_end", "tail")
+
+
 def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list[int]] = [[], [], [], [], [], []]
+        out: list[list[int]] = [[] for _ in _COLUMNS]
         for rank, key, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "key", "text"))):
-            for start, end, form in units(text or "", min_words):
-                d = xxhash.xxh3_128_intdigest(form)
-                for column, v in zip(out, (rank, key, start, end, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63)):
+            for u in units(text or "", min_words):
+                d = xxhash.xxh3_128_intdigest(u.form)
+                tail = xxhash.xxh3_64_intdigest(u.tail) - 2**63 if u.tail else 0
+                for column, v in zip(out, (rank, key, u.start, u.end, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, u.tail_end, tail)):
                     column.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rank", "key", "start", "end", "d1", "d2"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=_COLUMNS)
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -115,15 +131,16 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), last).alias("rank"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text"
     )
-    found = cut(rows.mapInArrow(partial(_units, min_words=min_words), "rank long, key long, start long, end long, d1 long, d2 long"), "units")
+    found = cut(rows.mapInArrow(partial(_units, min_words=min_words), ", ".join(f"{c} long" for c in _COLUMNS)), "units")
     first = (
-        found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key", "start")).alias("first"), F.count("*").alias("n"))
+        found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key", "start", "tail")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").drop("n")
     )
     later = found.join(first, ["d1", "d2"]).where(
         ~((F.col("rank") == F.col("first.rank")) & (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start")))
     )
-    return later.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
+    end = F.when((F.col("tail") != 0) & (F.col("tail") == F.col("first.tail")), F.col("tail_end")).otherwise(F.col("end"))
+    return later.groupBy("key").agg(F.collect_set(F.struct("start", end.alias("end"))).alias("cuts"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -4,17 +4,15 @@ from tessera.llm.line_dedup import cut_out, units, without_repeats
 
 
 def brute(rows):
-    """Rows (doc_id, text) in rank order: every unit seen before is cut."""
-    seen, out = set(), {}
-    # units of one digest: the earliest (doc_id, start) stays
-    first = {}
+    """Of the units of one form the earliest (doc_id, start) stays; equal short sentences after it go with the others."""
+    first, out = {}, {}
     for doc_id, text in rows:
-        for start, _, form in units(text or ""):
-            first[form] = min(first.get(form, (1 << 60, 0)), (doc_id, start))
+        for u in units(text or ""):
+            first[u.form] = min(first.get(u.form, ((1 << 60, 0), "")), ((doc_id, u.start), u.tail))
     for doc_id, text in rows:
-        spans = [{"start": s, "end": e} for s, e, form in units(text or "") if first[form] != (doc_id, s)]
+        later = [u for u in units(text or "") if first[u.form][0] != (doc_id, u.start)]
+        spans = [{"start": u.start, "end": u.tail_end if u.tail and u.tail == first[u.form][1] else u.end} for u in later]
         out[doc_id] = cut_out(text, spans)[0] if text is not None else None
-    assert seen == set()
     return out
 
 
@@ -30,6 +28,14 @@ def test_matches_brute_force(documents):
     assert LINE in got[1] and LINE in got[2] and TAIL in got[2] and TAIL not in got[4] and got[3] == "short"
 
 
+def test_short_sentences_go_with_their_passage(documents):
+    long = "This sentence has words enough to be a unit."
+    rows = [(1, f"Mine alone. {long} Short one. And two. {TAIL} Ends here."), (2, f"before it {long} Short one. And two. {TAIL} Ends so."), (3, f"Other start. {long} Not that. {TAIL} Ends here.")]
+    got = {r.doc_id: r.text for r in without_repeats(documents(rows)).collect()}
+    assert got == brute(rows)
+    assert got[1] == rows[0][1] and got[3] == "Other start. Not that. " and "Ends so." in got[2] and TAIL not in got[2]
+
+
 def test_offsets_rebuild_the_text(documents):
     rows = [(1, PASSAGE), (2, f"ü before it all\n{PASSAGE}\nafter")]
     for r in without_repeats(documents(rows)).collect():
