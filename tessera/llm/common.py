@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 _OWN_FOLDER: list[str] = []
 
 
@@ -95,6 +98,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+_REMEMBERED: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], T]) -> T:
+    """What an operator remembers from task to task of a Python worker.
+
+    A worker lives through many stages; it keeps the memory of one operator at
+    a time, so that their tables do not add up.
+    """
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered; forgets everything at ``limit`` words."""
 

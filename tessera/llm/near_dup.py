@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, connected_components, cut, text_bytes
+from tessera.llm.common import WordHashes, connected_components, cut, remembered, text_bytes
 
 
 @dataclass(frozen=True)
@@ -39,9 +39,6 @@ class Banding:
     seed: int = 7
 
 
-_HASHES = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -54,7 +51,7 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, n)
+    h = np.fromiter(map(remembered("words", WordHashes).__getitem__, tokens), np.uint64, n)
     size = min(words, n)
     acc = _mix(h[: n - size + 1] + np.uint64(size))
     for j in range(1, size):

@@ -30,7 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from contextlib import suppress
-from functools import cache, partial, reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, remembered
 
 CAPACITY = 4096
 END_ID = 1
@@ -57,7 +57,7 @@ class ChunkIds(dict):
     are at hand.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
@@ -114,15 +114,10 @@ def _stop_at(chunk: str) -> int:
     return len(base) if base and len(base) < len(chunk) and base[-1].isalpha() else 0
 
 
-@cache
-def _chunks(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
-
 def token_bytes(texts: list[str], path: str, at_once: int = 256) -> Iterator[bytes]:
     """Ids of each whole text, packed."""
     for k in range(0, len(texts), at_once):
-        yield from _chunks(path).texts(texts[k : k + at_once])
+        yield from remembered(f"chunks {path}", partial(ChunkIds, path)).texts(texts[k : k + at_once])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, labelled_sample, text_bytes
+from tessera.llm.common import cut, labelled_sample, remembered, text_bytes
 
 
 @dataclass(frozen=True)
@@ -75,13 +75,10 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def features(text: bytes, bits: int) -> np.ndarray:
     """Bucket of every token feature of the text; 0 is kept for the bias."""
     tokens = text.split()
-    both = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    both = np.fromiter(map(remembered("features", _Words).__getitem__, tokens), np.uint64, len(tokens))
     word, form = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     again = (both[1:] == both[:-1]).astype(np.uint64)
     raw = np.concatenate([
@@ -158,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
         ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "bucket int, z double, n double")
         # a bucket that a shard has not touched there keeps the state it began with
         mean = ran.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("shards")).toArrow()
+        state.destroy()
         k, shards = mean.column("bucket").to_numpy(), mean.column("shards").to_numpy()
         z, n = z.copy(), n.copy()
         z[k] = mean.column("z").to_numpy() / np.maximum(1, shards)

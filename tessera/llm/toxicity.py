@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, cut, labelled_sample
+from tessera.llm.common import cut, labelled_sample, remembered
 
 
 @dataclass(frozen=True)
@@ -180,15 +180,8 @@ def _evidence(text: str | None, by: Evidence) -> float:
     return sum(map(by.__getitem__, found)) / math.sqrt(len(found)) if found else 0.0
 
 
-_MODELS: dict[str, Evidence] = {}
-
-
 def _model(shared, p: Kneser) -> Evidence:
-    key = shared.value["id"]
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Evidence(shared.value["found"], p.order, p.band)
-    return _MODELS[key]
+    return remembered(f"toxicity {shared.value['id']}", lambda: Evidence(shared.value["found"], p.order, p.band))
 
 
 def _calibrating(batches: Iterator[pa.RecordBatch], shared, p: Kneser) -> Iterator[pa.RecordBatch]:
