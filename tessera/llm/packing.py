@@ -57,7 +57,7 @@ class ChunkIds(dict):
     are at hand.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
