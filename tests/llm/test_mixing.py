@@ -2,7 +2,7 @@
 
 from collections import Counter, defaultdict
 
-from tessera.llm.mixing import mix, mixed
+from tessera.llm.mixing import mix, mixed, sweep
 
 
 def rows_of(sizes):
@@ -63,3 +63,23 @@ def test_many_sources(documents):
     for r in found:
         by[r.source].add(r.slot)
     assert len(found) == 900 and all(len(s) == 2 for s in by.values())
+
+
+def test_targets_are_those_of_the_unrounded_weights(documents):
+    """A third of the rows and 19 equal sources: shares that are no 360ths; over 2,000 slots rounding would add up."""
+    sizes = {"big": 6000, **{f"s{i:02}": 630 for i in range(19)}}
+    found = mix(documents(rows_of(sizes)), block=1).collect()
+    assert len(found) == sum(sizes.values()) == len({r.position for r in found})
+    check_deviation(found, {s: n**0.5 for s, n in sizes.items()}, 1)
+
+
+def test_more_sources_than_a_period_has_slots(documents):
+    sizes = {"big": 900, **{f"s{i:03}": 1 + i % 3 for i in range(400)}}
+    found = mix(documents(rows_of(sizes)), block=1).collect()
+    check_deviation(found, {s: n**0.5 for s, n in sizes.items()}, 1)
+
+
+def test_ranges_give_the_schedule_of_one_sweep(spark):
+    weights = spark.createDataFrame([("a", 500, 31), ("b", 300, 17), (None, 200, 7), ("c", 40, 3)], "source string, n long, slots long")
+    one = {tuple(r) for r in sweep(weights, 1, 4096).collect()}
+    assert one == {tuple(r) for r in sweep(weights, 1, 8).collect()} and len(one) == 1040
