@@ -3,8 +3,9 @@
 A page becomes a sequence of text nodes, each with its root-to-leaf tag path.
 Text length and punctuation are aggregated per path and divided by the path's
 nodes; both ratios are smoothed along the page, fused (geometric mean) and
-compared with a threshold taken from their spread. The container of the
-strongest path bounds the article; menus, headers, footers, side bars,
+compared with a threshold taken from their spread. An article or main element
+around a node raises its ratio, links lower it. The common ancestor of all paths
+over the threshold bounds the article; menus, headers, footers, side bars,
 notices, adverts, forms and comments are told by element and by class names.
 
 Nulls and edges: null or empty html gives an empty text; markup that never ends
@@ -59,6 +60,9 @@ _ROLES = frozenset("navigation banner complementary contentinfo search dialog al
 _ATTR = re.compile(r"([a-zA-Z_:-][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 _SPACE = re.compile(r"\s+")
+#: Evidence: a ratio within article or main counts so many times; one of nothing but links loses this share.
+NAMED = 2.0
+LINKED = 0.75
 
 
 @dataclass
@@ -195,36 +199,27 @@ def main_text(page: str | None, strictness: float = 0.5) -> str:
     found = [b for b in found if b.text]
     if not found:
         return ""
-    scores = path_scores(found)
+    ratios = path_scores(found)
     inside = [k for k, b in enumerate(found) if not b.outside]
     if not inside:
         return ""
-    weight: dict[str, float] = defaultdict(float)
+    threshold = strictness * float(np.std(ratios))
+    named = [any(elements[e][1] in ("article", "main") for e in b.above) for b in found]
+    scores = ratios * [(1 - LINKED * min(1.0, b.linked / len(b.text))) * (NAMED if n else 1.0) for b, n in zip(found, named)]
+    by_path: dict[str, list[float]] = defaultdict(list)
     for k in inside:
-        if found[k].linked * 2 < len(found[k].text):
-            weight[found[k].paths[0] if found[k].paths else ""] += scores[k] * len(found[k].text)
-    best = max(weight, key=lambda p: (weight[p], p), default=None)
-    strongest = [k for k in inside if best is not None and found[k].paths and found[k].paths[0] == best] or inside
-    shared = set(found[strongest[0]].above[:-1] or (0,)).intersection(*(found[k].above for k in strongest))
-    container = max(shared, default=0)
-    named = [e for e in _upward(container, elements) if elements[e][1] in ("article", "main")]
-    box = named[0] if named else container
-    threshold = strictness * float(np.std(scores)) if not named else 0.0
+        by_path[found[k].paths[0] if found[k].paths else ""].append(scores[k])
+    over = {p for p, x in by_path.items() if sum(x) / len(x) >= threshold}
+    content = [k for k in inside if (found[k].paths[0] if found[k].paths else "") in over] or inside
+    box = max(set(found[content[0]].above).intersection(*(found[k].above for k in content)), default=0)
+    chosen = set(content)
     kept = [
         found[k].text for k in inside
-        if box in found[k].above
-        and found[k].linked * 2 < len(found[k].text)
-        and (named or scores[k] >= threshold or found[k].tag in _HEADING)
+        if box in found[k].above and (k in chosen or scores[k] >= threshold or found[k].tag in _HEADING)
     ]
     return "\n\n".join(kept)
 
 
-def _upward(number: int, elements: dict[int, tuple[int, str]]) -> Iterator[int]:
-    while number:
-        yield number
-        number = elements[number][0]
-
-
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(h) for h in batch.column("html").to_pylist()]

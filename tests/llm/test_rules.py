@@ -101,3 +101,26 @@ def test_odd_pages(spark):
     assert [got[k].text for k in (1, 2, 3, 4, 6, 8)] == ["", "", "just text", "open, never closed", "", "deep, text."]
     assert got[7].n_chars == len(got[7].text) == 50_000 * 6 - 1
     assert html_text.extract(spark.createDataFrame([], PAGES)).count() == 0
+
+
+QUOTE = "<blockquote>" + "".join(f"<p>Quoted line {k}, which goes on for long, and longer, until it ends, at last, here.</p>" for k in range(9)) + "</blockquote>"
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<div>{}</div>"])
+@pytest.mark.parametrize("inner", [
+    "<p>An intro, of some words, before it.</p>" + QUOTE + "<p>A close, of some words, after it.</p>",
+    "<p>An intro, of some words, before it.</p><div><div>" + QUOTE + "</div></div><p>A close, of some words, after it.</p>",
+])
+def test_text_beside_a_heavy_wrapper_stays(box, inner):
+    got = html_text.main_text(f"<body>{BOIL['nav']}{box.format(inner)}{BOIL['footer']}</body>")
+    assert got.startswith("An intro") and got.endswith("after it.") and got.count("Quoted line") == 9 and "Home" not in got
+
+
+def test_a_paragraph_of_links_is_text_and_a_low_ratio_is_not_by_its_element_alone():
+    link = '<p><a href="/x">All of this paragraph, each word, is one link, and still text.</a></p>'
+    plain = "<p>Plain text, of some words, stands here, as it should.</p>"
+    for box in ("<article>{}</article>", "<div>{}</div>"):
+        assert "still text." in html_text.main_text(f"<body>{box.format(plain + link + plain)}</body>")
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Tag{k}</a></li>" for k in range(12)) + "</ul>"
+    got = html_text.main_text(f"<body><article>{plain * 6}{menu}</article></body>")
+    assert got.count("Plain text") == 6 and "Tag6" not in got
