@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +9,8 @@ from tessera.constants import JACCARD_THRESHOLD, SEMANTIC_THRESHOLD, SLOTS, VISU
 from tessera.functions.keys import manual_key, prompt_hash, text_cluster_key, vector_cluster_key
 from tessera.functions.text import token_set
 from tessera.operators.components import components
-from tessera.operators.similarity import jaccard_pairs
+from tessera.operators.similarity import cosine_pairs, fold_sets, set_pairs
+from tessera.store import table_of
 
 DEFAULT_THRESHOLDS = {"text": JACCARD_THRESHOLD, "visual": VISUAL_THRESHOLD, "semantic": SEMANTIC_THRESHOLD}
 
@@ -21,66 +18,71 @@ DEFAULT_THRESHOLDS = {"text": JACCARD_THRESHOLD, "visual": VISUAL_THRESHOLD, "se
 def single_linkage(rows: DataFrame, threshold: float) -> DataFrame:
     """(bucket, id, cluster) of ``rows`` (bucket, id, tokens): components of Jaccard >= threshold; a cluster is its least id.
 
-    At a threshold of 0 or less every bucket is one cluster.
+    Equal sets are one node. At a threshold of 0 or less every bucket is one cluster.
     """
     if threshold <= 0:
         least = rows.groupBy("bucket").agg(F.min("id").alias("cluster"))
         return rows.select("bucket", "id").join(least, "bucket")
-    linked = components(jaccard_pairs(rows, threshold).select("a", "b"))
-    return rows.select("bucket", "id").join(linked, F.col("id") == F.col("node"), "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("cluster")
-    )
-
+    members, sets = fold_sets(rows)
+    linked = components(set_pairs(sets, threshold).select("a", "b"))
+    found = members.join(linked, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("cluster"))
+    return rows.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("cluster", "id").alias("cluster"))
 
-def average_clusters(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Cluster number of each vector: the pair with the highest mean pairwise similarity merges while that is >= threshold."""
-    n = len(vectors)
-    sums = (vectors.astype(np.float32) @ vectors.astype(np.float32).T).astype(np.float64)
-    members: list[list[int]] = [[i] for i in range(n)]
-    while len(members) > 1:
-        sizes = np.array([len(m) for m in members], float)
-        mean = sums / np.outer(sizes, sizes)
-        mean[np.tril_indices(len(members))] = -np.inf
-        i, j = divmod(int(mean.argmax()), len(members))  # the first of equal ones
-        if mean[i, j] < threshold:
-            break
-        rest = [k for k in range(len(members)) if k not in (i, j)]
-        row = sums[rest, i] + sums[rest, j]
-        own = sums[i, i] + sums[j, j] + 2 * sums[i, j]
-        sums = np.block([[sums[np.ix_(rest, rest)], row[:, None]], [row[None, :], np.array([[own]])]])
-        members = [members[k] for k in rest] + [members[i] + members[j]]
-    out = np.zeros(n, np.int64)
-    for k, m in enumerate(members):
-        out[m] = k
-    return out
-
-
-def _average(rows: pd.DataFrame, threshold: float, most: int) -> pd.DataFrame:
-    rows = rows.sort_values("id")
-    if len(rows) > most:
-        raise ValueError(f"bucket {rows['bucket'].iloc[0]!r} has {len(rows)} vectors; average linkage takes at most {most}")
-    cluster = average_clusters(np.stack(rows["vec"].to_numpy()), threshold)
-    least = rows.groupby(cluster)["id"].transform("min")
-    return pd.DataFrame({"bucket": rows["bucket"], "id": rows["id"], "cluster": least.to_numpy()})
-
-
-def average_linkage(rows: DataFrame, threshold: float, most: int = 4000) -> DataFrame:
-    """(bucket, id, cluster) of normalised vectors (bucket, id, vec); a cluster is its least id.
 
-    The greedy merge order is sequential within a bucket, so a bucket is one
-    group; ``most`` bounds it and a larger bucket is an error, not a guess.
-    """
-    schema = "bucket string, id bigint, cluster bigint"
-    return rows.select("bucket", "id", "vec").groupBy("bucket").applyInPandas(partial_one(partial(_average, threshold=threshold, most=most)), schema)
+#: Similarities are summed as whole numbers of 1 / SCALE, so that a sum does not depend on its order.
+SCALE = 2**32
 
 
-def partial_one(f):
-    """A function of exactly one argument, as grouped maps ask for."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return f(rows)
+def average_linkage(rows: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id, cluster) of normalised vectors (bucket, id, vec); a cluster is its least id.
 
-    return run
+    Average linkage: the two clusters of a bucket with the highest mean
+    pairwise similarity merge while that is >= threshold. Two clusters that
+    prefer each other merge in any order with the same result, so each round
+    merges all such pairs at once. No cluster spans two components of the pairs
+    >= threshold, so only similarities within a component are kept; equal
+    vectors are one weighted row from the start (their mean is 1, which a
+    threshold over 1 would not reach). Ties go to the least ids.
+    """
+    if threshold > 1:
+        return rows.select("bucket", "id", F.col("id").alias("cluster"))
+    own = rows.select(F.col("bucket").cast("string").alias("bucket"), "id", "vec").withColumn("_h1", F.xxhash64("vec")).withColumn("_h2", F.xxhash64(F.lit(1), "vec"))
+    equal = ["bucket", "_h1", "_h2"]
+    reps = table_of(own.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("vec").alias("vec")))
+    parts = components(cosine_pairs(reps.select("bucket", F.col("rep").alias("id"), "vec"), threshold).select("a", "b"))
+    inside = reps.join(parts, F.col("rep") == F.col("node")).select(F.col("component").cast("string").alias("bucket"), F.col("rep").alias("id"), "vec")
+    sims = cosine_pairs(inside, -2.0).select("a", "b", F.round(F.col("sim") * SCALE).cast("bigint").alias("s"))
+    size = reps.select("rep", "n")
+    sums = table_of(
+        sims.join(size.withColumnsRenamed({"rep": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"rep": "b", "n": "nb"}), "b")
+        .select("a", "b", "na", "nb", (F.col("s") * F.col("na") * F.col("nb")).alias("s"))
+    )
+    cluster = reps.select("rep", F.col("rep").alias("cluster"))
+    while True:
+        mean = F.col("s") / (F.col("na") * F.col("nb").cast("double")) / SCALE
+        close = sums.withColumn("mean", mean).where(F.col("mean") >= threshold - 1e-9)
+        order = F.struct("mean", -F.col("a"), -F.col("b"))  # one order for both sides
+        both = close.select(F.col("a").alias("of"), "a", "b", "na", "nb", order.alias("o")).union(close.select(F.col("b"), "a", "b", "na", "nb", order.alias("o")))
+        best = both.groupBy("of").agg(F.max_by(F.struct("a", "b", "na", "nb"), "o").alias("p"))
+        merged = table_of(best.groupBy("p").agg(F.count("*").alias("k")).where("k = 2").select("p.*"))
+        if merged.isEmpty():
+            break
+        moved = merged.select(F.col("b").alias("old"), F.col("a").alias("new"), (F.col("na") + F.col("nb")).alias("n")).union(
+            merged.select(F.col("a"), F.col("a"), F.col("na") + F.col("nb"))
+        )
+        left, right = moved.select(*(F.col(c).alias(f"_l{c}") for c in moved.columns)), moved.select(*(F.col(c).alias(f"_r{c}") for c in moved.columns))
+        named = sums.join(left, F.col("a") == F.col("_lold"), "left").join(right, F.col("b") == F.col("_rold"), "left").select(
+            F.coalesce("_lnew", "a").alias("a"), F.coalesce("_rnew", "b").alias("b"), F.coalesce("_ln", "na").alias("na"), F.coalesce("_rn", "nb").alias("nb"), "s"
+        ).where("a <> b")
+        low = F.col("a") < F.col("b")
+        turned = named.select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"),
+            F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"), "s",
+        )
+        sums = table_of(turned.groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("s")))
+        cluster = table_of(cluster.join(moved.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
+    found = own.select("bucket", "id", "_h1", "_h2").join(reps.select(*equal, "rep"), equal).join(cluster, "rep")
+    return found.select("bucket", "id", "cluster")
 
 
 def with_bindings(keyed: DataFrame, bindings: DataFrame) -> DataFrame:

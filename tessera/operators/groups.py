@@ -159,14 +159,14 @@ def needs_reparse(version: str) -> Column:
     return ~F.coalesce(F.col("meta_ok"), F.lit(False)) | (F.coalesce("workflow_key", F.lit("")) == "") | ~F.col("parser_version").eqNullSafe(F.lit(version))
 
 
-def can_move(images: DataFrame, ids: list[int], target: str) -> DataFrame:
-    """One row of booleans: the images share a source, none is in the target, and the target exists."""
-    picked = images.where(F.col("id").isin(ids)).agg(
+def can_move(images: DataFrame, picked: DataFrame, target: str) -> DataFrame:
+    """Of each selection (selection, id): whether its images share a source, none is in the target, and the target exists."""
+    own = picked.join(images.select("id", "source_id", "group_key_l2"), "id").groupBy("selection").agg(
         (F.countDistinct("source_id") == 1).alias("one_source"),
         (F.count_if(F.col("group_key_l2").eqNullSafe(F.lit(target))) == 0).alias("none_inside"),
     )
-    there = images.agg(F.coalesce(F.bool_or(F.col("group_key_l2") == target), F.lit(False)).alias("target_exists"))
-    return picked.join(there)
+    there = images.agg(F.coalesce(F.bool_or(F.col("group_key_l2") == target), F.lit(False)).alias("target_exists"))  # one row
+    return own.join(F.broadcast(there))
 
 
 def file_missing(images: DataFrame, listing: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.constants import BASE_SCORE
 from tessera.functions.text import natural_key
+from tessera.operators.blocks import in_blocks, numbered
+from tessera.store import table_of
 
 
 def sort_orders() -> dict[str, list[Column]]:
@@ -38,13 +40,20 @@ def top_half(rows: DataFrame, group: str) -> DataFrame:
     return ranked.join(total, group).where(F.col("rank") <= F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("total") / 2))).drop("total")
 
 
+def places(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with their place (from 1) in a browse order."""
+    return numbered(rows, sort_orders()[order], "place")
+
+
 def neighbours(groups: DataFrame) -> DataFrame:
     """Position, total, previous and next key of each group (group_key, count) in group order."""
-    order = W.orderBy(F.desc("count"), F.asc("group_key"))
-    return groups.select(
-        "group_key", F.row_number().over(order).alias("position"), F.count("*").over(W.partitionBy()).alias("total"),
-        F.lag("group_key").over(order).alias("previous"), F.lead("group_key").over(order).alias("next"),
-    )
+    at = table_of(numbered(groups.select("group_key", "count"), [F.desc("count"), F.asc("group_key")]).select("group_key", "position"))
+    before = at.select((F.col("position") + 1).alias("position"), F.col("group_key").alias("previous"))
+    after = at.select((F.col("position") - 1).alias("position"), F.col("group_key").alias("next"))
+    total = at.agg(F.count("*").alias("total"))  # one row
+    return at.join(before, "position", "left").join(after, "position", "left").join(F.broadcast(total)).select(
+        "group_key", "position", "total", "previous", "next"
+    )
 
 
 def shuffled(rows: DataFrame, seed: int, saved: list[int] | None = None) -> DataFrame:
@@ -60,13 +69,23 @@ def pair_weight(gap: Column, unscored: Column, recent: Column, stale_a: Column,
 
 
 def arena_pairs(rows: DataFrame, recent: DataFrame | None = None) -> DataFrame:
-    """All pairs of a group's images (id, score, staleness 0..1) with their weights.
+    """All pairs (group_key, a, b, weight) of each group's images (group_key, id, score, staleness 0..1).
 
-    A group is a screenful; the arena draws one pair from it.
+    A group is what the arena shows at a time; it is paired in blocks, so that
+    a large one is spread over tasks.
     """
-    a = rows.select(F.col("id").alias("a"), F.col("score").alias("sa"), (F.lit(0.6) + F.col("staleness")).alias("fa"))
-    b = rows.select(F.col("id").alias("b"), F.col("score").alias("sb"), (F.lit(0.6) + F.col("staleness")).alias("fb"))
-    pairs = a.join(b, F.col("a") < F.col("b"))
+    columns = {"id": "id", "score": "s", "staleness": "f"}
+    placed = in_blocks(rows.select("group_key", *columns), "group_key", "id")
+    sides = [
+        placed.where(F.col("side") == F.col(at)).select("group_key", "low", "high", *(F.col(c).alias(f"{n}{end}") for c, n in columns.items()))
+        for at, end in (("low", "a"), ("high", "b"))
+    ]
+    met = sides[0].join(sides[1], ["group_key", "low", "high"]).where((F.col("ida") < F.col("idb")) | (F.col("low") < F.col("high")))
+    first = F.col("ida") < F.col("idb")
+    pairs = met.select(
+        "group_key", F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"),
+        *(F.when(first, F.col(f"{n}{x}")).otherwise(F.col(f"{n}{y}")).alias(f"{n}{x}") for n in ("s", "f") for x, y in (("a", "b"), ("b", "a"))),
+    )
     if recent is None:
         pairs = pairs.withColumn("recent", F.lit(False))
     else:
@@ -74,8 +93,8 @@ def arena_pairs(rows: DataFrame, recent: DataFrame | None = None) -> DataFrame:
         pairs = pairs.join(seen, ["a", "b"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
     base = F.lit(BASE_SCORE)
     gap = F.abs(F.coalesce("sa", base) - F.coalesce("sb", base))
-    weight = pair_weight(gap, F.col("sa").isNull() | F.col("sb").isNull(), F.col("recent"), F.col("fa"), F.col("fb"))
-    return pairs.select("a", "b", weight.alias("weight"))
+    weight = pair_weight(gap, F.col("sa").isNull() | F.col("sb").isNull(), F.col("recent"), F.lit(0.6) + F.col("fa"), F.lit(0.6) + F.col("fb"))
+    return pairs.select("group_key", "a", "b", weight.alias("weight"))
 
 
 def draw_pairs(pairs: DataFrame, seed: int, n: int = 1) -> DataFrame:

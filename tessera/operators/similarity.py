@@ -2,92 +2,253 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.constants import VISUAL_THRESHOLD
-from tessera.functions.vectors import dot
+from tessera.operators.blocks import block_products, by_block_pair
+from tessera.store import table_of
+
+#: Longs of a set's bitmap, 64 tokens' bits each.
+_WORDS = 16
+
+
+def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal token sets of a bucket as one: members (bucket, id, rep) and sets (bucket, id, tokens), ``id`` the least of a set's."""
+    own = rows.select("bucket", "id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.col("tokens").isNotNull())
+    own = table_of(own.withColumn("digest", F.sha2(F.concat_ws("\x1f", "tokens"), 256)))
+    sets = table_of(own.groupBy("bucket", "digest").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")))
+    reps = sets.select("bucket", "digest", F.col("id").alias("rep"))
+    return own.select("bucket", "id", "digest").join(reps, ["bucket", "digest"]).select("bucket", "id", "rep"), sets.drop("digest")
+
+
+def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (bucket, a, b, sim), a < b, of different non-empty ``sets`` (bucket, id, tokens) with Jaccard >= threshold > 0.
+
+    With the tokens of a bucket in one order, rarest first, such a pair shares
+    a token among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set and
+    the first n - ceil(t n) + 1 of the larger one; the classes of sizes that a
+    pair may have are part of the key, and a row of the join goes on only if
+    enough tokens come after the shared one. What is left is checked on bitmaps
+    (a bit that one set has and the other lacks is a token not shared), and on
+    the whole sets where those leave it open.
+    """
+    t = threshold
+    full = sets.where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
+    token = full.select("bucket", "id", "n", F.explode("tokens").alias("token"))
+    frequency = token.groupBy("bucket", "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("bucket", "id").orderBy("df", "token"))
+    ranked = token.join(frequency, ["bucket", "token"]).withColumn("i", place)
+    size_class = F.floor(F.ln("n") / F.lit(-np.log(t) if t < 1 else 1e-6) + 1e-9) if t < 1 else F.col("n").cast("bigint")
+    prefix = table_of(
+        ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1))
+        .withColumn("class", size_class)
+        .withColumn("short", F.col("i") <= F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1)
+        .select("bucket", "token", "class", "id", "n", "i", "short")
+    )
+    x = prefix.where("short").drop("short").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("x")
+    y = prefix.drop("short").alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    near = F.col("x.n") >= F.lit(t) * F.col("y.n") - 1e-9
+    needed = F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    enough = 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= needed
+    keys = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))
+    met = x.join(y, keys & ordered & near & enough).select(
+        F.col("x.bucket").alias("bucket"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
+    ).distinct()
+    bits = table_of(_bitmaps(token))
+    left = bits.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(f"w{k}").alias(f"a{k}") for k in range(_WORDS)))
+    right = bits.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"w{k}").alias(f"b{k}") for k in range(_WORDS)))
+    lost_a = sum((F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(F.col(f"b{k}")))) for k in range(1, _WORDS)), F.bit_count(F.col("a0").bitwiseAND(F.bitwise_not("b0"))))
+    lost_b = sum((F.bit_count(F.col(f"b{k}").bitwiseAND(F.bitwise_not(F.col(f"a{k}")))) for k in range(1, _WORDS)), F.bit_count(F.col("b0").bitwiseAND(F.bitwise_not("a0"))))
+    most = F.least(F.col("na") - lost_a, F.col("nb") - lost_b)
+    open_ = met.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).where(
+        most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9
+    ).select("bucket", "a", "b")
+    hashed = full.select("bucket", "id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
+    ha, hb = (hashed.select("bucket", F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in ("a", "b"))
+    shared = F.size(F.array_intersect("ha", "hb"))
+    close = open_.join(ha, ["bucket", "a"]).join(hb, ["bucket", "b"]).where(shared >= F.lit(t / (1 + t)) * (F.size("ha") + F.size("hb")) - 1e-9)
+    ta, tb = (full.select("bucket", F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
+    both = table_of(close.select("bucket", "a", "b")).join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    sim = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))
+    return both.select("bucket", "a", "b", sim.alias("sim")).where(F.col("sim") >= t)
+
+
+def _bitmaps(token: DataFrame) -> DataFrame:
+    """(bucket, id, n, w0..): a bit for each hashed token of a set."""
+    h = F.pmod(F.xxhash64("token"), F.lit(64 * _WORDS))
+    bit = token.select("bucket", "id", "n", (h / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))").alias("bit"))
+    words = (F.coalesce(F.bit_or(F.when(F.col("w") == k, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{k}") for k in range(_WORDS))
+    return bit.groupBy("bucket", "id", "n").agg(*words)
 
 
 def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (bucket, a, b, sim), a < b, of ``rows`` (bucket, id, tokens) with Jaccard >= threshold > 0.
 
-    Prefix filtering: a pair can only reach the threshold if the sets share one
-    of their |x| - ceil(t |x|) + 1 globally rarest tokens, so only those are
-    joined, with a length filter; candidates are verified on the whole sets.
-    Two empty sets have similarity 1: each is paired with the bucket's first.
+    Equal sets are compared once; their pairs are written out in the end. Two
+    empty sets have similarity 1: each is paired with the bucket's first.
     """
-    sets = rows.select("bucket", "id", F.array_distinct("tokens").alias("tokens"))
-    full = sets.where(F.size("tokens") > 0)
-    token = full.select("bucket", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequency = token.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(W.partitionBy("bucket", "id").orderBy("df", "token"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefix = token.join(frequency, "token").withColumn("rank", rank).where(F.col("rank") <= keep).select("bucket", "id", "n", "token")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("y.n") >= F.lit(threshold) * F.col("x.n") - 1e-9) & (F.col("x.n") >= F.lit(threshold) * F.col("y.n") - 1e-9)
-    candidates = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & near)
-        .select(F.col("x.bucket").alias("bucket"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    members, sets = fold_sets(rows)
+    members = table_of(members)
+    filled = sets.where(F.size("tokens") > 0).select("bucket", F.col("id").alias("rep"))
+    copies = members.join(filled, ["bucket", "rep"])
+    x, y = copies.select("bucket", "rep", F.col("id").alias("a")), copies.select("bucket", "rep", F.col("id").alias("b"))
+    equal = x.join(y, ["bucket", "rep"]).where("a < b").select("bucket", "a", "b", F.lit(1.0).alias("sim"))
+    found = set_pairs(sets, threshold).withColumnsRenamed({"a": "ra", "b": "rb"})
+    left, right = members.select("bucket", F.col("rep").alias("ra"), F.col("id").alias("p")), members.select("bucket", F.col("rep").alias("rb"), F.col("id").alias("q"))
+    spread = found.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(
+        "bucket", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim"
     )
-    left = full.select("bucket", F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = full.select("bucket", F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    verified = candidates.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).withColumn("both", both).select(
-        "bucket", "a", "b", (F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))).alias("sim")
-    ).where(F.col("sim") >= threshold)
-    empty = sets.where(F.size("tokens") == 0)
-    first = empty.groupBy("bucket").agg(F.min("id").alias("a"))
-    empties = empty.join(first, "bucket").where(F.col("id") > F.col("a")).select("bucket", "a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
-    return verified.union(empties)
+    hollow = sets.where(F.size("tokens") == 0).select("bucket", F.col("id").alias("rep"))
+    empties = members.join(hollow, ["bucket", "rep"]).where("id <> rep").select("bucket", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    return spread.union(equal).union(empties)
+
+
+def jaccard_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id, rep, n_links) of each row: the least id with an equal set, and how many other rows reach the threshold."""
+    members, sets = fold_sets(rows)
+    members = table_of(members)
+    found = set_pairs(sets, threshold).select("bucket", "a", "b")
+    weight = members.groupBy("bucket", "rep").agg(F.count("*").alias("n"))
+    ends = table_of(found.union(found.select("bucket", F.col("b"), F.col("a"))))
+    others = ends.join(weight.select("bucket", F.col("rep").alias("b"), "n"), ["bucket", "b"]).groupBy("bucket", F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
+    links = weight.join(others, ["bucket", "rep"], "left").select("bucket", "rep", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return members.join(links, ["bucket", "rep"]).select("bucket", "id", "rep", "n_links")
+
+
+def _close(table: pa.Table, threshold: float) -> pa.Table:
+    """Pairs of two blocks that reach the threshold."""
+    ids, lone = table.column("id").to_numpy(), table.column("low")[0] == table.column("high")[0]
+    a, b, sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for i, j, products in block_products(table):
+        r, c = np.nonzero(products >= threshold)
+        once = ids[i[r]] < ids[j[c]] if lone else ids[i[r]] != ids[j[c]]
+        r, c = r[once], c[once]
+        a, b, sim = np.minimum(ids[i[r]], ids[j[c]]), np.maximum(ids[i[r]], ids[j[c]]), products[r, c]
+    bucket = pa.array([table.column("bucket")[0].as_py()] * len(a), pa.string())
+    return pa.table({"bucket": bucket, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
 
 def cosine_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """Pairs (bucket, a, b, sim), a < b, of normalised vectors (bucket, id, vec) with cosine >= threshold.
 
-    Exact within a bucket; buckets are the L1 groups a library clusters in.
+    Exact within a bucket; buckets are the L1 groups a library clusters in. A
+    bucket is compared in blocks, so no task holds more than two of them.
     """
-    a = rows.select("bucket", F.col("id").alias("a"), F.col("vec").alias("va"))
-    b = rows.select("bucket", F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return a.join(b, "bucket").where("a < b").select("bucket", "a", "b", dot(F.col("va"), F.col("vb")).alias("sim")).where(F.col("sim") >= threshold)
+    own = rows.select(F.col("bucket").cast("string").alias("bucket"), "id", "vec").where(F.size("vec") > 0)
+    return by_block_pair(own, "bucket", _arrow(partial(_close, threshold=threshold)), "bucket string, a bigint, b bigint, sim double")
+
+
+def _arrow(f):
+    """A function of exactly one argument, as grouped maps ask for."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return f(table)
+
+    return run
+
+
+def _best_own(table: pa.Table) -> pa.Table:
+    """Each vector's best similarity to another vector of two blocks."""
+    ids = table.column("id").to_numpy()
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))]
+    for i, j, products in block_products(table):
+        products = np.where(ids[i][:, None] == ids[j][None, :], -np.inf, products)
+        out += [(ids[i], products.max(axis=1)), (ids[j], products.max(axis=0))]
+    found, best = (np.concatenate(x) for x in zip(*out))
+    seen = best > -np.inf
+    return pa.table({"id": pa.array(found[seen], pa.int64()), "best": pa.array(best[seen], pa.float64())})
 
 
 def nearest_member(rows: DataFrame) -> DataFrame:
-    """(id, nearest): each vector's best similarity to another of its group, null for a lone one."""
-    a = rows.select("group_key", "id", F.col("vec").alias("va"))
-    b = rows.select("group_key", F.col("id").alias("other"), F.col("vec").alias("vb"))
-    best = a.join(b, "group_key").where("id <> other").groupBy("id").agg(F.max(dot(F.col("va"), F.col("vb"))).alias("nearest"))
-    return rows.select("id", "group_key").join(best, "id", "left")
+    """(id, group_key, nearest): each vector's best similarity to another of its group, null for a lone one."""
+    best = by_block_pair(rows.select("group_key", "id", "vec").where(F.size("vec") > 0), "group_key", _best_own, "id bigint, best double")
+    nearest = best.groupBy("id").agg(F.max("best").alias("nearest"))
+    return rows.select("id", "group_key").join(nearest, "id", "left")
+
+
+def _best_by_group(table: pa.Table) -> pa.Table:
+    """Best similarity of each asking vector of one block to each group of the other block."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    x = np.array(table.column("vec").to_pylist(), np.float64)
+    i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
+    groups, group = np.unique(np.array(table.column("group_key").to_pylist(), object)[j], return_inverse=True)
+    ids, own = table.column("id").to_numpy()[i], np.array(table.column("group_key").to_pylist(), object)[i]
+    best = np.full((len(i), len(groups)), -np.inf)
+    if len(i) and len(j):
+        products = x[i] @ x[j].T
+        for g in range(len(groups)):
+            best[:, g] = products[:, group == g].max(axis=1)
+    r, g = np.nonzero(np.isfinite(best) & (own[:, None] != groups[None, :].astype(object)))
+    return pa.table({
+        "id": pa.array(ids[r], pa.int64()), "group_key": pa.array(own[r], pa.string()), "other_group": pa.array(groups[g], pa.string()),
+        "sim": pa.array(best[r, g], pa.float64()),
+    })
+
+
+def best_by_group(asking: DataFrame, rows: DataFrame, size: int = 1024) -> DataFrame:
+    """(id, group_key, other_group, sim): each asking vector's best similarity to every other group of ``rows``.
+
+    Both sides (id, group_key, vec) are cut into blocks; a task holds one block of each.
+    """
+    def cut_up(df: DataFrame, asks: bool) -> tuple[DataFrame, int]:
+        own = df.select("id", "group_key", "vec", F.size("vec").alias("_dims"), F.lit(asks).alias("asks")).where("_dims > 0")
+        return own, max(1, -(-own.count() // size))
+
+    (a, na), (b, nb) = cut_up(asking, True), cut_up(rows, False)
+    a = a.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(na))).withColumn("_b", F.explode(F.expr(f"sequence(0L, {nb - 1}L)")))
+    b = b.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(nb))).withColumn("_a", F.explode(F.expr(f"sequence(0L, {na - 1}L)")))
+    met = a.unionByName(b).groupBy("_dims", "_a", "_b").applyInArrow(_best_by_group, "id bigint, group_key string, other_group string, sim double")
+    return met.groupBy("id", "group_key", "other_group").agg(F.max("sim").alias("sim"))
 
 
-def outliers(rows: DataFrame, group_key: str, threshold: float = VISUAL_THRESHOLD) -> DataFrame:
-    """Members of a group (id, group_key, vec of one source) whose best similarity to other members is under the threshold.
+def outliers(rows: DataFrame, group_key: str | None = None, threshold: float = VISUAL_THRESHOLD) -> DataFrame:
+    """Members of a group (of every group without one) whose best similarity to other members is under the threshold.
 
-    Each with the other group that has its most similar vector, if that is over 0. Least similar first.
+    ``rows`` (id, group_key, vec) are of one source. Each outlier comes with
+    the other group that has its most similar vector, if that is over 0. Least
+    similar first.
     """
-    own = rows.where(F.col("group_key") == group_key)
-    near = nearest_member(own).where(F.col("nearest") < threshold).select("id", "nearest")
-    a = own.join(near, "id").select("id", F.col("vec").alias("va"))
-    b = rows.where(F.col("group_key") != group_key).select(F.col("group_key").alias("other_group"), F.col("vec").alias("vb"))
-    # a group's members (a screenful) against the rest of the source
-    by_group = a.join(b).groupBy("id", "other_group").agg(F.max(dot(F.col("va"), F.col("vb"))).alias("sim")).where("sim > 0")
-    best = by_group.groupBy("id").agg(F.max(F.struct("sim", F.col("other_group"))).alias("m")).select(
+    own = rows if group_key is None else rows.where(F.col("group_key") == group_key)
+    near = table_of(nearest_member(own).where(F.col("nearest") < threshold).select("id", "group_key", "nearest"))
+    asking = rows.join(near.select("id"), "id", "left_semi")
+    best = best_by_group(asking, rows).where("sim > 0").groupBy("id").agg(F.max(F.struct("sim", "other_group")).alias("m")).select(
         "id", F.col("m.other_group").alias("best_group"), F.col("m.sim").alias("best_sim")
     )
     return near.join(best, "id", "left").orderBy(F.asc("nearest"), F.asc("id"))
 
 
-def suggest_groups(selected: DataFrame, members: DataFrame, similarity) -> DataFrame:
-    """Other groups ranked for the selected rows: mean over the selected of the best similarity to a member.
+def suggest_groups(selected: DataFrame, members: DataFrame) -> DataFrame:
+    """Other groups ranked for the selected vectors of each group: mean over those of the best similarity to a member.
 
-    selected (id, group_key, x), members (group_key, id, x); ``similarity`` is a function of two columns.
+    selected and members (group_key, id, vec); rows (group_key, other_group, score, count).
     """
-    s = selected.select(F.col("id").alias("sid"), F.col("x").alias("sx"))
-    own = selected.select("group_key").distinct()
-    others = members.join(own, "group_key", "left_anti")
-    best = s.join(others).groupBy("group_key", "sid").agg(F.max(similarity(F.col("sx"), F.col("x"))).alias("best"))
-    sizes = others.groupBy("group_key").agg(F.count("*").alias("count"))
-    return best.groupBy("group_key").agg(F.avg("best").alias("score")).join(sizes, "group_key").orderBy(
-        F.desc("score"), F.desc("count"), F.asc("group_key")
-    )
+    best = best_by_group(selected, members)
+    sizes = members.groupBy(F.col("group_key").alias("other_group")).agg(F.count("*").alias("count"))
+    return best.groupBy("group_key", "other_group").agg(F.avg("sim").alias("score")).join(sizes, "other_group").select(
+        "group_key", "other_group", "score", "count"
+    ).orderBy("group_key", F.desc("score"), F.desc("count"), "other_group")
+
+
+def suggest_by_tokens(selected: DataFrame, members: DataFrame) -> DataFrame:
+    """The same by token sets (group_key, id, tokens), where there are no vectors: the mean of the best Jaccard similarity.
+
+    Only rows that share a token meet; a group none of whose members shares one counts as 0.
+    """
+    s = selected.select("group_key", F.col("id").alias("sid"), F.array_distinct("tokens").alias("st"))
+    m = members.select(F.col("group_key").alias("other_group"), F.array_distinct("tokens").alias("mt")).distinct().withColumn("mid", F.xxhash64("other_group", "mt"))
+    left = s.select("group_key", "sid", F.size("st").alias("ns"), F.explode("st").alias("token"))
+    right = m.select("other_group", "mid", F.size("mt").alias("nm"), F.explode("mt").alias("token"))
+    shared = left.join(right, "token").where("group_key <> other_group").groupBy("group_key", "sid", "other_group", "mid", "ns", "nm").agg(F.count("*").alias("both"))
+    best = shared.withColumn("sim", F.col("both") / (F.col("ns") + F.col("nm") - F.col("both"))).groupBy("group_key", "sid", "other_group").agg(F.max("sim").alias("sim"))
+    asked = selected.groupBy("group_key").agg(F.count_distinct("id").alias("asked"))
+    sizes = members.groupBy(F.col("group_key").alias("other_group")).agg(F.count("*").alias("count"))
+    return best.groupBy("group_key", "other_group").agg(F.sum("sim").alias("total")).join(asked, "group_key").join(sizes, "other_group").select(
+        "group_key", "other_group", (F.col("total") / F.col("asked")).alias("score"), "count"
+    ).orderBy("group_key", F.desc("score"), F.desc("count"), "other_group")

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, scores, text
-from tessera.functions.vectors import cosine
 from tessera.operators import clustering, graphs, groups, identity, ranking, recommend, reconcile, review, similarity
 from tessera.plans import bindings as b
 
@@ -169,10 +168,11 @@ def p6(spark, sf_dir):
     return b.images(spark, sf_dir).select("id", groups.has_lora("a").alias("has_a"), groups.without_lora().alias("none"))
 
 
-@register("p12_can_move", f"""WITH {b.IMAGES_SQL} SELECT count(DISTINCT source_id) = 1 AS one_source, count(*) FILTER (WHERE group_key_l2 = 'en-0') = 0 AS none_inside,
-(SELECT coalesce(bool_or(group_key_l2 = 'en-0'), false) FROM images) AS target_exists FROM images WHERE id IN (1, 2, 3)""")
+@register("p12_can_move", f"""WITH {b.IMAGES_SQL} SELECT group_key_l3 AS selection, count(DISTINCT source_id) = 1 AS one_source, count(*) FILTER (WHERE group_key_l2 = 'en-0') = 0 AS none_inside,
+(SELECT coalesce(bool_or(group_key_l2 = 'en-0'), false) FROM images) AS target_exists FROM images GROUP BY 1""")
 def p12(spark, sf_dir):
-    return groups.can_move(b.images(spark, sf_dir), [1, 2, 3], "en-0")
+    images = b.images(spark, sf_dir)
+    return groups.can_move(images, images.select(F.col("group_key_l3").alias("selection"), "id"), "en-0")
 
 
 @register("j5_image_rows", f"""WITH {b.IMAGES_SQL}, {b.SCORES_SQL} SELECT id, concat('/lib/', group_key_l0) AS source_path, concat('t', workflow_template_id) AS template_name,
@@ -316,6 +316,13 @@ def j11(spark, sf_dir):
     return similarity.cosine_pairs(b.vectors(spark, sf_dir), 0.3).withColumn("sim", F.round("sim", 5))
 
 
+@register("j10_jaccard_links", f"""WITH {_TOKENS}, links AS (SELECT a AS id, b FROM pairs UNION ALL SELECT b, a FROM pairs), n AS (SELECT id, count(*) AS n FROM links GROUP BY 1),
+r AS (SELECT bucket, list_sort(t) AS t, min(id) AS rep FROM tok GROUP BY 1, 2)
+SELECT tok.bucket, tok.id, rep, coalesce(n, 0)::BIGINT AS n_links FROM tok JOIN r ON tok.bucket = r.bucket AND list_sort(tok.t) = r.t LEFT JOIN n ON tok.id = n.id""")
+def j10_links(spark, sf_dir):
+    return similarity.jaccard_links(_bucketed(spark, sf_dir), 0.3)
+
+
 @register("g7_average_linkage")
 def g7(spark, sf_dir):
     return clustering.average_linkage(b.vectors(spark, sf_dir), 0.25)
@@ -328,24 +335,31 @@ def a9(spark, sf_dir):
     return similarity.nearest_member(rows).withColumn("nearest", F.round("nearest", 5))
 
 
-@register("g20_outliers", f"""WITH near AS (SELECT a.vec_id AS id, max({_DOT}) AS nearest FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-WHERE a.label = 3 GROUP BY 1 HAVING max({_DOT}) < 0.3),
-o AS (SELECT a.vec_id AS id, b.label::VARCHAR AS g, max({_DOT}) AS sim FROM embeddings a, embeddings b WHERE a.label = 3 AND b.label <> 3 GROUP BY 1, 2 HAVING max({_DOT}) > 0),
+@register("g20_outliers", f"""WITH near AS (SELECT a.vec_id AS id, a.label::VARCHAR AS group_key, max({_DOT}) AS nearest FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+GROUP BY 1, 2 HAVING max({_DOT}) < 0.3),
+o AS (SELECT a.vec_id AS id, b.label::VARCHAR AS g, max({_DOT}) AS sim FROM embeddings a, embeddings b WHERE a.label <> b.label GROUP BY 1, 2 HAVING max({_DOT}) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, g DESC) AS rn FROM o)
-SELECT near.id, round(nearest, 5) AS nearest, g AS best_group, round(sim, 5) AS best_sim FROM near LEFT JOIN r ON near.id = r.id AND rn = 1""")
+SELECT near.id, group_key, round(nearest, 5) AS nearest, g AS best_group, round(sim, 5) AS best_sim FROM near LEFT JOIN r ON near.id = r.id AND rn = 1""")
 def g20(spark, sf_dir):
     rows = b.vectors(spark, sf_dir).withColumnRenamed("bucket", "group_key")
-    return similarity.outliers(rows, "3", 0.3).withColumn("nearest", F.round("nearest", 5)).withColumn("best_sim", F.round("best_sim", 5))
+    return similarity.outliers(rows, threshold=0.3).withColumn("nearest", F.round("nearest", 5)).withColumn("best_sim", F.round("best_sim", 5))
 
 
-@register("g21_suggest_groups", f"""WITH best AS (SELECT b.label, a.vec_id, max({_DOT}) AS best FROM embeddings a, embeddings b WHERE a.vec_id < 5 AND a.label = (SELECT label FROM embeddings WHERE vec_id = 0)
-AND b.label <> a.label GROUP BY 1, 2)
-SELECT label::VARCHAR AS group_key, round(avg(best), 5) AS score, (SELECT count(*) FROM embeddings e WHERE e.label = best.label) AS "count" FROM best GROUP BY label""")
+@register("g21_suggest_groups", f"""WITH best AS (SELECT a.label AS own, b.label, a.vec_id, max({_DOT}) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label <> a.label GROUP BY 1, 2, 3)
+SELECT own::VARCHAR AS group_key, label::VARCHAR AS other_group, round(avg(best), 5) AS score, (SELECT count(*) FROM embeddings e WHERE e.label = best.label) AS "count" FROM best GROUP BY own, label""")
 def g21(spark, sf_dir):
-    rows = b.vectors(spark, sf_dir).select(F.col("bucket").alias("group_key"), "id", F.col("vec").alias("x"))
-    first = rows.where("id = 0").select("group_key")
-    picked = rows.where("id < 5").join(first, "group_key", "left_semi")
-    return similarity.suggest_groups(picked, rows, cosine).withColumn("score", F.round("score", 5))
+    rows = b.vectors(spark, sf_dir).withColumnRenamed("bucket", "group_key")
+    return similarity.suggest_groups(rows.where("id % 50 = 0"), rows).withColumn("score", F.round("score", 5))
+
+
+@register("g21_suggest_by_tokens", """WITH t AS (SELECT s_suppkey AS id, s_nationkey::VARCHAR AS g, list_distinct(list_filter(regexp_split_to_array(lower(concat(s_name, ' n', s_nationkey % 5, ' a', s_suppkey % 7)), '[,\\s]+'), lambda x: x <> '')) AS w FROM supplier),
+best AS (SELECT a.g, b.g AS o, a.id, max(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))) AS best FROM t a, t b WHERE a.id % 50 = 0 AND a.g <> b.g GROUP BY 1, 2, 3 HAVING best > 0),
+asked AS (SELECT g, count(*) AS n FROM t WHERE id % 50 = 0 GROUP BY 1)
+SELECT best.g AS group_key, o AS other_group, round(sum(best) / any_value(asked.n), 6) AS score, (SELECT count(*) FROM t WHERE t.g = o) AS "count" FROM best JOIN asked ON best.g = asked.g GROUP BY best.g, o""")
+def g21_tokens(spark, sf_dir):
+    words = F.concat("s_name", F.lit(" n"), (F.col("s_nationkey") % 5).cast("string"), F.lit(" a"), (F.col("s_suppkey") % 7).cast("string"))
+    rows = b.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("group_key"), F.col("s_suppkey").alias("id"), text.token_set(words).alias("tokens"))
+    return similarity.suggest_by_tokens(rows.where("id % 50 = 0"), rows).withColumn("score", F.round("score", 6))
 
 
 _MATCH = f"""{b.IDENTITY_SQL}, keyed AS (SELECT id, side, 1 AS tier, 'content_key' AS basis, content_key AS k FROM files
@@ -390,6 +404,20 @@ def j15(spark, sf_dir):
 # --- review, ranking
 
 
+def _browse(order: str, by: str) -> None:
+    @register(f"o4_browse_{order}", f"WITH {b.IMAGES_SQL}, {b.SCORES_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY {by}seed, filename, id) AS rn FROM images LEFT JOIN scores ON id = image_id) SELECT id, rn AS place FROM r")
+    def query(spark, sf_dir, order=order):
+        scored = b.images(spark, sf_dir).join(b.scores(spark, sf_dir).withColumnsRenamed({"image_id": "id", "internal_score": "score"}), "id", "left")
+        return ranking.places(scored, order).select("id", "place")
+
+
+for _order, _by in {
+    "score_desc": "coalesce(internal_score, 50) DESC, ", "score_asc": "coalesce(internal_score, 50), ", "seed": "", "size_desc": "size DESC, ", "size_asc": "size, ",
+    "mtime_desc": "modified_at DESC, ", "mtime_asc": "modified_at, ",
+}.items():
+    _browse(_order, _by)
+
+
 @register("r1_swipe_scores", """WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 10.0 WHEN 'click' THEN 5.0 WHEN 'error' THEN -10.0 WHEN 'view' THEN 0.0 END AS d FROM events)
 SELECT user_id AS image_id, list_reduce(list_prepend(50.0::DOUBLE, list(d::DOUBLE ORDER BY ts, event_id)), lambda x, y: greatest(0, least(100, x + y))) AS score
 FROM e WHERE d IS NOT NULL GROUP BY 1""")
@@ -432,8 +460,7 @@ def k5(spark, sf_dir):
 @register("o4_browse_natural", f"WITH {b.IMAGES_SQL}, r AS (SELECT id, row_number() OVER (ORDER BY id % 997, seed, filename, id) AS rn FROM images) SELECT id, rn AS place FROM r")
 def o4(spark, sf_dir):
     rows = b.images(spark, sf_dir).withColumn("score", F.lit(None).cast("double"))
-    order = W.orderBy(*ranking.sort_orders()["filename"])
-    return rows.select("id", F.row_number().over(order).cast("bigint").alias("place"))
+    return ranking.places(rows, "filename").select("id", "place")
 
 
 @register("o10_top_half", f"""WITH {b.IMAGES_SQL}, {b.SCORES_SQL}, s AS (SELECT id, group_key_l2, internal_score, count(*) OVER (PARTITION BY group_key_l2) AS total FROM images LEFT JOIN scores ON id = image_id WHERE NOT hidden),
@@ -447,15 +474,30 @@ def o10(spark, sf_dir):
 @register("o11_neighbours", f"""WITH {b.IMAGES_SQL}, g AS (SELECT group_key_l2 AS group_key, count(*) AS c FROM images WHERE NOT hidden GROUP BY 1)
 SELECT group_key, row_number() OVER o AS position, count(*) OVER () AS total, lag(group_key) OVER o AS previous, lead(group_key) OVER o AS "next" FROM g WINDOW o AS (ORDER BY c DESC, group_key)""")
 def o11(spark, sf_dir):
-    return ranking.neighbours(groups.list_groups(b.images(spark, sf_dir), 2)).withColumn("position", F.col("position").cast("bigint"))
+    return ranking.neighbours(groups.list_groups(b.images(spark, sf_dir), 2))
 
 
-@register("w1_arena_pairs", """WITH s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 17 % 101)::DOUBLE END AS score, (s_suppkey % 11) / 10.0 AS st FROM supplier)
-SELECT x.id AS a, y.id AS b, round((CASE WHEN abs(coalesce(x.score, 50) - coalesce(y.score, 50)) < 5 THEN 1.0 WHEN abs(coalesce(x.score, 50) - coalesce(y.score, 50)) < 10 THEN 0.5
+_W1 = """WITH s AS (SELECT s_suppkey AS id, s_nationkey::VARCHAR AS g, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey * 17 % 101)::DOUBLE END AS score, (s_suppkey % 11) / 10.0 AS st FROM supplier)
+SELECT {g}x.id AS a, y.id AS b, round((CASE WHEN abs(coalesce(x.score, 50) - coalesce(y.score, 50)) < 5 THEN 1.0 WHEN abs(coalesce(x.score, 50) - coalesce(y.score, 50)) < 10 THEN 0.5
 WHEN abs(coalesce(x.score, 50) - coalesce(y.score, 50)) < 25 THEN 0.2 ELSE 0.08 END)::DOUBLE * (CASE WHEN x.score IS NULL OR y.score IS NULL THEN 3.0 ELSE 1.0 END)::DOUBLE
-* (0.6 + x.st)::DOUBLE * (0.6 + y.st)::DOUBLE, 6) AS weight FROM s x JOIN s y ON x.id < y.id""")
+* {r}(0.6 + x.st)::DOUBLE * (0.6 + y.st)::DOUBLE, 6) AS weight FROM s x JOIN s y ON x.id < y.id{j}"""
+
+
+def _arena_rows(spark, sf_dir):
+    return b.table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("group_key"), F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 != 0, (F.col("s_suppkey") * 17 % 101).cast("double")).alias("score"),
+        ((F.col("s_suppkey") % 11) / 10.0).alias("staleness"),
+    )
+
+
+@register("w1_arena_pairs", _W1.format(g="", r="", j=""))
 def w1(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 != 0, (F.col("s_suppkey") * 17 % 101).cast("double")).alias("score"), ((F.col("s_suppkey") % 11) / 10.0).alias("staleness")
-    )
-    return ranking.arena_pairs(rows).withColumn("weight", F.round("weight", 6))
+    rows = _arena_rows(spark, sf_dir).withColumn("group_key", F.lit("all"))
+    return ranking.arena_pairs(rows).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+@register("w2_recent_pairs", _W1.format(g="x.g AS group_key, ", r="(CASE WHEN (x.id + y.id) % 3 = 0 THEN 0.15 ELSE 1.0 END)::DOUBLE * ", j=" AND x.g = y.g"))
+def w2(spark, sf_dir):
+    rows = _arena_rows(spark, sf_dir)
+    pairs = rows.select("group_key", F.col("id").alias("b")).join(rows.select("group_key", F.col("id").alias("a")), "group_key").where("b < a and (a + b) % 3 = 0")
+    return ranking.arena_pairs(rows, pairs).withColumn("weight", F.round("weight", 6))

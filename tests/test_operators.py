@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import token_set
 from tessera.operators import clustering, export, graphs, groups, identity, ranking, recommend, reconcile, review, similarity
+from tessera.operators.blocks import in_blocks, numbered
 
 
 def rows(df):
@@ -90,15 +91,35 @@ def naive_average(v, t):
     return {frozenset(m) for m in members}
 
 
-def test_average_clusters_match_the_definition():
+def test_average_linkage_matches_the_definition(spark):
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(25, 5))
+    v = rng.normal(size=(40, 5)).astype(np.float32)
+    v[30:34] = v[3]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([("x" if i < 35 else "y", i, x.tolist()) for i, x in enumerate(v)], "bucket string, id bigint, vec array<float>")
     for t in (0.2, 0.5, 0.9):
         got = defaultdict(set)
-        for i, c in enumerate(clustering.average_clusters(v, t)):
-            got[c].add(i)
-        assert {frozenset(g) for g in got.values()} == naive_average(v, t)
+        for r in clustering.average_linkage(df, t).collect():
+            got[r.cluster].add(r.id)
+        assert all(k == min(g) for k, g in got.items())
+        want = naive_average(v[:35].astype(float), t) | {frozenset(i + 35 for i in g) for g in naive_average(v[35:].astype(float), t)}
+        assert {frozenset(g) for g in got.values()} == want
+
+
+def test_blocks_meet_once(spark):
+    rows_ = spark.createDataFrame([("k" if i % 4 else "l", i) for i in range(200)], "bucket string, id bigint")
+    placed = in_blocks(rows_, "bucket", "id", size=16)
+    a = placed.where("side = low").select("bucket", "low", "high", F.col("id").alias("a"))
+    b = placed.where("side = high").select("bucket", "low", "high", F.col("id").alias("b"))
+    met = [tuple(sorted((r.a, r.b))) for r in a.join(b, ["bucket", "low", "high"]).where("a <> b and (low < high or a < b)").collect()]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if (i % 4 == 0) == (j % 4 == 0)}
+    assert len(met) == len(want) and set(met) == want
+
+
+def test_numbered_rows_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)], "x bigint, id bigint")
+    assert [r.position for r in numbered(df, [F.desc("x")]).orderBy(F.desc("x")).collect()] == list(range(1, 102))
+    assert numbered(df.limit(0), [F.desc("x")]).count() == 0
 
 
 def test_merge_then_unmerge(spark):
@@ -215,4 +236,4 @@ def test_drawn_pairs_follow_the_weights(spark):
 
 def test_outliers_of_a_group(spark):
     df = spark.createDataFrame([(1, "g", [1.0, 0.0]), (2, "g", [1.0, 0.0]), (3, "g", [0.0, 1.0]), (4, "h", [0.0, 1.0])], "id bigint, group_key string, vec array<float>")
-    assert rows(similarity.outliers(df, "g", 0.75)) == [(3, 0.0, "h", 1.0)]
+    assert rows(similarity.outliers(df, "g", 0.75)) == [(3, "g", 0.0, "h", 1.0)]
