@@ -1,22 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling (operator 8), native.
 
 Each source's documents, in the order of a hash of doc_id, are dealt into
-blocks. Block i of a source with weight w is released at slot floor((i-1)/w)
-and due at slot ceil(i/w); one block runs in a slot, of those released the one
-with the earliest deadline. At every slot each source that still has blocks is
-within one block of its target; when a source runs out its slots stay empty
-and the others keep their places.
+blocks. Block i (from 0) of a source with weight w is released at slot
+floor(i/w) and due at slot ceil((i+1)/w); one block runs in a slot, of those
+released the one with the earliest deadline. At every slot each source that
+still has blocks is within one block of its target; when a source runs out its
+slots stay empty and the others keep their places.
 
 Weights are whole numbers: as given where they are whole in millionths, else
 rounded to ``FINE``-ths, which moves a target by slots / FINE blocks. The slots
 are swept in ranges, one row a range: a range starts from a guess of what each
 source has run, and is swept again from what the range before it ended with
-until that no longer changes, so the result is that of one sweep.
-
-With ``period`` the weights are rounded to ``period``-ths (largest remainders,
-one slot at least) and the schedule repeats after ``period`` slots. A source is
-then within one block of its rounded target only; its distance from the true
-one grows with the slots. The SQL of operator 8 defines its result this way.
+until that no longer changes, so the result is that of one sweep. A range knows
+where its first blocks are released (in decimals) and counts on from there in
+whole numbers, so the number of slots has no bound. A slot looks at every
+source: the work is slots times sources, spread over the ranges.
 
 Everything is DataFrame functions: no Python runs on the rows. A document's
 number within its source comes from a two-level count over hash parts, so a
@@ -37,8 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 
-PERIOD = 360
-#: Weights that are not whole are rounded to so many parts; parts times the blocks of a source stay under 2**63.
+#: Weights that are not whole are rounded to so many parts.
 FINE = 2**36
 #: Slots that a row sweeps.
 RANGE = 4096
@@ -62,49 +59,6 @@ def _targets(counts: DataFrame, weights: dict[str, float] | None, temper: float)
     return counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name"))).select("source", "n", "w")
 
 
-def shares(counts: DataFrame, weights: dict[str, float] | None, period: int, temper: float) -> DataFrame:
-    """Slots of each source in one period: (source, slots), summing to ``period`` or the number of sources."""
-    target = _targets(counts, weights, temper).select("source", "w")
-    everyone = W.partitionBy()
-    exact = target.withColumn("share", F.col("w") * F.lit(period) / F.sum("w").over(everyone)).withColumn(
-        "low", F.greatest(F.floor("share"), F.lit(1).cast("long"))
-    )
-    spare = exact.withColumn("spare", F.lit(period) - F.sum("low").over(everyone)).withColumn(
-        "rank", F.row_number().over(W.orderBy(F.desc(F.col("share") - F.col("low")), F.col("source").asc_nulls_first()))
-    )
-    return spare.select("source", (F.col("low") + (F.col("rank") <= F.col("spare")).cast("long")).alias("slots"))
-
-
-def schedule(slots: DataFrame) -> DataFrame:
-    """One period by earliest deadline first: (source, turn, slot, period); turns of a source count from 0."""
-    row = slots.agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), "source", "slots"))).alias("s"),
-        F.sum("slots").alias("period"),
-    ).where("period > 0")
-    # state: blocks each source has run; log: the source's index in each slot.
-    # The next block of source k is released at floor(run*period/slots) and due at ceil((run+1)*period/slots).
-    edf = """
-      aggregate(sequence(0L, period - 1),
-        named_struct('run', transform(s, x -> 0L), 'log', cast(array() as array<int>), 'pick', 0),
-        (a, t) -> aggregate(array(
-            array_min(transform(sequence(0, size(s) - 1), k -> named_struct(
-              'late', floor(a.run[k] * period / s[k].slots) > t OR a.run[k] >= s[k].slots,
-              'due', ceil((a.run[k] + 1) * period / s[k].slots),
-              'k', k))).k),
-          a,
-          (b, k) -> named_struct(
-            'run', transform(b.run, (r, j) -> r + if(j = k, 1L, 0L)),
-            'log', concat(b.log, array(k)),
-            'pick', k)),
-        a -> a.log)"""
-    log = row.select("s", "period", F.expr(edf).alias("log"))
-    placed = log.select("s", "period", F.posexplode("log").alias("slot", "k")).select(
-        F.expr("s[k].source").alias("source"), F.col("slot").cast("long").alias("slot"), "period"
-    )
-    turn = F.row_number().over(W.partitionBy("source").orderBy("slot")).cast("long") - 1
-    return placed.withColumn("turn", turn)
-
-
 def parts(counts: DataFrame, weights: dict[str, float] | None, temper: float) -> DataFrame:
     """Whole weights of each source: (source, n, slots)."""
     everyone = W.partitionBy()
@@ -120,35 +74,40 @@ def sweep(sources: DataFrame, block: int, length: int = RANGE) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), "source", "slots", "n"))).alias("s"),
         F.sum("slots").alias("period"),
     ).where("period > 0")
+    # in decimals: the parts before block x of a source, and the first slot at or after them
+    before = "cast(cast({x} as decimal(20, 0)) * cast(period as decimal(18, 0)) as decimal(38, 0))"
     # the last block of each source has run when it is due
-    last = f"array_max(transform(s, x -> (((x.n + {block - 1}) div {block}) * period + x.slots - 1) div x.slots))"
+    last = f"array_max(transform(s, x -> ({before.format(x=f'((x.n + {block - 1}) div {block})')} + x.slots - 1) div x.slots))"
     ranges = row.withColumn("last", F.expr(last)).withColumn("range", F.explode(F.expr(f"sequence(0L, (last - 1) div {length})")))
     # The guess: all that is due by then, and of what is released by then the earliest due, as many as slots are left over.
-    guess = f"""
-      transform(s, x -> (range * {length}L * x.slots) div period)"""
+    guess = f"transform(s, x -> cast(cast(range * {length}L as decimal(20, 0)) * cast(x.slots as decimal(18, 0)) as decimal(38, 0)) div period)"
     over = ranges.withColumn("low", F.expr(guess)).withColumn("spare", F.expr(f"range * {length}L - aggregate(low, 0L, (a, x) -> a + x)"))
-    due = """
-      slice(array_sort(transform(filter(sequence(0, size(s) - 1), k -> low[k] * period < range * {length}L * s[k].slots),
-        k -> struct(((low[k] + 1) * period + s[k].slots - 1) div s[k].slots AS due, k AS k))), 1, cast(spare as int)).k""".replace("{length}", str(length))
+    due = f"""
+      slice(array_sort(transform(filter(sequence(0, size(s) - 1), k -> {before.format(x='low[k]')} < cast(range * {length}L as decimal(20, 0)) * s[k].slots),
+        k -> struct(({before.format(x='(low[k] + 1)')} + s[k].slots - 1) div s[k].slots AS due, k AS k))), 1, cast(spare as int)).k"""
     start = over.withColumn("first", F.expr(due)).withColumn(
         "run", F.expr("transform(low, (x, j) -> x + if(array_contains(first, j), 1L, 0L))")
     ).select("range", "last", "s", "period", "run")
+    # c[k]: the source's parts, the slot (counted from the range's start) in which its next block is released, and the parts past that slot
+    first_of = f"""
+      transform(run, (x, k) -> struct(s[k].slots AS w, {before.format(x='x')} div s[k].slots - range * {length}L AS at, cast({before.format(x='x')} % s[k].slots as bigint) AS past))"""
     edf = f"""
-      aggregate(sequence(range * {length}L, least((range + 1) * {length}L, last) - 1),
-        named_struct('run', run, 'log', cast(array() as array<int>)),
+      aggregate(sequence(0L, least({length}L, last - range * {length}L) - 1),
+        named_struct('ran', transform(c, x -> 0L), 'log', cast(array() as array<int>)),
         (a, t) -> aggregate(array(
-            array_min(transform(sequence(0, size(s) - 1), k -> named_struct(
-              'late', (a.run[k] * period) div s[k].slots > t,
-              'due', ((a.run[k] + 1) * period + s[k].slots - 1) div s[k].slots,
+            array_min(transform(sequence(0, size(c) - 1), k -> named_struct(
+              'late', c[k].at + (c[k].past + a.ran[k] * period) div c[k].w > t,
+              'due', c[k].at + (c[k].past + (a.ran[k] + 1) * period + c[k].w - 1) div c[k].w,
               'k', k))).k),
           a,
           (b, k) -> named_struct(
-            'run', transform(b.run, (r, j) -> r + if(j = k, 1L, 0L)),
+            'ran', transform(b.ran, (r, j) -> r + if(j = k, 1L, 0L)),
             'log', concat(b.log, array(k)))))"""
 
     def swept(df: DataFrame) -> DataFrame:
         spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "range")
-        return spread.withColumn("_done", F.expr(edf)).select("range", "last", "s", "period", "run", F.col("_done.run").alias("end"), F.col("_done.log").alias("log"))
+        ran = spread.withColumn("c", F.expr(first_of)).withColumn("_done", F.expr(edf)).withColumn("end", F.expr("transform(run, (x, k) -> x + _done.ran[k])"))
+        return ran.select("range", "last", "s", "period", "run", "end", F.col("_done.log").alias("log"))
 
     done = cut(swept(start), "sweep")
     while True:
@@ -168,16 +127,10 @@ def sweep(sources: DataFrame, block: int, length: int = RANGE) -> DataFrame:
     return placed.where(F.col("block") * block < F.col("n")).drop("n")
 
 
-def mix(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    period: int | None = None,
-    block: int = BLOCK,
-    temper: float = TEMPER,
-) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, temper: float = TEMPER) -> DataFrame:
     """Every row as (doc_id, source, block, slot, position): read in the order of ``position``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    return _placed(rows, weights, period, block, temper).select("doc_id", "source", "block", "slot", "position")
+    return _placed(rows, weights, block, temper).select("doc_id", "source", "block", "slot", "position")
 
 
 def _numbered(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,10 +146,8 @@ def _numbered(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return before, found.groupBy("source").agg(F.sum("n").alias("n"))
 
 
-def _placed(rows: DataFrame, weights: dict[str, float] | None, period: int | None, block: int, temper: float) -> DataFrame:
+def _placed(rows: DataFrame, weights: dict[str, float] | None, block: int, temper: float) -> DataFrame:
     keyed = rows.withColumn("_h", _order()).withColumn("_part", F.substring("_h", 1, PART_DIGITS))
-    if period is not None:
-        return _repeated(keyed, weights, period, block, temper)
     # Rows of one source and doc_id share a key; the keys alone are numbered and joined to the schedule.
     keyed = keyed.withColumn("_key", F.concat(F.when(F.col("source").isNull(), "0").otherwise("1"), F.coalesce("source", F.lit(""))))
     keys = keyed.select("source", "_key", "_h", "_part")
@@ -216,33 +167,12 @@ def _placed(rows: DataFrame, weights: dict[str, float] | None, period: int | Non
     )
 
 
-def _repeated(keyed: DataFrame, weights: dict[str, float] | None, period: int, block: int, temper: float) -> DataFrame:
-    before, counts = _numbered(keyed)
-    plan = cut(schedule(shares(counts, weights, period, temper)), "schedule")
-    sizes = plan.groupBy("source").agg(F.count("*").alias("_slots"), F.min("period").alias("_period")).withColumnRenamed("source", "_ws")
-    turns = plan.select(F.col("source").alias("_ts"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("source", "_part").orderBy("_h", "doc_id")) - 1)
-    numbered = ranked.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn(
-        "_i", F.col("_rank") + F.col("_before")
-    )
-    # the schedule has at most max(period, number of sources) rows
-    timed = numbered.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("_ws")), "left").withColumn(
-        "block", F.floor(F.col("_i") / block)
-    )
-    slotted = timed.join(
-        F.broadcast(turns),
-        F.col("source").eqNullSafe(F.col("_ts")) & (F.col("block") % F.col("_slots") == F.col("_turn")) & F.col("_slots").isNotNull(),
-        "left",
-    ).withColumn("slot", F.floor(F.col("block") / F.col("_slots")) * F.col("_period") + F.col("_slot"))
-    return slotted.withColumn("position", F.col("slot") * block + F.col("_i") % block)
-
-
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, written in mixed order: range-sorted by position."""
     columns = docs.columns
     renamed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.struct(*columns).alias("_row")
     )
-    settings = {"weights": None, "period": None, "block": BLOCK, "temper": TEMPER} | options
+    settings = {"weights": None, "block": BLOCK, "temper": TEMPER} | options
     placed = _placed(renamed, **settings)
     return placed.select("position", "_row").orderBy(F.asc_nulls_last("position")).select(*(F.col("_row")[c].alias(c) for c in columns))

@@ -28,20 +28,19 @@ links AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN links ON vec_id = links.a LEFT JOIN comp ON vec_id = node"""
 
-MIXING = f"""WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
-share AS (SELECT source, sqrt(n) * {mixing.PERIOD} / sum(sqrt(n)) OVER () AS share FROM counts),
-low AS (SELECT source, share, greatest(floor(share)::BIGINT, 1) AS low FROM share),
-spare AS (SELECT source, low, {mixing.PERIOD} - sum(low) OVER () AS spare, row_number() OVER (ORDER BY share - low DESC, source) AS r FROM low),
-slots AS (SELECT source, (low + CASE WHEN r <= spare THEN 1 ELSE 0 END)::BIGINT AS slots FROM spare),
-numbered AS (SELECT source, slots, row_number() OVER (ORDER BY source) AS k, sum(slots) OVER ()::BIGINT AS period FROM slots),
-start AS (SELECT list(slots ORDER BY k) AS sl, any_value(period) AS period FROM numbered),
-edf AS (SELECT 0::BIGINT AS t, list_transform(sl, lambda x: 0::BIGINT) AS run, 0::BIGINT AS pick, sl, period FROM start
+#: One slot after another over all slots, from each source's own weight in 2**36ths (or as it is where all are whole in millionths).
+MIXING = f"""WITH RECURSIVE counts AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY 1),
+whole AS (SELECT max(abs(w * 1000000 - round(w * 1000000)) / w) <= 1e-8 AND sum(round(w * 1000000)) <= 68719476736 AS whole, sum(w) AS total FROM counts),
+parts AS (SELECT source, n, (CASE WHEN whole THEN round(w * 1000000) ELSE greatest(round(w * 68719476736 / total), 1) END)::HUGEINT AS parts FROM counts, whole),
+listed AS (SELECT list(parts ORDER BY source) AS ps, sum(parts)::HUGEINT AS period,
+  max((((n + {mixing.BLOCK - 1}) // {mixing.BLOCK}) * (SELECT sum(parts) FROM parts)::HUGEINT + parts - 1) // parts) AS slots FROM parts),
+edf AS (SELECT 0::BIGINT AS t, list_transform(ps, lambda x: 0::HUGEINT) AS run, 0::BIGINT AS pick, ps, period, slots FROM listed
   UNION ALL
-  SELECT t + 1, list_transform(run, lambda r, i: r + CASE WHEN i = p THEN 1 ELSE 0 END), p, sl, period FROM (
-    SELECT t, run, sl, period, list_sort(list_transform(range(1, len(sl) + 1), lambda k: {{'late': floor(run[k] * period / sl[k]) > t OR run[k] >= sl[k],
-      'due': ceil((run[k] + 1) * period / sl[k]), 'k': k}}))[1].k AS p FROM edf WHERE t < period)),
-turns AS (SELECT source, slots, edf.period AS period, t - 1 AS slot, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS turn FROM edf JOIN numbered ON k = pick WHERE t > 0),
+  SELECT t + 1, list_transform(run, lambda r, i: r + CASE WHEN i = p THEN 1 ELSE 0 END), p, ps, period, slots FROM (
+    SELECT t, run, ps, period, slots, list_sort(list_transform(range(1, len(ps) + 1), lambda k: {{'late': (run[k] * period) // ps[k] > t,
+      'due': ((run[k] + 1) * period + ps[k] - 1) // ps[k], 'k': k}}))[1].k AS p FROM edf WHERE t < slots)),
+numbered AS (SELECT source, row_number() OVER (ORDER BY source) AS k FROM parts),
+turns AS (SELECT source, t - 1 AS slot, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS turn FROM edf JOIN numbered ON k = pick WHERE t > 0),
 docs AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS i FROM documents)
-SELECT doc_id, d.source, i // {mixing.BLOCK} AS block, (i // {mixing.BLOCK} // slots) * t.period + slot AS slot,
-  ((i // {mixing.BLOCK} // slots) * t.period + slot) * {mixing.BLOCK} + i % {mixing.BLOCK} AS position
-FROM docs d JOIN turns t ON d.source = t.source AND (i // {mixing.BLOCK}) % slots = turn"""
+SELECT doc_id, d.source, i // {mixing.BLOCK} AS block, slot, slot * {mixing.BLOCK} + i % {mixing.BLOCK} AS position
+FROM docs d JOIN turns t ON d.source = t.source AND i // {mixing.BLOCK} = turn"""

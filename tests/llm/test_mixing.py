@@ -26,13 +26,13 @@ def check_deviation(found, weights, block):
 def test_each_source_is_within_one_block(documents):
     weights = {"a": 180, "b": 90, "c": 60, "d": 29, "e": 1}
     docs = documents(rows_of({"a": 700, "b": 300, "c": 200, "d": 90, "e": 3}))
-    found = mix(docs, weights=weights, period=360, block=2).collect()
+    found = mix(docs, weights=weights, block=2).collect()
     assert len(found) == 1293 and len({r.position for r in found}) == 1293
     check_deviation(found, weights, 2)
 
 
 def test_default_targets_and_ties(documents):
-    found = mix(documents(rows_of({"a": 400, "b": 100, "c": 100})), period=100, block=1).collect()
+    found = mix(documents(rows_of({"a": 400, "b": 100, "c": 100})), block=1).collect()
     first = Counter(r.source for r in found if r.slot < 100)
     assert first == {"a": 50, "b": 25, "c": 25}
 
@@ -79,6 +79,14 @@ def test_more_sources_than_a_period_has_slots(documents):
     check_deviation(found, {s: n**0.5 for s, n in sizes.items()}, 1)
 
 
+def test_equal_small_and_irrational_weights_stay_within_one_block(documents):
+    weights = {**{f"s{i}": 1.0 for i in range(7)}, "rare": 0.004, "odd": 2**0.5, "tenth": 0.1}
+    sizes = {s: max(2, int(900 * w)) for s, w in weights.items()}
+    check_deviation(mix(documents(rows_of(sizes), extra=False), weights=weights, block=1).collect(), weights, 1)
+    equal = mix(documents(rows_of({f"s{i}": 3000 for i in range(7)}), extra=False)).collect()
+    check_deviation(equal, {f"s{i}": 1.0 for i in range(7)}, 8)
+
+
 def test_ranges_give_the_schedule_of_one_sweep(spark):
     weights = spark.createDataFrame([("a", 500, 31), ("b", 300, 17), (None, 200, 7), ("c", 40, 3)], "source string, n long, slots long")
     one = {tuple(r) for r in sweep(weights, 1, 4096).collect()}
