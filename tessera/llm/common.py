@@ -45,18 +45,21 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit("").cast("binary"))
 
 
+def labelled(labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """All labelled ids (doc_id, label): once each, with the largest label; none outside ``usable``, none with a null id or label."""
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    )
+
+
 def labelled_sample(labels: DataFrame, label: str, usable: Column, max_docs: int) -> DataFrame:
     """At most about ``max_docs`` labelled ids (doc_id, label), the same ones on every run.
 
-    Rows outside ``usable`` or with a null id or label are never taken. An id
-    labelled more than once counts once, with its largest label. The sample is
-    a hash threshold, so its expected size is ``max_docs`` and its size is
-    bounded whatever the input is; it is therefore safe to broadcast.
+    The sample is a hash threshold, so its expected size is ``max_docs`` and its
+    size is bounded whatever the input is; it is therefore safe to broadcast.
     """
-    clean = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    )
+    clean = labelled(labels, label, usable)
     total = clean.count()
     if total > max_docs:
         share = int(max_docs / total * 1_000_000)

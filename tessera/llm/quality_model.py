@@ -7,8 +7,10 @@ bias is fixed at the sample's log odds, so a text that shows little is scored
 by the share of label 1.
 
 Training takes a bounded, hash-chosen sample of labelled rows (``max_docs``).
-The sample is dealt into shards; each shard runs FTRL updates over its rows,
-and the shards' states are averaged per bucket between rounds.
+The sample is dealt into shards; each shard runs FTRL updates over its rows, in
+the order of a hash of doc_id and text, and the shards' states are averaged per
+bucket between rounds, in the order of the shards. So the weights do not depend
+on how the rows are partitioned or in which order they arrive.
 
 Nulls and edges: a null text is empty; an empty text is scored by the bias
 alone. Without any labelled row every score is 0.5. Rows with a null doc_id are
@@ -76,7 +78,7 @@ class _Words(dict):
 
 
 def features(text: bytes, bits: int) -> np.ndarray:
-    """Bucket of every token feature of the text; 0 is kept for the bias."""
+    """Bucket of every token feature of the text, under 2 ** bits."""
     tokens = text.split()
     both = np.fromiter(map(remembered("features", _Words).__getitem__, tokens), np.uint64, len(tokens))
     word, form = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
@@ -88,7 +90,7 @@ def features(text: bytes, bits: int) -> np.ndarray:
         + again * np.uint64(0x165667B1),
     ])
     raw = (raw ^ (raw >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((raw >> np.uint64(64 - bits)) | np.uint64(1)).astype(np.int32)  # odd buckets
+    return (raw >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], p: Ftrl) -> Iterator[pa.RecordBatch]:
@@ -100,8 +102,8 @@ def _vectors(batches: Iterator[pa.RecordBatch], p: Ftrl) -> Iterator[pa.RecordBa
             at.append(buckets)
             by.append((n * (p.scale / max(1, len(f)))).astype(np.float32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("shard"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(by, pa.list_(pa.float32()))],
-            names=["shard", "label", "at", "by"],
+            [batch.column("shard"), batch.column("place"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(by, pa.list_(pa.float32()))],
+            names=["shard", "place", "label", "at", "by"],
         )
 
 
@@ -123,7 +125,7 @@ def _train(rows: pd.DataFrame, p: Ftrl, bias: float, z0: np.ndarray, n0: np.ndar
     """One pass of FTRL over a shard from the state (z0, n0); the buckets it has touched."""
     z, n = z0.copy(), n0.copy()
     touched = np.zeros(len(z), bool)
-    order = np.random.default_rng(5).permutation(len(rows))
+    order = np.argsort(rows["place"].to_numpy(), kind="stable")  # rows of one place are equal
     labels = rows["label"].to_numpy()
     ats, bys = rows["at"].to_numpy(), rows["by"].to_numpy()
     for i in order:
@@ -134,35 +136,36 @@ def _train(rows: pd.DataFrame, p: Ftrl, bias: float, z0: np.ndarray, n0: np.ndar
         n[at] += g * g
         touched[at] = True
     k = np.flatnonzero(touched)
-    return pd.DataFrame({"bucket": k.astype(np.int32), "z": z[k], "n": n[k]})
+    return pd.DataFrame({"shard": rows["shard"].iloc[0], "bucket": k.astype(np.int32), "z": z[k], "n": n[k]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", p: Ftrl = Ftrl()) -> np.ndarray:
-    """Weights by bucket, learned from labelled rows of ``docs`` that are ``usable`` (an expression over doc_id)."""
+    """Weights by bucket and, last, the bias, learned from labelled rows of ``docs`` that are ``usable`` (an expression over doc_id)."""
     size = 1 << p.bits
     z, n = np.zeros(size), np.zeros(size)
     sample = labelled_sample(labels, label, usable, p.max_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     # at most about max_docs rows of two numbers
     train = rows.join(F.broadcast(sample), "doc_id").select(
-        F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(p.shards)).cast("int").alias("shard"), "label", "text"
-    )
-    vectors = cut(train.mapInArrow(partial(_vectors, p=p), "shard int, label int, at array<int>, by array<float>"), "vectors")
+        F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(p.shards)).cast("int").alias("shard"), F.xxhash64(F.lit("place"), "doc_id", "text").alias("place"),
+        "label", "text",
+    )
+    vectors = cut(train.mapInArrow(partial(_vectors, p=p), "shard int, place long, label int, at array<int>, by array<float>"), "vectors")
     ones, total = vectors.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     bias = float(np.log((ones + 1) / (total - ones + 1)))
     for _ in range(p.rounds):
         state = docs.sparkSession.sparkContext.broadcast((bias, z, n))  # 2 ** bits numbers each
-        ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "bucket int, z double, n double")
+        ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "shard int, bucket int, z double, n double")
         # a bucket that a shard has not touched there keeps the state it began with
-        mean = ran.groupBy("bucket").agg(F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("shards")).toArrow()
+        states = F.array_sort(F.collect_list(F.struct("shard", "z", "n")))  # one a shard
+        total_of = lambda c: F.aggregate("s", F.lit(0.0), lambda a, x: a + x[c]).alias(c)
+        mean = ran.groupBy("bucket").agg(states.alias("s")).select("bucket", total_of("z"), total_of("n"), F.size("s").alias("shards")).toArrow()
         state.destroy()
         k, shards = mean.column("bucket").to_numpy(), mean.column("shards").to_numpy()
         z, n = z.copy(), n.copy()
         z[k] = mean.column("z").to_numpy() / np.maximum(1, shards)
         n[k] = mean.column("n").to_numpy() / np.maximum(1, shards)
-    weights = _weights(z, n, p).astype(np.float32)
-    weights[0] = bias
-    return weights
+    return np.append(_weights(z, n, p), bias).astype(np.float32)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], weights, p: Ftrl) -> Iterator[pa.RecordBatch]:
@@ -171,7 +174,7 @@ def _scores(batches: Iterator[pa.RecordBatch], weights, p: Ftrl) -> Iterator[pa.
         out = []
         for text in batch.column("_q_text").to_pylist():
             f = features(text, p.bits)
-            out.append(float(w[0]) + float(w[f].sum(dtype=np.float64)) * p.scale / max(1, len(f)))
+            out.append(float(w[-1]) + float(w[f].sum(dtype=np.float64)) * p.scale / max(1, len(f)))
         score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
         rest = [c for c in batch.schema.names if c != "_q_text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "_q_score"])

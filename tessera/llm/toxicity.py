@@ -1,21 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 1).
 
-Two interpolated Kneser-Ney models of the characters of words, one of toxic and
-one of ordinary texts; a word counts once per text. Both back off to one
-shared distribution of pooled continuation counts. Where the counts of an
-n-gram do not differ between the classes by more than ``evident`` standard
-deviations, both use the pooled counts, so a rare expression is judged alike
-by both. A word's evidence is the difference of its two log-likelihoods;
-evidence inside a noise band (``band`` nats) is dropped. A text's score is a
-logistic function of its length-normalised evidence, calibrated on labelled
-rows that the counts have not seen.
-
-Counts come from a bounded, hash-chosen sample of labelled rows (``max_docs``).
-
-Nulls and edges: a null text is empty; an empty text has no evidence and gets
-the calibrated score of none. Without labelled rows of both classes every score
-is 0. Rows with a null doc_id are scored and never learned from. Repeated rows
-score alike. Extra columns are ignored. An empty table gives an empty result.
+Two language models of the characters of words, one of toxic and one of
+ordinary texts. A class's n-gram that has the full order (or starts a word) is
+discounted by ``class_discount``; what that frees goes to one shared
+interpolated Kneser-Ney model of both classes' texts, whose orders below the
+highest are continuation counts. So a rare expression has the same likelihood
+in both classes, and only what a class has seen often tells them apart.
+
+A word of a toxic text is a toxic expression at the rate ``rate`` and else an
+ordinary word: its likelihood is rate * toxic(word) + (1 - rate) *
+ordinary(word), in an ordinary text ordinary(word). The two log-likelihoods of
+a text are compared per word (length-normalised), and a logistic curve turns
+their difference into a score. The curve alone is fitted on a bounded,
+hash-chosen sample (``max_docs``) of the labelled rows; those are not counted,
+all others are, so the counts grow with the input.
+
+The log-ratios travel as one table of 2 ** ``bits`` slots with tags, whatever
+the number of n-grams; where two n-grams share a slot the one with more counts
+has it, and the other counts as unseen.
+
+Nulls and edges: a null text is empty; an empty text shows no difference and
+gets the curve's score of none. Without labelled rows of both classes every
+score is 0. Rows with a null doc_id are scored and never learned from. Repeated
+rows score alike. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -30,23 +38,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, labelled_sample, remembered
+from tessera.llm.common import cut, labelled, remembered
 
 
 @dataclass(frozen=True)
 class Kneser:
-    """Parameters; ``max_docs`` bounds the labelled rows that are learned from."""
-
-    max_docs: int = 16_000
-    order: int = 6
-    discount: float = 1.0
-    shared_discount: float = 0.75
-    band: float = 1.5
-    evident: float = 3.5
-    #: Of the sample, the share that calibrates instead of being counted: one in so many.
+    """Parameters; ``max_docs`` bounds the labelled rows that the curve is fitted on."""
+
+    max_docs: int = 8_000
+    order: int = 5
+    discount: float = 0.75
+    class_discount: float = 2.0
+    rate: float = 0.01
+    bits: int = 23
+    #: At most one labelled row in so many is kept for the curve instead of being counted.
     calibrate: int = 4
 
 
@@ -62,7 +71,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            found[1 if label else 0].update(set(words(text)))
+            found[1 if label else 0].update(words(text))
         every = list(found[0].keys() | found[1].keys())
         yield pa.RecordBatch.from_pydict({
             "word": pa.array(every, pa.string()),
@@ -79,119 +88,129 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
             for j in range(1, len(s)):
                 for i in range(max(0, j - order + 1), j + 1):
                     g = s[i : j + 1]
-                    if a:
-                        n0[g] += a
-                    if b:
-                        n1[g] += b
-        every = list(n0.keys() | n1.keys())
+                    n0[g] += a
+                    n1[g] += b
         yield pa.RecordBatch.from_pydict({
-            "gram": pa.array(every, pa.string()),
-            "n0": pa.array([n0[g] for g in every], pa.int64()),
-            "n1": pa.array([n1[g] for g in every], pa.int64()),
-        })
+            "gram": pa.array(list(n0), pa.string()), "n0": pa.array(list(n0.values()), pa.int64()), "n1": pa.array([n1[g] for g in n0], pa.int64()),
+        })
+
+
+def ratios(grams: DataFrame, p: Kneser) -> DataFrame:
+    """Log-ratios (gram, whole, weight, ratio) of the toxic to the ordinary model, from counts (gram, n0, n1) of all orders.
+
+    ``whole`` rows are n-grams that have been seen; the others are contexts,
+    whose ratio is that of any character never seen after them.
+    """
+    d, dc = p.discount, p.class_discount
+    sized = grams.withColumn("size", F.char_length("gram")).withColumn("top", (F.col("size") == p.order) | F.col("gram").startswith(_START))
+    rest = F.expr("substring(gram, 2)")
+    before = sized.where("size > 1").groupBy(rest.alias("gram")).agg(F.count("*").alias("before"))  # distinct characters before it
+    value = F.when(F.col("top"), F.col("n0") + F.col("n1")).otherwise(F.coalesce("before", F.lit(0)))
+    valued = cut(
+        sized.join(before, "gram", "left").withColumn("v", value).withColumn("context", F.expr("substring(gram, 1, size - 1)")).where("v > 0")
+        .select("gram", "size", "top", "n0", "n1", "v", "context"), "grams",
+    )
+    own = lambda n, f: F.sum(F.when(F.col("top"), f(F.col(n)))).cast("double")
+    contexts = cut(
+        valued.groupBy("context").agg(
+            F.sum("v").alias("total"), F.count("*").alias("types"),
+            *(own(n, lambda x: x).alias(f"total_{n}") for n in ("n0", "n1")), *(own(n, lambda x: F.least(x, F.lit(dc))).alias(f"freed_{n}") for n in ("n0", "n1")),
+        ), "contexts",
+    )
+    rows = valued.join(contexts, "context")
+    letters = valued.where("size = 1").agg((F.count("*") + 1).alias("letters"))  # one row
+    spread = F.greatest(F.col("v") - d, F.lit(0.0)) / F.col("total"), d * F.col("types") / F.col("total")
+    low = rows.where("size = 1").join(F.broadcast(letters)).select("gram", (spread[0] + spread[1] / F.col("letters")).alias("p"))
+    every = low
+    for size in range(2, p.order + 1):
+        level = rows.where(F.col("size") == size).withColumn("below", rest)
+        low = cut(level.join(low.withColumnsRenamed({"gram": "below", "p": "q"}), "below").select("gram", (spread[0] + spread[1] * F.col("q")).alias("p")), "level")
+        every = every.union(low)
+
+    def likelihood(n: str) -> Column:
+        t = F.col(f"total_{n}")
+        seen = F.greatest(F.col(n) - dc, F.lit(0.0)) / t + F.col(f"freed_{n}") / t * F.col("p")
+        return F.when(t > 0, seen).otherwise(F.col("p"))
+
+    left = lambda n: F.when(F.col(f"total_{n}") > 0, F.col(f"freed_{n}") / F.col(f"total_{n}")).otherwise(1.0)
+    whole = rows.where("top").join(every, "gram").select(
+        "gram", F.lit(True).alias("whole"), "v", F.ln(likelihood("n1") / likelihood("n0")).alias("ratio")
+    )
+    unseen = contexts.where("total_n0 is not null").select("context", F.lit(False), "total", F.ln(left("n1") / left("n0")))
+    return whole.union(unseen).withColumnRenamed("v", "weight")
+
+
+def slot(gram: str, whole: bool, bits: int) -> tuple[int, int]:
+    """Slot and tag (never 0) of an n-gram or context."""
+    h = xxhash.xxh3_64_intdigest(gram, 1 if whole else 2)
+    return h >> (64 - bits), (h & 255) | 1
 
 
-class _Class:
-    """Discounted counts of one class."""
-
-    def __init__(self, counts: dict[str, int], discount: float) -> None:
-        self.counts = counts
-        self.discount = discount
-        self.total: Counter = Counter()
-        self.mass: Counter = Counter()  # what is left of each context's counts after discounting
-        for g, n in counts.items():
-            self.total[g[:-1]] += n
-            self.mass[g[:-1]] += max(n - discount, 0)
-
-    def backoff(self, context: str) -> float:
-        n = self.total.get(context, 0)
-        return 1 - self.mass[context] / n if n else 1.0
-
-    def own(self, gram: str) -> float:
-        n = self.total.get(gram[:-1], 0)
-        return max(self.counts.get(gram, 0) - self.discount, 0) / n if n else 0.0
-
-
-def ratios(grams: dict[str, tuple[int, int]], p: Kneser) -> dict[str, float]:
-    """Log-likelihood ratio of each n-gram of two or more characters; 0 where the classes do not clearly differ."""
-    order = max((len(g) for g in grams), default=1)
-    shared: Counter = Counter()  # first order: pooled continuation counts
-    for g in grams:
-        if len(g) == 2:
-            shared[g[1:]] += 1
-    everything = sum(shared.values())
-    flat = 1 / (len(shared) + 1)
-
-    def base(c: str) -> float:
-        if not everything:
-            return flat
-        return (max(shared.get(c, 0) - p.shared_discount, 0) + p.shared_discount * len(shared) * flat) / everything
-
-    one = _Class({g: n[1] for g, n in grams.items() if n[1] and len(g) > 1}, p.discount)
-    two = _Class({g: n[0] for g, n in grams.items() if n[0] and len(g) > 1}, p.discount)
-    lower: dict[str, tuple[float, float]] = {g: (base(g), base(g)) for g in grams if len(g) == 1}
-    found: dict[str, float] = {}
-    probability = dict(lower)
-    for size in range(2, order + 1):
-        for g in (g for g in grams if len(g) == size):
-            below = probability.get(g[1:]) or (base(g[-1]),) * 2
-            context = g[:-1]
-            probability[g] = (
-                one.own(g) + one.backoff(context) * below[0],
-                two.own(g) + two.backoff(context) * below[1],
-            )
-            found[g] = math.log(max(probability[g][0], 1e-12) / max(probability[g][1], 1e-12)) if _differs(g, one, two, p.evident) else 0.0
-    return found
-
-
-def _differs(gram: str, one: _Class, two: _Class, evident: float) -> bool:
-    """Whether the class shares of an n-gram's counts are off those of its context."""
-    a, b = one.counts.get(gram, 0), two.counts.get(gram, 0)
-    whole_a, whole = one.total.get(gram[:-1], 0), one.total.get(gram[:-1], 0) + two.total.get(gram[:-1], 0)
-    share, n = whole_a / whole, a + b
-    return abs(a - n * share) >= evident * math.sqrt(n * share * (1 - share) * (1 - n / whole) + 0.25)
+def _slots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [slot(g, w, bits) for g, w in zip(batch.column("gram").to_pylist(), batch.column("whole").to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), *(batch.column(c) for c in ("gram", "weight", "ratio"))],
+            names=["slot", "tag", "gram", "weight", "ratio"],
+        )
+
+
+def packed(found: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log-ratios as tables of tags and ratios by slot; at most 2 ** ``bits`` rows come to the driver."""
+    slots = found.mapInArrow(partial(_slots, bits=bits), "slot long, tag int, gram string, weight long, ratio double")
+    one = slots.groupBy("slot").agg(F.max_by(F.struct("tag", "ratio"), F.struct("weight", "gram")).alias("m")).select("slot", "m.tag", "m.ratio").toArrow()
+    tags, values = np.zeros(1 << bits, np.uint8), np.zeros(1 << bits, np.float32)
+    at = one.column("slot").to_numpy()
+    tags[at], values[at] = one.column("tag").to_numpy(), one.column("ratio").to_numpy()
+    return tags, values
 
 
 class Evidence(dict):
-    """word: log-likelihood ratio outside the noise band; remembers the first ``limit`` words."""
+    """word: what a toxic text's log-likelihood of it has over an ordinary text's; remembers the first ``limit`` words."""
 
-    def __init__(self, found: dict[str, float], order: int, band: float, limit: int = 250_000) -> None:
+    def __init__(self, tags: np.ndarray, values: np.ndarray, p: Kneser, limit: int = 250_000) -> None:
         super().__init__()
-        self.found, self.order, self.band, self.limit = found, order, band, limit
+        self.tags, self.values, self.p, self.limit = memoryview(tags), memoryview(values), p, limit
 
-    def __missing__(self, word: str) -> float:
-        s = _START + word + _END
+    def ratio(self, word: str) -> float:
+        """Difference of the two models' log-likelihoods of a word."""
+        s, order, bits = _START + word + _END, self.p.order, self.p.bits
         total = 0.0
         for j in range(1, len(s)):
-            for i in range(max(0, j - self.order + 1), j):
-                r = self.found.get(s[i : j + 1])  # the longest that is known
-                if r is not None:
-                    total += r
-                    break
-        value = total if abs(total) > self.band else 0.0
+            i = max(0, j - order + 1)
+            at, tag = slot(s[i : j + 1], True, bits)
+            if self.tags[at] != tag:
+                at, tag = slot(s[i:j], False, bits)
+                if self.tags[at] != tag:
+                    continue
+            total += self.values[at]
+        return total
+
+    def __missing__(self, word: str) -> float:
+        value = math.log1p(self.p.rate * math.expm1(min(self.ratio(word), 50.0)))
         if len(self) < self.limit:
             self[word] = value
         return value
 
 
-def _evidence(text: str | None, by: Evidence) -> float:
-    """Evidence of a text, normalised by the root of its length."""
+def _difference(text: str | None, by: Evidence) -> float:
+    """Difference of a text's two log-likelihoods per word."""
     found = words(text)
-    return sum(map(by.__getitem__, found)) / math.sqrt(len(found)) if found else 0.0
+    return sum(map(by.__getitem__, found)) / len(found) if found else 0.0
 
 
 def _model(shared, p: Kneser) -> Evidence:
-    return remembered(f"toxicity {shared.value['id']}", lambda: Evidence(shared.value["found"], p.order, p.band))
+    return remembered(f"toxicity {shared.value[0]}", lambda: Evidence(*shared.value[1:], p))
 
 
-def _calibrating(batches: Iterator[pa.RecordBatch], shared, p: Kneser) -> Iterator[pa.RecordBatch]:
+def _differences(batches: Iterator[pa.RecordBatch], shared, p: Kneser, keep: str) -> Iterator[pa.RecordBatch]:
     by = _model(shared, p)
     for batch in batches:
-        x = [_evidence(t, by) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.float64())], names=["label", "x"])
+        x = np.arcsinh(np.array([_difference(t, by) for t in batch.column("text").to_pylist()], np.float64) / p.rate)
+        yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(x, pa.float64())], names=[keep, "x"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.0005) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.00001) -> tuple[float, float]:
     """Slope and offset of a logistic curve, the slope held back by ``ridge``."""
     a, b = 0.0, 0.0
     for _ in range(steps):
@@ -206,34 +225,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.0
     return float(a), float(b)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], shared, p: Kneser, curve: tuple[float, float] | None) -> Iterator[pa.RecordBatch]:
-    by = _model(shared, p)
-    for batch in batches:
-        x = np.array([_evidence(t, by) for t in batch.column("text").to_pylist()], np.float64)
-        score = np.zeros(len(x)) if curve is None else 1 / (1 + np.exp(-np.clip(curve[0] * np.arcsinh(x) + curve[1], -35, 35)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", p: Kneser = Kneser()) -> DataFrame:
     """(doc_id, score) of every row; learns from labelled rows that are ``usable`` (an expression over doc_id)."""
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = labelled_sample(labels, label, usable, p.max_docs)
-    # at most about max_docs rows of two numbers
-    train = rows.join(F.broadcast(sample), "doc_id").withColumn(
-        "hold", F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(p.calibrate)) == 0
-    )
+    known = cut(labelled(labels, label, usable), "labels")
+    share = min(1_000_000 // p.calibrate, p.max_docs * 1_000_000 // max(1, known.count()))
+    held = F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(1_000_000)) < share
+    train = rows.join(known.withColumn("hold", held), "doc_id")
     counted = train.where("not hold").select("text", "label").mapInArrow(_counted, "word string, n0 long, n1 long")
     summed = cut(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
     grams = summed.mapInArrow(partial(_grams, order=p.order), "gram string, n0 long, n1 long").groupBy("gram").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
     )
-    table = grams.toArrow()  # bounded by max_docs
-    known = dict(zip(table.column("gram").to_pylist(), zip(table.column("n0").to_pylist(), table.column("n1").to_pylist())))
-    shared = context.broadcast({"id": uuid.uuid4().hex, "found": ratios(known, p)})
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *packed(ratios(grams, p), p.bits)))  # 5 * 2 ** bits bytes
     check = train.where("hold").select("text", "label").mapInArrow(
-        partial(_calibrating, shared=shared, p=p), "label int, x double"
-    ).toArrow()  # at most about max_docs / calibrate rows
-    y, x = check.column("label").to_numpy().astype(float), np.arcsinh(check.column("x").to_numpy())
-    curve = _logistic(x, y) if 0 < y.sum() < len(y) else None
-    return rows.mapInArrow(partial(_scores, shared=shared, p=p, curve=curve), "doc_id long, score double")
+        partial(_differences, shared=shared, p=p, keep="label"), "label int, x double"
+    ).toArrow()  # at most about max_docs rows
+    y = check.column("label").to_numpy().astype(float)
+    curve = _logistic(check.column("x").to_numpy(), y) if 0 < y.sum() < len(y) else None
+    found = rows.mapInArrow(partial(_differences, shared=shared, p=p, keep="doc_id"), "doc_id long, x double")
+    score = F.lit(0.0) if curve is None else 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), F.lit(curve[0]) * F.col("x") + F.lit(curve[1])))))
+    return found.select("doc_id", score.alias("score"))

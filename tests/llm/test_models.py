@@ -1,8 +1,11 @@
 """Trained models: held-out accuracy on a small corpus, and edge cases."""
 
+import math
 import random
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,21 +72,108 @@ def test_edges(spark, documents):
     assert quality_model.scored(empty, weights).count() == 0 and toxicity.toxicity(empty, some, F.lit(True)).count() == 0
 
 
-def test_models_give_probabilities():
-    grams = {}
-    for word, a, b in (("the", 9, 1), ("vequ", 0, 6), ("then", 4, 0)):
+def plain_models(counts, order, d, dc):
+    """The shared and the two class models by plain recursion over dictionaries: likelihood(class or None, context, character)."""
+    whole = [{}, {}, {}]
+    for word, *n in counts:
         s = "\x02" + word + "\x03"
         for j in range(1, len(s)):
-            for i in range(max(0, j - 3), j + 1):
-                n = grams.get(s[i : j + 1], (0, 0))
-                grams[s[i : j + 1]] = n[0] + a, n[1] + b
-    found = toxicity.ratios(grams, toxicity.Kneser(order=4, evident=0.0))
-    e = toxicity.Evidence(found, 4, band=0.0)
+            for i in range(max(0, j - order + 1), j + 1):
+                for k, x in enumerate((*n, sum(n))):
+                    whole[k][s[i : j + 1]] = whole[k].get(s[i : j + 1], 0) + x
+    letters = len({g for g in whole[2] if len(g) == 1}) + 1
+
+    def value(g):
+        if len(g) == order or g[0] == "\x02":
+            return whole[2][g]
+        return len({h[0] for h in whole[2] if len(h) == len(g) + 1 and h[1:] == g})
+
+    def after(h):
+        return [g for g in whole[2] if len(g) == len(h) + 1 and g.startswith(h)]
+
+    def shared(h, x):
+        low = shared(h[1:], x) if h else 1 / letters
+        seen = [value(g) for g in after(h)]
+        if not seen:
+            return low
+        own = max(value(h + x) - d, 0) if h + x in whole[2] else 0
+        return own / sum(seen) + d * len(seen) / sum(seen) * low
+
+    def of_class(k, h, x):
+        n = [whole[k][g] for g in after(h)]
+        if not sum(n):
+            return shared(h, x)
+        return max(whole[k].get(h + x, 0) - dc, 0) / sum(n) + sum(min(v, dc) for v in n) / sum(n) * shared(h, x)
+
+    return of_class, shared, sorted({g for g in whole[2] if len(g) == 1})
+
+
+def test_ratios_are_those_of_the_plain_models(spark):
+    counts = [("the", 9, 1), ("vequ", 0, 6), ("then", 4, 0), ("equine", 3, 2), ("hat", 1, 1), ("tata", 5, 3)]
+    p = toxicity.Kneser(order=4)
+    of_class, shared, letters = plain_models(counts, 4, p.discount, p.class_discount)
+    grams = spark.createDataFrame(counts, "word string, n0 long, n1 long").mapInArrow(partial(toxicity._grams, order=4), "gram string, n0 long, n1 long")
+    found = toxicity.ratios(grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), p)
+    by = {(r.gram, r.whole): r.ratio for r in found.collect()}
+    e = toxicity.Evidence(*toxicity.packed(found, p.bits), p)
+    for word in ("the", "vequ", "thequ", "vex", "zz", "tatatata"):
+        s = "\x02" + word + "\x03"
+        want = 0.0
+        for j in range(1, len(s)):
+            h = s[max(0, j - 3) : j]
+            want += math.log(of_class(1, h, s[j]) / of_class(0, h, s[j]))
+            if (h + s[j], True) in by:
+                assert by[h + s[j], True] == pytest.approx(math.log(of_class(1, h, s[j]) / of_class(0, h, s[j])))
+        assert e.ratio(word) == pytest.approx(want, abs=1e-5)
+        assert e[word] == pytest.approx(math.log(1 + p.rate * (math.exp(want) - 1)), abs=1e-5)
     assert e["vequ"] > 0 > e["then"]
-    own = toxicity._Class({g: n[0] for g, n in grams.items() if n[0] and len(g) > 1}, 1.0)
-    for context in {g[:-1] for g in own.counts}:
-        seen = sum(own.own(g) for g in own.counts if g[:-1] == context)
-        assert seen + own.backoff(context) == pytest.approx(1)
+    for h in ("\x02th", "equ", "zzz"):  # every model is a distribution over the characters and one unknown
+        rest = shared(h, "\x00")
+        assert sum(shared(h, x) for x in letters) + rest == pytest.approx(1)
+        assert sum(of_class(1, h, x) for x in letters) + of_class(1, h, "\x00") == pytest.approx(1)
+
+
+def plain_ftrl(rows, p, bias):
+    """FTRL-proximal over rows of (label, {bucket: value}), one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[k] - math.copysign(p.l1, z[k])) / ((p.beta + math.sqrt(n.get(k, 0.0))) / p.alpha + p.l2)
+
+    for label, x in rows:
+        w = {k: weight(k) for k in x}
+        g = 1 / (1 + math.exp(-(bias + sum(w[k] * v for k, v in x.items())))) - label
+        for k, v in x.items():
+            sigma = (math.sqrt(n.get(k, 0.0) + (g * v) ** 2) - math.sqrt(n.get(k, 0.0))) / p.alpha
+            z[k] = z.get(k, 0.0) + g * v - sigma * w[k]
+            n[k] = n.get(k, 0.0) + (g * v) ** 2
+    return z, n
+
+
+def test_ftrl_steps_are_those_of_a_plain_loop():
+    rng = random.Random(4)
+    p = quality_model.Ftrl(bits=6)
+    rows = [(rng.randint(0, 1), {k: rng.uniform(0.1, 3) for k in rng.sample(range(64), 9)}) for _ in range(60)]
+    places = list(range(60))
+    rng.shuffle(places)
+    frame = pd.DataFrame({
+        "shard": 3, "place": places, "label": [r[0] for r in rows], "at": [np.array(list(r[1]), np.int32) for r in rows],
+        "by": [np.array(list(r[1].values()), np.float32) for r in rows],
+    })
+    got = quality_model._train(frame, p, 0.3, np.zeros(64), np.zeros(64))
+    ordered = [(r[0], {k: float(np.float32(v)) for k, v in r[1].items()}) for _, r in sorted(zip(places, rows))]
+    z, n = plain_ftrl(ordered, p, 0.3)
+    assert {k: pytest.approx(v) for k, v in z.items()} == dict(zip(got["bucket"], got["z"]))
+    assert {k: pytest.approx(v) for k, v in n.items()} == dict(zip(got["bucket"], got["n"]))
+
+
+def test_weights_do_not_depend_on_the_partitions(tables):
+    docs, labels, _ = tables
+    p = quality_model.Ftrl(rounds=2, bits=12, shards=3)
+    one, two = (quality_model.fit(d, labels, F.lit(True), p=p) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(7)))
+    assert np.array_equal(one, two)
 
 
 def test_shapes():
