@@ -4,9 +4,10 @@ A page becomes a sequence of text nodes, each with its root-to-leaf tag path.
 Text length and punctuation are aggregated per path and divided by the path's
 nodes; both ratios are smoothed along the page, fused (geometric mean) and
 compared with a threshold taken from their spread. An article or main element
-around a node raises its ratio, links lower it. The common ancestor of all paths
-over the threshold bounds the article; menus, headers, footers, side bars,
-notices, adverts, forms and comments are told by element and by class names.
+around a node raises its ratio; links, and class names or ids of boilerplate
+(menus, side bars, notices, adverts, comments), lower it. The common ancestor of
+all paths over the threshold bounds the article. Navigation, headers, footers,
+asides, forms and hidden elements are never part of it.
 
 Nulls and edges: null or empty html gives an empty text; markup that never ends
 is read up to the page's end; text without any markup is one block. A null
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, declarations, elements whose content is no text, tags, and text.
+#: Comments, declarations, elements whose content is read up to their end tag, tags, and text.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|video|audio|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)(?:>|\Z)"
@@ -48,6 +49,9 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the first kind ends an open element of the second.
 _ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _LISTS = frozenset("ul ol dl table menu dir".split())
+#: Elements whose content is no text; a start tag of the first two may close itself.
+_SKIPPED = frozenset("svg math select object video audio canvas template noscript".split())
+_SELF_CLOSED = frozenset("svg math".split())
 _NOT_ARTICLE = frozenset("head title nav header footer aside form button menu dialog label fieldset legend option".split())
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|comments?|commentlist|replies|reply|respond|disqus|"
@@ -60,8 +64,10 @@ _ROLES = frozenset("navigation banner complementary contentinfo search dialog al
 _ATTR = re.compile(r"([a-zA-Z_:-][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _MARKS = re.compile(r"[.,;:!?…。，；：！？]")
 _SPACE = re.compile(r"\s+")
-#: Evidence: a ratio within article or main counts so many times; one of nothing but links loses this share.
+#: Evidence: a ratio within article or main counts so many times, one within an element of a boilerplate name so many;
+#: one of nothing but links loses this share.
 NAMED = 2.0
+UNNAMED = 0.1
 LINKED = 0.75
 
 
@@ -70,14 +76,15 @@ class _Element:
     tag: str
     path: str
     number: int
-    outside: bool  # part of what is not the article
+    prior: float  # 0: part of what is not the article
     link: bool  # within a link
+    skipped: bool = False
 
 
 @dataclass
 class _Block:
     tag: str
-    outside: bool
+    prior: float
     above: tuple[int, ...]  # numbers of its elements
     parts: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)  # of its text nodes
@@ -88,27 +95,29 @@ class _Block:
         return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
 
 
-def _is_outside(tag: str, attrs: str) -> bool:
+def _prior(tag: str, attrs: str) -> float:
+    """What an element's tag, role and names say of its text: 0 for what is never the article, ``UNNAMED`` for a boilerplate name, else 1."""
     if tag in _NOT_ARTICLE:
-        return True
+        return 0.0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 1.0
+    found = 1.0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMES.search(value):
-            return True
         if name == "role" and value.strip().lower() in _ROLES:
-            return True
+            return 0.0
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 0.0
+        if name in ("class", "id") and _NAMES.search(value.lower().replace("header", "") if tag in _HEADING else value):
+            found = UNNAMED
+    return found
 
 
 def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
     """Text blocks in page order, and each element's parent and tag by number."""
-    stack = [_Element("", "", 0, False, False)]
+    stack = [_Element("", "", 0, 1.0, False)]
     elements: dict[int, tuple[int, str]] = {0: (0, "")}
     found: list[_Block] = []
     current: _Block | None = None
@@ -116,11 +125,13 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
     for m in _TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
+            if stack[-1].skipped:
+                continue
             if current is None:
                 if not text.strip():
                     continue
                 top = next((e for e in reversed(stack) if e.tag in _BLOCK), stack[0])
-                current = _Block(top.tag, stack[-1].outside, tuple(e.number for e in stack))
+                current = _Block(top.tag, stack[-1].prior, tuple(e.number for e in stack))
                 found.append(current)
             current.parts.append(text)
             letters = len(text.strip())
@@ -142,10 +153,18 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
         if closing:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if at:
-                if any(e.tag in _BLOCK for e in stack[at:]):
+                if any(e.tag in _BLOCK and not e.skipped for e in stack[at:]):
                     current = None
                 del stack[at:]
             continue
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if tag in _SELF_CLOSED and attrs.endswith("/"):
+            continue
+        if tag in _SKIPPED or stack[-1].skipped:
+            number += 1
+            elements[number] = (stack[-1].number, tag)
+            stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, 0.0, stack[-1].link, True))
+            continue
         if tag in _BLOCK:
             current = None
             if any(e.tag == "p" for e in stack):
@@ -157,11 +176,11 @@ def blocks(page: str) -> tuple[list[_Block], dict[int, tuple[int, str]]]:
                 if stack[k].tag in _LISTS and tag not in ("td", "th", "tr") or stack[k].tag == "table":
                     break
         number += 1
-        outside = stack[-1].outside or _is_outside(tag, m["attrs"] or m["attrs2"] or "")
-        if current is not None and outside != current.outside:
+        prior = min(stack[-1].prior, _prior(tag, attrs))
+        if current is not None and prior != current.prior:
             current = None
         elements[number] = (stack[-1].number, tag)
-        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, outside, stack[-1].link or tag == "a"))
+        stack.append(_Element(tag, f"{stack[-1].path}/{tag}", number, prior, stack[-1].link or tag == "a"))
     return found, elements
 
 
@@ -200,22 +219,25 @@ def main_text(page: str | None, strictness: float = 0.5) -> str:
     if not found:
         return ""
     ratios = path_scores(found)
-    inside = [k for k, b in enumerate(found) if not b.outside]
+    inside = [k for k, b in enumerate(found) if b.prior]
     if not inside:
         return ""
     threshold = strictness * float(np.std(ratios))
     named = [any(elements[e][1] in ("article", "main") for e in b.above) for b in found]
-    scores = ratios * [(1 - LINKED * min(1.0, b.linked / len(b.text))) * (NAMED if n else 1.0) for b, n in zip(found, named)]
-    by_path: dict[str, list[float]] = defaultdict(list)
+    scores = ratios * [(1 - LINKED * min(1.0, b.linked / len(b.text))) * (NAMED if n else 1.0) * b.prior for b, n in zip(found, named)]
+    by_path: dict[tuple[str, float], list[float]] = defaultdict(list)  # what has another prior is another path
+    at = [(b.paths[0] if b.paths else "", b.prior) for b in found]
     for k in inside:
-        by_path[found[k].paths[0] if found[k].paths else ""].append(scores[k])
-    over = {p for p, x in by_path.items() if sum(x) / len(x) >= threshold}
-    content = [k for k in inside if (found[k].paths[0] if found[k].paths else "") in over] or inside
+        by_path[at[k]].append(scores[k])
+    clear = [scores[k] for k in inside if found[k].prior == 1 and scores[k] >= threshold]
+    high = max(threshold, float(np.median(clear)) / 2) if clear else threshold  # what has a boilerplate name must stand out
+    over = {p for p, x in by_path.items() if sum(x) / len(x) >= (threshold if p[1] == 1 else high)}
+    content = [k for k in inside if at[k] in over] or inside
     box = max(set(found[content[0]].above).intersection(*(found[k].above for k in content)), default=0)
     chosen = set(content)
     kept = [
         found[k].text for k in inside
-        if box in found[k].above and (k in chosen or scores[k] >= threshold or found[k].tag in _HEADING)
+        if box in found[k].above and (k in chosen or found[k].prior == 1 and (scores[k] >= threshold or found[k].tag in _HEADING))
     ]
     return "\n\n".join(kept)
 

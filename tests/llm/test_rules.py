@@ -124,3 +124,26 @@ def test_a_paragraph_of_links_is_text_and_a_low_ratio_is_not_by_its_element_alon
     menu = "<ul>" + "".join(f"<li><a href=/{k}>Tag{k}</a></li>" for k in range(12)) + "</ul>"
     got = html_text.main_text(f"<body><article>{plain * 6}{menu}</article></body>")
     assert got.count("Plain text") == 6 and "Tag6" not in got
+
+
+def test_no_text_is_lost_beside_skipped_elements():
+    tail = "<p>Three, four, five six. Seven, eight nine.</p>"
+    assert html_text.main_text('<p>One, text. <svg class="i"/> two here.</p>' + tail).split("\n\n")[0] == "One, text. two here."
+    assert html_text.main_text('<p>One, <svg><path d=""/><text>no</text></svg>text.</p>' + tail).split("\n\n")[0] == "One, text."
+    assert html_text.main_text("<div><p>One, text. <select><option>x</select>Two.</p>" + tail + "</div>").split("\n\n")[0] == "One, text. Two."
+    assert html_text.main_text("<div><p>One, text. <svg> lost</p>" + tail + "</div>").endswith("eight nine.")
+    page = '<article><h1 class="entry-header">Title</h1><p>One, text that is long. And more, it follows.</p></article>'
+    assert html_text.main_text(page).startswith("Title\n\n")
+
+
+def test_ratios_decide_where_lists_alone_would_not():
+    prose = "A long sentence, with commas, goes on and on. Another one follows, as it should. " * 3
+    plain = "<body><div><div><span>Home</span></div><div><span>About</span></div></div><div>" + f"<p>{prose}</p>" * 4 + "</div></body>"
+    found, _ = html_text.blocks(plain)
+    assert all(b.prior == 1 for b in found)  # the lists alone would keep the menu
+    assert html_text.main_text(plain) == "\n\n".join([prose.strip()] * 4)
+    # and would drop a long passage for its class name
+    named = f'<body><main>{f"<p>{prose}</p>" * 10}<section class="related"><p>{prose * 20}</p></section>{f"<p>{prose}</p>" * 10}</main></body>'
+    assert html_text.main_text(named).count("A long sentence") == 120
+    boring = f'<body><main><p>{prose}</p><section class="related"><p>See more</p><p>Next</p></section><p>{prose}</p></main></body>'
+    assert html_text.main_text(boring) == "\n\n".join([prose.strip()] * 2)
