@@ -1,25 +1,30 @@
 """Substring dedup by line hashing (operator 9).
 
-Units are the lines of a text and, so that a passage set in the middle of a
-line is found too, the sentences of its lines. A unit's digest is taken from
-its normalised form (A-Z lower-cased, white space runs as one space). Of all
-units with one digest, the occurrence earliest in (doc_id, offset) stays; the
-others are cut out of their texts. Units of fewer than ``min_words`` words are
-not compared by themselves: the short sentences after a sentence are cut along
-with it where they are the same as after its kept occurrence.
+A text is cut into pieces: the sentences of its lines. Units are its lines and,
+so that a passage set in the middle of a line or broken into short lines is
+found too, runs of pieces: from each piece on as many pieces as give
+``min_words`` words, and up to each piece as many as do, also across line ends.
+A piece of ``min_words`` words is a unit of its own. Ideographs and kana count
+as words. A unit's digest is taken from its normalised form (lower-cased, white
+space runs as one space, line ends too). Of all units with one digest, the
+occurrence earliest in (doc_id, offset) stays; the others are cut out of their
+texts. What is cut is always there once more at an earlier place.
 
 Nulls and edges: a null text stays null and has no units; an empty text stays
-empty; a text that is nothing but repeats becomes empty, its row stays. A null
-doc_id ranks after all others. Repeated rows of one doc_id and text are one
-document: they share one result. Extra columns are ignored by ``repeats`` and
-kept by ``without_repeats``. An empty table gives an empty result.
+empty; a text that is nothing but repeats becomes empty, its row stays. A text
+of fewer than ``min_words`` words has no units. A null doc_id ranks after all
+others. Repeated rows of one doc_id and text are one document: they share one
+result. Extra columns are ignored by ``repeats`` and kept by
+``without_repeats``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,42 +36,60 @@ from pyspark.sql import types as T
 from tessera.llm.common import cut
 
 MIN_WORDS = 8
-#: A sentence with the white space that follows it, or the rest of a line.
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+(?:[ \t]+|$)|[^.!?]+$|[^.!?]*[.!?]+")
+#: A sentence with its closing marks and the blanks that follow it, or the rest of a line.
+_SENTENCE = re.compile(r"[^.!?\n。！？…]*[.!?。！？…]+[^\S\n]*|[^.!?\n。！？…]+")
+_IDEOGRAPH = re.compile(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 
 
 class Unit(NamedTuple):
-    """Offsets are code points of the text; the tail is what short sentences follow in the line."""
+    """Offsets are code points of the text."""
 
     start: int
     end: int
     form: str
-    tail_end: int
-    tail: str
 
 
-def units(text: str, min_words: int = MIN_WORDS) -> Iterator[Unit]:
-    """The units of a text. A line's unit takes its line end along; a line that is one sentence is one unit."""
+def pieces(text: str) -> list[tuple[int, int, str, int, int]]:
+    """(start, end, form, words, line) of each sentence of each line that has a word."""
+    out = []
+    plain = _IDEOGRAPH.search(text) is None
     at = 0
-    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
-        words = line.split()
-        if len(words) >= min_words:
-            yield Unit(at, at + len(line), " ".join(words).lower(), at + len(line), "")
-            parts = [(m.start(), m.end(), m[0].split()) for m in _SENTENCE.finditer(line.rstrip("\n"))]
-            end, tail = 0, ""
-            found = []
-            for start, stop, own in reversed(parts if len(parts) > 1 else []):
-                end = end or stop
-                if len(own) >= min_words:
-                    found.append(Unit(at + start, at + stop, " ".join(own).lower(), at + end, tail))
-                    end, tail = 0, ""
-                else:
-                    tail = f"{' '.join(own)} {tail}".strip().lower()
-            yield from reversed(found)
-        at += len(line)
-
-
-_COLUMNS = ("rank", "key", "start", "end", "d1", "d2", "tail_end", "tail")
+    for number, line in enumerate(text.split("\n")):
+        for m in _SENTENCE.finditer(line):
+            tokens = m[0].split()
+            if tokens:
+                words = len(tokens) if plain else len(tokens) + len(_IDEOGRAPH.findall(m[0]))
+                out.append((at + m.start(), at + m.end(), " ".join(tokens).lower(), words, number))
+        at += len(line) + 1
+    return out
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> Iterator[Unit]:
+    """The units of a text in order."""
+    found = pieces(text)
+    upto = [0, *accumulate(p[3] for p in found)]
+    runs = set()
+    for i, p in enumerate(found):
+        if p[3] >= min_words:
+            runs.add((i, i))
+            continue
+        j = bisect_left(upto, upto[i] + min_words)  # the first piece up to which there are enough words from i on
+        if j <= len(found):
+            runs.add((i, j - 1))
+        k = bisect_right(upto, upto[i + 1] - min_words) - 1  # the last one from which there are enough up to i
+        if k >= 0:
+            runs.add((k, i))
+    first = 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or found[i][4] != found[first][4]:
+            if upto[i] - upto[first] >= min_words:
+                runs.add((first, i - 1))
+            first = i
+    for i, j in sorted(runs):
+        yield Unit(found[i][0], found[j][1], found[i][2] if i == j else " ".join(p[2] for p in found[i : j + 1]))
+
+
+_COLUMNS = ("rank", "key", "start", "end", "d1", "d2")
 
 
 def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -75,8 +98,7 @@ def _units(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
         for rank, key, text in zip(*(batch.column(c).to_pylist() for c in ("rank", "key", "text"))):
             for u in units(text or "", min_words):
                 d = xxhash.xxh3_128_intdigest(u.form)
-                tail = xxhash.xxh3_64_intdigest(u.tail) - 2**63 if u.tail else 0
-                for column, v in zip(out, (rank, key, u.start, u.end, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, u.tail_end, tail)):
+                for column, v in zip(out, (rank, key, u.start, u.end, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63)):
                     column.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=_COLUMNS)
 
@@ -93,11 +115,14 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def cut_out(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the spans, and what is left of it as original (start, end)."""
+    """The text without the spans, and what is left of it as original (start, end). Lines of which nothing is left go whole."""
     kept, at = [], 0
     for start, end in merged(spans, len(text)):
         if start > at:
             kept.append((at, start))
+        if start == 0 or text[start - 1] == "\n":
+            end += text.startswith("\r", end)
+            end += text.startswith("\n", end)
         at = max(at, end)
     if at < len(text):
         kept.append((at, len(text)))
@@ -123,9 +148,9 @@ def _cleaned(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.Rec
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans to cut: (key, cuts array<struct<start, end>>), one row per document that has any.
+    """Spans to cut: (rank, key, cuts array<struct<start, end>>), one row per document that has any.
 
-    ``key`` is xxhash64(doc_id, text).
+    ``rank`` is the doc_id (the largest long for null), ``key`` is xxhash64(doc_id, text).
     """
     last = F.lit(2**63 - 1)
     rows = docs.select(
@@ -133,14 +158,13 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     found = cut(rows.mapInArrow(partial(_units, min_words=min_words), ", ".join(f"{c} long" for c in _COLUMNS)), "units")
     first = (
-        found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key", "start", "tail")).alias("first"), F.count("*").alias("n"))
+        found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").drop("n")
     )
     later = found.join(first, ["d1", "d2"]).where(
         ~((F.col("rank") == F.col("first.rank")) & (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start")))
     )
-    end = F.when((F.col("tail") != 0) & (F.col("tail") == F.col("first.tail")), F.col("tail_end")).otherwise(F.col("end"))
-    return later.groupBy("key").agg(F.collect_set(F.struct("start", end.alias("end"))).alias("cuts"))
+    return later.groupBy("rank", "key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -148,9 +172,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``_lh_kept`` holds the original (start, end) of each piece that is left.
     """
-    cuts = repeats(docs, min_words).select(F.col("key").alias("_lh_cutkey"), F.col("cuts").alias("_lh_cuts"))
-    keyed = docs.withColumn("_lh_key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    rows = keyed.join(cuts, F.col("_lh_key") == F.col("_lh_cutkey"), "left").drop("_lh_key", "_lh_cutkey")
+    cuts = repeats(docs, min_words).select(F.col("rank").alias("_lh_cutrank"), F.col("key").alias("_lh_cutkey"), F.col("cuts").alias("_lh_cuts"))
+    keyed = docs.withColumn("_lh_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).withColumn(
+        "_lh_rank", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    )
+    rows = keyed.join(cuts, (F.col("_lh_key") == F.col("_lh_cutkey")) & (F.col("_lh_rank") == F.col("_lh_cutrank")), "left").drop(
+        "_lh_key", "_lh_cutkey", "_lh_rank", "_lh_cutrank"
+    )
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("_lh_kept", T.ArrayType(span))])
     return rows.select(*docs.columns, "_lh_cuts").mapInArrow(partial(_cleaned, text_at="text"), schema)
