@@ -72,7 +72,7 @@ def sanitize_name(name: Column) -> Column:
 def csv_field(value: Column) -> Column:
     """A CSV field, quoted where it holds a comma, quote or line end; quotes doubled."""
     v = F.coalesce(value, F.lit(""))
-    return F.when(v.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    return F.when(v.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
 
 def natural_key(name: Column, width: int = 20) -> Column:

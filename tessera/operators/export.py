@@ -9,30 +9,51 @@ from pyspark.sql import functions as F
 from tessera.functions.text import sanitize_name
 from tessera.operators.groups import label_lists
 
-#: Columns of an export, in order.
+#: Columns of an export, in order (fixed values).
 COLUMNS = (
-    "id", "filename", "abs_path", "source", "prompt_pos", "prompt_neg", "checkpoint", "loras", "sampler", "steps", "cfg", "seed", "size",
-    "score", "labels", "group_key_l3", "notes",
+    "filename", "abs_path", "source", "prompt_positive", "prompt_negative", "model", "loras", "vae", "sampler", "seed", "steps", "cfg",
+    "group_key", "labels", "score", "notes", "scanned_at",
 )
 
 
-def export_rows(images: DataFrame, scores: DataFrame, image_labels: DataFrame, labels: DataFrame) -> DataFrame:
-    """Images with score as text (two places, empty without one) and labels joined by semicolons."""
-    s = scores.select(F.col("image_id").alias("_s"), F.col("internal_score").alias("_v"))
+def export_rows(images: DataFrame, sources: DataFrame, scores: DataFrame, image_labels: DataFrame, labels: DataFrame, source_id: int | None = None) -> DataFrame:
+    """(id and ``COLUMNS``) of the images of known sources (id, path): one row each, score null where there is none.
+
+    LoRAs are JSON text, the sampler is that of the first pass, labels are
+    joined by semicolons, notes are empty. Columns that ``images`` lacks are empty.
+    """
+    rows = images if source_id is None else images.where(F.col("source_id") == source_id)
+    paths = sources.select(F.col("id").alias("_src"), F.col("path").alias("source"))
+    s = scores.select(F.col("image_id").alias("_s"), F.col("internal_score").alias("score"))
     names = label_lists(image_labels, labels).select(F.col("image_id").alias("_l"), F.concat_ws(";", "labels").alias("_names"))
-    return (
-        images.join(s, F.col("id") == F.col("_s"), "left").join(names, F.col("id") == F.col("_l"), "left")
-        .withColumn("score", F.when(F.col("_v").isNull(), "").otherwise(F.format_string("%.2f", "_v")))
-        .withColumn("labels", F.coalesce("_names", F.lit(""))).withColumn("notes", F.lit("")).drop("_s", "_v", "_l", "_names")
-    )
+    joined = rows.join(paths, F.col("source_id") == F.col("_src")).join(s, F.col("id") == F.col("_s"), "left").join(names, F.col("id") == F.col("_l"), "left")
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in images.columns else F.lit("")
+
+    def number(name: str, kind: str) -> Column:
+        return F.coalesce(F.col(name).cast(kind), F.lit(0).cast(kind)) if name in images.columns else F.lit(0).cast(kind)
+
+    loras = F.coalesce(F.to_json("loras"), F.lit("")) if "loras" in images.columns else F.lit("")
+    sampler = F.coalesce(F.get("samplers", F.lit(0))["sampler"], F.lit("")) if "samplers" in images.columns else F.lit("")
+    return joined.select(
+        "id", text("filename").alias("filename"), text("abs_path").alias("abs_path"), "source", text("prompt_pos").alias("prompt_positive"),
+        text("prompt_neg").alias("prompt_negative"), text("checkpoint").alias("model"), loras.alias("loras"), text("vae").alias("vae"), sampler.alias("sampler"),
+        number("seed", "bigint").alias("seed"), number("steps", "bigint").alias("steps"), number("cfg", "double").alias("cfg"),
+        text("group_key_l3").alias("group_key"), F.coalesce("_names", F.lit("")).alias("labels"), "score", F.lit("").alias("notes"), text("scanned_at").alias("scanned_at"),
+    )
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """``COLUMNS`` with a header in every part file, scores with two places, empty fields bare."""
+    score = F.when(F.col("score").isNull(), "").otherwise(F.format_string("%.2f", "score"))
+    out = rows.withColumn("score", score).select(*COLUMNS)
+    out.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="", nullValue="").csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """``COLUMNS`` as JSON lines, scores in full or null."""
+    rows.select(*COLUMNS).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def archive_folder(rule: str) -> Column:
@@ -46,13 +67,28 @@ def archive_folder(rule: str) -> Column:
 
 
 def archive_plan(images: DataFrame, rule: str = "flat", taken: DataFrame | None = None) -> DataFrame:
-    """(id, abs_path, folder, name): where each file goes; equal names get _1, _2 ... after those already taken (folder, filename)."""
-    rows = images.withColumn("folder", archive_folder(rule))
-    rank = F.row_number().over(W.partitionBy("folder", "filename").orderBy("id")) - 1
-    ranked = rows.withColumn("rank", rank)
-    if taken is not None:
-        there = taken.groupBy("folder", "filename").agg(F.count("*").alias("n"))
-        ranked = ranked.join(there, ["folder", "filename"], "left").withColumn("rank", F.col("rank") + F.coalesce("n", F.lit(0)))
-    stem, suffix = F.regexp_replace("filename", r"\.[^.]*$", ""), F.regexp_extract("filename", r"(\.[^.]*)$", 1)
-    name = F.when(F.col("rank") == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), F.col("rank").cast("string"), suffix))
-    return ranked.select("id", "abs_path", "folder", name.alias("name"))
+    """(id, abs_path, folder, name): where each file goes, no two to one name, none to one ``taken`` (folder, filename).
+
+    The first file (by id) of a name keeps it unless it is taken. The others
+    get stem_1, stem_2 ..., over names that are taken or some file's own.
+    """
+    stem, suffix = F.regexp_replace("filename", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("filename", r"(?<=.)(\.[^.]*)$", 1)
+    rows = images.select("id", "abs_path", archive_folder(rule).alias("folder"), "filename", stem.alias("stem"), suffix.alias("suffix"))
+    there = rows.select("folder", "filename").limit(0) if taken is None else taken.select("folder", "filename")
+    mark = there.distinct().withColumn("gone", F.lit(True))
+    order = W.partitionBy("folder", "filename").orderBy("id")
+    placed = rows.join(mark, ["folder", "filename"], "left").withColumn("rank", F.row_number().over(order) - F.when(F.col("gone"), 0).otherwise(1))
+    numbered = r"^(.+)_([1-9]\d{0,8})((?:\.[^.]*)?)$"
+    part = lambda k: F.regexp_extract("filename", numbered, k)
+    used = rows.select("folder", "filename").union(there).distinct().where(F.col("filename").rlike(numbered)).select(
+        "folder", part(1).alias("stem"), part(3).alias("suffix"), part(2).cast("bigint").alias("k")
+    )
+    # the j-th used number is passed by every file whose rank is at least that number less those used before it
+    group = ["folder", "stem", "suffix"]
+    passed = used.withColumn("v", F.col("k") - F.row_number().over(W.partitionBy(*group).orderBy("k")) + 1)
+    late = placed.where("rank > 0").select(*group, "id", F.col("rank").cast("bigint").alias("v"))
+    both = late.withColumn("step", F.lit(0)).unionByName(passed.select(*group, F.lit(None).cast("bigint").alias("id"), "v").withColumn("step", F.lit(1)))
+    over = F.sum("step").over(W.partitionBy(*group).orderBy("v").rangeBetween(W.unboundedPreceding, W.currentRow))
+    moved = both.withColumn("number", F.col("v") + over).where("step = 0").select(F.col("id").alias("_i"), "number")
+    name = F.when(F.col("number").isNull(), F.col("filename")).otherwise(F.concat("stem", F.lit("_"), F.col("number").cast("string"), "suffix"))
+    return placed.join(moved, F.col("id") == F.col("_i"), "left").select("id", "abs_path", "folder", name.alias("name"))

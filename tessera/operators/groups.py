@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.constants import BASE_SCORE, UNKNOWN, level_column
+from tessera.functions.keys import dimension_values, key_l1, key_l3
 
 #: Columns a group shows by their least value.
 SHOWN = ("prompt_pos", "checkpoint", "source_kind", "abs_path", "diffusion_model", "text_encoder", "controlnet")
@@ -183,3 +184,14 @@ def disk_status(images: DataFrame, listing: DataFrame) -> DataFrame:
         F.coalesce("stored", "found").alias("path"),
         F.when(F.col("found").isNull(), "missing").when(F.col("stored").isNull(), "new").otherwise("matched").alias("status"),
     )
+
+
+def rehash(images: DataFrame, dimension: str, source_id: int | None = None, policy: str = "md5") -> DataFrame:
+    """(id, group_key_l1, group_key_l2, group_key_l3) of a source's images under another dimension.
+
+    Level 2 starts from the new level 1 again; a recluster sets it.
+    """
+    rows = images if source_id is None else images.where(F.col("source_id") == source_id)
+    values = dimension_values(dimension, {c: F.col(c) for c in rows.columns})
+    l1 = rows.withColumn("_l1", key_l1(dimension, values, policy))
+    return l1.select("id", F.col("_l1").alias("group_key_l1"), F.col("_l1").alias("group_key_l2"), key_l3(dimension, F.col("_l1"), F.col("prompt_pos"), policy).alias("group_key_l3"))

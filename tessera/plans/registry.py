@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import keys, scores, text
 from tessera.operators import clustering, graphs, groups, identity, ranking, recommend, reconcile, review, similarity
 from tessera.plans import bindings as b
+from tessera.store import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -142,11 +143,13 @@ def a17(spark, sf_dir):
     return groups.thumbnails(b.images(spark, sf_dir), 1).withColumn("paths", _listed("paths"))
 
 
-@register("a18_export_rows", f"""WITH {b.IMAGES_SQL}, {b.SCORES_SQL} SELECT id, abs_path, prompt_pos, checkpoint, group_key_l3,
-CASE WHEN internal_score IS NULL THEN '' ELSE printf('%.2f', internal_score) END AS score,
-concat_ws(';', CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS labels
-FROM images LEFT JOIN scores ON id = image_id LEFT JOIN labels ON id = doc_id""")
-def a18(spark, sf_dir):
+_EXPORT = f"""WITH {b.IMAGES_SQL}, {b.SCORES_SQL}, rows AS (SELECT id, filename, abs_path, concat('/lib/', group_key_l0) AS source, prompt_pos AS prompt_positive, prompt_neg AS prompt_negative,
+checkpoint AS model, concat('[', array_to_string(list_transform(lora_names, lambda x: concat('{{"name":"', x, '","strength":1.0}}')), ','), ']') AS loras, '' AS vae, '' AS sampler,
+seed, steps, 0.0::DOUBLE AS cfg, group_key_l3 AS group_key, concat_ws(';', CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS labels,
+internal_score AS score, '' AS notes, '' AS scanned_at FROM images LEFT JOIN scores ON id = image_id LEFT JOIN labels ON id = doc_id)"""
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators.export import export_rows
 
     labels = b.table(spark, sf_dir, "labels")
@@ -154,8 +157,59 @@ def a18(spark, sf_dir):
     on = labels.where("quality = 1").select(F.col("doc_id").alias("image_id"), F.lit(1).cast("bigint").alias("label_id")).union(
         labels.where("toxic = 1").select(F.col("doc_id").alias("image_id"), F.lit(2).cast("bigint").alias("label_id"))
     )
-    rows = export_rows(b.images(spark, sf_dir), b.scores(spark, sf_dir), on, names)
-    return rows.select("id", "abs_path", "prompt_pos", "checkpoint", "group_key_l3", "score", "labels")
+    images = b.images(spark, sf_dir)
+    sources = images.select(F.col("source_id").alias("id"), F.concat(F.lit("/lib/"), "group_key_l0").alias("path")).distinct()
+    return export_rows(images, sources, b.scores(spark, sf_dir), on, names)
+
+
+@register("a18_export_rows", _EXPORT + " SELECT * FROM rows")
+def a18(spark, sf_dir):
+    return _export(spark, sf_dir)
+
+
+@register("k1_export_csv", _EXPORT + """ SELECT filename, abs_path, source, md5(prompt_positive) AS prompt_positive, model, loras, seed::VARCHAR AS seed, steps::VARCHAR AS steps, '0.0' AS cfg, group_key,
+labels, CASE WHEN score IS NULL THEN '' ELSE printf('%.2f', score) END AS score, concat(prompt_negative, vae, sampler, notes, scanned_at) AS empty FROM rows""")
+def k1(spark, sf_dir):
+    """The file as it is read back."""
+    from tessera.operators.export import COLUMNS, write_csv
+
+    path = scratch_path(spark, "export")
+    write_csv(_export(spark, sf_dir), path)
+    back = spark.read.options(header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path).na.fill("")
+    assert tuple(back.columns) == COLUMNS
+    empty = F.concat("prompt_negative", "vae", "sampler", "notes", "scanned_at").alias("empty")
+    return back.select("filename", "abs_path", "source", F.md5("prompt_positive").alias("prompt_positive"), "model", "loras", "seed", "steps", "cfg", "group_key", "labels", "score", empty)
+
+
+@register("k2_export_json", _EXPORT + """ SELECT filename, md5(prompt_positive) AS prompt_positive, loras, seed, cfg, labels, score, notes FROM rows""")
+def k2(spark, sf_dir):
+    from tessera.operators.export import write_json
+
+    path = scratch_path(spark, "export")
+    write_json(_export(spark, sf_dir), path)
+    return spark.read.json(path).select("filename", F.md5("prompt_positive").alias("prompt_positive"), "loras", "seed", "cfg", "labels", "score", "notes")
+
+
+_FILES = """files AS (SELECT doc_id AS id, concat('m', doc_id % 3) AS folder, CASE WHEN doc_id % 10 = 0 THEN concat('img', doc_id % 7, '_', doc_id % 9 + 1, '.png') ELSE concat('img', doc_id % 7, '.png') END AS filename FROM documents),
+taken AS (SELECT 'm1' AS folder, unnest(['img2.png', 'img2_1.png', 'img3_2.png']) AS filename)"""
+
+
+@register("k3_archive_plan", f"""WITH {_FILES}, r AS (SELECT id, folder, filename, row_number() OVER (PARTITION BY folder, filename ORDER BY id)
+  - CASE WHEN (folder, filename) IN (SELECT (folder, filename) FROM taken) THEN 0 ELSE 1 END AS rank FROM files),
+used AS (SELECT DISTINCT folder, regexp_extract(filename, '^(.+)_([0-9]+)\\.png$', 1) AS stem, try_cast(regexp_extract(filename, '^(.+)_([0-9]+)\\.png$', 2) AS BIGINT) AS k
+  FROM (SELECT folder, filename FROM files UNION SELECT folder, filename FROM taken) WHERE regexp_matches(filename, '_[0-9]+\\.png$')),
+free AS (SELECT g.folder, g.stem, n.k, row_number() OVER (PARTITION BY g.folder, g.stem ORDER BY n.k) AS rank
+  FROM (SELECT folder, replace(filename, '.png', '') AS stem, max(rank) AS most FROM r WHERE rank > 0 GROUP BY 1, 2) g, LATERAL (SELECT unnest(range(1, g.most + 100)) AS k) n
+  WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = g.folder AND u.stem = g.stem AND u.k = n.k))
+SELECT id, r.folder, CASE WHEN r.rank = 0 THEN filename ELSE concat(free.stem, '_', free.k, '.png') END AS name FROM r LEFT JOIN free ON r.folder = free.folder AND free.stem = replace(filename, '.png', '') AND free.rank = r.rank""")
+def k3(spark, sf_dir):
+    from tessera.operators.export import archive_plan
+
+    own = F.concat(F.lit("img"), (F.col("doc_id") % 7).cast("string"))
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(own, F.lit("_"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(".png"))).otherwise(F.concat(own, F.lit(".png")))
+    files = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("abs_path"), name.alias("filename"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("checkpoint"))
+    taken = spark.createDataFrame([("m1", "img2.png"), ("m1", "img2_1.png"), ("m1", "img3_2.png")], "folder string, filename string")
+    return archive_plan(files, "checkpoint", taken).select("id", "folder", "name")
 
 
 @register("p5_needs_reparse", f"WITH {b.IMAGES_SQL} SELECT id FROM images WHERE NOT meta_ok OR parser_version IS DISTINCT FROM 'v2'")
@@ -220,6 +274,33 @@ def g2(spark, sf_dir):
     return b.images(spark, sf_dir).select("id", keys.key_l1("lora", values).alias("l1"), keys.dimension_label(values).alias("label"))
 
 
+def _rehash(dimension: str, value: str) -> None:
+    value = f"coalesce(nullif(trim({value}), ''), '(unknown)')"
+    l1 = f"substr(md5(concat('model-deviation:v2', chr(1), '{dimension}', chr(1), {value}, chr(31))), 1, 16)"
+
+    @register(f"g3_rehash_{dimension}", f"""WITH {b.IMAGES_SQL}, k AS (SELECT id, prompt_pos, {l1} AS l1 FROM images)
+SELECT id, l1 AS group_key_l1, l1 AS group_key_l2, substr(md5(concat('model-deviation:v2', chr(1), '{dimension}', chr(1), l1, chr(3), lower(trim(regexp_replace(prompt_pos, '\\s+', ' ', 'g'))))), 1, 16) AS group_key_l3 FROM k""")
+    def query(spark, sf_dir, dimension=dimension):
+        return groups.rehash(b.images(spark, sf_dir), dimension)
+
+
+for _dimension, _value in {
+    "base_model": "coalesce(nullif(trim(diffusion_model), ''), checkpoint)", "diffusion_model": "diffusion_model", "text_encoder": "text_encoder", "controlnet": "controlnet",
+}.items():
+    _rehash(_dimension, _value)
+
+
+@register("g2_embedding_key", """WITH t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN [concat('e', doc_id % 5)] WHEN doc_id % 3 = 1 THEN list_sort([concat('e', doc_id % 5), 'z 9']) ELSE ['(unknown)'] END AS v FROM documents)
+SELECT id, substr(md5(concat('model-deviation:v2', chr(1), 'embedding', chr(1), array_to_string(list_transform(v, lambda x: x || chr(31)), ''))), 1, 16) AS l1 FROM t""")
+def g2_embedding(spark, sf_dir):
+    k = (F.col("doc_id") % 5).cast("string")
+    prompt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a cat, embedding:e"), k, F.lit("., x"))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("Embedding:z 9, b (embedding:e"), k, F.lit(")"))
+    ).otherwise("none of them: xembedding:q")
+    values = keys.dimension_values("embedding", {"prompt_pos": F.col("prompt_pos")})
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), prompt.alias("prompt_pos")).select("id", keys.key_l1("embedding", values).alias("l1"))
+
+
 @register("g4_tokens", """WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[,\\s]+'), lambda x: x <> '') AS tok FROM documents)
 SELECT doc_id, len(tok) AS n_tokens, len(list_distinct(tok)) AS n_distinct FROM t""")
 def g4(spark, sf_dir):
@@ -431,7 +512,7 @@ def r1(spark, sf_dir):
 def r2(spark, sf_dir):
     events = b.table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     other = F.col("user_id") + 1
-    vote = F.col("event_type").isin("click", "purchase") & (F.col("event_id") % 40 == 0)
+    vote = F.col("event_type").isin("click", "purchase")
     mode = F.when(vote, "arena").when(F.col("event_type") == "error", "hide").when(F.col("event_type") == "signup", "unhide").otherwise("swipe")
     rows = events.withColumn("mode", mode).select(
         F.col("event_id").cast("string").alias("action_id"), "mode", F.when(~vote, F.col("user_id")).alias("image_id"), F.when(vote, F.col("user_id")).alias("left"),

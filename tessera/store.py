@@ -14,18 +14,33 @@ _OWN: list[str] = []
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or one of our own where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session (tests) gets a folder of its own; on a
+    cluster no machine's own folder would do, so that is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _OWN[0]
-    return f"{base}/tessera-{spark.sparkContext.applicationId}"
+    return f"{base}/tessera-{context.applicationId}"
+
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the scratch folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-def table_of(df: DataFrame) -> DataFrame:
-    """``df`` written as a scratch table and read again."""
-    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+
+def table_of(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written as a scratch table and read again.
+
+    Cuts the lineage: a lost executor costs at most a re-read of the files.
+    """
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

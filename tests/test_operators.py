@@ -218,6 +218,10 @@ def test_contained_prefers_the_equal_graph(spark):
 def test_archive_plan_numbers_equal_names(spark):
     df = spark.createDataFrame([(1, "/a/x.png", "x.png", "m/1"), (2, "/b/x.png", "x.png", "m/1"), (3, "/c/y.png", "y.png", "")], "id bigint, abs_path string, filename string, checkpoint string")
     assert [r.name for r in export.archive_plan(df).orderBy("id").collect()] == ["x.png", "x_1.png", "y.png"]
+    odd = spark.createDataFrame([(1, "", "x.png", ""), (2, "", "x.png", ""), (3, "", "x_1.png", ""), (4, "", "x.png", ""), (5, "", "x_1.png", "")], df.schema)
+    taken = spark.createDataFrame([("", "x_3.png"), ("", "x_1_1.png")], "folder string, filename string")
+    assert [r.name for r in export.archive_plan(odd).orderBy("id").collect()] == ["x.png", "x_2.png", "x_1.png", "x_3.png", "x_1_1.png"]
+    assert [r.name for r in export.archive_plan(odd, taken=taken).orderBy("id").collect()] == ["x.png", "x_2.png", "x_1.png", "x_4.png", "x_1_2.png"]
     assert [r.folder for r in export.archive_plan(df, "checkpoint").orderBy("id").collect()] == ["m1", "m1", "unknown"]
 
 
