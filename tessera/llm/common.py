@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-T = TypeVar("T")
-_OWN_FOLDER: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _OWN_FOLDER:
-            _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = _OWN_FOLDER[0]
-    return f"{base}/tessera-{spark.sparkContext.applicationId}"
-
+from tessera.operators.components import components as connected_components  # noqa: F401
+from tessera.store import table_of as cut  # noqa: F401
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
-
-    Cuts the lineage: a lost executor costs at most a re-read of the files.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+T = TypeVar("T")
 
 
 def crc_mod(column: Column, modulus: int) -> Column:
@@ -67,40 +47,6 @@ def labelled_sample(labels: DataFrame, label: str, usable: Column, max_docs: int
     return clean
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable id of every node of ``edges`` (a, b): rows (node, component).
-
-    Min-label propagation with pointer jumping: each round takes the least
-    label among a node and its neighbours, then the label of that label, so
-    the rounds grow with the logarithm of the diameter. Every round ends in a
-    table of the shared folder; only a flag comes to the driver. No edges
-    give no rows.
-    """
-    both = cut(
-        edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges"
-    )
-    labels = cut(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        .select("node", F.least("node", "low").alias("component")), "labels",
-    )
-    while True:
-        around = (
-            both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("around"))
-        )
-        step = (
-            labels.join(around, F.col("node") == F.col("a"))
-            .select("node", F.col("component").alias("was"), F.least("component", "around").alias("hop"))
-        )
-        jump = labels.select(F.col("node").alias("hop"), F.col("component").alias("far"))
-        table = cut(
-            step.join(jump, "hop", "left")
-            .select("node", F.least("hop", F.coalesce("far", "hop")).alias("component"), "was"), "labels",
-        )
-        labels = table.select("node", "component")
-        if table.where("component <> was").isEmpty():
-            return labels
-
-
 _REMEMBERED: dict[str, object] = {}
 
 
