@@ -33,8 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut
-
 MIN_WORDS = 8
 #: A sentence with its closing marks and the blanks that follow it, or the rest of a line.
 _SENTENCE = re.compile(r"[^.!?\n。！？…]*[.!?。！？…]+[^\S\n]*|[^.!?\n。！？…]+")
@@ -156,7 +154,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), last).alias("rank"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text"
     )
-    found = cut(rows.mapInArrow(partial(_units, min_words=min_words), ", ".join(f"{c} long" for c in _COLUMNS)), "units")
+    # read twice, from the texts: units are cheaper to make again than to keep
+    found = rows.mapInArrow(partial(_units, min_words=min_words), ", ".join(f"{c} long" for c in _COLUMNS))
     first = (
         found.groupBy("d1", "d2").agg(F.min(F.struct("rank", "key", "start")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").drop("n")
