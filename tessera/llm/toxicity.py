@@ -67,17 +67,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word counts by class of each batch's rows that are counted, and the rows that are held for the curve."""
     for batch in batches:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-            found[1 if label else 0].update(words(text))
+        held = []
+        for text, label, hold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "hold"))):
+            if hold:
+                held.append((text or "", label))
+            else:
+                found[1 if label else 0].update(words(text))
         every = list(found[0].keys() | found[1].keys())
+        n, m = len(every), len(held)
         yield pa.RecordBatch.from_pydict({
-            "word": pa.array(every, pa.string()),
-            "n0": pa.array([found[0][w] for w in every], pa.int64()),
-            "n1": pa.array([found[1][w] for w in every], pa.int64()),
-        })
+            "word": pa.array(every + [None] * m, pa.string()), "n0": pa.array([found[0][w] for w in every] + [None] * m, pa.int64()),
+            "n1": pa.array([found[1][w] for w in every] + [None] * m, pa.int64()), "text": pa.array([None] * n + [t for t, _ in held], pa.string()),
+            "label": pa.array([None] * n + [y for _, y in held], pa.int32()),
+        })
 
 
 def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
@@ -231,14 +237,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "t
     known = cut(labelled(labels, label, usable), "labels")
     share = min(1_000_000 // p.calibrate, p.max_docs * 1_000_000 // max(1, known.count()))
     held = F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(1_000_000)) < share
-    train = rows.join(known.withColumn("hold", held), "doc_id")
-    counted = train.where("not hold").select("text", "label").mapInArrow(_counted, "word string, n0 long, n1 long")
-    summed = cut(counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
+    # the same plan at every size: texts of usable rows are sorted by doc_id and merged with the labels, once
+    train = rows.where(usable).join(known.withColumn("hold", held).hint("merge"), "doc_id").select("text", "label", "hold")
+    learned = cut(train.mapInArrow(_learned, "word string, n0 long, n1 long, text string, label int"), "learned")
+    summed = cut(learned.where("word is not null").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "words")
     grams = summed.mapInArrow(partial(_grams, order=p.order), "gram string, n0 long, n1 long").groupBy("gram").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")
     )
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, *packed(ratios(grams, p), p.bits)))  # 5 * 2 ** bits bytes
-    check = train.where("hold").select("text", "label").mapInArrow(
+    check = learned.where("word is null").select("text", "label").mapInArrow(
         partial(_differences, shared=shared, p=p, keep="label"), "label int, x double"
     ).toArrow()  # at most about max_docs rows
     y = check.column("label").to_numpy().astype(float)
