@@ -156,15 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     for _ in range(p.rounds):
         state = docs.sparkSession.sparkContext.broadcast((bias, z, n))  # 2 ** bits numbers each
         ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "shard int, bucket int, z double, n double")
-        # a bucket that a shard has not touched there keeps the state it began with
-        states = F.array_sort(F.collect_list(F.struct("shard", "z", "n")))  # one a shard
-        total_of = lambda c: F.aggregate("s", F.lit(0.0), lambda a, x: a + x[c]).alias(c)
-        mean = ran.groupBy("bucket").agg(states.alias("s")).select("bucket", total_of("z"), total_of("n"), F.size("s").alias("shards")).toArrow()
+        found = ran.toArrow()  # at most shards * 2 ** bits rows
         state.destroy()
-        k, shards = mean.column("bucket").to_numpy(), mean.column("shards").to_numpy()
-        z, n = z.copy(), n.copy()
-        z[k] = mean.column("z").to_numpy() / np.maximum(1, shards)
-        n[k] = mean.column("n").to_numpy() / np.maximum(1, shards)
+        shard, k, dz, dn = (found.column(c).to_numpy() for c in ("shard", "bucket", "z", "n"))
+        total_z, total_n, shards = np.zeros(size), np.zeros(size), np.zeros(size)
+        for own in (shard == s for s in range(p.shards)):
+            total_z[k[own]] += dz[own]
+            total_n[k[own]] += dn[own]
+            shards[k[own]] += 1
+        # a bucket that a shard has not touched there keeps the state it began with
+        z, n = np.where(shards > 0, total_z / np.maximum(1, shards), z), np.where(shards > 0, total_n / np.maximum(1, shards), n)
     return np.append(_weights(z, n, p), bias).astype(np.float32)
 
 
