@@ -58,9 +58,11 @@ def whitelisted(events: DataFrame, allowed: dict[str, list[str]], payload: str =
     fields = sorted({f for names in allowed.values() for f in names})
     parsed = F.from_json(payload, "map<string,string>")
     keep: Column = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    def named(names: list[str]) -> Column:
+        return F.map_filter(parsed, lambda k, v: F.array_contains(F.array(*map(F.lit, names)).cast("array<string>"), k))
+
     for event, names in allowed.items():
-        ok = F.map_filter(parsed, lambda k, v, names=names: k.isin(*names) if names else F.lit(False))
-        keep = F.when(F.col("event_name") == event, ok).otherwise(keep)
-    number = lambda v: F.greatest(F.lit(0).cast("bigint"), F.round(v.try_cast("double")).try_cast("bigint"))
-    tidy = F.transform_values(keep, lambda k, v: F.coalesce(number(v).cast("string"), v))
+        keep = F.when(F.col("event_name") == event, named(names)).otherwise(keep)
+    number = lambda v: F.round(v.try_cast("double")).try_cast("bigint")
+    tidy = F.transform_values(keep, lambda k, v: F.when(number(v).isNotNull(), F.greatest(F.lit(0).cast("bigint"), number(v)).cast("string")).otherwise(v))
     return events.where(F.col("event_name").isin(*allowed)).withColumn(payload, F.to_json(tidy)) if fields else events.where(F.lit(False))

@@ -32,6 +32,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     import tessera.plans.ingest_queries  # noqa: F401  registers on import
+    import tessera.plans.library_queries  # noqa: F401
     import tessera.streaming.queries  # noqa: F401
 
     return dict(_QUERIES)

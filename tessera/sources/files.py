@@ -11,11 +11,15 @@ from tessera.sources.metadata import parse_image
 _GLOB = "*.{" + ",".join(f"[{s[0]}{s[0].upper()}]" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in IMAGE_SUFFIXES) + "}"
 
 
-def binary_files(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """Images of a folder and its subfolders (one level): path, modificationTime, length and, where asked for, content."""
+def binary_files(spark: SparkSession, root: str, with_content: bool = False, only: Column | None = None) -> DataFrame:
+    """Images of a folder and its subfolders (one level): path, modificationTime, length and, where asked for, content.
+
+    ``only`` is a filter of modificationTime and length: the source opens no file outside it.
+    """
     base = root.rstrip("/")
     read = spark.read.format("binaryFile").option("pathGlobFilter", _GLOB)
     df = read.load([base, f"{base}/*/"]) if with_subfolders(spark, base) else read.load(base)
+    df = df if only is None else df.where(only)
     columns = ["path", "modificationTime", "length"] + (["content"] if with_content else [])
     return df.select(*columns).distinct() if not with_content else df.select(*columns).dropDuplicates(["path"])
 

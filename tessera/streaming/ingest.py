@@ -16,6 +16,7 @@ from tessera.functions.keys import (
 from tessera.functions.text import normalize_path
 from tessera.operators.clustering import recluster_text
 from tessera.operators.graphs import assign_templates, contained
+from tessera.operators.groups import needs_reparse
 from tessera.operators.identity import informative, match_files
 from tessera.sources import files
 from tessera.store import Store, table_of
@@ -31,6 +32,7 @@ class Synced:
     renamed: int
     removed: int
     pending: int
+    again: int = 0
 
 
 @F.pandas_udf(T.StringType())
@@ -77,22 +79,41 @@ def identity_keys(images: DataFrame) -> DataFrame:
     )
 
 
+def to_read(ready: DataFrame, known: DataFrame) -> DataFrame:
+    """Listed files (norm_path) to parse: unknown ones, those whose last parse failed or is outdated, and those without a fingerprint."""
+    stale = needs_reparse(PARSER_VERSION) | (F.coalesce("content_fp", F.lit("")) == "")
+    current = known.where(~stale).select(F.col("abs_path").alias("norm_path"))
+    return ready.join(current, "norm_path", "left_anti")
+
+
+def with_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """The contents of the wanted files; others are opened only if as old and as large as some of those."""
+    span = wanted.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("modificationTime", "length") for f in (F.min, F.max))).first()
+    if span["min_length"] is None:
+        return wanted.withColumn("content", F.lit(None).cast("binary"))
+    only = F.col("modificationTime").between(span["min_modificationTime"], span["max_modificationTime"]) & F.col("length").between(span["min_length"], span["max_length"])
+    return files.binary_files(spark, root, with_content=True, only=only).join(wanted.select("path", "norm_path"), "path")
+
+
 def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_model", wait: bool = True) -> Synced:
-    """One pass: new files are parsed, renamed ones keep their row, rows without a file go, touched L1 buckets are reclustered.
+    """One pass: new files are parsed, failed or outdated ones again, renamed ones keep their row, rows without a file go.
 
-    Files younger than the stability window wait for the next pass. The diff is
-    by path, so a pure rename is seen.
+    Touched L1 buckets are reclustered. Files younger than the stability window
+    wait for the next pass. The diff is by path, so a pure rename is seen.
     """
     spark = store.spark
-    listed = files.binary_files(spark, root, with_content=True).withColumn("norm_path", normalize_path(F.col("path")))
+    listed = table_of(files.binary_files(spark, root).withColumn("norm_path", normalize_path(F.col("path"))))
     ready, young = files.stable(listed) if wait else (listed, listed.limit(0))
     known = store.read("images").where(F.col("source_id") == source_id)
-    fresh = ready.join(known.select(F.col("abs_path").alias("norm_path")), "norm_path", "left_anti")
+    wanted = with_contents(spark, root, table_of(to_read(ready, known)))
     parsed = files.with_companion(
-        fresh.select("path", "norm_path", "modificationTime", "length", fingerprint("content").alias("content_fp"), files.parse_image("path", "content").alias("meta")),
+        wanted.select("path", "norm_path", "modificationTime", "length", fingerprint("content").alias("content_fp"), files.parse_image("path", "content").alias("meta")),
         files.companions(spark, root),
     )
-    rows = table_of(image_columns(parsed, source_id, root, dimension))
+    read = table_of(image_columns(parsed, source_id, root, dimension))
+    before = known.select("abs_path", F.col("id").alias("_id"), F.col("group_key_l1").alias("_l1"), F.col("group_key_l3").alias("_l3"))
+    again = table_of(read.join(before, "abs_path").withColumn("id", F.col("_id")))
+    rows = table_of(read.join(before.select("abs_path"), "abs_path", "left_anti"))
     gone = known.join(listed.select(F.col("norm_path").alias("abs_path")), "abs_path", "left_anti")
     renamed = table_of(match_files(identity_keys(gone), identity_keys(rows)))
     moves = renamed.join(rows.select(F.col("id").alias("new_id"), "abs_path", "filename", "modified_at"), "new_id").select(
@@ -101,14 +122,17 @@ def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_
     moves = table_of(moves)
     inserts = table_of(rows.join(renamed.select(F.col("new_id").alias("id")), "id", "left_anti"))
     pending = young.join(known.select(F.col("abs_path").alias("norm_path")), "norm_path", "left_anti").count()
-    touched = inserts.select("group_key_l1")
+    changed = again.where(~F.col("group_key_l1").eqNullSafe(F.col("_l1")) | ~F.col("group_key_l3").eqNullSafe(F.col("_l3")))
+    touched = inserts.select("group_key_l1").union(changed.select("group_key_l1")).union(changed.select("_l1"))
+    if not again.isEmpty():
+        store.update("images", again.drop("_id", "_l1", "_l3", "source_id", "abs_path", "group_key_l2", "hidden"))
     if not moves.isEmpty():
         store.update("images", moves)
     if not inserts.isEmpty():
         store.append("images", inserts)
     removed = store.delete_missing(source_id, listed.select("norm_path"))
     recluster_touched(store, touched.union(removed.select("group_key_l1")))
-    return Synced(inserts.count(), moves.count(), removed.count(), pending)
+    return Synced(inserts.count(), moves.count(), removed.count(), pending, again.count())
 
 
 def recluster_touched(store: Store, l1: DataFrame, threshold: float = JACCARD_THRESHOLD) -> None:

@@ -40,6 +40,23 @@ def test_sync_keeps_identity_through_renames(spark, tmp_path):
     assert (done.new, done.pending) == (0, 1)
 
 
+def test_failed_and_unfingerprinted_rows_are_read_again(spark, tmp_path):
+    root = tmp_path / "images"
+    root.mkdir()
+    for name, prompt, seed in (("a.png", "a cat", 1), ("b.png", "a dog", 2), ("c.png", "a fox", 3)):
+        (root / name).write_bytes(graph(prompt, seed))
+    store = Store(spark, str(tmp_path / "lib"))
+    sync_source(store, 1, str(root), wait=False)
+    assert sync_source(store, 1, str(root), wait=False).again == 0
+    first = {r.filename: r for r in store.read("images").collect()}
+    broken = [(first["a.png"].id, False, "lost", first["a.png"].content_fp), (first["b.png"].id, True, "a dog", "")]
+    store.update("images", spark.createDataFrame(broken, "id bigint, meta_ok boolean, prompt_pos string, content_fp string"))
+    done = sync_source(store, 1, str(root), wait=False)
+    assert (done.new, done.renamed, done.removed, done.again) == (0, 0, 0, 2)
+    after = {r.filename: r for r in store.read("images").collect()}
+    assert after == first
+
+
 def test_templates_are_matched(spark, tmp_path):
     root = tmp_path / "images"
     root.mkdir()
