@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.identity import match_files
+from tessera.store import Store, table_of
 
 
 @dataclass
@@ -72,3 +73,12 @@ def plan_recovery(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> Plan:
         .join(new["scores"].select("image_id"), "image_id", "left_anti")
     )
     return Plan(matches, keys, bindings, labels, scores)
+
+
+def apply(store: Store, plan: Plan) -> None:
+    """Write a plan into the new library: bindings with their level-2 keys, labels, scores. What is there already stays."""
+    bindings, labels, scores = (table_of(df) for df in (plan.bindings, plan.labels, plan.scores))
+    store.insert_absent("manual_group_bindings", bindings)
+    store.update("images", bindings.where("level = 2").select(F.col("image_id").alias("id"), F.col("group_key").alias("group_key_l2")))
+    store.insert_absent("image_labels", labels)
+    store.insert_absent("scores", scores)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import json_clean, keys, scores, text, vectors
-from tessera.operators import clustering, groups, ranking
+from tessera.operators import clustering, groups, ranking, reconcile
 from tessera.plans import bindings as b
-from tessera.plans.registry import register
+from tessera.plans.registry import MATCH_SQL, register
 from tessera.store import Store, scratch_path
 
 # --- selections
@@ -226,3 +226,31 @@ def k13(spark, sf_dir):
     store = _store(spark, images=b.images(spark, sf_dir))
     store.hide("group_key_l2", "en-0", source_id=1)
     return store.read("images").select("id", "hidden")
+
+
+@register("g22_apply_recovery", f"""WITH {MATCH_SQL}, bound AS (SELECT new_id AS id FROM m WHERE old_id % 4 = 0)
+SELECT 'binding' AS what, id, 'pin' AS "value" FROM bound
+UNION ALL SELECT 'key', id, CASE WHEN id IN (SELECT id FROM bound) THEN 'pin' ELSE group_key_l2 END FROM files WHERE side = 1
+UNION ALL SELECT 'label', new_id, '9' FROM m WHERE old_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'score', id, '1' FROM files WHERE side = 1 AND id % 3 = 0
+UNION ALL SELECT 'score', new_id, (old_id % 101)::VARCHAR FROM m WHERE new_id % 3 <> 0""")
+def g22(spark, sf_dir):
+    """Even documents are the old library, odd ones the new; what the new one holds after recovery."""
+    files = [b.identity_rows(spark, sf_dir, side) for side in (0, 1)]
+    names = [spark.createDataFrame([(k, "toxic")], "id bigint, name string") for k in (1, 9)]
+    bound = files[0].where("id % 4 = 0").select(
+        F.lit(2).alias("level"), F.col("id").alias("image_id"), F.lit("pin").alias("group_key"), F.lit("split").alias("kind"), F.lit(None).cast("string").alias("prev_group_key")
+    )
+    toxic = b.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("image_id"), F.lit(1).cast("long").alias("label_id"))
+    rated = [rows.select(F.col("id").alias("image_id"), score.alias("internal_score")) for rows, score in (
+        (files[0], (F.col("id") % 101).cast("double")), (files[1].where("id % 3 = 0"), F.lit(1.0)))]
+    store = _store(spark, images=files[1], scores=rated[1], labels=names[1])
+    old = {"images": files[0], "manual_group_bindings": bound, "labels": names[0], "image_labels": toxic, "scores": rated[0]}
+    new = {t: store.read(t) for t in ("manual_group_bindings", "labels", "image_labels", "scores")} | {"images": files[1]}
+    reconcile.apply(store, reconcile.plan_recovery(old, new))
+    found = {
+        "binding": ("manual_group_bindings", "image_id", "group_key"), "key": ("images", "id", "group_key_l2"), "label": ("image_labels", "image_id", "label_id"),
+        "score": ("scores", "image_id", "CAST(internal_score AS BIGINT)"),
+    }
+    parts = [store.read(t).select(F.lit(what).alias("what"), F.col(key).alias("id"), F.expr(value).cast("string").alias("value")) for what, (t, key, value) in found.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -444,7 +444,7 @@ def g21_tokens(spark, sf_dir):
     return similarity.suggest_by_tokens(rows.where("id % 50 = 0"), rows).withColumn("score", F.round("score", 6))
 
 
-_MATCH = f"""{b.IDENTITY_SQL}, keyed AS (SELECT id, side, 1 AS tier, 'content_key' AS basis, content_key AS k FROM files
+MATCH_SQL = f"""{b.IDENTITY_SQL}, keyed AS (SELECT id, side, 1 AS tier, 'content_key' AS basis, content_key AS k FROM files
   UNION ALL SELECT id, side, 2, 'metadata', meta_sig FROM files UNION ALL SELECT id, side, 3, 'content_hash', content_fp FROM files),
 once AS (SELECT tier, basis, k, side, min(id) AS id FROM keyed WHERE k <> '' GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
 pairs AS (SELECT a.tier, a.basis, a.id AS old_id, b.id AS new_id FROM once a JOIN once b ON a.tier = b.tier AND a.k = b.k AND a.side = 0 AND b.side = 1),
@@ -453,17 +453,17 @@ m2 AS (SELECT * FROM m1 UNION ALL SELECT * FROM pairs WHERE tier = 2 AND old_id
 m AS (SELECT * FROM m2 UNION ALL SELECT * FROM pairs WHERE tier = 3 AND old_id NOT IN (SELECT old_id FROM m2) AND new_id NOT IN (SELECT new_id FROM m2))"""
 
 
-@register("g18_match_files", f"WITH {_MATCH} SELECT old_id, new_id, basis FROM m")
+@register("g18_match_files", f"WITH {MATCH_SQL} SELECT old_id, new_id, basis FROM m")
 def g18(spark, sf_dir):
     return identity.match_files(b.identity_rows(spark, sf_dir, 0), b.identity_rows(spark, sf_dir, 1))
 
 
-@register("a11_basis_histogram", f"WITH {_MATCH} SELECT basis, count(*) AS n FROM m GROUP BY 1")
+@register("a11_basis_histogram", f"WITH {MATCH_SQL} SELECT basis, count(*) AS n FROM m GROUP BY 1")
 def a11(spark, sf_dir):
     return identity.basis_histogram(g18(spark, sf_dir))
 
 
-@register("j17_majority_keys", f"""WITH {_MATCH}, v AS (SELECT o.group_key_l2 AS old_key, n.group_key_l2 AS new_key, count(*) AS c FROM m JOIN files o ON m.old_id = o.id JOIN files n ON m.new_id = n.id GROUP BY 1, 2),
+@register("j17_majority_keys", f"""WITH {MATCH_SQL}, v AS (SELECT o.group_key_l2 AS old_key, n.group_key_l2 AS new_key, count(*) AS c FROM m JOIN files o ON m.old_id = o.id JOIN files n ON m.new_id = n.id GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY old_key ORDER BY c DESC, new_key) AS rn FROM v) SELECT old_key, new_key FROM r WHERE rn = 1""")
 def j17(spark, sf_dir):
     old, new = b.identity_rows(spark, sf_dir, 0), b.identity_rows(spark, sf_dir, 1)

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.constants import JACCARD_THRESHOLD
 from tessera.functions.keys import (
     complete_recipe, content_key, dimension_values, key_l0, key_l1, key_l3, metadata_signature, normalized_recipe, recipe_signature,
 )
 from tessera.functions.text import normalize_path
-from tessera.operators.clustering import recluster_text
+from tessera.operators.clustering import recluster
 from tessera.operators.graphs import assign_templates, contained
 from tessera.operators.groups import needs_reparse
 from tessera.operators.identity import informative, match_files
@@ -131,15 +130,18 @@ def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_
     if not inserts.isEmpty():
         store.append("images", inserts)
     removed = store.delete_missing(source_id, listed.select("norm_path"))
-    recluster_touched(store, touched.union(removed.select("group_key_l1")))
+    recluster_touched(store, touched.union(removed.select("group_key_l1")), source_id)
     return Synced(inserts.count(), moves.count(), removed.count(), pending, again.count())
 
 
-def recluster_touched(store: Store, l1: DataFrame, threshold: float = JACCARD_THRESHOLD) -> None:
-    """New level-2 keys for the L1 buckets that changed, and only those."""
+def recluster_touched(store: Store, l1: DataFrame, source_id: int | None = None) -> None:
+    """New level-2 keys for the L1 buckets that changed, and only those, in the source's stored mode and threshold (else text)."""
     touched = l1.distinct()
     images = store.read("images").join(touched, "group_key_l1", "left_semi")
-    keys = table_of(recluster_text(images, store.read("manual_group_bindings"), threshold))
+    source = store.read("sources").where(F.col("id") == source_id).first() if source_id is not None else None
+    mode = (source and source["l2_mode"]) or "text"
+    threshold = source and source["l2_threshold" if mode == "text" else f"l2_{mode}_threshold"]
+    keys = table_of(recluster(images, store.read("image_signatures"), store.read("manual_group_bindings"), mode, threshold))
     if not keys.isEmpty():
         store.update("images", keys.withColumnRenamed("group_key", "group_key_l2"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import files
 from tessera.store import Store
-from tessera.streaming.ingest import refresh_templates, sync_source
+from tessera.streaming.ingest import recluster_touched, refresh_templates, sync_source
 from tests.test_sources import GRAPH, png
 
 
@@ -57,6 +57,23 @@ def test_failed_and_unfingerprinted_rows_are_read_again(spark, tmp_path):
     assert after == first
 
 
+def test_touched_buckets_follow_the_stored_mode(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "lib"))
+    images = [(1, "x", "x", "a b c"), (2, "x", "x", "d e f"), (3, "x", "x", "a b c"), (4, "y", "old", "a b c")]
+    store.append("images", spark.createDataFrame(images, "id bigint, group_key_l1 string, group_key_l2 string, prompt_pos string"))
+    store.append("sources", spark.createDataFrame([(5, "/p", "visual", 0.9)], "id bigint, path string, l2_mode string, l2_visual_threshold double"))
+    vectors = [(i, "vision", "clip-vit-b32-q", v) for i, v in ((1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]))]
+    store.append("image_signatures", spark.createDataFrame(vectors, "image_id bigint, slot string, model_id string, vec array<float>"))
+    touched = spark.createDataFrame([("x",)], "group_key_l1 string")
+    key = lambda: {r.id: r.group_key_l2 for r in store.read("images").collect()}
+    recluster_touched(store, touched, 5)
+    seen = key()
+    assert seen[1] == seen[2] != seen[3] and seen[4] == "old"
+    recluster_touched(store, touched)
+    text = key()
+    assert text[1] == text[3] != text[2] and text[4] == "old"
+
+
 def test_templates_are_matched(spark, tmp_path):
     root = tmp_path / "images"
     root.mkdir()
