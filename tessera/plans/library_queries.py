@@ -14,10 +14,10 @@ from tessera.store import Store, scratch_path
 # --- selections
 
 
-@register("p8_filename_filter", f"WITH {b.IMAGES_SQL} SELECT id FROM images WHERE contains(filename, 'g10') AND hidden")
+@register("p8_filename_filter", f"WITH {b.IMAGES_SQL} SELECT id FROM images WHERE contains(filename, 'g1') AND hidden")
 def p8(spark, sf_dir):
     rows = b.images(spark, sf_dir).withColumn("score", F.lit(None).cast("double"))
-    return ranking.browse(rows, "seed", " G10 ", only_hidden=True).select("id")
+    return ranking.browse(rows, "seed", " G1 ", only_hidden=True).select("id")
 
 
 @register("p10_file_missing", f"WITH {b.IMAGES_SQL} SELECT id, id % 3 = 0 AS file_missing FROM images")
