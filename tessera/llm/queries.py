@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, sql, toxicity, url_filter,
+    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, ranked_search, sql, toxicity, url_filter,
 )
 from tessera.llm.common import crc_mod
 
@@ -76,6 +76,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -86,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_near_dup": sql.NEAR_DUP,
         "op7_e8_near_vectors": sql.NEAR_VECTORS,
         "op8_pfair_mixing": sql.MIXING,
+        "op11_ranked_search": ranked_search.ORACLE,
     }
