@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, ranked_search, sql, toxicity, url_filter,
+    html_text, lattice_dup, line_dedup, mixing, near_dup, packing, prefix_trie, quality_model, quality_rules,
+    ranked_search, sql, toxicity, url_filter,
 )
 from tessera.llm.common import crc_mod
 
@@ -80,6 +81,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_e8_near_vectors": sql.NEAR_VECTORS,
         "op8_pfair_mixing": sql.MIXING,
         "op11_ranked_search": ranked_search.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
