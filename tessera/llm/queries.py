@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (
     html_text, lattice_dup, line_dedup, mixing, near_dup, packing, prefix_trie, quality_model, quality_rules,
-    ranked_search, sql, toxicity, url_filter,
+    ranked_search, sql, toxicity, url_filter, warc,
 )
 from tessera.llm.common import crc_mod
 
@@ -85,6 +85,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
 
 
+def op13_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -97,4 +101,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_pfair_mixing": sql.MIXING,
         "op11_ranked_search": ranked_search.ORACLE,
         "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_warc_chain": warc.ORACLE,
     }
