@@ -19,4 +19,4 @@ def test_stages_in_order(spark):
 
 def test_each_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
