@@ -3,25 +3,38 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.constants import POLL_SECONDS
-from tessera.operators.review import check_telemetry, swipe_scores
+from tessera.operators.review import check_telemetry
 from tessera.plans import bindings as b
 from tessera.plans.registry import register
-from tessera.store import scratch_folder
+from tessera.store import scratch_folder, scratch_path
+from tessera.streaming import folds
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream; each new file is read once (offset log instead of change watermarks)."""
     schema = b.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(_folder(sf_dir))
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
-def _folder(sf_dir: str) -> str:
-    return sf_dir
+def delivered(spark: SparkSession, sf_dir: str, first: Column, run: Callable[[DataFrame, str], None]) -> str:
+    """Events as two deliveries into one folder, the rows of ``first`` and then the rest; ``run`` (stream, folder) runs after each.
+
+    Each run starts the stream anew from its checkpoint, as after a stop. Gives the folder.
+    """
+    events = b.table(spark, sf_dir, "events")
+    base = scratch_path(spark, "deliveries")
+    middle = events.agg(F.expr("(min(unix_micros(CAST(ts AS timestamp))) + max(unix_micros(CAST(ts AS timestamp)))) div 2").alias("m")).first()["m"]
+    early = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) < F.lit(middle), F.lit(True))
+    for part in (early & first, ~(early & first)):
+        events.where(part).write.mode("append").parquet(f"{base}/in")
+        run(spark.readStream.schema(events.schema).parquet(f"{base}/in"), base)
+    return base
 
 
 def run_once(stream: DataFrame, each=None, poll: bool = False):
@@ -42,17 +55,6 @@ def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 min
     return timed.groupBy(F.window("at", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def folded_log(spark: SparkSession, events: DataFrame, state_path: str):
-    """A foreachBatch function that appends swipes to a log; scores are the fold of the log at any time."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
-
-    return each
-
-
-
-
 def swipes(events: DataFrame) -> DataFrame:
     """Events as swipes: purchases right, clicks up, errors left, views down."""
     gesture = F.create_map(*(F.lit(x) for x in ("purchase", "right", "click", "up", "error", "left", "view", "down")))
@@ -63,9 +65,42 @@ def swipes(events: DataFrame) -> DataFrame:
 SELECT user_id AS image_id, list_reduce(list_prepend(50.0::DOUBLE, list(d::DOUBLE ORDER BY ts, event_id)), lambda x, y: greatest(0, least(100, x + y))) AS score
 FROM e WHERE d IS NOT NULL GROUP BY 1""")
 def st10(spark, sf_dir):
-    state = f"{scratch_folder(spark)}/log-{uuid.uuid4().hex}"
-    run_once(swipes(event_stream(spark, sf_dir)), folded_log(spark, None, state))
-    return swipe_scores(spark.read.parquet(state))
+    def run(stream: DataFrame, base: str) -> None:
+        folds.run_available(folds.streamed_scores(swipes(stream)), f"{base}/rows", f"{base}/checkpoint", mode="update")
+
+    base = delivered(spark, sf_dir, F.lit(True), run)
+    return folds.latest(spark, f"{base}/rows", folds.SCORES, "image_id").select("image_id", "score")
+
+
+#: What the second delivery may still add to: the stream's watermark stands at the newest row of the first, less ten minutes.
+_DELIVERED = """cut AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS m FROM events),
+d AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) < m AND event_id % 10 <> 0 AS early FROM events, cut),
+w AS (SELECT (max(us) FILTER (early) // 1000 - 600000) * 1000 AS w1, (max(us) // 1000 - 600000) * 1000 AS w2 FROM d)"""
+
+
+@register("st11_closed_windows", f"""WITH {_DELIVERED}, x AS (SELECT *, us // 3600000000 * 3600000000 AS start FROM d, w)
+SELECT make_timestamp(start) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x WHERE (early OR start + 3600000000 > w1) AND start + 3600000000 <= w2 GROUP BY 1, 2""")
+def st11_windows(spark, sf_dir):
+    base = delivered(spark, sf_dir, F.col("event_id") % 10 != 0, lambda s, at: folds.run_available(folds.windowed(s), f"{at}/rows", f"{at}/checkpoint"))
+    rows = spark.read.schema("start timestamp, event_type string, n bigint, total double").parquet(f"{base}/rows")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_GAP = 1_800_000_000
+_SESSIONS = """{o} AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS s FROM (
+  SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) <= {gap} THEN 0 ELSE 1 END AS new FROM {i})),
+{o}s AS (SELECT user_id, s, min(us) AS first, max(us) + {gap} AS past, count(*) AS n FROM {o} GROUP BY 1, 2)"""
+
+
+@register("st11_sessions", f"""WITH {_DELIVERED}, i1 AS (SELECT user_id, us, event_id FROM d WHERE early), {_SESSIONS.format(o='f', i='i1', gap=_GAP)},
+f_open AS (SELECT user_id, s FROM fs, w WHERE past > w1),
+i2 AS (SELECT user_id, us, event_id FROM f JOIN f_open USING (user_id, s) UNION ALL SELECT user_id, us, event_id FROM d, w WHERE NOT early AND us + {_GAP} > w1), {_SESSIONS.format(o='g', i='i2', gap=_GAP)},
+done AS (SELECT * FROM fs, w WHERE past <= w1 UNION ALL SELECT * FROM gs, w WHERE past <= w2)
+SELECT user_id, make_timestamp(first) AS start, make_timestamp(past) AS "end", n FROM done""")
+def st11_sessions(spark, sf_dir):
+    base = delivered(spark, sf_dir, F.col("event_id") % 10 != 0, lambda s, at: folds.run_available(folds.sessions(s), f"{at}/rows", f"{at}/checkpoint"))
+    rows = spark.read.schema("user_id bigint, start timestamp, end timestamp, n bigint").parquet(f"{base}/rows")
+    return rows.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
 
 
 @register("st11_windowed_counts", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
