@@ -6,7 +6,8 @@ nodes; both ratios are smoothed along the page, fused (geometric mean) and
 compared with a threshold taken from their spread. An article or main element
 around a node raises its ratio; links, and class names or ids of boilerplate
 (menus, side bars, notices, adverts, comments), lower it. The common ancestor of
-all paths over the threshold bounds the article. Navigation, headers, footers,
+all paths over the threshold bounds the article; within it, text of any length
+stays unless its names or its links speak against it. Navigation, headers, footers,
 asides, forms and hidden elements are never part of it.
 
 Nulls and edges: null or empty html gives an empty text; markup that never ends
@@ -235,9 +236,16 @@ def main_text(page: str | None, strictness: float = 0.5) -> str:
     content = [k for k in inside if at[k] in over] or inside
     box = max(set(found[content[0]].above).intersection(*(found[k].above for k in content)), default=0)
     chosen = set(content)
+    # Within the article short text stays, whatever its ratio: only a prior or a share of links of half or more speaks against it.
+    # Where nothing but the whole page holds all content, that is the text between the first and the last of it and in its elements.
+    loose = elements[box][1] in ("", "html", "body")
+    around = {e for k in content for e in found[k].above if e > box}
     kept = [
         found[k].text for k in inside
-        if box in found[k].above and (k in chosen or found[k].prior == 1 and (scores[k] >= threshold or found[k].tag in _HEADING))
+        if box in found[k].above and (k in chosen or found[k].prior == 1 and (
+            found[k].tag in _HEADING or scores[k] >= threshold and (found[k].tag == "p" or 2 * found[k].linked < len(found[k].text))
+            or 2 * found[k].linked < len(found[k].text) and (not loose or content[0] < k < content[-1] or not around.isdisjoint(found[k].above))
+        ))
     ]
     return "\n\n".join(kept)
 

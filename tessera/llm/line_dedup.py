@@ -127,11 +127,11 @@ def cut_out(text: str, spans: list[dict]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(text[a:b] for a, b in kept), kept
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         texts, kept = [], []
-        for text, spans in zip(batch.column(text_at).to_pylist(), batch.column("_lh_cuts").to_pylist()):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
             if text is None:
                 texts.append(None)
                 kept.append([])
@@ -139,10 +139,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch], text_at: str) -> Iterator[pa.Rec
             new, left = cut_out(text, spans or [])
             texts.append(new)
             kept.append([{"start": a, "end": b} for a, b in left])
-        table = {n: batch.column(n) for n in batch.schema.names if n != "_lh_cuts"}
-        table[text_at] = pa.array(texts, pa.string())
-        table["_lh_kept"] = pa.array(kept, spans_type)
-        yield pa.RecordBatch.from_pydict(table)
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string()), pa.array(kept, spans_type)], names=["rest", "text", "kept"])
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,18 +163,21 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("rank", "key").agg(F.collect_set(F.struct("start", "end")).alias("cuts"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs``, all columns, with later occurrences cut from ``text``, and the column ``_lh_kept``.
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, kept: str | None = "_lh_kept") -> DataFrame:
+    """``docs``, all columns, with later occurrences cut from ``text``.
 
-    ``_lh_kept`` holds the original (start, end) of each piece that is left.
+    The column named ``kept``, if any, holds the original (start, end) of each piece
+    that is left; it takes the place of a column of the caller's of that name.
     """
-    cuts = repeats(docs, min_words).select(F.col("rank").alias("_lh_cutrank"), F.col("key").alias("_lh_cutkey"), F.col("cuts").alias("_lh_cuts"))
-    keyed = docs.withColumn("_lh_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).withColumn(
-        "_lh_rank", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    cuts = repeats(docs, min_words)
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    keyed = docs.select(
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("rank"), rest.alias("rest"), "text"
     )
-    rows = keyed.join(cuts, (F.col("_lh_key") == F.col("_lh_cutkey")) & (F.col("_lh_rank") == F.col("_lh_cutrank")), "left").drop(
-        "_lh_key", "_lh_cutkey", "_lh_rank", "_lh_cutrank"
-    )
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lh_kept", T.ArrayType(span))])
-    return rows.select(*docs.columns, "_lh_cuts").mapInArrow(partial(_cleaned, text_at="text"), schema)
+    rows = keyed.join(cuts, ["key", "rank"], "left").select("rest", "text", "cuts")
+    schema = T.StructType([
+        rows.schema["rest"], T.StructField("text", T.StringType()), T.StructField("kept", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "end")]))),
+    ])
+    cleaned = rows.mapInArrow(_cleaned, schema)
+    columns = [F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns if c != kept]
+    return cleaned.select(*columns, *([F.col("kept").alias(kept)] if kept else []))

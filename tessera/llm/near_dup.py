@@ -235,16 +235,13 @@ def _leftover(met: DataFrame, component: DataFrame, sets: DataFrame, p: Banding)
 def keep_one(docs: DataFrame, p: Banding = Banding()) -> DataFrame:
     """The rows of ``docs``, all columns, with one document of each near-duplicate class.
 
-    Rows that repeat a doc_id and a text are one document.
+    Rows that repeat a doc_id and a text are one document; of texts that share a
+    doc_id all stay, if the id is kept.
     """
-    columns = docs.columns
-    decided = near_duplicates(docs, p).where("kept and doc_id is not null").select(
-        F.col("doc_id").alias("_nd_id")
-    ).distinct()
-    rows = docs.withColumn("_nd_hash", F.xxhash64("text"))
-    with_id = (
-        rows.where("doc_id is not null")
-        .join(decided.hint("shuffle_hash"), F.col("doc_id") == F.col("_nd_id"), "left_semi")
-        .dropDuplicates(["doc_id", "_nd_hash"])
+    decided = near_duplicates(docs, p).where("kept and doc_id is not null").select("doc_id").distinct()
+    packed = docs.select(  # a struct, so that no column of the caller's clashes
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     )
-    return with_id.union(rows.where("doc_id is null")).select(*columns)
+    with_id = packed.where("doc_id is not null").join(decided.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id", "hash"])
+    kept = with_id.select("row").union(packed.where("doc_id is null").select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

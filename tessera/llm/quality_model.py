@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, labelled_sample, remembered, text_bytes
 
@@ -173,19 +174,30 @@ def _scores(batches: Iterator[pa.RecordBatch], weights, p: Ftrl) -> Iterator[pa.
     w = weights.value
     for batch in batches:
         out = []
-        for text in batch.column("_q_text").to_pylist():
+        for text in batch.column("text").to_pylist():
             f = features(text, p.bits)
             out.append(float(w[-1]) + float(w[f].sum(dtype=np.float64)) * p.scale / max(1, len(f)))
         score = 1 / (1 + np.exp(-np.clip(np.array(out, np.float64), -35, 35)))
-        rest = [c for c in batch.schema.names if c != "_q_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score, pa.float64())], names=[*rest, "_q_score"])
-
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], names=["row", "score"])
 
-def scored(docs: DataFrame, weights: np.ndarray, p: Ftrl = Ftrl(), keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or ``keep``) with ``_q_score``: 0 to 1, higher is likelier label 1."""
-    from pyspark.sql import types as T
 
-    kept = docs.select(*(keep if keep is not None else docs.columns), text_bytes().alias("_q_text"))
-    schema = T.StructType([*(f for f in kept.schema.fields if f.name != "_q_text"), T.StructField("_q_score", T.DoubleType())])
+def _rows_scored(docs: DataFrame, weights: np.ndarray, p: Ftrl, keep: list[str]) -> DataFrame:
+    """(row, score): the columns ``keep`` as a struct, so that their names cannot clash with this module's."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text_bytes().alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** bits floats
-    return kept.mapInArrow(partial(_scores, weights=shared, p=p), schema)
+    return packed.mapInArrow(partial(_scores, weights=shared, p=p), T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
+
+
+def scored(docs: DataFrame, weights: np.ndarray, p: Ftrl = Ftrl(), keep: list[str] | None = None, name: str = "_q_score") -> DataFrame:
+    """``docs`` (all columns, or ``keep``) with the column ``name``: 0 to 1, higher is likelier label 1.
+
+    It takes the place of a column of the caller's of that name.
+    """
+    columns = keep if keep is not None else docs.columns
+    found = _rows_scored(docs, weights, p, columns)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in columns if c != name), F.col("score").alias(name))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, p: Ftrl = Ftrl(), least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more."""
+    return _rows_scored(docs, weights, p, docs.columns).where(F.col("score") >= least).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

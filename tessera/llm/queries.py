@@ -41,11 +41,11 @@ def op3_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     weights = quality_model.fit(docs, _read(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
-    return quality_model.scored(docs, weights, keep=["doc_id"]).select(
+    return quality_model.scored(docs, weights, keep=["doc_id"], name="score").select(
         "doc_id",
         F.coalesce(crc_mod(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
-        F.col("_q_score").alias("score"),
-        (F.col("_q_score") >= 0.5).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 
@@ -68,9 +68,7 @@ def op8_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.without_repeats(docs).select(
-        "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), F.col("_lh_kept").alias("kept_spans")
-    )
+    return line_dedup.without_repeats(docs, kept="kept_spans").select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "kept_spans")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

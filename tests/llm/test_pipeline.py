@@ -1,7 +1,10 @@
 """The pipeline keeps the columns of documents until the last stage."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tessera.llm import queries
+from tessera.llm import line_dedup, near_dup, quality_model, queries
 
 
 def test_stages_in_order(spark):
@@ -20,3 +23,67 @@ def test_stages_in_order(spark):
 def test_each_operator_has_one_query():
     names = sorted(int(n[2:].split("_")[0]) for n in queries.queries())
     assert names == list(range(1, 14))
+
+
+#: Names that operators and stages use inside, as columns of the caller's.
+OWN_NAMES = ["_nd_hash", "_nd_id", "_lh_key", "_lh_rank", "_lh_cuts", "_lh_kept", "_lh_cutrank", "_q_text", "_q_score", "row", "rest", "hash", "cuts", "score", "position", "_row"]
+
+
+@pytest.fixture(scope="module")
+def odd_corpus(spark, tmp_path_factory):
+    """Documents with nulls, empty and very long texts, repeats and clashing names; and labels for some."""
+    folder = tmp_path_factory.mktemp("odd")
+    good = "The quiet river runs past the old mill and on to the wide green sea beyond the hills."
+    texts = [f"{good} Story number {i} tells of {i * 7} boats and their crews." for i in range(40)] + ["buy now!!! $$$ click " * 5] * 10
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(50, None), (51, ""), (52, "word " * 50_000), (None, "no id at all here"), (53, texts[0]), (0, texts[0]), (54, good + "\n" + good)]
+    full = [(i, t, "en" if i else None, None if i == 3 else f"s{(i or 0) % 3}", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name in OWN_NAMES:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1 if i < 40 else 0, 0) for i in range(50)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages_keep_clashing_columns(spark, odd_corpus):
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, odd_corpus), name)
+        assert docs.columns == columns, name
+        for r in docs.collect():
+            assert all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for c in OWN_NAMES), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, odd_corpus)
+    assert packed.agg(F.sum("length")).first()[0] > 0
+
+
+def test_stages_against_plain_rules(spark, odd_corpus):
+    """Every stage's own promise on its own input: no clean row lost, no row made."""
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, docs, odd_corpus).collect()
+    assert sorted(r.doc_id for r in near if r.text == docs.where("doc_id = 53").first().text) == [0]
+    assert {r.doc_id for r in near} >= {50, 51, 52, None}
+    lines = {(r.doc_id, r.text) for r in stages["repeated_lines"](spark, docs, odd_corpus).collect()}
+    assert (50, None) in lines and (51, "") in lines and len([x for x in lines if x[0] == 54]) == 1
+    mixed = stages["mixed_sources"](spark, docs, odd_corpus)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_an_empty_corpus(spark, odd_corpus):
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, odd_corpus), name)
+        assert docs.count() == 0
+
+
+def test_operators_take_their_own_names(spark, odd_corpus):
+    docs = spark.read.parquet(f"{odd_corpus}/documents.parquet")
+    kept = line_dedup.without_repeats(docs)
+    assert set(kept.columns) == set(docs.columns) and kept.schema["_lh_kept"].dataType.simpleString().startswith("array")
+    weights = quality_model.fit(docs, spark.read.parquet(f"{odd_corpus}/labels.parquet"), F.lit(True))
+    scored = quality_model.scored(docs, weights)
+    assert set(scored.columns) == set(docs.columns) and dict(scored.dtypes)["_q_score"] == "double"
+    assert sorted(map(str, near_dup.keep_one(docs).select("_nd_hash", "_nd_id").distinct().collect()))[0].startswith("Row(_nd_hash='_nd_hash of")

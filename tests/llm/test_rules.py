@@ -147,3 +147,31 @@ def test_ratios_decide_where_lists_alone_would_not():
     assert html_text.main_text(named).count("A long sentence") == 120
     boring = f'<body><main><p>{prose}</p><section class="related"><p>See more</p><p>Next</p></section><p>{prose}</p></main></body>'
     assert html_text.main_text(boring) == "\n\n".join([prose.strip()] * 2)
+
+
+_PROSE = "Sentence one of the article, with its marks. Another, longer sentence follows here, as it must."
+_SHORT = {
+    "list": "<ul>" + "".join(f"<li>item {i}</li>" for i in range(12)) + "</ul>",
+    "table": "<table>" + "".join(f"<tr><td>row {i}</td></tr>" for i in range(10)) + "</table>",
+    "bold": "".join(f"<div><b>line {i}</b></div>" for i in range(8)),
+    "verse": "<p>" + "</p><p>".join(f"verse {i}" for i in range(9)) + "</p>",
+    "code": "<pre>x = 1</pre><pre>y = 2</pre>",
+    "quotes": "<blockquote><p>short</p><p>words</p></blockquote>",
+}
+
+
+@pytest.mark.parametrize("wrap", ["article", "main", "div", "section"])
+@pytest.mark.parametrize("kind", list(_SHORT))
+def test_short_text_of_the_article_stays(wrap, kind):
+    """The expected text is read off the page's own parts: all between the article's tags, nothing outside."""
+    import re
+
+    for tail in ("", f"<p>{_PROSE}</p>"):
+        inner = f"<h1>Title</h1><p>{_PROSE}</p><p>{_PROSE} Once more.</p>{_SHORT[kind]}{tail}"
+        links = "<ul>" + "".join(f'<li><a href="/{i}">Other page {i}</a></li>' for i in range(6)) + "</ul>"
+        page = (
+            f'<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="menu"><a href="/m">Menu</a></div>'
+            f'<{wrap}>{inner}{links}</{wrap}><div class="sidebar"><p>Side.</p></div><div class="ad">Buy this now</div><footer>Foot</footer></body></html>'
+        )
+        expected = [x for x in re.split(r"<[^>]*>", inner) if x]
+        assert html_text.main_text(page).split("\n\n") == expected
