@@ -24,6 +24,7 @@ PAGE_CAP = 100
 # Ingest
 STABILITY_SECONDS = 10
 TEMPLATE_SECONDS = 60
+TEMPLATE_DEPTH = 5
 POLL_SECONDS = 8
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
 PAYLOAD_BYTES = 16 * 1024

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import json_clean, keys, scores, text, vectors
 from tessera.operators import clustering, groups, ranking, reconcile
+from tessera.operators.blocks import numbered
 from tessera.plans import bindings as b
 from tessera.plans.registry import MATCH_SQL, register
-from tessera.store import Store, scratch_path
+from tessera.store import Store, scratch_path, table_of
 
 # --- selections
 
@@ -254,3 +255,37 @@ def g22(spark, sf_dir):
     }
     parts = [store.read(t).select(F.lit(what).alias("what"), F.col(key).alias("id"), F.expr(value).cast("string").alias("value")) for what, (t, key, value) in found.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+#: A pass over documents as files, by the last digit of the id: 0 renamed, 1 deleted, 2 renamed with a new file at the old path, 3 edited
+#: in place, 4 with a new file beside it; 5 and 6 swap contents in pairs (id, id + 1); the rest unchanged.
+_FILES = """f AS (SELECT doc_id AS id, doc_id % 10 AS d, concat('/lib/', doc_id, '.png') AS path, concat(doc_id, '-', md5(text)) AS fp FROM documents WHERE doc_id IS NOT NULL),
+listing AS (SELECT id, path, fp, true AS old FROM f WHERE d IN (7, 8, 9, 4)
+  UNION ALL SELECT id, concat('/lib/moved', id, '.png'), fp, true FROM f WHERE d IN (0, 2)
+  UNION ALL SELECT id, path, concat('new-', fp), false FROM f WHERE d IN (2, 3)
+  UNION ALL SELECT id, concat('/lib/more', id, '.png'), concat('new-', fp), false FROM f WHERE d = 4
+  UNION ALL SELECT x.id, y.path, x.fp, true FROM f x JOIN f y ON (x.d = 5 AND y.id = x.id + 1) OR (x.d = 6 AND y.id = x.id - 1))"""
+
+
+@register("st4_sync", f"""WITH {_FILES}, fresh AS (SELECT path, fp, (SELECT max(id) FROM f) + row_number() OVER (ORDER BY path) AS id FROM (
+  SELECT l.path, l.fp FROM listing l LEFT JOIN f ON f.path = l.path WHERE f.fp IS DISTINCT FROM l.fp))
+SELECT CASE WHEN old OR d = 3 THEN l.id ELSE fresh.id END AS id, l.path AS abs_path, l.fp AS content_fp FROM listing l JOIN f USING (id) LEFT JOIN fresh ON fresh.path = l.path""")
+def st4_sync(spark, sf_dir):
+    from tessera.streaming.ingest import planned
+
+    b.table(spark, sf_dir, "documents").createOrReplaceTempView("st4_documents")
+    named = _FILES.replace("FROM documents", "FROM st4_documents")
+    known = table_of(spark.sql(f"WITH {named} SELECT id, path AS abs_path, fp AS content_fp, '' AS group_key_l1, '' AS group_key_l3 FROM f"))
+    listing = table_of(spark.sql(f"WITH {named} SELECT path AS norm_path, fp FROM listing"))
+    read = listing.join(known.select(F.col("abs_path").alias("norm_path"), F.col("content_fp").alias("fp")), ["norm_path", "fp"], "left_anti").select(
+        F.col("norm_path").alias("abs_path"), F.col("fp").alias("content_fp"), F.lit("").alias("group_key_l1"), F.lit("").alias("group_key_l3"),
+        F.lit("").alias("filename"), F.lit(0).alias("modified_at"),
+    )
+    top = known.agg(F.max("id")).first()[0] or 0
+    fresh = lambda rows: numbered(rows, [F.asc("abs_path")], "n").withColumn("id", F.col("n") + F.lit(top)).drop("n")
+    keys = lambda rows: rows.select("id", F.col("content_fp").alias("content_key"), F.lit("").alias("meta_sig"), "content_fp")
+    plan = planned(known, listing, read, fresh, keys)
+    stay = known.join(plan.removed.select("id"), "id", "left_anti").join(plan.moves.union(plan.again.select(plan.moves.columns)).select("id"), "id", "left_anti")
+    moved = plan.moves.select("id", "abs_path").join(known.select("id", "content_fp"), "id")
+    rows = [stay.select("id", "abs_path", "content_fp"), moved.select("id", "abs_path", "content_fp")]
+    return rows[0].union(rows[1]).union(plan.again.select("id", "abs_path", "content_fp")).union(plan.inserts.select("id", "abs_path", "content_fp"))

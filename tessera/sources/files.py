@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.constants import IMAGE_SUFFIXES, STABILITY_SECONDS
+from tessera.constants import IMAGE_SUFFIXES, STABILITY_SECONDS, TEMPLATE_DEPTH
+from tessera.functions.text import normalize_path
+from tessera.sources.folder_source import folder_listing
 from tessera.sources.metadata import parse_image
 
 _GLOB = "*.{" + ",".join(f"[{s[0]}{s[0].upper()}]" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s[1:]) for s in IMAGE_SUFFIXES) + "}"
@@ -76,13 +78,39 @@ def parsed_images(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "modificationTime", "length", parse_image("path", "content").alias("meta"))
 
 
+_TEMPLATE = (
+    "path string, name string, workflow_id string, t array<string>, e array<string>, node_count bigint, diffusion_models array<string>, model_chain array<string>"
+)
 _UI = "nodes array<struct<id: bigint, type: string, widgets_values: array<string>>>, links array<array<string>>, id string"
 
 
-def templates(spark: SparkSession, root: str) -> DataFrame:
-    """Workflow templates (UI graphs as JSON files): name, id, canonical types and edges, node count, models and chain; by lower-case name."""
-    raw = spark.read.text(root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
-    g = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", _UI).alias("g")).where(F.col("g.nodes").isNotNull())
+def same_path(path: Column) -> Column:
+    """One spelling of a path, whichever reader it comes from; local files have no scheme."""
+    return normalize_path(F.regexp_replace(path, "^file:/+", "/"))
+
+
+def templates(spark: SparkSession, roots: str | list[str], depth: int = TEMPLATE_DEPTH) -> DataFrame:
+    """Workflow templates under one or more roots, up to ``depth`` levels down (1: files of the root itself), once each; by lower-case name."""
+    return templates_of(spark, folder_listing(spark, roots, depth=depth - 1, suffixes="json"))
+
+
+def templates_of(spark: SparkSession, listing: DataFrame) -> DataFrame:
+    """Templates among listed files (folder, path): UI graphs as JSON with name, id, canonical types and edges, node count, models and chain.
+
+    The folders that hold any are read (one list of them, not of files, on the driver), the listed files kept.
+    """
+    folders = [r.folder for r in listing.select("folder").distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], _TEMPLATE)
+    opened = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").load(folders)
+    wanted = listing.select(same_path(F.col("path")).alias("path")).distinct()
+    raw = opened.select(same_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("value")).join(wanted, "path", "left_semi")
+    return parsed_templates(raw)
+
+
+def parsed_templates(raw: DataFrame) -> DataFrame:
+    """Templates of JSON texts (path, value); what is no UI graph is left out."""
+    g = raw.select("path", F.from_json("value", _UI).alias("g")).where(F.col("g.nodes").isNotNull())
     nodes = F.filter("g.nodes", lambda n: F.coalesce(n["type"], F.lit("")) != "")
     kind = F.map_from_entries(F.transform(nodes, lambda n: F.struct(n["id"], n["type"])))
     link = F.filter(F.coalesce("g.links", F.array().cast("array<array<string>>")), lambda x: F.size(x) >= 6)
@@ -91,7 +119,7 @@ def templates(spark: SparkSession, root: str) -> DataFrame:
     chain = F.filter(F.transform(loader, lambda n: F.concat_ws(":", n["type"], F.get(n["widgets_values"], F.lit(0)))), lambda s: F.contains(s, F.lit(":")))
     diffusion = F.transform(F.filter(loader, lambda n: n["type"].rlike("(?i)checkpoint|unet|diffusion")), lambda n: F.get(n["widgets_values"], F.lit(0)))
     shaped = g.withColumn("kind", kind).select(
-        "path", F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), F.col("g.id").alias("workflow_id"),
+        "path", F.regexp_extract("path", r"(?i)([^/]*)\.json$", 1).alias("name"), F.col("g.id").alias("workflow_id"),
         F.array_sort(F.transform(nodes, lambda n: n["type"])).alias("t"), F.array_sort(F.filter(edge, lambda e: F.contains(e, F.lit("->")))).alias("e"),
         F.size(nodes).cast("bigint").alias("node_count"), F.array_sort(F.array_distinct(F.filter(diffusion, lambda m: m.isNotNull()))).alias("diffusion_models"),
         chain.alias("model_chain"),

@@ -67,6 +67,10 @@ class Store:
         names = [s.getPath().getName() for s in fs.listStatus(at)]
         return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self._path(table, n, "_SUCCESS")))
 
+    def has(self, table: str) -> bool:
+        """Whether the table has ever been written."""
+        return bool(self._versions(table))
+
     def read(self, table: str) -> DataFrame:
         found = self._versions(table)
         if not found:
@@ -106,6 +110,8 @@ class Store:
     def delete_images(self, ids: DataFrame) -> None:
         """Delete images (id) and what hangs on them."""
         for table, column in CASCADE.items():
+            if not self.has(table):
+                continue
             rows = self.read(table)
             self.overwrite(table, rows.join(ids.select(F.col("id").alias(column)), column, "left_anti"))
         self.overwrite("images", self.read("images").join(ids, "id", "left_anti"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import files
 from tessera.store import Store
-from tessera.streaming.ingest import recluster_touched, refresh_templates, sync_source
+from tessera.streaming.ingest import Poller, Synced, recluster_touched, refresh_templates, sync_source
 from tests.test_sources import GRAPH, png
 
 
@@ -88,3 +88,56 @@ def test_templates_are_matched(spark, tmp_path):
     row = store.read("images").select("workflow_template_id", "workflow_match_confidence").first()
     assert row.workflow_template_id == store.read("workflow_templates").first().id and row.workflow_match_confidence == 1.0
     assert store.read("images").where(F.col("workflow_template_id").isNull()).count() == 0
+
+
+def test_ids_survive_renames_and_new_files_at_old_paths(spark, tmp_path):
+    """Over three rounds every file has one row with an id of its own, and scores stay with their image."""
+    root = tmp_path / "images"
+    root.mkdir()
+    store = Store(spark, str(tmp_path / "lib"))
+    ids = {}
+    for turn in range(3):
+        if turn:
+            (root / "a.png").rename(root / f"old{turn}.png")
+        (root / "a.png").write_bytes(graph(f"a cat number {turn}", 10 + turn))
+        sync_source(store, 1, str(root), wait=False)
+        rows = store.read("images").collect()
+        assert len(rows) == turn + 1 == len({r.id for r in rows}) == len({r.abs_path for r in rows})
+        for r in rows:
+            assert ids.setdefault(r.prompt_pos, r.id) == r.id
+        new = ids[f"a cat number {turn}"]
+        store.upsert("scores", spark.createDataFrame([(new, 60.0 + turn)], "image_id bigint, internal_score double"))
+    joined = store.read("images").join(store.read("scores"), F.col("id") == F.col("image_id"))
+    assert sorted((r.prompt_pos, r.internal_score) for r in joined.collect()) == [(f"a cat number {i}", 60.0 + i) for i in range(3)]
+    for f in root.iterdir():
+        f.unlink()
+    (root / "b.png").write_bytes(graph("another", 99))
+    sync_source(store, 1, str(root), wait=False)
+    (row,) = store.read("images").collect()
+    assert row.id not in ids.values() or row.id > max(ids.values())
+
+
+def test_a_restarted_poller_parses_nothing_twice(spark, tmp_path):
+    root, flows = tmp_path / "images", tmp_path / "user"
+    (flows / "deep").mkdir(parents=True)
+    root.mkdir()
+    (root / "a.png").write_bytes(graph("a cat", 1))
+    ui = {"nodes": [{"id": 1, "type": "KSampler"}], "links": [], "id": "w1"}
+    (flows / "deep" / "flow.json").write_text(json.dumps(ui))
+    store = Store(spark, str(tmp_path / "lib"))
+
+    def run(settle=0.0):
+        poller = Poller(store, 1, str(root), str(tmp_path / "checkpoint"), templates=str(flows), settle=settle)
+        poller.start(once=True)
+        return poller.passes
+
+    first = run()
+    assert sorted(str(p[1]) for p in first) == sorted(["templates", str(Synced(1, 0, 0, 0, 0))])
+    assert store.read("workflow_templates").count() == 1
+    assert run() == []  # a new poller at the same checkpoint: nothing has changed
+    (root / "b.png").write_bytes(graph("a dog", 2))
+    (root / "a.png").rename(root / "c.png")
+    assert [p[1] for p in run()] == [Synced(1, 1, 0, 0, 0)]
+    (root / "young.png").write_bytes(graph("young", 3))
+    (root / "c.png").unlink()
+    assert [p[1] for p in run(settle=3600.0)] == [Synced(0, 0, 2, 0, 0)]  # nothing on disk is settled yet
