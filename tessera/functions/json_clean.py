@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -25,24 +24,58 @@ def sanitize_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else clean_json(t))
 
 
-def _sensitive(value: object) -> bool:
-    if isinstance(value, dict):
-        return any("prompt" in k.lower() or "path" in k.lower() or _sensitive(v) for k, v in value.items())
-    return isinstance(value, list) and any(map(_sensitive, value))
+#: A JSON string, with the colon that makes it a key. Unrolled and possessive: no recursion over long strings.
+_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(\s*:)?'
 
 
-@F.pandas_udf(T.BooleanType())
-def has_sensitive_key(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether any key at any depth holds ``prompt`` or ``path``; false for what is no JSON."""
+def json_keys(payload: Column) -> Column:
+    """Keys at every depth of a JSON text, as written after parsing (escapes of letters undone); null for what is no JSON."""
+    text = F.to_json(F.try_parse_json(payload))
+    strings, colons = (F.regexp_extract_all(text, F.lit(_STRING), F.lit(g)) for g in (1, 2))
+    pairs = F.filter(F.arrays_zip(strings.alias("key"), colons.alias("colon")), lambda p: p["colon"] != "")
+    return F.transform(pairs, lambda p: p["key"])
 
-    def one(text: str | None) -> bool:
-        try:
-            return _sensitive(json.loads(text)) if text else False
-        except ValueError:
-            return False
 
-    for s in payloads:
-        yield s.map(one).astype(bool)
+def has_sensitive_key(payload: Column) -> Column:
+    """Whether any key at any depth holds ``prompt`` or ``path``; false for what is no JSON."""
+    return F.coalesce(F.exists(json_keys(payload), lambda k: F.lower(k).rlike("prompt|path")), F.lit(False))
+
+
+def hashed_id(value: Column, salt: str) -> Column:
+    """``h_`` and the FNV-1a (32 bits, hex) of ``salt:value`` over its characters."""
+    codes = F.transform(F.split(F.concat(F.lit(f"{salt}:"), value), ""), lambda c: F.ascii(c).cast("bigint"))
+    mixed = F.aggregate(codes, F.lit(0x811C9DC5).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.concat(F.lit("h_"), F.lpad(F.lower(F.hex(mixed)), 8, "0"))
+
+
+def sanitized(
+    events: DataFrame, allowed: dict[str, list[str]], enums: dict[str, list[str]], numbers: list[str], flags: list[str], salt: str, payload: str = "payload"
+) -> DataFrame:
+    """Events of known names with the payload fields they may carry, by VariantType, in the order of the whitelist.
+
+    Ids (``…_id``) are hashed with ``salt``, ``numbers`` rounded and at least 0,
+    ``flags`` must be booleans, other fields one of the words of their enum; what
+    fits nothing, or has another type, is left out. A payload that is no JSON is empty.
+    """
+    parsed = F.try_parse_json(payload)
+
+    def field(name: str) -> Column:
+        at = F.try_variant_get(parsed, f"$.{name}", "variant")
+        kind = F.schema_of_variant(at)
+        word, number = F.try_variant_get(parsed, f"$.{name}", "string"), F.try_variant_get(parsed, f"$.{name}", "double")
+        numeric = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        if name.endswith("_id"):
+            return F.when((kind == "STRING") | numeric, hashed_id(word, salt))
+        if name in numbers:
+            return F.when(numeric, F.greatest(F.lit(0).cast("bigint"), F.floor(number + 0.5)))
+        if name in flags:
+            return F.when(kind == "BOOLEAN", F.try_variant_get(parsed, f"$.{name}", "boolean"))
+        return F.when((kind == "STRING") & word.isin(*enums.get(name, [])), word)
+
+    tidy = F.lit(None).cast("string")
+    for event, names in allowed.items():
+        tidy = F.when(F.col("event_name") == event, F.to_json(F.struct(*(field(n).alias(n) for n in names))) if names else F.lit("{}")).otherwise(tidy)
+    return events.where(F.col("event_name").isin(*allowed)).withColumn(payload, tidy)
 
 
 def fnv1a(text: str, salt: str = "") -> int:

@@ -75,9 +75,9 @@ def csv_field(value: Column) -> Column:
     return F.when(v.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key that orders digit runs by value: img2 before img10."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * width + "$1")
+def natural_key(name: Column, width: int = 20, fold: bool = True) -> Column:
+    """Sort key that orders digit runs by value: img2 before img10; without ``fold`` letters keep their case."""
+    padded = F.regexp_replace(F.lower(name) if fold else name, r"(\d+)", "0" * width + "$1")
     return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
 
 

@@ -12,12 +12,17 @@ from tessera.operators.blocks import in_blocks, numbered
 from tessera.store import table_of
 
 
+def name_order(name: Column) -> Column:
+    """File names as a Simplified Chinese reader sorts them: Han characters by pinyin before letters, digit runs by their number."""
+    return F.collate(natural_key(name, fold=False), "zh_Hans")
+
+
 def sort_orders() -> dict[str, list[Column]]:
     """The eight browse orders; each ends in (seed, filename, id)."""
     score = F.coalesce(F.col("score"), F.lit(BASE_SCORE))
     base = [F.asc_nulls_first("seed"), F.asc_nulls_first("filename"), F.asc("id")]
     return {
-        "score_desc": [score.desc(), *base], "score_asc": [score.asc(), *base], "filename": [natural_key(F.col("filename")).asc(), *base],
+        "score_desc": [score.desc(), *base], "score_asc": [score.asc(), *base], "filename": [name_order(F.col("filename")).asc(), *base],
         "seed": base, "size_desc": [F.desc("size"), *base], "size_asc": [F.asc("size"), *base],
         "mtime_desc": [F.desc("modified_at"), *base], "mtime_asc": [F.asc("modified_at"), *base],
     }
@@ -101,3 +106,74 @@ def draw_pairs(pairs: DataFrame, seed: int, n: int = 1) -> DataFrame:
     """n pairs drawn without replacement by weight: the largest keys u ** (1 / w)."""
     u = (F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     return pairs.orderBy(F.desc(F.ln(u) / F.col("weight")), "a", "b").limit(n)
+
+
+#: A score band is so wide; a block of a stratum has about so many images.
+BAND = 5
+STRATUM_BLOCK = 1000
+
+
+def _uniform(seed: int, role: str, *by: str) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(role), *by), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+
+
+def arena_draw(rows: DataFrame, k: int, seed: int, recent: DataFrame | None = None) -> DataFrame:
+    """``k`` pairs (group_key, draw, a, b) of each group, drawn by ``pair_weight`` with replacement, without making all pairs.
+
+    Images (group_key, id, score, staleness) are strata of a score band and of
+    whether they have a score. A pair of strata is proposed by its mass, the
+    product of summed staleness weights times the best weight its gap allows;
+    within it both images by staleness; the pair is kept with the chance that its
+    true weight has against that bound. So kept pairs are distributed as the
+    weights. The rows are read once, into blocks with running sums; rounds of
+    proposals go on until every group of two images or more has its pairs.
+    """
+    base = rows.where("id is not null").select("group_key", "id", "score", (F.lit(0.6) + F.coalesce("staleness", F.lit(0.0))).alias("w"))
+    base = base.dropDuplicates(["group_key", "id"]).withColumn("s", F.coalesce("score", F.lit(BASE_SCORE))).withColumn("bare", F.col("score").isNull())
+    base = base.withColumn("band", F.floor(F.col("s") / BAND).cast("int"))
+    stratum = ["group_key", "band", "bare"]
+    sized = base.join(base.groupBy(*stratum).agg(F.ceil(F.count("*") / STRATUM_BLOCK).alias("_blocks")), stratum)
+    sized = sized.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("_blocks"))).drop("_blocks", "score")
+    high = F.sum("w").over(W.partitionBy(*stratum, "block").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
+    placed = table_of(sized.withColumn("hi", high).withColumn("lo", F.col("hi") - F.col("w")))
+    mass = placed.groupBy(*stratum, "block").agg(F.sum("w").alias("m"), F.count("*").alias("n"))
+    upto = F.sum("m").over(W.partitionBy(*stratum).orderBy("block").rowsBetween(W.unboundedPreceding, 0))
+    blocks = table_of(mass.withColumn("b_hi", upto).withColumn("b_lo", F.col("b_hi") - F.col("m")))
+    strata = blocks.groupBy(*stratum).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    one, two = (strata.select("group_key", *(F.col(c).alias(f"{c}{x}") for c in ("band", "bare", "m", "n"))) for x in ("1", "2"))
+    key = lambda x: F.struct(f"band{x}", f"bare{x}")
+    met = one.join(two, "group_key").where((key("1") < key("2")) | ((key("1") == key("2")) & (F.col("n1") > 1)))  # at most some 40 strata a group
+    least_gap = F.greatest(F.lit(0), (F.abs(F.col("band1") - F.col("band2")) - 1) * BAND).cast("double")
+    bound = pair_weight(least_gap, F.col("bare1") | F.col("bare2"), F.lit(False), F.lit(1.0), F.lit(1.0))
+    cell = met.withColumn("bound", bound).withColumn("mass", F.col("bound") * F.col("m1") * F.col("m2") * F.when(key("1") == key("2"), 0.5).otherwise(1.0))
+    reach = F.sum("mass").over(W.partitionBy("group_key").orderBy("band1", "bare1", "band2", "bare2").rowsBetween(W.unboundedPreceding, 0))
+    cells = table_of(cell.withColumn("c_hi", reach).withColumn("c_lo", F.col("c_hi") - F.col("mass")))
+    total = cells.groupBy("group_key").agg(F.max("c_hi").alias("total"))
+    seen = None if recent is None else recent.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("recent")).distinct()
+
+    def picked(asks: DataFrame, x: str) -> DataFrame:
+        """Each proposal's image of side ``x``: the block by its running mass, then the row."""
+        at = (_uniform(seed, f"row{x}", "group_key", "turn") * F.col(f"m{x}")).alias("at")
+        want = asks.select("group_key", "turn", F.col(f"band{x}").alias("band"), F.col(f"bare{x}").alias("bare"), at)
+        inside = want.join(blocks.select(*stratum, "block", "b_lo", "b_hi"), stratum).where("at >= b_lo and at < b_hi").withColumn("at", F.col("at") - F.col("b_lo"))
+        found = inside.select(*stratum, "block", "turn", "at").join(placed, [*stratum, "block"]).where("at >= lo and at < hi")
+        return found.select("group_key", "turn", F.col("id").alias(f"id{x}"), F.col("s").alias(f"s{x}"))
+
+    kept, turns, start, left = None, 4 * k + 32, 0, total
+    while not left.isEmpty():
+        asks = left.withColumn("turn", F.explode(F.sequence(F.lit(start), F.lit(start + turns - 1))))
+        asks = asks.withColumn("at", _uniform(seed, "cell", "group_key", "turn") * F.col("total"))
+        asks = table_of(asks.join(cells, "group_key").where("at >= c_lo and at < c_hi").select("group_key", "turn", "band1", "bare1", "m1", "band2", "bare2", "m2", "bound"))
+        pairs = asks.join(picked(asks, "1"), ["group_key", "turn"]).join(picked(asks, "2"), ["group_key", "turn"]).where("id1 <> id2")
+        pairs = pairs.withColumn("a", F.least("id1", "id2")).withColumn("b", F.greatest("id1", "id2"))
+        pairs = pairs.join(seen, ["a", "b"], "left") if seen is not None else pairs.withColumn("recent", F.lit(False))
+        weight = pair_weight(F.abs(F.col("s1") - F.col("s2")), F.col("bare1") | F.col("bare2"), F.coalesce("recent", F.lit(False)), F.lit(1.0), F.lit(1.0))
+        new = pairs.where(_uniform(seed, "keep", "group_key", "turn") * F.col("bound") < weight).select("group_key", "turn", "a", "b")
+        kept = table_of(new if kept is None else kept.union(new))
+        done = kept.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        left = table_of(left.join(done, "group_key", "left_anti"))
+        start, turns = start + turns, 2 * turns
+    if kept is None:
+        return rows.select("group_key", F.lit(0).alias("draw"), F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    draw = F.row_number().over(W.partitionBy("group_key").orderBy("turn"))
+    return kept.withColumn("draw", draw).where(F.col("draw") <= k).select("group_key", "draw", "a", "b")

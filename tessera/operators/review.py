@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.constants import ARENA_DIVISOR, ARENA_K, BASE_SCORE, HIGHEST, LOWEST, PAYLOAD_BYTES, SWIPE_STEPS
@@ -11,6 +12,7 @@ from tessera.functions.json_clean import has_sensitive_key
 from tessera.functions.scores import swipe_step
 from tessera.functions.text import valid_event_name, valid_token
 from tessera.operators.components import components
+from tessera.store import table_of
 
 SEVERITIES = ("debug", "info", "warn", "error")
 
@@ -156,3 +158,66 @@ def diagnostics(events: DataFrame, n: int = 200) -> DataFrame:
     rows = newest(events, n)
     payload = F.when(F.expr("try_parse_json(payload)").isNotNull(), F.col("payload")).otherwise("{}")
     return rows.withColumn("payload", payload).select(F.to_json(F.struct(*rows.columns)).alias("line"))
+
+
+def label_states(log: DataFrame) -> DataFrame:
+    """(image_id, label_id, action_id, at, before, after): whether the label is on before and after each action on it.
+
+    ``log`` (action_id, image_id, label_id, op, at): ``attach``, ``detach`` and ``toggle``, in order of (at, action_id).
+    Attach and detach set the state whatever it was; toggles since the last of
+    them flip it. So a state is a running count within a run that starts at each
+    set, and no image's log is folded row by row.
+    """
+    key = W.partitionBy("image_id", "label_id").orderBy("at", "action_id")
+    rows = log.where(F.col("op").isin("attach", "detach", "toggle") & F.col("image_id").isNotNull() & F.col("label_id").isNotNull())
+    runs = rows.withColumn("_run", F.sum(F.when(F.col("op") == "toggle", 0).otherwise(1)).over(key))
+    within = W.partitionBy("image_id", "label_id", "_run").orderBy("at", "action_id")
+    start = F.first(F.when(F.col("op") == "attach", 1).otherwise(0)).over(within)
+    flips = F.sum(F.when(F.col("op") == "toggle", 1).otherwise(0)).over(within)
+    states = runs.withColumn("after", F.pmod(start + flips, F.lit(2)) == 1).withColumn("before", F.coalesce(F.lag("after").over(key), F.lit(False)))
+    return states.select("image_id", "label_id", "action_id", "at", "before", "after")
+
+
+def with_undone(log: DataFrame) -> DataFrame:
+    """``log`` with each ``undo`` (undo_of) as the action it amounts to: a detach where the undone attach was new, else nothing.
+
+    Whether it was new may hang on earlier undos, so the states are computed
+    until they settle: as many rounds as undos stand on one another.
+    """
+    undos = log.where(F.col("op") == "undo").groupBy("undo_of").agg(F.min(F.struct("at", "action_id")).alias("first"))
+    undos = undos.select(F.col("undo_of").alias("action_id"), F.col("first.at").alias("undo_at"), F.col("first.action_id").alias("undo_id"))
+    plain = table_of(log.where(F.col("op") != "undo").select("action_id", "image_id", "label_id", "op", "at"))
+    new: DataFrame | None = None
+    while True:
+        acted = plain if new is None else plain.union(new.select(F.col("undo_id").alias("action_id"), "image_id", "label_id", F.lit("detach").alias("op"), F.col("undo_at").alias("at")))
+        fresh = label_states(acted).where("after and not before").join(plain.where(F.col("op") == "attach").select("action_id"), "action_id", "left_semi")
+        found = table_of(fresh.join(undos, "action_id").select("action_id", "image_id", "label_id", "undo_at", "undo_id"))
+        if new is not None and found.exceptAll(new).isEmpty() and new.exceptAll(found).isEmpty():
+            return acted
+        new = found
+
+
+def label_intervals(log: DataFrame) -> DataFrame:
+    """(image_id, label_id, valid_from, valid_to): when a label was on, by (at, action_id) as structs; open ones end with null."""
+    turns = label_states(log).where("before <> after").withColumn("turn", F.struct("at", "action_id"))
+    following = F.lead("turn").over(W.partitionBy("image_id", "label_id").orderBy("turn"))
+    return turns.withColumn("valid_to", following).where("after").select("image_id", "label_id", F.col("turn").alias("valid_from"), "valid_to")
+
+
+def labels_at(points: DataFrame, intervals: DataFrame) -> DataFrame:
+    """(image_id, at, action_id, labels): the labels that are on right after each point (image_id, at, action_id), ascending."""
+    turn = F.struct("at", "action_id")
+    on = intervals.join(points.select("image_id", turn.alias("_turn")).distinct(), "image_id").where("valid_from <= _turn and (valid_to is null or _turn < valid_to)")
+    held = on.groupBy("image_id", "_turn").agg(F.sort_array(F.collect_set("label_id")).alias("labels"))
+    rows = points.withColumn("_turn", turn).join(held, ["image_id", "_turn"], "left")
+    return rows.select("image_id", "at", "action_id", F.coalesce("labels", F.array().cast("array<bigint>")).alias("labels"))
+
+
+def label_log(actions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Swipes that carry a label, toggles and undos (action_id, mode, image_id, label_id, undo_of, at) as a label log; unknown labels are refused."""
+    known = labels.select(F.col("id").cast("bigint").alias("label_id")).distinct()
+    op = F.when(F.col("mode") == "swipe", "attach").when(F.col("mode") == "label_on", "attach").when(F.col("mode") == "label_off", "detach").when(F.col("mode") == "label_toggle", "toggle")
+    acts = actions.withColumn("op", op).where("op is not null and label_id is not null").join(known, "label_id", "left_semi").withColumn("undo_of", F.lit(None).cast("string"))
+    undos = actions.where("mode = 'undo'").withColumn("op", F.lit("undo")).withColumn("label_id", F.lit(None).cast("bigint"))
+    columns = ["action_id", "image_id", "label_id", "op", "undo_of", "at"]
+    return acts.select(*columns).unionByName(undos.select(*columns))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import json_clean, keys, scores, text, vectors
-from tessera.operators import clustering, groups, ranking, reconcile
+from tessera.operators import backfill, clustering, groups, ranking, reconcile, review
 from tessera.operators.blocks import numbered
 from tessera.plans import bindings as b
 from tessera.plans.registry import MATCH_SQL, register
@@ -289,3 +289,95 @@ def st4_sync(spark, sf_dir):
     moved = plan.moves.select("id", "abs_path").join(known.select("id", "content_fp"), "id")
     rows = [stay.select("id", "abs_path", "content_fp"), moved.select("id", "abs_path", "content_fp")]
     return rows[0].union(rows[1]).union(plan.again.select("id", "abs_path", "content_fp")).union(plan.inserts.select("id", "abs_path", "content_fp"))
+
+
+# --- labels over time, drawn pairs, sanitised payloads, merged sources
+
+_LOG = """log AS (SELECT event_id AS action_id, user_id AS image_id, event_id % 3 AS label_id, ts AS tm,
+  CASE event_type WHEN 'purchase' THEN 'attach' WHEN 'click' THEN 'toggle' WHEN 'error' THEN 'detach' END AS op FROM events)"""
+
+
+def _label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.create_map(*(F.lit(x) for x in ("purchase", "attach", "click", "toggle", "error", "detach")))[F.col("event_type")]
+    return b.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("action_id"), F.col("user_id").alias("image_id"), (F.col("event_id") % 3).alias("label_id"), F.col("ts").alias("at"), op.alias("op")
+    )
+
+
+@register("r6_label_states", f"""WITH {_LOG}, o AS (SELECT *, list(op) OVER (PARTITION BY image_id, label_id ORDER BY tm, action_id) AS ops FROM log WHERE op IS NOT NULL)
+SELECT action_id, image_id, label_id, list_reduce(list_prepend('off', ops), lambda x, y: CASE WHEN y = 'attach' THEN 'on' WHEN y = 'detach' THEN 'off' WHEN x = 'on' THEN 'off' ELSE 'on' END) = 'on' AS after FROM o""")
+def r6_states(spark, sf_dir):
+    return review.label_states(_label_log(spark, sf_dir)).select("action_id", "image_id", "label_id", "after")
+
+
+@register("r1_labels_at_actions", f"""WITH {_LOG}, acts AS (SELECT action_id, image_id, tm, label_id, op FROM log),
+e AS (SELECT p.action_id, p.image_id, l.label_id, list(l.op ORDER BY l.tm, l.action_id) AS ops FROM acts p JOIN log l ON l.image_id = p.image_id AND l.op IS NOT NULL AND (l.tm, l.action_id) <= (p.tm, p.action_id) GROUP BY 1, 2, 3),
+s AS (SELECT action_id, label_id, list_reduce(list_prepend('off', ops), lambda x, y: CASE WHEN y = 'attach' THEN 'on' WHEN y = 'detach' THEN 'off' WHEN x = 'on' THEN 'off' ELSE 'on' END) = 'on' AS is_on FROM e)
+SELECT p.action_id, p.image_id, coalesce(array_to_string(list(s.label_id ORDER BY s.label_id) FILTER (is_on), ','), '') AS labels FROM acts p LEFT JOIN s USING (action_id) GROUP BY 1, 2""")
+def r1_labels(spark, sf_dir):
+    log = _label_log(spark, sf_dir)
+    found = review.labels_at(log.select("image_id", "at", "action_id"), review.label_intervals(log))
+    return found.select("action_id", "image_id", F.concat_ws(",", F.col("labels").cast("array<string>")).alias("labels"))
+
+
+@register("w1_drawn_pairs", "SELECT s_nationkey AS group_key, 5::BIGINT AS draws, true AS valid FROM supplier GROUP BY 1 HAVING count(*) > 1")
+def w1_drawn(spark, sf_dir):
+    score = F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal") / 100)
+    rows = b.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group_key"), F.col("s_suppkey").alias("id"), score.alias("score"), F.lit(0.5).alias("staleness"))
+    drawn = ranking.arena_draw(rows, 5, seed=11)
+    own = rows.select("group_key", "id")
+    ends = drawn.join(own.withColumnRenamed("id", "a").withColumn("a_in", F.lit(True)), ["group_key", "a"], "left").join(own.withColumnRenamed("id", "b").withColumn("b_in", F.lit(True)), ["group_key", "b"], "left")
+    return ends.groupBy("group_key").agg(F.count("*").alias("draws"), F.bool_and(F.coalesce(F.col("a_in") & F.col("b_in") & (F.col("a") < F.col("b")), F.lit(False))).alias("valid"))
+
+
+_FNV = """'h_' || printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('s:' || {v}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295))"""
+
+
+@register("f21_sanitized", f"""SELECT event_id, CASE event_type WHEN 'view' THEN concat('{{"view":"', CASE WHEN event_id % 2 = 0 THEN 'swipe' ELSE 'arena' END, '","duration_ms":', greatest(0, floor(event_id % 9 - 4 + 0.25 + 0.5))::BIGINT, '}}')
+WHEN 'click' THEN concat('{{', CASE WHEN event_id % 3 = 0 THEN '"gesture":"up",' ELSE '' END, '"has_label":', (event_id % 2 = 0), ',"image_id":"', {_FNV.format(v='event_id::VARCHAR')}, '"}}') ELSE '{{}}' END AS payload
+FROM events WHERE event_type IN ('view', 'click', 'error')""")
+def f21_sanitized(spark, sf_dir):
+    i = F.col("event_id")
+    view = F.concat(F.lit('{"duration_ms": '), (i % 9 - 4 + F.lit(0.25)).cast("string"), F.lit(', "view": "'), F.when(i % 2 == 0, "swipe").otherwise("arena"), F.lit('", "path": "/x"}'))
+    gesture = F.when(i % 3 == 0, '"up"').when(i % 3 == 1, '"sideways"').otherwise("7")
+    click = F.concat(F.lit('{"image_id": '), i.cast("string"), F.lit(', "has_label": '), (i % 2 == 0).cast("string"), F.lit(', "gesture": '), gesture, F.lit(', "duration_ms": "long"}'))
+    payload = F.when(F.col("event_type") == "view", view).when(F.col("event_type") == "click", click).otherwise("no json")
+    rows = b.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("event_name"), payload.alias("payload"))
+    allowed = {"view": ["view", "duration_ms"], "click": ["gesture", "has_label", "duration_ms", "image_id"], "error": []}
+    enums = {"view": ["swipe", "arena", "folder"], "gesture": ["left", "right", "up", "down"]}
+    return json_clean.sanitized(rows, allowed, enums, ["duration_ms"], ["has_label"], "s").select("event_id", "payload")
+
+
+#: g26: documents as images of sources that three spellings of one root name; every seventh image is there under a second spelling too.
+
+
+@register("g26_merged_library", """WITH r AS (SELECT source, dense_rank() OVER (ORDER BY source) * 3 AS source_id FROM (SELECT DISTINCT source FROM documents)),
+k AS (SELECT doc_id AS id, source_id, concat('c:/lib/', source, '/img', doc_id, '.png') AS abs_path, substr(md5(concat('c:/lib/', source)), 1, 16) AS group_key_l0 FROM documents JOIN r USING (source))
+SELECT k.*, CASE WHEN id % 7 = 0 AND id % 2 = 1 THEN 20.0::DOUBLE WHEN id % 2 = 0 THEN 10.0::DOUBLE END AS score,
+  CASE WHEN id % 5 = 0 THEN group_key_l0 WHEN id % 7 = 0 THEN 'late' END AS bound FROM k""")
+def g26_merged(spark, sf_dir):
+    docs = b.table(spark, sf_dir, "documents").select("doc_id", "source")
+    number = docs.select("source").distinct()
+    ranked = numbered(number, [F.asc("source")], "n").select("source", (F.col("n") * 3).alias("base"))
+    spelling = F.when(F.col("k") == 0, F.concat(F.lit("C:\\lib\\"), "source", F.lit("\\"))).when(F.col("k") == 1, F.concat(F.lit("c:/lib/"), "source")).otherwise(F.concat(F.lit("//?/C:/lib/"), "source", F.lit("//")))
+    sources = ranked.withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select((F.col("base") + F.col("k")).alias("id"), spelling.alias("path"), "source", "k")
+    sources = table_of(sources)
+    twin = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copies = docs.withColumn("copy", F.explode(twin)).withColumn("k", ((F.col("doc_id") + F.col("copy")) % 3).cast("int"))
+    slash = F.when(F.col("k") == 0, "\\").otherwise("/")
+    far = F.lit(10**9)
+    images = copies.join(sources, ["source", "k"]).select(
+        (F.col("doc_id") + F.col("copy") * far).alias("id"), F.col("id").alias("source_id"), F.concat(F.regexp_replace("path", r"[\\/]+$", ""), slash, F.lit("img"), "doc_id", F.lit(".png")).alias("abs_path"),
+        F.md5("path").alias("group_key_l0"), F.col("doc_id").alias("doc"), "copy",
+    )
+    images = table_of(images)
+    late = F.col("copy") == 1
+    scores = images.where((F.col("doc") % 2 == 0) | late).select(F.col("id").alias("image_id"), F.when(late, 20.0).otherwise(10.0).alias("internal_score"))
+    bindings = images.where("doc % 5 = 0 and copy = 0").select(F.lit(0).alias("level"), F.col("id").alias("image_id"), F.col("group_key_l0").alias("group_key")).union(
+        images.where(late).select(F.lit(0), "id", F.lit("late"))
+    )
+    columns = ["id", "source_id", "abs_path", "group_key_l0"]
+    done = backfill.normalized_library({"sources": sources.select("id", "path"), "images": images.select(*columns), "scores": scores, "manual_group_bindings": bindings})
+    return done["images"].join(done["scores"].select(F.col("image_id").alias("id"), F.col("internal_score").alias("score")), "id", "left").join(
+        done["manual_group_bindings"].select(F.col("image_id").alias("id"), F.col("group_key").alias("bound")), "id", "left"
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import keys, scores, text
-from tessera.operators import clustering, graphs, groups, identity, ranking, recommend, reconcile, review, similarity
+from tessera.operators import clustering, graphs, groups, identity, ranking, recommend, reconcile, review, similarity, vector_index
 from tessera.plans import bindings as b
 from tessera.store import scratch_path
 
@@ -427,6 +427,29 @@ def g20(spark, sf_dir):
     return similarity.outliers(rows, threshold=0.3).withColumn("nearest", F.round("nearest", 5)).withColumn("best_sim", F.round("best_sim", 5))
 
 
+_J11 = f"""SELECT a.label::VARCHAR AS bucket, a.vec_id AS a, b.vec_id AS b, round({_DOT}, 5) AS sim
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DOT} >= 0.3"""
+
+
+@register("j11_indexed_pairs", _J11)
+def j11_indexed(spark, sf_dir):
+    index = vector_index.build(b.vectors(spark, sf_dir))
+    return vector_index.close_pairs(index, 0.3).withColumn("sim", F.round("sim", 5))
+
+
+@register("a9_indexed_nearest", f"""SELECT a.label::VARCHAR AS group_key, a.vec_id AS id, round(max({_DOT}), 5) AS nearest FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1, 2""")
+def a9_indexed(spark, sf_dir):
+    index = vector_index.build(b.vectors(spark, sf_dir))
+    return vector_index.nearest(index).select(F.col("bucket").alias("group_key"), "id", F.round("sim", 5).alias("nearest"))
+
+
+@register("g20_indexed_others", f"""WITH o AS (SELECT a.vec_id AS id, a.label::VARCHAR AS group_key, b.label::VARCHAR AS g, max({_DOT}) AS sim FROM embeddings a JOIN embeddings b ON a.label <> b.label GROUP BY 1, 2, 3)
+SELECT id, group_key, g AS best_group, round(sim, 5) AS best_sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, g DESC) AS rn FROM o) WHERE rn = 1""")
+def g20_indexed(spark, sf_dir):
+    index = vector_index.build(b.vectors(spark, sf_dir))
+    return vector_index.nearest(index, same=False).select("id", F.col("bucket").alias("group_key"), F.col("near").alias("best_group"), F.round("sim", 5).alias("best_sim"))
+
+
 @register("g21_suggest_groups", f"""WITH best AS (SELECT a.label AS own, b.label, a.vec_id, max({_DOT}) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.label <> a.label GROUP BY 1, 2, 3)
 SELECT own::VARCHAR AS group_key, label::VARCHAR AS other_group, round(avg(best), 5) AS score, (SELECT count(*) FROM embeddings e WHERE e.label = best.label) AS "count" FROM best GROUP BY own, label""")
 def g21(spark, sf_dir):

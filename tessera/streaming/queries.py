@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +15,7 @@ from tessera.operators.review import check_telemetry
 from tessera.plans import bindings as b
 from tessera.plans.registry import register
 from tessera.store import scratch_folder, scratch_path
-from tessera.streaming import folds
+from tessera.streaming import folds, signatures
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,3 +125,24 @@ def st5(spark, sf_dir):
 
     run_once(events, each)
     return spark.read.parquet(f"{state}/good").groupBy(F.col("event_name").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@register("e5_signature_job", f"""WITH {b.IMAGES_SQL}, t AS (SELECT id, list_filter(list_distinct(regexp_split_to_array(lower(prompt_pos), '[,\\s]+')), lambda x: x <> '') AS w FROM images WHERE trim(prompt_pos) <> ''),
+c AS (SELECT id, list_transform(range(0, 8), lambda i: len(list_filter(w, lambda x: ('0x' || substr(md5(x), 1, 4))::INT % 8 = i))::DOUBLE) AS n FROM t)
+SELECT id AS image_id, array_to_string(list_transform(n, lambda x: round(x / sqrt(list_inner_product(n, n)), 4)::DECIMAL(9, 4)), ',') AS vec FROM c WHERE list_sum(n) > 0""")
+def e5(spark, sf_dir):
+    """Two jobs: the first is stopped after a chunk, the second of the same name does the rest."""
+    images = b.images(spark, sf_dir)
+    folder = scratch_path(spark, "signatures")
+    for stop in (True, False):
+        job = signatures.SignatureJob(spark, folder, "text", "hashed-words", signatures.hashed_words())
+        job.plan(images, chunk=math.ceil(images.count() / 4))
+        query = job.start()
+        if stop and query is not None:
+            while query.isActive and not job.status().done:
+                time.sleep(0.2)
+            job.cancel()
+        status = job.wait()
+    assert status.finished
+    four = F.transform("vec", lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string"))
+    return job.rows().where("vec is not null").select("image_id", F.array_join(four, ",").alias("vec"))
