@@ -56,17 +56,17 @@ def candidates(images: DataFrame, slot: str) -> DataFrame:
 
 
 class _Progress(StreamingQueryListener):
-    """Rows of finished chunks, by the job's own query."""
+    """Chunks that the job's own query has committed."""
 
     def __init__(self, name: str) -> None:
-        self.name, self.chunks, self.rows = name, 0, 0
+        self.name, self.chunks = name, 0
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         if event.progress.name == self.name and event.progress.numInputRows:
-            self.chunks, self.rows = self.chunks + 1, self.rows + event.progress.numInputRows
+            self.chunks += 1
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -125,6 +125,10 @@ class SignatureJob:
                 "image_id", F.lit(self.slot).alias("slot"), F.lit(self.model).alias("model_id"), F.size("vec").alias("dim"), F.col("vec").cast("array<double>").alias("vec")
             )
             rows.write.mode("overwrite").parquet(f"{self.folder}/rows/batch={number}")
+        except Exception:
+            if self.cancelled:  # a short word instead of the interrupted job's traces; the chunk is not committed
+                raise RuntimeError(f"{self.name}: cancelled in chunk {number}") from None
+            raise
         finally:
             batch.sparkSession.removeTag(self.tag)
 
