@@ -42,11 +42,15 @@ def labelled_sample(labels: DataFrame, label: str, usable: Column, max_docs: int
     clean = labelled(labels, label, usable)
     total = clean.count()
     if total > max_docs:
-        share = int(max_docs / total * 1_000_000)
-        clean = clean.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < share)
+        clean = clean.where(in_share("sample", max_docs / total))
     return clean
 
 
+def in_share(purpose: str, share: float) -> Column:
+    """Whether a doc_id's hash lies in a ``share`` of all hashes: a threshold on 62 bits, so no share is too small to hold any."""
+    return F.xxhash64(F.lit(purpose), "doc_id").bitwiseAND(F.lit(2**62 - 1)) < F.lit(int(share * 2**62))
+
+
 _REMEMBERED: dict[str, object] = {}
 
 

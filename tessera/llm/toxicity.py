@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, labelled, remembered
+from tessera.llm.common import cut, in_share, labelled, remembered
 
 
 @dataclass(frozen=True)
@@ -235,8 +235,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "t
     """(doc_id, score) of every row; learns from labelled rows that are ``usable`` (an expression over doc_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = cut(labelled(labels, label, usable), "labels")
-    share = min(1_000_000 // p.calibrate, p.max_docs * 1_000_000 // max(1, known.count()))
-    held = F.pmod(F.xxhash64(F.lit("hold"), "doc_id"), F.lit(1_000_000)) < share
+    held = in_share("hold", min(1 / p.calibrate, p.max_docs / max(1, known.count())))
     # the same plan at every size: texts of usable rows are sorted by doc_id and merged with the labels, once
     train = rows.where(usable).join(known.withColumn("hold", held).hint("merge"), "doc_id").select("text", "label", "hold")
     learned = cut(train.mapInArrow(_learned, "word string, n0 long, n1 long, text string, label int"), "learned")
