@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import JACCARD_THRESHOLD, SEMANTIC_THRESHOLD, SLOTS, VISUAL_THRESHOLD
 from tessera.functions.keys import manual_key, prompt_hash, text_cluster_key, vector_cluster_key
 from tessera.functions.text import token_set
+from tessera.operators.blocks import matrix
 from tessera.operators.components import components
-from tessera.operators.similarity import cosine_pairs, fold_sets, set_pairs
+from tessera.operators.similarity import _arrow, cosine_pairs, fold_sets, set_pairs
 from tessera.store import table_of
 
 DEFAULT_THRESHOLDS = {"text": JACCARD_THRESHOLD, "visual": VISUAL_THRESHOLD, "semantic": SEMANTIC_THRESHOLD}
@@ -33,7 +38,11 @@ def single_linkage(rows: DataFrame, threshold: float) -> DataFrame:
 SCALE = 2**32
 
 
-def average_linkage(rows: DataFrame, threshold: float) -> DataFrame:
+#: Vectors of a component that one task merges on a matrix (three of 8 bytes a pair).
+FITS = 2048
+
+
+def average_linkage(rows: DataFrame, threshold: float, fits: int = FITS) -> DataFrame:
     """(bucket, id, cluster) of normalised vectors (bucket, id, vec); a cluster is its least id.
 
     Average linkage: the two clusters of a bucket with the highest mean
@@ -42,7 +51,8 @@ def average_linkage(rows: DataFrame, threshold: float) -> DataFrame:
     merges all such pairs at once. No cluster spans two components of the pairs
     >= threshold, so only similarities within a component are kept; equal
     vectors are one weighted row from the start (their mean is 1, which a
-    threshold over 1 would not reach). Ties go to the least ids.
+    threshold over 1 would not reach). Ties go to the least ids. A component of up to
+    ``fits`` different vectors is one task's matrix; larger ones go on in rounds of tables.
     """
     if threshold > 1:
         return rows.select("bucket", "id", F.col("id").alias("cluster"))
@@ -50,7 +60,50 @@ def average_linkage(rows: DataFrame, threshold: float) -> DataFrame:
     equal = ["bucket", "_h1", "_h2"]
     reps = table_of(own.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("vec").alias("vec")))
     parts = components(cosine_pairs(reps.select("bucket", F.col("rep").alias("id"), "vec"), threshold).select("a", "b"))
-    inside = reps.join(parts, F.col("rep") == F.col("node")).select(F.col("component").cast("string").alias("bucket"), F.col("rep").alias("id"), "vec")
+    inside = table_of(reps.join(parts, F.col("rep") == F.col("node")).select(F.col("component").cast("string").alias("bucket"), F.col("rep").alias("id"), "vec", "n"))
+    large = inside.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > fits).select("bucket")
+    small = inside.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(_arrow(partial(_merged, threshold=threshold)), "rep bigint, cluster bigint")
+    rest = _merged_in_rounds(inside.join(large, "bucket", "left_semi"), threshold)
+    named = table_of(small if rest is None else small.union(rest))
+    cluster = reps.select("rep").join(named, "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("cluster"))
+    found = own.select("bucket", "id", "_h1", "_h2").join(reps.select(*equal, "rep"), equal).join(cluster, "rep")
+    return found.select("bucket", "id", "cluster")
+
+
+def _merged(table: pa.Table, threshold: float) -> pa.Table:
+    """The clusters of one component that fits a task, by the same rounds of mutually best pairs on its matrix of sums."""
+    table = table.sort_by("id")
+    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+    x = matrix(table)
+    scaled = (x @ x.T) * SCALE
+    s = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64) * n[:, None] * n[None, :]
+    own = np.arange(len(ids))  # the cluster's row of each vector
+    left = own.copy()
+    while len(left) > 1:
+        mean = s / (n[:, None] * n[None, :].astype(np.float64)) / SCALE
+        np.fill_diagonal(mean, -np.inf)
+        best = mean.argmax(axis=1)  # of equal means the least id
+        at = np.arange(len(left))
+        a = at[(best[best] == at) & (at < best) & (mean[at, best] >= threshold - 1e-9)]
+        if not len(a):
+            break
+        b = best[a]
+        s[a] += s[b]
+        s[:, a] += s[:, b]
+        n[a] += n[b]
+        into = np.arange(len(ids))
+        into[left[b]] = left[a]
+        own = into[own]
+        keep = np.setdiff1d(at, b)
+        s, n, left = s[np.ix_(keep, keep)], n[keep], left[keep]
+    return pa.table({"rep": pa.array(ids, pa.int64()), "cluster": pa.array(ids[own], pa.int64())})
+
+
+def _merged_in_rounds(inside: DataFrame, threshold: float) -> DataFrame | None:
+    """(rep, cluster) of components too large for a task, in rounds over tables of their clusters' similarity sums; None without any."""
+    if inside.isEmpty():
+        return None
+    reps = inside.select(F.col("id").alias("rep"), "n")
     sims = cosine_pairs(inside, -2.0).select("a", "b", F.round(F.col("sim") * SCALE).cast("bigint").alias("s"))
     size = reps.select("rep", "n")
     sums = table_of(
@@ -81,8 +134,7 @@ def average_linkage(rows: DataFrame, threshold: float) -> DataFrame:
         )
         sums = table_of(turned.groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("s")))
         cluster = table_of(cluster.join(moved.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
-    found = own.select("bucket", "id", "_h1", "_h2").join(reps.select(*equal, "rep"), equal).join(cluster, "rep")
-    return found.select("bucket", "id", "cluster")
+    return cluster
 
 
 def with_bindings(keyed: DataFrame, bindings: DataFrame) -> DataFrame:

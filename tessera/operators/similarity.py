@@ -40,7 +40,8 @@ def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """
     t = threshold
     full = sets.where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
-    token = full.select("bucket", "id", "n", F.explode("tokens").alias("token"))
+    # once, as hashes: tokens of one hash only make more candidates, as a shared token is always a shared hash
+    token = table_of(full.select("bucket", "id", "n", F.explode(F.transform("tokens", lambda x: F.xxhash64(x))).alias("token")))
     frequency = token.groupBy("bucket", "token").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("bucket", "id").orderBy("df", "token"))
     ranked = token.join(frequency, ["bucket", "token"]).withColumn("i", place)
@@ -82,8 +83,8 @@ def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 def _bitmaps(token: DataFrame) -> DataFrame:
     """(bucket, id, n, w0..): a bit for each hashed token of a set."""
-    h = F.pmod(F.xxhash64("token"), F.lit(64 * _WORDS))
-    bit = token.select("bucket", "id", "n", (h / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(xxhash64(token), 64) as int))").alias("bit"))
+    h = F.pmod("token", F.lit(64 * _WORDS))
+    bit = token.select("bucket", "id", "n", (h / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(token, 64) as int))").alias("bit"))
     words = (F.coalesce(F.bit_or(F.when(F.col("w") == k, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{k}") for k in range(_WORDS))
     return bit.groupBy("bucket", "id", "n").agg(*words)
 

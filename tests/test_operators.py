@@ -241,3 +241,17 @@ def test_drawn_pairs_follow_the_weights(spark):
 def test_outliers_of_a_group(spark):
     df = spark.createDataFrame([(1, "g", [1.0, 0.0]), (2, "g", [1.0, 0.0]), (3, "g", [0.0, 1.0]), (4, "h", [0.0, 1.0])], "id bigint, group_key string, vec array<float>")
     assert rows(similarity.outliers(df, "g", 0.75)) == [(3, "g", 0.0, "h", 1.0)]
+
+
+def test_average_linkage_in_a_task_and_in_rounds_agree(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6, 8))[rng.integers(0, 6, 70)] + 0.6 * rng.normal(size=(70, 8))
+    x[40:44] = x[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"b{i % 2}", i, v.tolist()) for i, v in enumerate(x)], "bucket string, id bigint, vec array<double>")
+    for t in (0.5, 0.75):
+        whole = {r.id: r.cluster for r in clustering.average_linkage(df, t).collect()}
+        assert whole == {r.id: r.cluster for r in clustering.average_linkage(df, t, fits=8).collect()}
+        assert 2 < len(set(whole.values())) < 70
