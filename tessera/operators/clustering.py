@@ -174,9 +174,16 @@ def recluster(images: DataFrame, signatures: DataFrame, bindings: DataFrame, mod
     return recluster_vectors(images, own, bindings, at, policy)
 
 
-def merge_groups(images: DataFrame, keys: list[str], policy: str = "md5") -> DataFrame:
-    """Bindings that put all members of the groups under one manual key, with the keys they had."""
+def merge_groups(images: DataFrame, keys: list[str], policy: str = "md5", source_id: int | None = None, level: int = 2) -> DataFrame:
+    """Bindings that put all members of the groups under one manual key, with the keys they had.
+
+    Only groups of level 2 can be merged; with ``source_id`` those of that source, which must be given where sources share a key.
+    """
+    if level != 2:
+        raise ValueError("only groups of level 2 can be merged")
     rows = images.where(F.col("group_key_l2").isin(keys))
+    if source_id is not None:
+        rows = rows.where(F.col("source_id") == source_id)
     key = rows.agg(manual_key(F.collect_set(prompt_hash(F.col("prompt_pos"), policy)), policy).alias("group_key"))
     return _bound(rows, "merge").join(key)
 

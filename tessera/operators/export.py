@@ -1,7 +1,12 @@
-"""Export rows and the archive plan."""
+"""Export rows, the archive plan and its copies."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,3 +97,39 @@ def archive_plan(images: DataFrame, rule: str = "flat", taken: DataFrame | None
     moved = both.withColumn("number", F.col("v") + over).where("step = 0").select(F.col("id").alias("_i"), "number")
     name = F.when(F.col("number").isNull(), F.col("filename")).otherwise(F.concat("stem", F.lit("_"), F.col("number").cast("string"), "suffix"))
     return placed.join(moved, F.col("id") == F.col("_i"), "left").select("id", "abs_path", "folder", name.alias("name"))
+
+
+def _copied(batches: Iterator[pa.RecordBatch], dest: str) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    def at(path: str) -> tuple:
+        return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+    for batch in batches:
+        done = []
+        for image, source, folder, name in zip(*(batch.column(c).to_pylist() for c in ("id", "abs_path", "folder", "name"))):
+            (system, there), target = at(source), "/".join(x for x in (dest, folder, name) if x)
+            if system.get_file_info(there).type != fs.FileType.File:
+                continue
+            end, path = at(target)
+            end.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_input_stream(there) as source_file, end.open_output_stream(path) as copy:
+                while piece := source_file.read(1 << 20):
+                    copy.write(piece)
+            done.append((image, target, int(time.time())))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["image_id", "dest_path", "at"])
+
+
+def copy_files(plan: DataFrame, dest: str) -> DataFrame:
+    """Copies the files of a plan under ``dest`` and gives the log of those copied (image_id, dest_path, archived_at).
+
+    Files that are missing are skipped. A target is fixed by the plan, so a task
+    that runs again writes the same copy; write the result down once, each use copies again.
+    """
+    found = plan.select(F.col("id").cast("bigint").alias("id"), "abs_path", "folder", "name").mapInArrow(partial(_copied, dest=dest.rstrip("/")), "image_id bigint, dest_path string, at bigint")
+    return found.select("image_id", "dest_path", F.timestamp_seconds("at").alias("archived_at"))
+
+
+def logged(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The archive log with new rows in the place of older ones of their image."""
+    return log.join(new.select("image_id"), "image_id", "left_anti").select(*new.columns).unionByName(new)

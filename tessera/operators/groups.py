@@ -30,6 +30,40 @@ def list_groups(images: DataFrame, level: int, source_id: int | None = None) ->
     )
 
 
+def with_template_names(groups: DataFrame, images: DataFrame, templates: DataFrame, level: int, source_id: int | None = None) -> DataFrame:
+    """Listed groups with the least name of their visible images' templates, null for a group without any."""
+    named = templates.select(F.col("id").alias("workflow_template_id"), "name")
+    rows = visible(images, source_id).where("workflow_template_id is not null").join(named, "workflow_template_id")
+    least = rows.groupBy(F.col(level_column(level)).alias("group_key")).agg(F.min("name").alias("template_name"))
+    return groups.join(least, "group_key", "left").orderBy(F.desc("count"), F.asc("group_key"))
+
+
+def diagnostics_by(images: DataFrame, level: int) -> DataFrame:
+    """Per group of a level: its different checkpoints and kinds as comma-joined lists, how many are hidden, how many were parsed badly."""
+    joined = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c))).alias(f"{c}s")
+    bad = F.count_if(~F.coalesce(F.col("meta_ok"), F.lit(False))).alias("failed")
+    return images.groupBy(F.col(level_column(level)).alias("group_key")).agg(joined("checkpoint"), joined("source_kind"), F.count_if(F.coalesce(F.col("hidden"), F.lit(False))).alias("hidden"), bad)
+
+
+def signatures_for(signatures: DataFrame, slot: str, model: str, images: DataFrame | None = None, source_id: int | None = None) -> DataFrame:
+    """(image_id, vec) of a slot and model, of one source's images where one is given; vectors of another length than their ``dim`` are left out."""
+    rows = signatures.where((F.col("slot") == slot) & (F.col("model_id") == model) & F.col("vec").isNotNull() & (F.size("vec") == F.col("dim")))
+    if images is not None and source_id is not None:
+        rows = rows.join(images.where(F.col("source_id") == source_id).select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    return rows.select("image_id", "vec")
+
+
+def probes(images: DataFrame, scores: DataFrame, bindings: DataFrame, image_labels: DataFrame) -> DataFrame:
+    """(id, has_score, has_binding, has_label) of all images at once, by semi-joined ids."""
+    def has(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col("image_id").alias("id")).distinct().withColumn(name, F.lit(True))
+
+    found = images.select("id")
+    for rows, name in ((scores, "has_score"), (bindings, "has_binding"), (image_labels, "has_label")):
+        found = found.join(has(rows, name), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return found
+
+
 def move_targets(images: DataFrame, current: str, source_id: int | None = None) -> DataFrame:
     """Level-2 groups other than the current one."""
     return list_groups(images, 2, source_id).where(F.col("group_key") != current)

@@ -221,3 +221,11 @@ def label_log(actions: DataFrame, labels: DataFrame) -> DataFrame:
     undos = actions.where("mode = 'undo'").withColumn("op", F.lit("undo")).withColumn("label_id", F.lit(None).cast("bigint"))
     columns = ["action_id", "image_id", "label_id", "op", "undo_of", "at"]
     return acts.select(*columns).unionByName(undos.select(*columns))
+
+
+def recovered_scores(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """Scores (image_id, internal_score, last_mode) with those ``found`` (image_id, internal_score): a row that is there keeps its mode, a new one has ``recovered``."""
+    new = found.dropDuplicates(["image_id"]).select("image_id", F.col("internal_score").alias("_found"), F.lit(True).alias("_there"))
+    rows = scores.withColumn("_known", F.lit(True)).join(new, "image_id", "full")
+    mode = F.when(F.col("_known"), F.col("last_mode")).otherwise("recovered")
+    return rows.select("image_id", F.when(F.col("_there"), F.col("_found")).otherwise(F.col("internal_score")).alias("internal_score"), mode.alias("last_mode"))

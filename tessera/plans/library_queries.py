@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import json_clean, keys, scores, text, vectors
-from tessera.operators import backfill, clustering, groups, ranking, reconcile, review
+from tessera.operators import backfill, clustering, graphs, groups, ranking, reconcile, review
 from tessera.operators.blocks import numbered
 from tessera.plans import bindings as b
 from tessera.plans.registry import MATCH_SQL, register
+from tessera.sources import files
+from tessera.sources.folder_source import folder_listing
 from tessera.store import Store, scratch_path, table_of
 
 # --- selections
@@ -381,3 +383,127 @@ def g26_merged(spark, sf_dir):
     return done["images"].join(done["scores"].select(F.col("image_id").alias("id"), F.col("internal_score").alias("score")), "id", "left").join(
         done["manual_group_bindings"].select(F.col("image_id").alias("id"), F.col("group_key").alias("bound")), "id", "left"
     )
+
+
+# --- listings of written trees, template names, probes, scans
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Suppliers as workflow files, one each, in two trees: folders of nations, and of regions and nations."""
+    nation = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    rows = b.table(spark, sf_dir, "supplier").join(nation, "s_nationkey")
+    i = F.col("s_suppkey")
+    flow = F.concat(
+        F.lit('{"id": "w'), i, F.lit('", "nodes": [{"id": 1, "type": "KSampler"}, {"id": 2, "type": "CheckpointLoaderSimple", "widgets_values": ["m'), i % 7,
+        F.lit('"]}], "links": [[1, 2, 0, 1, 0, "MODEL"]]}'),
+    )
+    base = scratch_path(spark, "trees")
+    flows = rows.select(flow.alias("value"), "s_nationkey", "n_regionkey", i.alias("k"))
+    flows.where("k % 2 = 0").repartition("k").drop("n_regionkey").write.partitionBy("s_nationkey", "k").option("compression", "none").text(f"{base}/a")
+    flows.where("k % 2 = 1").repartition("k").write.partitionBy("n_regionkey", "s_nationkey", "k").text(f"{base}/b")
+    return f"{base}/a", f"{base}/b"
+
+
+@register("s1_folder_listing", """WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'a' AS tree, concat('s_nationkey=', n) AS top, count(*) AS files FROM s WHERE k % 2 = 0 GROUP BY n
+UNION ALL SELECT 'b', concat('n_regionkey=', r), count(*) FROM s WHERE k % 2 = 1 GROUP BY r""")
+def s1_listing(spark, sf_dir):
+    a, z = _tree(spark, sf_dir)
+    found = folder_listing(spark, [a, z], depth=3, suffixes="txt").where(F.col("length") > 0)
+    top = F.regexp_extract("folder", r"/trees-[0-9a-f]+/[ab]/([^/]*)", 1)
+    return found.groupBy(F.regexp_extract("root", r"/([ab])$", 1).alias("tree"), top.alias("top")).agg(F.count("*").alias("files"))
+
+
+@register("s8_templates_by_depth", """SELECT concat('w', s_suppkey) AS workflow_id, 'CheckpointLoaderSimple,KSampler' AS types, 'CheckpointLoaderSimple->KSampler' AS edges, concat('m', s_suppkey % 7) AS models, 2::BIGINT AS node_count
+FROM supplier WHERE s_suppkey % 2 = 0""")
+def s8_templates(spark, sf_dir):
+    """Folder levels under a root count from 1: the files of tree a are on level 3, those of tree b on level 4, which is not looked at."""
+    listing = folder_listing(spark, list(_tree(spark, sf_dir)), depth=2, suffixes="txt")
+    found = files.templates_of(spark, listing, "*.txt")
+    return found.select("workflow_id", *(F.concat_ws(",", c).alias(n) for c, n in (("t", "types"), ("e", "edges"), ("diffusion_models", "models"))), "node_count")
+
+
+@register("s10_templates_of_sources", "SELECT concat('w', s_suppkey) AS workflow_id FROM supplier")
+def s10_templates(spark, sf_dir):
+    """Both trees, one of them named twice: each template once."""
+    a, z = _tree(spark, sf_dir)
+    return files.templates_of(spark, folder_listing(spark, [a, z, a + "/"], depth=4, suffixes="txt"), "*.txt").select("workflow_id")
+
+
+@register("s16_signatures_for_source", f"""WITH {b.IMAGES_SQL} SELECT vec_id AS image_id, round(list_sum(embedding)::DOUBLE, 3) AS total FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 7 <> 0
+AND vec_id IN (SELECT id FROM images WHERE source_id = 1)""")
+def s16_signatures(spark, sf_dir):
+    i = F.col("vec_id")
+    rows = b.table(spark, sf_dir, "embeddings").select(
+        i.alias("image_id"), F.when(i % 5 == 0, "text").otherwise("vision").alias("slot"), F.lit("m").alias("model_id"), (F.size("embedding") + (i % 7 == 0).cast("int")).alias("dim"), F.col("embedding").alias("vec")
+    )
+    found = groups.signatures_for(rows, "vision", "m", b.images(spark, sf_dir), 1)
+    return found.select("image_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+
+
+@register("p9_probes", f"""WITH {b.SCORES_SQL} SELECT doc_id AS id, doc_id IN (SELECT image_id FROM scores) AS has_score, doc_id % 10 = 3 AS has_binding, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS has_label FROM documents""")
+def p9(spark, sf_dir):
+    images = b.images(spark, sf_dir)
+    bound = images.where("id % 10 = 3").select(F.lit(2).alias("level"), F.col("id").alias("image_id")).union(images.where("id % 20 = 3").select(F.lit(0), "id"))
+    named = b.table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("image_id"))
+    return groups.probes(images, b.scores(spark, sf_dir), bound, named)
+
+
+@register("a1_template_names", f"""WITH {b.IMAGES_SQL}, g AS (SELECT group_key_l2 AS group_key, count(*) AS "count" FROM images WHERE NOT hidden GROUP BY 1),
+n AS (SELECT group_key_l2 AS group_key, min(concat('template ', 9 - workflow_template_id)) AS template_name FROM images WHERE NOT hidden AND workflow_template_id > 0 GROUP BY 1)
+SELECT g.group_key, "count", template_name FROM g LEFT JOIN n USING (group_key)""")
+def a1_names(spark, sf_dir):
+    images = b.images(spark, sf_dir)
+    templates = images.select(F.col("workflow_template_id").alias("id")).where("id > 0").distinct().withColumn("name", F.concat(F.lit("template "), F.lit(9) - F.col("id")))
+    listed = groups.list_groups(images, 2)
+    return groups.with_template_names(listed, images, templates, 2).select("group_key", "count", "template_name")
+
+
+@register("a15_group_diagnostics", f"""WITH {b.IMAGES_SQL} SELECT group_key_l1 AS group_key, string_agg(DISTINCT checkpoint, ',' ORDER BY checkpoint) AS checkpoints, string_agg(DISTINCT source_kind, ',' ORDER BY source_kind) AS source_kinds,
+count(*) FILTER (hidden) AS hidden, sum(CASE WHEN meta_ok THEN 0 ELSE 1 END)::BIGINT AS failed FROM images GROUP BY 1""")
+def a15(spark, sf_dir):
+    return groups.diagnostics_by(b.images(spark, sf_dir), 1)
+
+
+@register("r7_recovered_scores", """WITH s AS (SELECT doc_id AS image_id, quality * 10.0::DOUBLE AS score FROM labels), f AS (SELECT doc_id AS image_id, (doc_id % 50) * 1.0::DOUBLE AS found FROM documents WHERE doc_id % 3 = 0)
+SELECT coalesce(s.image_id, f.image_id) AS image_id, coalesce(found, score) AS internal_score, CASE WHEN s.image_id IS NULL THEN 'recovered' ELSE 'swipe' END AS last_mode FROM s FULL JOIN f ON s.image_id = f.image_id""")
+def r7(spark, sf_dir):
+    scores_ = b.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("image_id"), (F.col("quality") * 10.0).alias("internal_score"), F.lit("swipe").alias("last_mode"))
+    found = b.images(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("image_id"), (F.col("id") % 50).cast("double").alias("internal_score"))
+    return review.recovered_scores(scores_, found)
+
+
+@register("g24_assigned_templates", f"""WITH {b.IMAGES_SQL} SELECT id, CASE WHEN workflow_template_id IS NOT NULL THEN workflow_template_id WHEN workflow_key IN ('w1', 'w5') THEN 77 END AS template,
+CASE WHEN workflow_template_id IS NULL AND workflow_key IN ('w1', 'w5') THEN 0.5::DOUBLE END AS confidence FROM images""")
+def g24(spark, sf_dir):
+    images = b.images(spark, sf_dir).withColumn("workflow_match_confidence", F.lit(None).cast("double"))
+    keys_ = images.select("workflow_key").distinct().where(F.col("workflow_key").isin("w1", "w5"))
+    done = graphs.assign_templates(images, keys_.select("workflow_key", F.lit(77).cast("bigint").alias("template_id"), F.lit(0.5).alias("coverage")))
+    return done.select("id", F.col("workflow_template_id").alias("template"), F.col("workflow_match_confidence").alias("confidence"))
+
+
+@register("p13_merge_in_source", f"""WITH {b.IMAGES_SQL} SELECT id AS image_id, group_key_l2 AS prev_group_key FROM images WHERE group_key_l2 IN ('en-0', 'en-3') AND source_id = 1""")
+def p13(spark, sf_dir):
+    return clustering.merge_groups(b.images(spark, sf_dir), ["en-0", "en-3"], source_id=1).select("image_id", "prev_group_key")
+
+
+@register("f6_sanitized_json", """SELECT event_id, CASE event_type WHEN 'view' THEN '{"a": null, "b": "NaN", "c": [null, -1, null]}' WHEN 'click' THEN concat('{"x": ', event_id, ', "y": "-Infinity \\" NaN"}') ELSE event_type END AS payload FROM events""")
+def f6(spark, sf_dir):
+    text_ = F.when(F.col("event_type") == "view", '{"a": NaN, "b": "NaN", "c": [Infinity, -1, -Infinity]}').when(
+        F.col("event_type") == "click", F.concat(F.lit('{"x": '), F.col("event_id").cast("string"), F.lit(', "y": "-Infinity \\" NaN"}'))
+    ).otherwise(F.col("event_type"))
+    return b.table(spark, sf_dir, "events").select("event_id", json_clean.sanitize_json(text_).alias("payload"))
+
+
+@register("o9_shuffled", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, 3::BIGINT AS saved_first FROM documents")
+def o9(spark, sf_dir):
+    """A shuffle keeps every row once and puts the saved order first."""
+    rows = b.images(spark, sf_dir).select("id")
+    saved = [r.id for r in rows.orderBy(F.desc("id")).limit(3).collect()]
+    placed = ranking.shuffled(rows, 5, saved).withColumn("at", F.monotonically_increasing_id())
+    first = table_of(placed).withColumn("rank", F.array_position(F.lit(saved).cast("array<bigint>"), F.col("id")))
+    head = first.where("rank > 0").select("at", "rank").orderBy("at")
+    in_order = [r.rank for r in head.collect()]  # three rows
+    least = first.agg(F.min(F.when(F.col("rank") == 0, F.col("at"))).alias("m"), F.max(F.when(F.col("rank") > 0, F.col("at"))).alias("s"))
+    good = F.lit(3 if in_order == [1, 2, 3] else 0).cast("bigint")
+    return first.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).join(least).select("n", "ids", F.when(F.col("m").isNull() | (F.col("s") < F.col("m")), good).otherwise(0).alias("saved_first"))

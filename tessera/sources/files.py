@@ -94,7 +94,7 @@ def templates(spark: SparkSession, roots: str | list[str], depth: int = TEMPLATE
     return templates_of(spark, folder_listing(spark, roots, depth=depth - 1, suffixes="json"))
 
 
-def templates_of(spark: SparkSession, listing: DataFrame) -> DataFrame:
+def templates_of(spark: SparkSession, listing: DataFrame, glob: str = "*.[jJ][sS][oO][nN]") -> DataFrame:
     """Templates among listed files (folder, path): UI graphs as JSON with name, id, canonical types and edges, node count, models and chain.
 
     The folders that hold any are read (one list of them, not of files, on the driver), the listed files kept.
@@ -102,7 +102,7 @@ def templates_of(spark: SparkSession, listing: DataFrame) -> DataFrame:
     folders = [r.folder for r in listing.select("folder").distinct().collect()]
     if not folders:
         return spark.createDataFrame([], _TEMPLATE)
-    opened = spark.read.format("binaryFile").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").load(folders)
+    opened = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folders)
     wanted = listing.select(same_path(F.col("path")).alias("path")).distinct()
     raw = opened.select(same_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("value")).join(wanted, "path", "left_semi")
     return parsed_templates(raw)

@@ -2,7 +2,7 @@
 
 Options: ``paths`` (a JSON list of roots, or one path), ``depth`` (folder levels
 under a root; 0 is the root alone), ``least`` (the least level), ``suffixes``
-(comma-separated, any case), ``settle`` (seconds a file must be unchanged; the
+(comma-separated, any case; ``*`` for all), ``settle`` (seconds a file must be unchanged; the
 stream's default is the stability window). Roots are URIs or paths that every
 machine sees (local mounts, hdfs, s3).
 
@@ -57,7 +57,7 @@ class _Tree:
         paths = options.get("paths") or options.get("path") or "[]"
         self.roots = sorted({str(p).rstrip("/") or "/" for p in (json.loads(paths) if paths.lstrip().startswith("[") else [paths])})
         self.depth, self.least = int(options.get("depth", 1)), int(options.get("least", 0))
-        self.suffixes = tuple("." + s.strip().lower() for s in options.get("suffixes", ",".join(IMAGE_SUFFIXES)).split(","))
+        self.suffixes = tuple("." + s.strip().lower() if s.strip() != "*" else "" for s in options.get("suffixes", ",".join(IMAGE_SUFFIXES)).split(","))
         self.settle = float(options.get("settle", 0))
 
     @staticmethod

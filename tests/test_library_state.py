@@ -131,3 +131,33 @@ def test_backfills_are_made_once(spark):
     assert shown["manual_group_bindings"] == sorted([(0, 12, keys[12]), (1, 10, "only"), (2, 10, "own")])
     twice = backfill.normalized_library(once)
     assert {n: sorted(map(tuple, t.collect())) for n, t in twice.items()} == shown
+
+
+def test_archive_copies_and_log(spark, tmp_path):
+    from tessera.operators import export
+    from tessera.sources.folder_source import folder_listing
+    from tessera.store import table_of
+
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    for name, data in (("a.png", b"one"), ("x/a.png", b"two"), ("c", b"three")):
+        (tmp_path / "in" / name).write_bytes(data)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "c").write_bytes(b"old")
+    rows = [(1, f"{tmp_path}/in/a.png", "a.png"), (2, f"{tmp_path}/in/x/a.png", "a.png"), (3, f"file:{tmp_path}/in/c", "c"), (4, f"{tmp_path}/in/gone.png", "gone.png")]
+    images = spark.createDataFrame(rows, "id bigint, abs_path string, filename string")
+    taken = folder_listing(spark, str(tmp_path / "out"), depth=0, suffixes="*").select(F.lit("").alias("folder"), F.col("name").alias("filename"))
+    done = table_of(export.copy_files(export.archive_plan(images, taken=taken), f"{tmp_path}/out/"))
+    assert {(r.image_id, r.dest_path.rsplit("/", 1)[1]) for r in done.collect()} == {(1, "a.png"), (2, "a_1.png"), (3, "c_1")}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"c": b"old", "a.png": b"one", "a_1.png": b"two", "c_1": b"three"}
+    older = spark.createDataFrame([(1, "/before", None), (9, "/other", None)], done.schema)
+    log = {r.image_id: r.dest_path for r in export.logged(older, done).collect()}
+    assert log[9] == "/other" and log[1].endswith("out/a.png") and len(log) == 4
+
+
+def test_merges_stay_in_their_source(spark):
+    from tessera.operators import clustering
+
+    images = spark.createDataFrame([(1, 1, "k", "p"), (2, 2, "k", "q"), (3, 1, "j", "r")], "id bigint, source_id bigint, group_key_l2 string, prompt_pos string")
+    assert {r.image_id for r in clustering.merge_groups(images, ["k", "j"], source_id=1).collect()} == {1, 3}
+    with pytest.raises(ValueError):
+        clustering.merge_groups(images, ["k"], level=1)
