@@ -473,13 +473,13 @@ def r7(spark, sf_dir):
     return review.recovered_scores(scores_, found)
 
 
-@register("g24_assigned_templates", f"""WITH {b.IMAGES_SQL} SELECT id, CASE WHEN workflow_template_id IS NOT NULL THEN workflow_template_id WHEN workflow_key IN ('w1', 'w5') THEN 77 END AS template,
-CASE WHEN workflow_template_id IS NULL AND workflow_key IN ('w1', 'w5') THEN 0.5::DOUBLE END AS confidence FROM images""")
+@register("g24_assigned_templates", f"""WITH {b.IMAGES_SQL} SELECT id, CASE WHEN workflow_template_id IS NOT NULL THEN workflow_template_id WHEN workflow_key IN ('w1', 'w5') THEN 77 ELSE -1 END AS template,
+CASE WHEN workflow_template_id IS NULL AND workflow_key IN ('w1', 'w5') THEN 0.5::DOUBLE ELSE 0 END AS confidence FROM images""")
 def g24(spark, sf_dir):
     images = b.images(spark, sf_dir).withColumn("workflow_match_confidence", F.lit(None).cast("double"))
     keys_ = images.select("workflow_key").distinct().where(F.col("workflow_key").isin("w1", "w5"))
     done = graphs.assign_templates(images, keys_.select("workflow_key", F.lit(77).cast("bigint").alias("template_id"), F.lit(0.5).alias("coverage")))
-    return done.select("id", F.col("workflow_template_id").alias("template"), F.col("workflow_match_confidence").alias("confidence"))
+    return done.select("id", F.coalesce("workflow_template_id", F.lit(-1)).alias("template"), F.coalesce("workflow_match_confidence", F.lit(0.0)).alias("confidence"))
 
 
 @register("p13_merge_in_source", f"""WITH {b.IMAGES_SQL} SELECT id AS image_id, group_key_l2 AS prev_group_key FROM images WHERE group_key_l2 IN ('en-0', 'en-3') AND source_id = 1""")
