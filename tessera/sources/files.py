@@ -38,10 +38,10 @@ def listing_stats(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("file_count"), F.max("modificationTime").alias("newest"))
 
 
-def stable(files: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def stable(files: DataFrame, now: Column | None = None, seconds: float = STABILITY_SECONDS) -> tuple[DataFrame, DataFrame]:
     """(ready, pending): files unchanged for the stability window, and the younger ones."""
     age = F.unix_seconds(now if now is not None else F.current_timestamp()) - F.unix_seconds("modificationTime")
-    return files.where(age >= STABILITY_SECONDS), files.where(age < STABILITY_SECONDS)
+    return files.where(age >= seconds), files.where(age < seconds)
 
 
 def stem(path: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Options: ``paths`` (a JSON list of roots, or one path), ``depth`` (folder levels
 under a root; 0 is the root alone), ``least`` (the least level), ``suffixes``
-(comma-separated, any case; ``*`` for all), ``settle`` (seconds a file must be unchanged; the
-stream's default is the stability window). Roots are URIs or paths that every
+(comma-separated, any case; ``*`` for all), ``settle`` (seconds a file must be unchanged to be
+listed; in a stream, to count: there the default is the stability window). Roots are URIs or paths that every
 machine sees (local mounts, hdfs, s3).
 
 Each folder is a partition, so tasks list side by side; filters on the columns
@@ -12,8 +12,9 @@ Each folder is a partition, so tasks list side by side; filters on the columns
 
 The stream's offset is what the settled listing looked like: number of files,
 newest change, and a sum of path digests. A change of any of them (new, changed,
-renamed or deleted files) makes a micro-batch with the whole listing; a restart
-from the checkpoint without a change makes none.
+renamed or deleted files) makes a micro-batch with the whole listing, younger
+files included, so that none seems to be gone while it is written; a restart from
+the checkpoint without a change makes none.
 """
 
 from __future__ import annotations
@@ -44,12 +45,11 @@ _OPERATORS: dict[type, Callable] = {
 
 @dataclass
 class Folder(InputPartition):
-    """One folder to list; in a stream up to the newest change of the offset, in microseconds."""
+    """One folder to list."""
 
     root: str
     folder: str
     depth: int
-    upto: int | None = None
 
 
 class _Tree:
@@ -85,7 +85,8 @@ class _Tree:
                     below += [(root, f"{folder.rstrip('/')}/{i.base_name}") for i in self._listed(folder) if i.type == fs.FileType.Directory]
             level = below
 
-    def files(self, part: Folder) -> Iterator[tuple]:
+    def files(self, part: Folder, settle: float) -> Iterator[tuple]:
+        """Rows of a folder's files that have been unchanged for ``settle`` seconds."""
         from pyarrow import fs
 
         now = time.time()
@@ -93,7 +94,7 @@ class _Tree:
             if info.type != fs.FileType.File or not info.base_name.lower().endswith(self.suffixes):
                 continue
             changed = (info.mtime_ns or 0) // 1000
-            if now - changed / 1e6 < self.settle or part.upto is not None and changed > part.upto:
+            if settle and now - changed / 1e6 < settle:
                 continue
             at = dt.datetime.fromtimestamp(changed / 1e6, dt.timezone.utc)
             lone = part.depth == 0 and part.folder.endswith(info.path)  # a root that is a file
@@ -124,7 +125,7 @@ class FolderReader(DataSourceReader):
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         if partition.depth >= 0:
-            for row in self.tree.files(partition):
+            for row in self.tree.files(partition, self.tree.settle):
                 if self._passes(dict(zip(_COLUMNS, row))):
                     yield row
 
@@ -141,17 +142,17 @@ class FolderStream(DataSourceStreamReader):
 
         files, newest, digest = 0, 0, 0
         for folder in self.tree.folders():
-            for _, _, _, path, _, at, length in self.tree.files(folder):
+            for _, _, _, path, _, at, length in self.tree.files(folder, self.tree.settle):
                 changed = round(at.timestamp() * 1e6)
                 files, newest = files + 1, max(newest, changed)
                 digest = (digest + xxhash.xxh3_64_intdigest(f"{path}|{changed}|{length}".encode())) % 2**63
         return {"files": files, "newest": newest, "digest": digest}
 
     def partitions(self, start: dict, end: dict) -> list[Folder]:
-        return [Folder(f.root, f.folder, f.depth, end["newest"]) for f in self.tree.folders()]
+        return list(self.tree.folders())
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        return self.tree.files(partition)
+        return self.tree.files(partition, 0)
 
     def commit(self, end: dict) -> None:
         pass
@@ -184,6 +185,6 @@ def folder_listing(spark: SparkSession, paths: str | list[str], **options) -> Da
 
 
 def folder_changes(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
-    """A stream with the whole settled listing whenever it has changed."""
+    """A stream with the whole listing whenever what has settled has changed."""
     spark.dataSource.register(MediaFolders)
     return spark.readStream.format("media_folders").options(**_options(paths, options)).load()

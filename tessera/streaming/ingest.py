@@ -150,17 +150,18 @@ def with_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFram
     return opened.join(wanted.select("norm_path"), "norm_path", "left_semi")
 
 
-def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_model", wait: bool = True, listing: DataFrame | None = None) -> Synced:
+def sync_source(store: Store, source_id: int, root: str, dimension: str = "base_model", wait: bool | float = True, listing: DataFrame | None = None) -> Synced:
     """One pass over ``root``, or over a ``listing`` of it (path, modificationTime, length) made elsewhere.
 
     New and changed files are parsed, failed or outdated ones again; renamed ones
     keep their row, rows without a file go. Touched L1 buckets are reclustered.
-    Files younger than the stability window wait for the next pass.
+    Files younger than the stability window (``wait`` may give its seconds) wait
+    for a later pass; a known one stays meanwhile.
     """
     spark, now = store.spark, F.lit(time.time()).cast("timestamp")  # one now for the whole pass
     found = files.binary_files(spark, root) if listing is None else listing.select("path", F.date_trunc("millisecond", "modificationTime").alias("modificationTime"), "length")
     listed = table_of(found.withColumn("norm_path", files.same_path(F.col("path"))).dropDuplicates(["norm_path"]))
-    ready, young = files.stable(listed, now) if wait else (listed, listed.limit(0))
+    ready, young = files.stable(listed, now, STABILITY_SECONDS if wait is True else wait) if wait else (listed, listed.limit(0))
     known = store.read("images").where(F.col("source_id") == source_id)
     wanted = with_contents(spark, root, table_of(to_read(ready, known)))
     parsed = files.with_companion(
@@ -219,8 +220,8 @@ class Poller:
 
     Each stream has its own checkpoint under ``checkpoint``, so a restart begins
     where the last finished pass ended: a listing that was processed makes no
-    batch again. The watermark is that of settled files only, younger ones come
-    with a later listing. Passes take turns (one writer at a time).
+    batch again. The watermark is that of settled files only: younger ones are
+    listed, so that none seems gone, and parsed with a later listing. Passes take turns (one writer at a time).
     """
 
     store: Store
@@ -238,7 +239,7 @@ class Poller:
     def _images(self, batch: DataFrame, number: int) -> None:
         with self._turn:
             listing = batch.select("path", F.col("modified_at").alias("modificationTime"), "length")
-            self.passes.append((number, sync_source(self.store, self.source_id, self.root, wait=False, listing=listing)))
+            self.passes.append((number, sync_source(self.store, self.source_id, self.root, wait=self.settle, listing=listing)))
 
     def _templates(self, batch: DataFrame, number: int) -> None:
         with self._turn:

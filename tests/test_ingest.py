@@ -140,4 +140,6 @@ def test_a_restarted_poller_parses_nothing_twice(spark, tmp_path):
     assert [p[1] for p in run()] == [Synced(1, 1, 0, 0, 0)]
     (root / "young.png").write_bytes(graph("young", 3))
     (root / "c.png").unlink()
-    assert [p[1] for p in run(settle=3600.0)] == [Synced(0, 0, 2, 0, 0)]  # nothing on disk is settled yet
+    passes = [p[1] for p in run(settle=3600.0) if p[1] != "templates"]
+    assert passes == [Synced(0, 0, 1, 1, 0)]  # nothing on disk is settled: the known file stays, the new one waits, the deleted one goes
+    assert [r.filename for r in store.read("images").collect()] == ["b.png"] and store.read("workflow_templates").count() == 1
