@@ -211,7 +211,8 @@ def refresh_templates(store: Store, templates: DataFrame) -> None:
     free = images.where(F.col("workflow_template_id").isNull() & (F.coalesce("workflow_key", F.lit("")) != ""))
     graphs = free.groupBy("workflow_key").agg(F.any_value("workflow_graph").alias("g")).select("workflow_key", "g.t", "g.e")
     found = contained(graphs, rows.select(F.col("id").alias("template_id"), "name", "graph.t", "graph.e"))
-    store.overwrite("images", table_of(assign_templates(images, found)))
+    assigned = assign_templates(free, found).where(F.col("workflow_template_id").isNotNull())
+    store.update("images", assigned.select("id", "workflow_template_id", "workflow_match_confidence"))
 
 
 @dataclass
