@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.constants import IMAGE_SUFFIXES, STABILITY_SECONDS, TEMPLATE_DEPTH
+from tessera.functions.parameters import prompts
 from tessera.functions.text import normalize_path
 from tessera.sources.folder_source import folder_listing
 from tessera.sources.metadata import parse_image
@@ -59,17 +60,11 @@ def with_companion(parsed: DataFrame, texts: DataFrame) -> DataFrame:
     split = F.split(F.col("_text"), r"(?m)Negative prompt:|Negative:", 2)
     rows = parsed.withColumn("_stem", stem(F.col("path"))).join(texts.select(F.col("stem").alias("_stem"), F.col("text").alias("_text")), "_stem", "left")
     bare = (F.col("meta.prompt_pos") == "") & (F.col("meta.prompt_neg") == "") & F.col("_text").isNotNull()
-    full = F.when(bare & F.contains(F.col("_text"), F.lit("Steps:")), parse_text(F.col("_text")))
-    positive = F.when(bare, F.coalesce(full["prompt_pos"], F.trim(F.get(split, 0)))).otherwise(F.col("meta.prompt_pos"))
-    negative = F.when(bare, F.coalesce(full["prompt_neg"], F.trim(F.coalesce(F.get(split, 1), F.lit(""))))).otherwise(F.col("meta.prompt_neg"))
+    rows = rows.withColumn("_full", F.when(bare & F.contains(F.col("_text"), F.lit("Steps:")), prompts(F.col("_text"))))
+    positive = F.when(bare, F.coalesce("_full.positive", F.trim(F.get(split, 0)))).otherwise(F.col("meta.prompt_pos"))
+    negative = F.when(bare, F.coalesce("_full.negative", F.trim(F.coalesce(F.get(split, 1), F.lit(""))))).otherwise(F.col("meta.prompt_neg"))
     meta = F.col("meta").withField("prompt_pos", positive).withField("prompt_neg", negative)
-    return rows.withColumn("meta", meta).drop("_stem", "_text")
-
-
-def parse_text(text: Column) -> Column:
-    from tessera.sources.metadata import parse_parameters
-
-    return parse_parameters(text)
+    return rows.withColumn("meta", meta).drop("_stem", "_text", "_full")
 
 
 def parsed_images(spark: SparkSession, root: str) -> DataFrame:

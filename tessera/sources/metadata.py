@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.json_clean import clean_json
+from tessera.functions.parameters import bound, parameters_struct
 from tessera.sources.node_graph import graph_meta, topology
 
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -33,37 +33,6 @@ def blank(kind: str = "local", ok: bool = False) -> dict:
     }
 
 
-def _number(text: str | None, kind=int):
-    try:
-        return kind(text.strip())
-    except (AttributeError, ValueError):
-        return kind(0)
-
-
-def parameters_meta(text: str) -> dict:
-    """A parameter text: prompt, ``Negative prompt:``, and the line of settings that starts with ``Steps:``."""
-    meta = blank("a1111", True)
-    head, steps, tail = text.partition("\nSteps:") if not text.startswith("Steps:") else ("", "Steps:", text[6:])
-    positive, _, negative = re.split(r"(?m)^[ \t]*(Negative prompt:)[ \t]*", head, maxsplit=1) if re.search(r"(?m)^[ \t]*Negative prompt:", head) else (head, "", "")
-    meta["prompt_pos"], meta["prompt_neg"] = positive.strip(), negative.strip()
-    if not steps:
-        return meta
-    line = ("Steps:" + tail).split("\n", 1)[0]
-    kv = {k.strip(): v.strip() for k, found, v in (part.partition(": ") for part in line.split(", ")) if found}
-    names = lambda value: [n for n in (p.split(":")[0].strip() for p in value.strip('"').split(",")) if n]
-    meta["checkpoint"], meta["vae"] = kv.get("Model", ""), kv.get("VAE", "")
-    meta["loras"] = [{"name": n, "strength": 1.0, "clip_strength": None} for n in names(kv.get("Lora hashes", ""))]
-    meta["embeddings"] = list(dict.fromkeys(names(kv.get("TI hashes", ""))))
-    width, _, height = kv.get("Size", "").partition("x")
-    meta["width"] = _number(kv.get("Width")) or _number(width)
-    meta["height"] = _number(kv.get("Height")) or _number(height)
-    meta["samplers"] = [{
-        "sampler": kv.get("Sampler", ""), "seed": _number(kv.get("Seed")), "steps": _number(kv.get("Steps")), "cfg": _number(kv.get("CFG scale"), float),
-        "scheduler": kv.get("Scheduler", kv.get("Schedule type", "")),
-    }]
-    return meta
-
-
 def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
     """(type, body, start, end) of each chunk; stops where the file is broken."""
     at = 8
@@ -114,23 +83,23 @@ def user_comment(data: bytes) -> str:
 
 
 def image_meta(path: str, data: bytes | None) -> dict:
-    """Metadata of an image file by its kind."""
-    meta, kind = blank(), path.rsplit(".", 1)[-1].lower()
+    """Metadata of an image file by its kind; ``parameters`` is the parameter text that stands for it, if one does."""
+    meta, kind = blank() | {"parameters": None}, path.rsplit(".", 1)[-1].lower()
     if not data:
         return meta
     if kind == "png":
         texts, width, height = png_text(data)
         if "prompt" in texts:
-            meta = from_graph(texts["prompt"])
+            meta |= from_graph(texts["prompt"])
         if not meta["meta_ok"] and "parameters" in texts:
-            meta = parameters_meta(texts["parameters"])
+            meta |= blank() | {"parameters": texts["parameters"]}
         if not meta["t"] and "workflow" in texts:
             meta["t"], meta["e"] = _ui_topology(texts["workflow"])
         meta["width"], meta["height"] = width or meta["width"], height or meta["height"]
     elif kind in ("jpg", "jpeg", "webp"):
         text = user_comment(data)
         if "Steps:" in text:
-            meta = parameters_meta(text)
+            meta["parameters"] = text
         width, height = _jpeg_size(data)
         meta["width"], meta["height"] = width or meta["width"], height or meta["height"]
     return meta
@@ -152,30 +121,33 @@ def _ui_topology(text: str) -> tuple[list[str], list[str]]:
         return [], []
 
 
-def _frame(rows: Iterator[dict]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=list(blank()))
-
-
 def _images(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    return _frame(map(image_meta, paths, contents))
-
-
-def _parameters(texts: pd.Series) -> pd.DataFrame:
-    return _frame(parameters_meta(t or "") for t in texts)
+    return pd.DataFrame(list(map(image_meta, paths, contents)), columns=[*blank(), "parameters"])
 
 
 def _graphs(texts: pd.Series) -> pd.DataFrame:
-    return _frame(from_graph(t or "") for t in texts)
+    return pd.DataFrame([from_graph(t or "") for t in texts], columns=list(blank()))
 
 
 def parse_image(path: Column | str, content: Column | str) -> Column:
-    """Metadata struct of image files."""
-    return F.pandas_udf(_images, META)(path, content)
+    """Metadata struct of image files. Python reads the file and its node graph; a parameter text is parsed by built-in functions."""
+
+    def field(raw: Column, text: Column, name: str) -> Column:
+        if name in ("t", "e"):
+            return raw[name]
+        return F.coalesce(F.nullif(raw[name], F.lit(0)), text[name]) if name in ("width", "height") else text[name]
+
+    def merged(raw: Column) -> Column:
+        parsed = bound(parameters_struct(raw["parameters"]), lambda text: F.struct(*(field(raw, text, c).alias(c) for c in blank())))
+        return F.when(raw["parameters"].isNotNull(), parsed.cast(META)).otherwise(F.struct(*(raw[c].alias(c) for c in blank())))
+
+    read = F.pandas_udf(_images, META[:-1] + ", parameters: string>")(path, content)
+    return bound(read, merged)
 
 
 def parse_parameters(text: Column | str) -> Column:
-    """Metadata struct of parameter texts."""
-    return F.pandas_udf(_parameters, META)(text)
+    """Metadata struct of parameter texts, without Python."""
+    return parameters_struct(F.col(text) if isinstance(text, str) else text).cast(META)
 
 
 def parse_graph(text: Column | str) -> Column:

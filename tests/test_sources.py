@@ -1,13 +1,14 @@
 """Parsers and file sources on files made here."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from tessera.operators.embed import WordPiece, preprocess, resize_matrix, text_vectors
 from tessera.schemas import select_with_defaults
 from tessera.sources import files
-from tessera.sources.metadata import PNG_MAGIC, from_graph, image_meta, parameters_meta, png_chunk, png_chunks, rewrite_prompt
+from tessera.sources.metadata import PNG_MAGIC, from_graph, image_meta, parse_image, parse_parameters, png_chunk, png_chunks, rewrite_prompt
 from tessera.sources.node_graph import loras_of, topology
 from tessera.store import Store
 
@@ -54,12 +55,68 @@ def test_custom_lora_slots():
     assert [x["name"] for x in loras_of({"loras": {"__value__": [{"name": "c", "active": False}, {"name": "d", "strength": 1}]}})] == ["d"]
 
 
-def test_parameter_text():
-    m = parameters_meta("a cat\nsecond\nNegative prompt: ugly\nSteps: 20, Sampler: Euler a, CFG scale: 7, Seed: 5, Size: 512x768, Model: m, Lora hashes: \"x: 1\"")
+def parsed(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", parse_parameters("text").alias("m"))
+    found = [r.m.asDict(True) for r in rows.orderBy("id").collect()]
+    return found[0] if len(texts) == 1 else found
+
+
+def test_parameter_text(spark):
+    m = parsed(spark, "a cat\nsecond\nNegative prompt: ugly\nSteps: 20, Sampler: Euler a, CFG scale: 7, Seed: 5, Size: 512x768, Model: m, Lora hashes: \"x: 1\"")
     assert (m["prompt_pos"], m["prompt_neg"], m["width"], m["height"], m["checkpoint"]) == ("a cat\nsecond", "ugly", 512, 768, "m")
     assert m["samplers"][0]["sampler"] == "Euler a" and m["loras"][0]["name"] == "x"
 
 
+def plain_settings(text):
+    """The settings of a parameter text by a plain loop."""
+    rows = text.split("\n")
+    k = next((i for i, row in enumerate(rows) if row.startswith("Steps:")), None)
+    said = {}
+    for part in rows[k].split(", ") if k is not None else ():
+        name, found, value = part.partition(": ")
+        if found:
+            said[name.strip()] = value.strip()
+    return k, said
+
+
+HARD = [
+    None, "", "Steps: 5", "only a prompt", "a\n  Negative prompt:  b\nNegative prompt: c\nmore", "Negative prompt: x\nSteps: 3, Seed: no, CFG scale: 1e1",
+    "a\u3000\nSteps: 7, Seed: 1, Seed: 2, Model: a: b, Sampler:  DPM , Schedule type: Karras\nVersion: 1, Model: z",
+    "p\r\nSteps: 9, Size: 64x, Width: 0, Height: 12, Seed: 99999999999999999999", "p, Steps: 1\nsteps: 2", "p\nSteps: 4, CFG scale: x, Scheduler: A, Schedule type: B, VAE: v",
+    'q\nSteps: 1, Lora hashes: "a: 1, b: 2", TI hashes: "t: 1,u,t : 2,"', "\u00a0tab\t \nSteps: +6, Size: 5x7x9, Seed: -4", "x" * 200000 + " " * 200000 + "y\nSteps: 2",
+]
+
+
+def test_parameter_texts_match_a_plain_loop(spark):
+    for text, m in zip(HARD, parsed(spark, *HARD)):
+        k, said = plain_settings(text or "")
+        head = "\n".join((text or "").split("\n")[:k])
+        at = next((i for i, row in enumerate(head.split("\n")) if row.lstrip(" \t").startswith("Negative prompt:")), None)
+        lines = head.split("\n")
+        positive = head if at is None else "\n".join(lines[:at])
+        negative = "" if at is None else "\n".join([lines[at].lstrip(" \t")[16:], *lines[at + 1 :]])
+        assert (m["prompt_pos"], m["prompt_neg"]) == (positive.strip(), negative.strip())
+        assert (m["checkpoint"], m["vae"], m["meta_ok"], m["source_kind"]) == (said.get("Model", ""), said.get("VAE", ""), True, "a1111")
+        assert len(m["samplers"]) == (k is not None)
+        if k is not None:
+            s = m["samplers"][0]
+            assert (s["sampler"], s["scheduler"]) == (said.get("Sampler", ""), said.get("Scheduler", said.get("Schedule type", "")))
+            assert s["steps"] == int(said.get("Steps", 0))
+    by = dict(zip(HARD, parsed(spark, *HARD)))
+    numbers = lambda text: (by[text]["samplers"][0]["seed"], by[text]["samplers"][0]["cfg"], by[text]["width"], by[text]["height"])
+    assert [numbers(HARD[i]) for i in (5, 6, 7, 11)] == [(0, 10.0, 0, 0), (2, 0.0, 0, 0), (0, 0.0, 64, 12), (-4, 0.0, 5, 0)]
+    assert [x["name"] for x in by[HARD[10]]["loras"]] == ["a"] and by[HARD[10]]["embeddings"] == ["t", "u"]
+
+
+def test_parameter_text_needs_no_python_and_reaches_images(spark):
+    rows = spark.createDataFrame([("p\nSteps: 1, Size: 5x9, Seed: 3",)], "text string").select(parse_parameters("text").alias("m"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    data = [("a.png", png(parameters="p\nSteps: 1, Size: 5x9, Seed: 3")), ("b.png", png()), ("c.jpg", b"\xff\xd8ASCII\0\0\0p\nSteps: 1, Size: 5x9\0"), ("d.png", None)]
+    m = {r.path: r.m for r in spark.createDataFrame(data, "path string, content binary").select("path", parse_image("path", "content").alias("m")).collect()}
+    assert [(m[p].prompt_pos, m[p].width, m[p].height, m[p].meta_ok) for p in sorted(m)] == [("p", 8, 6, True), ("", 8, 6, False), ("p", 5, 9, True), ("", 0, 0, False)]
+    assert m["a.png"].samplers[0].seed == 3 and m["a.png"].source_kind == "a1111"
+
+
 def test_png_and_rewrite():
     data = png(prompt=json.dumps({**GRAPH, "2": {"class_type": "CLIPTextEncode", "inputs": {"text": "old"}}}))
     new = rewrite_prompt(data, "new one", "none")
@@ -72,6 +129,7 @@ def test_png_and_rewrite():
 
 def test_folder_scan_companions_and_templates(spark, tmp_path):
     (tmp_path / "sub" / "deep").mkdir(parents=True)
+    begun = F.timestamp_seconds(F.lit(int(time.time())))
     (tmp_path / "a.PNG").write_bytes(png(parameters="p\nSteps: 1, Seed: 3"))
     (tmp_path / "sub" / "b.png").write_bytes(png())
     (tmp_path / "sub" / "deep" / "c.png").write_bytes(png())
@@ -82,7 +140,7 @@ def test_folder_scan_companions_and_templates(spark, tmp_path):
     assert got == {"a.PNG": ("p", ""), "b.png": ("from text", "none")}
     t = files.templates(spark, str(tmp_path)).first()
     assert (t.name, t.t, t.e, t.node_count, t.diffusion_models) == ("t", ["B", "UNETLoader"], ["UNETLoader->B"], 2, ["m"])
-    ready, pending = files.stable(files.binary_files(spark, str(tmp_path)))
+    ready, pending = files.stable(files.binary_files(spark, str(tmp_path)), begun)  # however slow the steps above
     assert ready.count() == 0 and pending.count() == 2
 
 
