@@ -1,7 +1,7 @@
 """Weighted URL vocabulary (operator 3).
 
 An Aho-Corasick automaton finds strict and soft terms in the lower-cased url.
-A term counts where no letter or digit stands on either side of it. One strict
+A term counts where no letter or digit of any script stands on either side of it. One strict
 term, or ``soft_hits`` distinct soft terms, blocks the url. Rules of host and
 path come first: the longest rule that fits decides.
 
@@ -18,18 +18,30 @@ from dataclasses import dataclass, field
 from functools import cache, partial
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One of these is enough.
+#: One of these is enough: pornography, gambling, malware and piracy, drugs and forgeries, spam. Phrases match with the separators that urls give them.
 STRICT = (
-    "adult", "casino", "escort", "gambling", "hentai", "malware", "nude", "phishing", "poker", "porn", "sex", "spam",
-    "torrent", "viagra", "warez", "xxx",
+    "adult", "bdsm", "bukkake", "camgirl", "camgirls", "erotic", "erotica", "escort", "escorts", "fetish", "hentai", "milf", "nsfw", "nude",
+    "nudes", "porn", "porno", "pornos", "pornstar", "pornstars", "sex", "sexcam", "sexcams", "sexy", "striptease", "webcamsex", "xxx",
+    "baccarat", "betting", "blackjack", "bookmaker", "bookmakers", "casino", "gambling", "poker", "roulette", "sportsbook",
+    "keygen", "keygens", "keylogger", "malware", "nulled", "phishing", "ransomware", "spyware", "torrent", "torrents", "warez",
+    "ambien", "cialis", "levitra", "oxycontin", "phentermine", "tramadol", "viagra", "xanax",
+    "linkfarm", "ponzi", "spam", "spammer", "sugar-daddy", "fake-id", "fake-ids", "replica-watches", "essay-mill", "payday-loan", "payday-loans",
 )
-#: Several distinct ones are needed.
+#: Several distinct ones are needed: selling, tracking, dating, easy money, downloads.
 SOFT = (
-    "ads", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "dating", "deal", "discount", "farm", "free", "loan",
-    "lucky", "pills", "popup", "prize", "track", "tracker", "win", "winner",
+    "ad", "ads", "adserver", "advert", "adverts", "affiliate", "affiliates", "banner", "banners", "clickbait", "click", "doubleclick", "popup", "popups", "sponsor",
+    "sponsored", "track", "tracker", "tracking", "utm",
+    "bargain", "bargains", "cashback", "cheap", "clearance", "coupon", "coupons", "deal", "deals", "discount", "discounts", "free", "freebie", "freebies",
+    "promo", "voucher", "vouchers", "wholesale",
+    "bet", "bets", "bonus", "crypto", "earn", "forex", "giveaway", "loan", "loans", "lottery", "lucky", "prize", "prizes",
+    "spin", "sweepstakes", "win", "winner", "winners",
+    "babes", "dating", "flirt", "hookup", "lingerie", "singles", "teen", "teens", "webcam",
+    "crack", "farm", "hack", "hacks", "pharmacy", "pills", "proxy", "ringtones", "weight-loss",
+    "backlinks", "botnet", "cracked", "doorway", "hardcore", "jackpot", "scam", "slots", "steroids", "trojan",
 )
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -55,7 +67,7 @@ def _automaton(v: Vocabulary):
 
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_ALNUM = re.compile(r"[a-z0-9]")
+_ALNUM = regex.compile(r"[\p{L}\p{N}]")
 
 
 def term_hits(url: str, v: Vocabulary) -> tuple[set[str], set[str]]:
@@ -116,7 +128,7 @@ def judge_urls(pages: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
 def oracle(v: Vocabulary = Vocabulary()) -> str:
     """DuckDB SQL for the same rows."""
     quote = lambda t: t.replace(".", r"\.").replace("-", r"\-")
-    hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){quote(t)}($|[^a-z0-9])')::BIGINT"
+    hit = lambda t: f"regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){quote(t)}($|[^\\p{{L}}\\p{{N}}])')::BIGINT"
     parts = [(r, verdict, *r.split("/", 1)) for r, verdict in v.rules]
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}'))" for _, _, h, p in parts]
     order = sorted(range(len(parts)), key=lambda k: -len(parts[k][0]))

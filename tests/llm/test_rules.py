@@ -75,6 +75,25 @@ def test_urls_match_their_sql(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_vocabulary_at_boundaries_of_any_script(spark):
+    v = url_filter.Vocabulary()
+    assert len(set(v.strict) | set(v.soft)) == len(v.strict) + len(v.soft) > 100
+    rows = []
+    for term in v.strict + v.soft:
+        rows += [f"http://a.io/{term}", f"http://a.io/x{term}", f"http://a.io/é{term}", f"http://a.io/{term}٣", f"http://{term}.io/漢{term}_{term.upper()}/"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r.page_id: (r.strict_terms, r.soft_terms, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    want = con.execute(url_filter.oracle()).df()
+    assert got == {r.page_id: (r.strict_terms, r.soft_terms, r.verdict) for r in want.itertuples()}
+    for k, term in enumerate(v.strict + v.soft):
+        strict, soft, verdict = got[5 * k]
+        assert (strict if term in v.strict else soft) >= 1 and (term in v.soft or verdict == "block")
+        assert sum(got[5 * k + 2][:2]) < strict + soft and sum(got[5 * k + 3][:2]) < strict + soft
+    assert got[rows.index("http://a.io/éfree")] == (0, 0, "allow")
+
+
 ARTICLE = "<h2>A title</h2><p>First paragraph, with <b>marks</b> &amp; more.<p>Second &eacute;&#233; one,   with\n lines, too.<ul><li>An item, here.</ul><p>Third, the last of them."
 BOIL = {
     "nav": "<nav><a href=/a>Home</a><a href=/b>More</a></nav>", "header": "<header>Site name, always.</header>", "script": "<script>if (a < b) { x('</p>'); }</script>",
