@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.constants import VISUAL_THRESHOLD
-from tessera.operators.blocks import block_products, by_block_pair
+from tessera.operators.blocks import against_chunks, block_products, by_block_pair, placed_table
 from tessera.store import table_of
 
-#: Longs of a set's bitmap, 64 tokens' bits each.
-_WORDS = 16
+#: Columns that tokens are hashed to in products of sets: the power of two from twice the larger set's size, within these; and marks in the closer check.
+_COLUMNS, _MARKS = (256, 2**15), 2**22
 
 
 def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,63 +31,86 @@ def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (bucket, a, b, sim), a < b, of different non-empty ``sets`` (bucket, id, tokens) with Jaccard >= threshold > 0.
 
-    With the tokens of a bucket in one order, rarest first, such a pair shares
-    a token among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set and
-    the first n - ceil(t n) + 1 of the larger one; the classes of sizes that a
-    pair may have are part of the key, and a row of the join goes on only if
-    enough tokens come after the shared one. What is left is checked on bitmaps
-    (a bit that one set has and the other lacks is a token not shared), and on
-    the whole sets where those leave it open.
+    Sets are placed by bucket and size and streamed past chunks of them, so a
+    set meets the smaller ones of its bucket that are large enough; candidates
+    never leave their task. A product of hashed token counts bounds what two sets share, marks
+    on longer hashes bound it closer; what is left is checked on the whole sets.
     """
     t = threshold
-    full = sets.where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
-    # once, as hashes: tokens of one hash only make more candidates, as a shared token is always a shared hash
-    token = table_of(full.select("bucket", "id", "n", F.explode(F.transform("tokens", lambda x: F.xxhash64(x))).alias("token")))
-    frequency = token.groupBy("bucket", "token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("bucket", "id").orderBy("df", "token"))
-    ranked = token.join(frequency, ["bucket", "token"]).withColumn("i", place)
-    size_class = F.floor(F.ln("n") / F.lit(-np.log(t) if t < 1 else 1e-6) + 1e-9) if t < 1 else F.col("n").cast("bigint")
-    prefix = table_of(
-        ranked.where((F.col("df") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1))
-        .withColumn("class", size_class)
-        .withColumn("short", F.col("i") <= F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1)
-        .select("bucket", "token", "class", "id", "n", "i", "short")
-    )
-    x = prefix.where("short").drop("short").withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("x")
-    y = prefix.drop("short").alias("y")
-    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
-    near = F.col("x.n") >= F.lit(t) * F.col("y.n") - 1e-9
-    needed = F.lit(t / (1 + t)) * (F.col("x.n") + F.col("y.n")) - 1e-9
-    enough = 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) >= needed
-    keys = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class"))
-    met = x.join(y, keys & ordered & near & enough).select(
-        F.col("x.bucket").alias("bucket"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
-    ).distinct()
-    bits = table_of(_bitmaps(token))
-    left = bits.select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(f"w{k}").alias(f"a{k}") for k in range(_WORDS)))
-    right = bits.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"w{k}").alias(f"b{k}") for k in range(_WORDS)))
-    lost_a = sum((F.bit_count(F.col(f"a{k}").bitwiseAND(F.bitwise_not(F.col(f"b{k}")))) for k in range(1, _WORDS)), F.bit_count(F.col("a0").bitwiseAND(F.bitwise_not("b0"))))
-    lost_b = sum((F.bit_count(F.col(f"b{k}").bitwiseAND(F.bitwise_not(F.col(f"a{k}")))) for k in range(1, _WORDS)), F.bit_count(F.col("b0").bitwiseAND(F.bitwise_not("a0"))))
-    most = F.least(F.col("na") - lost_a, F.col("nb") - lost_b)
-    open_ = met.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).where(
-        most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9
-    ).select("bucket", "a", "b")
-    hashed = full.select("bucket", "id", F.transform("tokens", lambda x: F.xxhash64(x)).alias("h"))
-    ha, hb = (hashed.select("bucket", F.col("id").alias(k), F.col("h").alias(f"h{k}")) for k in ("a", "b"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    close = open_.join(ha, ["bucket", "a"]).join(hb, ["bucket", "b"]).where(shared >= F.lit(t / (1 + t)) * (F.size("ha") + F.size("hb")) - 1e-9)
+    full = sets.where((F.size("tokens") > 0) & F.col("bucket").isNotNull() & F.col("id").isNotNull())
+    hashed = full.select("bucket", "id", F.size("tokens").alias("n"), F.transform("tokens", lambda x: F.pmod(F.xxhash64(x), F.lit(_MARKS)).cast("int")).alias("h"))
+    placed = placed_table(hashed, [F.asc("bucket"), F.asc("n"), F.asc("id")])
+    met = against_chunks(placed, F.col("n"), partial(_sharing, t=t), "bucket string, a bigint, b bigint", later=True)
     ta, tb = (full.select("bucket", F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    both = table_of(close.select("bucket", "a", "b")).join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    both = met.join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
     sim = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))
     return both.select("bucket", "a", "b", sim.alias("sim")).where(F.col("sim") >= t)
 
 
-def _bitmaps(token: DataFrame) -> DataFrame:
-    """(bucket, id, n, w0..): a bit for each hashed token of a set."""
-    h = F.pmod("token", F.lit(64 * _WORDS))
-    bit = token.select("bucket", "id", "n", (h / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(token, 64) as int))").alias("bit"))
-    words = (F.coalesce(F.bit_or(F.when(F.col("w") == k, F.col("bit"))), F.lit(0).cast("bigint")).alias(f"w{k}") for k in range(_WORDS))
-    return bit.groupBy("bucket", "id", "n").agg(*words)
+def _lists(table: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, one after another, and where each row's begin (and the last one's end)."""
+    chunk = table.column(column)
+    chunk = chunk.combine_chunks() if isinstance(chunk, pa.ChunkedArray) else chunk
+    ends = chunk.offsets.to_numpy()
+    return chunk.values.to_numpy()[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+
+
+def _tokens(h: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of these rows, one row after another, and how many each has."""
+    size = at[rows + 1] - at[rows]
+    return h[np.repeat(at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+
+def _hashed(h: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """How many tokens of each of these rows fall in each of ``width`` columns."""
+    tokens, size = _tokens(h, at, rows)
+    return np.bincount(np.repeat(np.arange(len(rows)) * width, size) + tokens % width, minlength=len(rows) * width).reshape(-1, width).astype(np.float32)
+
+
+def _sharing(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (bucket, a, b) of the rows with smaller ones of the chunk that may share enough tokens: none that do are lost."""
+    chunk = shared.value
+    ids, n, place = (chunk.column(c).to_numpy() for c in ("id", "n", "position"))
+    h, at = _lists(chunk, "h")
+    names, first = np.unique(np.array(chunk.column("bucket").to_pylist(), object), return_index=True)
+    ends = dict(zip(names[np.argsort(first)], np.append(np.sort(first), len(ids))[1:]))
+    starts = dict(zip(names, first))
+    marks = np.zeros(_MARKS, bool)
+    for batch in batches:
+        rid, rn, rplace = (batch.column(c).to_numpy() for c in ("id", "n", "position"))
+        rh, rat = _lists(batch, "h")
+        buckets = np.array(batch.column("bucket").to_pylist(), object)
+        widths = np.clip(2 ** np.ceil(np.log2(2 * rn)).astype(np.int64), *_COLUMNS)
+        for bucket, width in {*zip(buckets, widths)}:
+            if bucket not in starts:
+                continue
+            several = max(64, 2**21 // width)  # rows of a side at a time
+            like = np.flatnonzero((buckets == bucket) & (widths == width))
+            like = like[np.argsort(rplace[like])]
+            a, b = [], []
+            for rows in np.array_split(like, -(-len(like) // several)):
+                lo = starts[bucket] + np.searchsorted(n[starts[bucket] : ends[bucket]], t * rn[rows].min() - 1e-9)
+                hi = lo + np.searchsorted(place[lo : ends[bucket]], rplace[rows].max())
+                counts = _hashed(rh, rat, rows, width)
+                for begin in range(lo, hi, several):
+                    part = np.arange(begin, min(hi, begin + several))
+                    r, c = np.nonzero(counts @ np.minimum(_hashed(h, at, part, width), 1).T >= (t / (1 + t)) * (rn[rows][:, None] + n[None, part]) - 1e-9)
+                    keep = (n[part[c]] >= t * rn[rows[r]] - 1e-9) & (place[part[c]] < rplace[rows[r]])
+                    r, c = r[keep], c[keep]
+                    if not len(r):
+                        continue
+                    for row, found in zip(rows[np.unique(r)], np.split(part[c], np.flatnonzero(np.diff(r)) + 1)):
+                        own = rh[rat[row] : rat[row + 1]]
+                        marks[own] = True
+                        tokens, size = _tokens(h, at, found)
+                        shares = np.add.reduceat(marks[tokens], np.cumsum(size) - size, dtype=np.int64)
+                        marks[own] = False
+                        found = found[shares >= (t / (1 + t)) * (size + rn[row]) - 1e-9]
+                        a.append(ids[found])
+                        b.append(np.full(len(found), rid[row]))
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.string()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["bucket", "a", "b"])
 
 
 def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
