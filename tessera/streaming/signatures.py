@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from threading import Lock
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -37,12 +37,11 @@ class Status:
 def hashed_words(dims: int = 8) -> Tower:
     """A tower of built-in functions: counts of the prompt's words by 16 bits of their MD5, as a unit vector; none without words."""
     def tower(rows: DataFrame) -> DataFrame:
-        words = token_set(F.coalesce("prompt_pos", F.lit("")))
-        bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dims
-        at = F.transform(words, bucket)
-        counts: Column = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda b: b == i)).cast("double"))
-        found = rows.select("image_id", counts.alias("n")).withColumn("size", F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x)))
-        return found.select("image_id", F.when(F.col("size") > 0, F.transform("n", lambda x: x / F.col("size"))).alias("vec"))
+        word = rows.select("image_id", F.explode(token_set(F.coalesce("prompt_pos", F.lit("")))).alias("w"))
+        at = word.select("image_id", (F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int") % dims).alias("at"))  # one MD5 a word
+        found = at.groupBy("image_id").agg(F.array(*(F.count_if(F.col("at") == i).cast("double") for i in range(dims))).alias("n"))
+        size = F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x))
+        return found.withColumn("size", size).select("image_id", F.transform("n", lambda x: x / F.col("size")).alias("vec"))
 
     return tower
 
@@ -120,6 +119,7 @@ class SignatureJob:
         try:
             if self.cancelled:
                 raise RuntimeError("cancelled")
+            batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism, "image_id")  # a chunk is one file
             vectors = self.tower(batch)
             rows = batch.select("image_id").join(vectors, "image_id", "left").select(
                 "image_id", F.lit(self.slot).alias("slot"), F.lit(self.model).alias("model_id"), F.size("vec").alias("dim"), F.col("vec").cast("array<double>").alias("vec")
