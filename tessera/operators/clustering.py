@@ -28,8 +28,8 @@ def single_linkage(rows: DataFrame, threshold: float) -> DataFrame:
     if threshold <= 0:
         least = rows.groupBy("bucket").agg(F.min("id").alias("cluster"))
         return rows.select("bucket", "id").join(least, "bucket")
-    members, sets = fold_sets(rows)
-    linked = components(set_pairs(sets, threshold).select("a", "b"))
+    members, sets, hashed = fold_sets(rows)
+    linked = components(set_pairs(sets, threshold, hashed).select("a", "b"))
     found = members.join(linked, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("cluster"))
     return rows.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("cluster", "id").alias("cluster"))
 

@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import VISUAL_THRESHOLD
@@ -19,30 +19,47 @@ from tessera.store import table_of
 _COLUMNS, _MARKS = (256, 2**15), 2**22
 
 
-def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal token sets of a bucket as one: members (bucket, id, rep) and sets (bucket, id, tokens), ``id`` the least of a set's."""
+def _hashed_tokens() -> Column:
+    return F.transform("tokens", lambda x: F.pmod(F.xxhash64(x), F.lit(_MARKS)).cast("int"))
+
+
+def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Equal token sets of a bucket as one: members (bucket, id, rep), sets (bucket, id, tokens), ``id`` the least of a set's, and those hashed (bucket, id, n, h).
+
+    Digests and hashes are written; tokens never are, they are made from ``rows`` again where they are read.
+    """
     own = rows.select("bucket", "id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.col("tokens").isNotNull())
-    own = table_of(own.withColumn("digest", F.sha2(F.concat_ws("\x1f", "tokens"), 256)))
-    sets = table_of(own.groupBy("bucket", "digest").agg(F.min("id").alias("id"), F.any_value("tokens").alias("tokens")))
-    reps = sets.select("bucket", "digest", F.col("id").alias("rep"))
-    return own.select("bucket", "id", "digest").join(reps, ["bucket", "digest"]).select("bucket", "id", "rep"), sets.drop("digest")
+    own = own.withColumn("digest", F.unhex(F.sha2(F.concat_ws("\x1f", "tokens"), 256)))
+    keyed = table_of(own.select("bucket", "id", "digest", F.size("tokens").alias("n"), _hashed_tokens().alias("h")))
+    reps = table_of(keyed.groupBy("bucket", "digest").agg(F.min("id").alias("rep")))
+    firsts = reps.withColumnRenamed("rep", "id")
+    sets, hashed = (df.join(firsts, ["bucket", "id", "digest"], "left_semi").drop("digest") for df in (own, keyed))
+    if not keyed.groupBy("bucket", "id", "digest").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        sets, hashed = (df.dropDuplicates(["bucket", "id"]) for df in (sets, hashed))
+    return keyed.select("bucket", "id", "digest").join(reps, ["bucket", "digest"]).select("bucket", "id", "rep"), sets, hashed
 
 
-def set_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def set_pairs(sets: DataFrame, threshold: float, hashed: DataFrame | None = None) -> DataFrame:
     """Pairs (bucket, a, b, sim), a < b, of different non-empty ``sets`` (bucket, id, tokens) with Jaccard >= threshold > 0.
 
     Sets are placed by bucket and size and streamed past chunks of them, so a
     set meets the smaller ones of its bucket that are large enough; candidates
     never leave their task. A product of hashed token counts bounds what two sets share, marks
-    on longer hashes bound it closer; what is left is checked on the whole sets.
+    on longer hashes bound it closer; what is left is checked on the whole sets, of which only those with a candidate are
+    written. ``hashed``: the same sets as ``fold_sets`` gives them.
     """
     t = threshold
-    full = sets.where((F.size("tokens") > 0) & F.col("bucket").isNotNull() & F.col("id").isNotNull())
-    hashed = full.select("bucket", "id", F.size("tokens").alias("n"), F.transform("tokens", lambda x: F.pmod(F.xxhash64(x), F.lit(_MARKS)).cast("int")).alias("h"))
+    named = F.col("bucket").isNotNull() & F.col("id").isNotNull()
+    if hashed is None:
+        hashed = table_of(sets.select("bucket", "id", F.size("tokens").alias("n"), _hashed_tokens().alias("h")))
+    hashed = hashed.where(named & (F.col("n") > 0))
     placed = placed_table(hashed, [F.asc("bucket"), F.asc("n"), F.asc("id")])
     met = against_chunks(placed, F.col("n"), partial(_sharing, t=t), "bucket string, a bigint, b bigint", later=True)
-    ta, tb = (full.select("bucket", F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    both = met.join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    linked = table_of(met.select("bucket", F.col("a").alias("id")).union(met.select("bucket", F.col("b"))).distinct())
+    tokens = table_of(sets.join(linked, ["bucket", "id"], "left_semi").select("bucket", "id", F.to_json("tokens").alias("w")))  # one text, as arrays of short ones travel at thrice the size
+    ta, tb = (tokens.select("bucket", F.col("id").alias(k), F.col("w").alias(f"w{k}")) for k in ("a", "b"))
+    both = met.join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).select("bucket", "a", "b", *(F.from_json(f"w{k}", "array<string>").alias(f"t{k}") for k in ("a", "b")))
+    both = both.withColumn("both", F.size(F.array_intersect("ta", "tb")))
     sim = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))
     return both.select("bucket", "a", "b", sim.alias("sim")).where(F.col("sim") >= t)
 
@@ -119,27 +136,27 @@ def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     Equal sets are compared once; their pairs are written out in the end. Two
     empty sets have similarity 1: each is paired with the bucket's first.
     """
-    members, sets = fold_sets(rows)
+    members, sets, hashed = fold_sets(rows)
     members = table_of(members)
-    filled = sets.where(F.size("tokens") > 0).select("bucket", F.col("id").alias("rep"))
+    filled = hashed.where("n > 0").select("bucket", F.col("id").alias("rep"))
     copies = members.join(filled, ["bucket", "rep"])
     x, y = copies.select("bucket", "rep", F.col("id").alias("a")), copies.select("bucket", "rep", F.col("id").alias("b"))
     equal = x.join(y, ["bucket", "rep"]).where("a < b").select("bucket", "a", "b", F.lit(1.0).alias("sim"))
-    found = set_pairs(sets, threshold).withColumnsRenamed({"a": "ra", "b": "rb"})
+    found = set_pairs(sets, threshold, hashed).withColumnsRenamed({"a": "ra", "b": "rb"})
     left, right = members.select("bucket", F.col("rep").alias("ra"), F.col("id").alias("p")), members.select("bucket", F.col("rep").alias("rb"), F.col("id").alias("q"))
     spread = found.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(
         "bucket", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim"
     )
-    hollow = sets.where(F.size("tokens") == 0).select("bucket", F.col("id").alias("rep"))
+    hollow = hashed.where("n = 0").select("bucket", F.col("id").alias("rep"))
     empties = members.join(hollow, ["bucket", "rep"]).where("id <> rep").select("bucket", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     return spread.union(equal).union(empties)
 
 
 def jaccard_links(rows: DataFrame, threshold: float) -> DataFrame:
     """(bucket, id, rep, n_links) of each row: the least id with an equal set, and how many other rows reach the threshold."""
-    members, sets = fold_sets(rows)
+    members, sets, hashed = fold_sets(rows)
     members = table_of(members)
-    found = set_pairs(sets, threshold).select("bucket", "a", "b")
+    found = set_pairs(sets, threshold, hashed).select("bucket", "a", "b")
     weight = members.groupBy("bucket", "rep").agg(F.count("*").alias("n"))
     ends = table_of(found.union(found.select("bucket", F.col("b"), F.col("a"))))
     others = ends.join(weight.select("bucket", F.col("rep").alias("b"), "n"), ["bucket", "b"]).groupBy("bucket", F.col("a").alias("rep")).agg(F.sum("n").alias("far"))
