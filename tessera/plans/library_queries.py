@@ -399,8 +399,10 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     )
     base = scratch_path(spark, "trees")
     flows = rows.select(flow.alias("value"), "s_nationkey", "n_regionkey", i.alias("k"))
-    flows.where("k % 2 = 0").repartition("k").drop("n_regionkey").write.partitionBy("s_nationkey", "k").option("compression", "none").text(f"{base}/a")
-    flows.where("k % 2 = 1").repartition("k").write.partitionBy("n_regionkey", "s_nationkey", "k").text(f"{base}/b")
+    i_even = F.col("k") % 2 == 0
+    own = F.concat(F.lit("s_nationkey="), "s_nationkey", F.lit("/k="), "k", F.lit("/flow.txt"))
+    flows = flows.repartition(4 * spark.sparkContext.defaultParallelism, "k")
+    files.write_texts(flows.select(F.when(i_even, F.concat(F.lit(f"{base}/a/"), own)).otherwise(F.concat(F.lit(f"{base}/b/n_regionkey="), "n_regionkey", F.lit("/"), own)).alias("path"), "value"))
     return f"{base}/a", f"{base}/b"
 
 

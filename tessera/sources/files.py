@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,15 +99,49 @@ def templates(spark: SparkSession, roots: str | list[str], depth: int = TEMPLATE
 def templates_of(spark: SparkSession, listing: DataFrame, glob: str = "*.[jJ][sS][oO][nN]") -> DataFrame:
     """Templates among listed files (folder, path): UI graphs as JSON with name, id, canonical types and edges, node count, models and chain.
 
-    The folders that hold any are read (one list of them, not of files, on the driver), the listed files kept.
+    The listed files are opened by the tasks that have their paths, by the file systems that listed them; one that is gone is left out.
     """
-    folders = [r.folder for r in listing.select("folder").distinct().collect()]
-    if not folders:
-        return spark.createDataFrame([], _TEMPLATE)
-    opened = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folders)
-    wanted = listing.select(same_path(F.col("path")).alias("path")).distinct()
-    raw = opened.select(same_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("value")).join(wanted, "path", "left_semi")
-    return parsed_templates(raw)
+    paths = listing.select("path").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    opened = paths.mapInArrow(partial(_contents, glob=glob), "path string, content binary")
+    return parsed_templates(opened.select(same_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("value")))
+
+
+def _system(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
+def write_texts(rows: DataFrame) -> None:
+    """Write each ``value`` as the file ``path``, with its folders, by the task that has it; a task that runs again writes the same."""
+    rows.select("path", "value").mapInArrow(_written, "path string").write.format("noop").mode("overwrite").save()
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, value in zip(*(batch.column(c).to_pylist() for c in ("path", "value"))):
+            folder, name = path.rsplit("/", 1)
+            system, at = _system(folder)
+            system.create_dir(at, recursive=True)
+            draft = f"{at}/.{name}.{uuid.uuid4().hex}"
+            with system.open_output_stream(draft, compression=None) as file:
+                file.write(value.encode())
+            system.move(draft, f"{at}/{name}")
+        yield pa.RecordBatch.from_pydict({"path": batch.column("path")})
+
+
+def _contents(batches: Iterator[pa.RecordBatch], glob: str) -> Iterator[pa.RecordBatch]:
+    """(path, content) of the files whose names match, one at a time."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            folder, name = path.rsplit("/", 1)
+            if not fnmatchcase(name, glob):
+                continue
+            try:
+                system, at = _system(folder)
+                with system.open_input_stream(f"{at}/{name}", compression=None) as file:
+                    content = file.read()
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([content], pa.binary())})
 
 
 def parsed_templates(raw: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ under a root; 0 is the root alone), ``least`` (the least level), ``suffixes``
 listed; in a stream, to count: there the default is the stability window). Roots are URIs or paths that every
 machine sees (local mounts, hdfs, s3).
 
-Each folder is a partition, so tasks list side by side; filters on the columns
+The driver goes down until it has found ``SPREAD`` folders on a level; tasks walk on below
+those, several to a partition. Filters on the columns
 (but modified_at) run inside the listing, and folders that a filter on ``root``, ``folder`` or
-``depth`` rules out are never opened. Folders that cannot be read, or vanish, are empty.
+``depth`` rules out are never opened but to go below them. Folders that cannot be read, or vanish, are empty.
 
 The stream's offset is what the settled listing looked like: number of files,
 newest change, and a sum of path digests. A change of any of them (new, changed,
@@ -43,8 +44,12 @@ _OPERATORS: dict[type, Callable] = {
 }
 
 
+#: Folders of a level that tasks walk down from, and the most partitions of a listing.
+SPREAD, PARTITIONS = 16, 256
+
+
 @dataclass
-class Folder(InputPartition):
+class Folder:
     """One folder to list."""
 
     root: str
@@ -52,6 +57,14 @@ class Folder(InputPartition):
     depth: int
 
 
+@dataclass
+class Folders(InputPartition):
+    """Folders to list, and those to walk down from."""
+
+    lone: list[Folder]
+    tops: list[Folder]
+
+
 class _Tree:
     def __init__(self, options: dict) -> None:
         paths = options.get("paths") or options.get("path") or "[]"
@@ -71,19 +84,38 @@ class _Tree:
         except OSError:
             return []
 
-    def folders(self, wanted: Callable[[dict], bool] = lambda row: True) -> Iterator[Folder]:
-        """Folders from the least level to the deepest, level by level."""
+    def below(self, at: Folder) -> list[Folder]:
+        """The folders in a folder, if they are not too deep."""
         from pyarrow import fs
 
-        level = [(r, r) for r in self.roots]
-        for depth in range(self.depth + 1):
-            below = []
-            for root, folder in level:
-                if depth >= self.least and wanted({"root": root, "folder": folder, "depth": depth}):
-                    yield Folder(root, folder, depth)
-                if depth < self.depth:
-                    below += [(root, f"{folder.rstrip('/')}/{i.base_name}") for i in self._listed(folder) if i.type == fs.FileType.Directory]
-            level = below
+        if at.depth >= self.depth:
+            return []
+        return [Folder(at.root, f"{at.folder.rstrip('/')}/{i.base_name}", at.depth + 1) for i in self._listed(at.folder) if i.type == fs.FileType.Directory]
+
+    def walk(self, level: list[Folder], wanted: Callable[[dict], bool] = lambda row: True) -> Iterator[Folder]:
+        """Wanted folders of a level and below it, in any order; ``level`` is used up."""
+        while level:
+            at = level.pop()
+            if at.depth >= self.least and wanted({"root": at.root, "folder": at.folder, "depth": at.depth}):
+                yield at
+            level += self.below(at)
+
+    def folders(self) -> Iterator[Folder]:
+        return self.walk([Folder(r, r, 0) for r in self.roots])
+
+    def partitions(self, wanted: Callable[[dict], bool] = lambda row: True) -> list[Folders]:
+        """All folders, dealt into partitions."""
+        level, lone = [Folder(r, r, 0) for r in self.roots], []
+        while level and len(level) < SPREAD and level[0].depth < self.depth:
+            lone += [f for f in level if f.depth >= self.least and wanted({"root": f.root, "folder": f.folder, "depth": f.depth})]
+            level = [b for f in level for b in self.below(f)]
+        parts = max(1, min(PARTITIONS, len(lone) + len(level)))
+        return [Folders(lone[k::parts], level[parts - 1 - k :: parts]) for k in range(parts)]
+
+    def of(self, part: Folders, wanted: Callable[[dict], bool] = lambda row: True) -> Iterator[Folder]:
+        """The wanted folders of a partition."""
+        yield from part.lone
+        yield from self.walk(list(part.tops), wanted)
 
     def files(self, part: Folder, settle: float) -> Iterator[tuple]:
         """Rows of a folder's files that have been unchanged for ``settle`` seconds."""
@@ -120,12 +152,12 @@ class FolderReader(DataSourceReader):
     def _passes(self, row: dict) -> bool:
         return all(c not in row or _OPERATORS[kind](row[c], value) for c, kind, value in self.tests)
 
-    def partitions(self) -> list[Folder]:
-        return list(self.tree.folders(self._passes)) or [Folder("", "", -1)]
+    def partitions(self) -> list[Folders]:
+        return self.tree.partitions(self._passes)
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        if partition.depth >= 0:
-            for row in self.tree.files(partition, self.tree.settle):
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for folder in self.tree.of(partition, self._passes):
+            for row in self.tree.files(folder, self.tree.settle):
                 if self._passes(dict(zip(_COLUMNS, row))):
                     yield row
 
@@ -148,11 +180,12 @@ class FolderStream(DataSourceStreamReader):
                 digest = (digest + xxhash.xxh3_64_intdigest(f"{path}|{changed}|{length}".encode())) % 2**63
         return {"files": files, "newest": newest, "digest": digest}
 
-    def partitions(self, start: dict, end: dict) -> list[Folder]:
-        return list(self.tree.folders())
+    def partitions(self, start: dict, end: dict) -> list[Folders]:
+        return self.tree.partitions()
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        return self.tree.files(partition, 0)
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for folder in self.tree.of(partition):
+            yield from self.tree.files(folder, 0)
 
     def commit(self, end: dict) -> None:
         pass
