@@ -269,6 +269,11 @@ listing AS (SELECT id, path, fp, true AS old FROM f WHERE d IN (7, 8, 9, 4)
   UNION ALL SELECT x.id, y.path, x.fp, true FROM f x JOIN f y ON (x.d = 5 AND y.id = x.id + 1) OR (x.d = 6 AND y.id = x.id - 1))"""
 
 
+#: The pairs' condition, and the same as one equality: over an OR Spark would compare all pairs of files.
+_SWAPPED = "(x.d = 5 AND y.id = x.id + 1) OR (x.d = 6 AND y.id = x.id - 1)"
+_PARTNER = "y.id = CASE x.d WHEN 5 THEN x.id + 1 WHEN 6 THEN x.id - 1 END"
+
+
 @register("st4_sync", f"""WITH {_FILES}, fresh AS (SELECT path, fp, (SELECT max(id) FROM f) + row_number() OVER (ORDER BY path) AS id FROM (
   SELECT l.path, l.fp FROM listing l LEFT JOIN f ON f.path = l.path WHERE f.fp IS DISTINCT FROM l.fp))
 SELECT CASE WHEN old OR d = 3 THEN l.id ELSE fresh.id END AS id, l.path AS abs_path, l.fp AS content_fp FROM listing l JOIN f USING (id) LEFT JOIN fresh ON fresh.path = l.path""")
@@ -276,7 +281,7 @@ def st4_sync(spark, sf_dir):
     from tessera.streaming.ingest import planned
 
     b.table(spark, sf_dir, "documents").createOrReplaceTempView("st4_documents")
-    named = _FILES.replace("FROM documents", "FROM st4_documents")
+    named = _FILES.replace("FROM documents", "FROM st4_documents").replace(_SWAPPED, _PARTNER)
     known = table_of(spark.sql(f"WITH {named} SELECT id, path AS abs_path, fp AS content_fp, '' AS group_key_l1, '' AS group_key_l3 FROM f"))
     listing = table_of(spark.sql(f"WITH {named} SELECT path AS norm_path, fp FROM listing"))
     read = listing.join(known.select(F.col("abs_path").alias("norm_path"), F.col("content_fp").alias("fp")), ["norm_path", "fp"], "left_anti").select(
