@@ -8,7 +8,7 @@ Parquet in the shared folder and rereads it as the next stage's documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, mixing, near_dup, packing, quality_model
@@ -42,8 +42,15 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of documents with their sequence and offset; sequences are numbered in the order in which the documents are stored, so they come mixed."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), place=stored_place())
+
+
+def stored_place() -> Column:
+    """A row's place among the Parquet files that Spark wrote in order: the file's number, then the row's in it."""
+    name = F.col("_metadata.file_name")
+    file = F.coalesce(F.regexp_extract(name, r"^part-(\d+)-", 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(file, 40) + F.col("_metadata.row_index")
 
 
 STAGES = [

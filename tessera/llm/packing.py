@@ -35,11 +35,12 @@ from functools import partial, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, remembered
+from tessera.operators.blocks import numbered
 
 CAPACITY = 4096
 END_ID = 1
@@ -124,23 +125,30 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[] for _ in range(5)]
+        places: list = []
+        own = batch.column("place").to_pylist() if "place" in batch.schema.names else [None] * batch.num_rows
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), token_bytes(texts, path)):
+        for doc_id, place, data in zip(batch.column("doc_id").to_pylist(), own, token_bytes(texts, path)):
             data += end
             for k, at in enumerate(range(0, len(data), step)):
                 part = data[at : at + step]
                 for column, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))):
                     column.append(v)
+                places.append(place)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        arrays, names = [pa.array(x, t) for x, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32"]
+        if "place" in batch.schema.names:
+            arrays, names = [*arrays, pa.array(places, pa.int64())], [*names, "place"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, place: Column | None = None) -> DataFrame:
+    """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32, and their document's ``place`` where one is given."""
+    also = [] if place is None else [place.cast("long").alias("place")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also).mapInArrow(
         partial(_pieces, path=tokenizer_path, capacity=capacity, end_id=end_id),
-        "doc_id long, piece int, start long, length long, ids_crc32 long",
+        "doc_id long, piece int, start long, length long, ids_crc32 long" + (", place long" if also else ""),
     )
 
 
@@ -240,16 +248,16 @@ def _placed(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.
         length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
         row = plan[np.searchsorted(keys, length * 2**48 + rank, side="right") - 1]
         within = rank - row[:, 1]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        names = [n for n in batch.schema.names if n != "rank"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in names] + [pa.array(row[:, 3] + within // row[:, 2]), pa.array(row[:, 4] + within % row[:, 2] * length)],
             names=[*names, "sequence_id", "offset"],
         )
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every piece with its sequence_id and its offset there."""
-    table = cut(pieces(docs, tokenizer_path, capacity, end_id), "pieces").withColumn(
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, place: Column | None = None) -> DataFrame:
+    """Every piece with its sequence_id and its offset there; with ``place`` sequences are numbered from 0 by the earliest place in each."""
+    table = cut(pieces(docs, tokenizer_path, capacity, end_id, place), "pieces").withColumn(
         "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
     )
     # rank of a piece among those of its length: its rank in a salted part, and what the parts before it hold
@@ -260,9 +268,16 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     counts = table.groupBy(F.col("length").alias("size")).agg(F.count("*").alias("n"))
     runs = best_fit(counts, capacity).select("size", "rank", "each", "first", "offset").toArrow()  # bounded by the capacity
     plan = np.stack([c.to_numpy() for c in runs.columns], axis=1) if runs.num_rows else np.zeros((0, 5), np.int64)
-    within = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("length", "_salt").orderBy(*([] if place is None else ["place"]), "doc_id", "piece", "ids_crc32")) - 1
     # at most capacity * SALTS rows
     ranked = table.withColumn("within", within).join(F.broadcast(before), ["length", "_salt"]).withColumn("rank", F.col("within") + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        partial(_placed, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    also = [] if place is None else ["place"]
+    packed = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *also, "rank").mapInArrow(
+        partial(_placed, plan=plan), f"doc_id long, piece int, start long, length long, ids_crc32 long, {'place long, ' if also else ''}sequence_id long, offset long"
     )
+    if place is None:
+        return packed
+    packed = cut(packed, "packed")
+    firsts = numbered(packed.groupBy("sequence_id").agg(F.min("place").alias("first")), [F.asc("first"), F.asc("sequence_id")], "turn")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", (F.col("turn") - 1).alias("sequence_id"), "offset"]
+    return packed.join(firsts.select("sequence_id", "turn"), "sequence_id").select(*columns)
