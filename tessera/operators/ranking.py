@@ -73,11 +73,15 @@ def pair_weight(gap: Column, unscored: Column, recent: Column, stale_a: Column,
     return near * F.when(unscored, 3.0).otherwise(1.0) * F.when(recent, 0.15).otherwise(1.0) * stale_a * stale_b
 
 
+#: Pairs that a task holds against recent ones.
+PAIRS = 2**19
+
+
 def arena_pairs(rows: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     """All pairs (group_key, a, b, weight) of each group's images (group_key, id, score, staleness 0..1).
 
     A group is what the arena shows at a time; it is paired in blocks, so that
-    a large one is spread over tasks.
+    a large one is spread over tasks, and so are the pairs that meet ``recent`` ones.
     """
     columns = {"id": "id", "score": "s", "staleness": "f"}
     placed = in_blocks(rows.select("group_key", *columns), "group_key", "id")
@@ -94,8 +98,11 @@ def arena_pairs(rows: DataFrame, recent: DataFrame | None = None) -> DataFrame:
     if recent is None:
         pairs = pairs.withColumn("recent", F.lit(False))
     else:
-        seen = recent.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("recent")).distinct()
-        pairs = pairs.join(seen, ["a", "b"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
+        # small rows make many pairs, so tasks are counted by the pairs, not by the size of what is read
+        whole = rows.groupBy("group_key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n") / 2)).first()[0] or 0
+        parts = max(4 * rows.sparkSession.sparkContext.defaultParallelism, int(whole) // PAIRS)
+        seen = recent.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("recent"))
+        pairs = pairs.repartition(parts, "a", "b").join(seen.repartition(parts, "a", "b").distinct(), ["a", "b"], "left").withColumn("recent", F.coalesce("recent", F.lit(False)))
     base = F.lit(BASE_SCORE)
     gap = F.abs(F.coalesce("sa", base) - F.coalesce("sb", base))
     weight = pair_weight(gap, F.col("sa").isNull() | F.col("sb").isNull(), F.col("recent"), F.lit(0.6) + F.col("fa"), F.lit(0.6) + F.col("fb"))
