@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import JACCARD_THRESHOLD, SEMANTIC_THRESHOLD, SLOTS, VISUAL_THRESHOLD
 from tessera.functions.keys import manual_key, prompt_hash, text_cluster_key, vector_cluster_key
 from tessera.functions.text import token_set
-from tessera.operators.blocks import matrix
+from tessera.operators.blocks import against_chunks, matrix, placed_table
 from tessera.operators.components import components
-from tessera.operators.similarity import _arrow, cosine_pairs, fold_sets, set_pairs
+from tessera.operators.similarity import _arrow, fold_sets, set_pairs
 from tessera.store import table_of
 
 DEFAULT_THRESHOLDS = {"text": JACCARD_THRESHOLD, "visual": VISUAL_THRESHOLD, "semantic": SEMANTIC_THRESHOLD}
@@ -34,12 +37,18 @@ def single_linkage(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-#: Similarities are summed as whole numbers of 1 / SCALE, so that a sum does not depend on its order.
+#: Means are compared as whole numbers of 1 / SCALE, so that equal ones tie whatever order they were summed in.
 SCALE = 2**32
+#: A mean counts as at the threshold from so much below it, for rounding.
+SLACK = 1e-9
 
 
-#: Vectors of a component that one task merges on a matrix (three of 8 bytes a pair).
-FITS = 2048
+#: Clusters of a bucket that one task merges.
+FITS = 2**14
+#: Rows and columns of the products that a task holds at a time, and pairs whose means it rounds at a time.
+TILE, EXACT = (512, 8192), 2**16
+#: Slabs of rows that are sent out at a time.
+SENT = 64
 
 
 def average_linkage(rows: DataFrame, threshold: float, fits: int = FITS) -> DataFrame:
@@ -48,93 +57,135 @@ def average_linkage(rows: DataFrame, threshold: float, fits: int = FITS) -> Data
     Average linkage: the two clusters of a bucket with the highest mean
     pairwise similarity merge while that is >= threshold. Two clusters that
     prefer each other merge in any order with the same result, so each round
-    merges all such pairs at once. No cluster spans two components of the pairs
-    >= threshold, so only similarities within a component are kept; equal
+    merges all such pairs at once. The mean similarity of two clusters is the product
+    of their mean vectors, so a cluster is its size and sum and no pair is ever stored; one
+    whose best mean is under the threshold is done, as a merge never raises a mean. Equal
     vectors are one weighted row from the start (their mean is 1, which a
-    threshold over 1 would not reach). Ties go to the least ids. A component of up to
-    ``fits`` different vectors is one task's matrix; larger ones go on in rounds of tables.
+    threshold over 1 would not reach). Ties go to the least ids. A bucket of up to ``fits``
+    clusters is merged by one task; a larger one in rounds over all tasks until it is one of those.
     """
     if threshold > 1:
         return rows.select("bucket", "id", F.col("id").alias("cluster"))
     own = rows.select(F.col("bucket").cast("string").alias("bucket"), "id", "vec").withColumn("_h1", F.xxhash64("vec")).withColumn("_h2", F.xxhash64(F.lit(1), "vec"))
     equal = ["bucket", "_h1", "_h2"]
     reps = table_of(own.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.any_value("vec").alias("vec")))
-    parts = components(cosine_pairs(reps.select("bucket", F.col("rep").alias("id"), "vec"), threshold).select("a", "b"))
-    inside = table_of(reps.join(parts, F.col("rep") == F.col("node")).select(F.col("component").cast("string").alias("bucket"), F.col("rep").alias("id"), "vec", "n"))
-    large = inside.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > fits).select("bucket")
-    small = inside.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(_arrow(partial(_merged, threshold=threshold)), "rep bigint, cluster bigint")
-    rest = _merged_in_rounds(inside.join(large, "bucket", "left_semi"), threshold)
-    named = table_of(small if rest is None else small.union(rest))
-    cluster = reps.select("rep").join(named, "rep", "left").select("rep", F.coalesce("cluster", "rep").alias("cluster"))
+    inside = reps.where(F.size("vec") > 0).select(  # vectors of different lengths never meet
+        F.concat_ws(" ", F.size("vec"), "bucket").alias("bucket"), F.col("rep").alias("id"), "n", F.transform("vec", lambda x: x.cast("double") * F.col("n")).alias("vec")
+    )
+    merged, left = _merged_in_rounds(inside, threshold, fits)
+    last = left.groupBy("bucket").applyInArrow(_arrow(partial(_merged, threshold=threshold)), "id bigint, into bigint").where("id <> into")
+    cluster = _moved(_moved(reps.select("rep", F.col("rep").alias("cluster")), merged), table_of(last))
     found = own.select("bucket", "id", "_h1", "_h2").join(reps.select(*equal, "rep"), equal).join(cluster, "rep")
     return found.select("bucket", "id", "cluster")
 
 
+def _moved(cluster: DataFrame, merged: DataFrame | None) -> DataFrame:
+    """(rep, cluster) after the merges (id, into)."""
+    if merged is None:
+        return cluster
+    return cluster.join(merged, F.col("cluster") == F.col("id"), "left").select("rep", F.coalesce("into", "cluster").alias("cluster"))
+
+
+def _best_partners(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each mean vector of ``x`` the best product with another of ``y`` in units of 1 / SCALE, and whose it is (the least of equal ones); -inf for none >= threshold.
+
+    ``others`` ascend. A pair has the same value on both sides: products in tiles only say which pairs are near the best, these are summed alike.
+    """
+    best, partner = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+    for i in range(0, len(ids), TILE[0]):
+        for j in range(0, len(others), TILE[1]):
+            mine, theirs = ids[i : i + TILE[0]], others[j : j + TILE[1]]
+            products = x[i : i + TILE[0]] @ y[j : j + TILE[1]].T
+            at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+            itself = np.flatnonzero(theirs[at] == mine)
+            products[itself, at[itself]] = -np.inf
+            least = np.maximum(np.maximum(products.max(axis=1), threshold - SLACK), best[i : i + TILE[0]] / SCALE) - 4 / SCALE
+            r, c = np.nonzero(products >= least[:, None])
+            for k in range(0, len(r), EXACT):
+                rows, columns = r[k : k + EXACT], c[k : k + EXACT]
+                value = np.rint((x[i + rows] * y[j + columns]).sum(axis=1) * SCALE)
+                order = np.lexsort((theirs[columns], -value, rows))
+                order = order[np.r_[True, np.diff(rows[order]) > 0]]
+                rows, value, whose = i + rows[order], value[order], theirs[columns[order]]
+                better = (value >= (threshold - SLACK) * SCALE) & ((value > best[rows]) | ((value == best[rows]) & (whose < partner[rows])))
+                best[rows[better]], partner[rows[better]] = value[better], whose[better]
+    return best, partner
+
+
 def _merged(table: pa.Table, threshold: float) -> pa.Table:
-    """The clusters of one component that fits a task, by the same rounds of mutually best pairs on its matrix of sums."""
+    """What each cluster of a bucket that fits a task ends in, in rounds of mutually best pairs; a best partner is looked for again once either side has merged."""
     table = table.sort_by("id")
-    ids, n = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-    x = matrix(table)
-    scaled = (x @ x.T) * SCALE
-    s = (np.sign(scaled) * np.floor(np.abs(scaled) + 0.5)).astype(np.int64) * n[:, None] * n[None, :]
-    own = np.arange(len(ids))  # the cluster's row of each vector
-    left = own.copy()
-    while len(left) > 1:
-        mean = s / (n[:, None] * n[None, :].astype(np.float64)) / SCALE
-        np.fill_diagonal(mean, -np.inf)
-        best = mean.argmax(axis=1)  # of equal means the least id
-        at = np.arange(len(left))
-        a = at[(best[best] == at) & (at < best) & (mean[at, best] >= threshold - 1e-9)]
+    ids, n, total = table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.float64), matrix(table)
+    into = np.arange(len(ids))  # rows stand for ids, both ascend
+    left = ask = into.copy()
+    best, partner = np.full(len(ids), -np.inf), into.copy()
+    while len(left):
+        mean = total[left] / n[left, None]
+        best[ask], partner[ask] = _best_partners(ask, mean[np.searchsorted(left, ask)], left, mean, threshold)
+        whole, left = len(ask) == len(left), left[best[left] > -np.inf]
+        a = left[(partner[partner[left]] == left) & (left < partner[left])]
         if not len(a):
-            break
-        b = best[a]
-        s[a] += s[b]
-        s[:, a] += s[:, b]
+            if whole:
+                break
+            ask = left  # rounding let a merge raise a mean: look at all again
+            continue
+        b = partner[a]
+        total[a] += total[b]
         n[a] += n[b]
-        into = np.arange(len(ids))
-        into[left[b]] = left[a]
-        own = into[own]
-        keep = np.setdiff1d(at, b)
-        s, n, left = s[np.ix_(keep, keep)], n[keep], left[keep]
-    return pa.table({"rep": pa.array(ids, pa.int64()), "cluster": pa.array(ids[own], pa.int64())})
-
-
-def _merged_in_rounds(inside: DataFrame, threshold: float) -> DataFrame | None:
-    """(rep, cluster) of components too large for a task, in rounds over tables of their clusters' similarity sums; None without any."""
-    if inside.isEmpty():
-        return None
-    reps = inside.select(F.col("id").alias("rep"), "n")
-    sims = cosine_pairs(inside, -2.0).select("a", "b", F.round(F.col("sim") * SCALE).cast("bigint").alias("s"))
-    size = reps.select("rep", "n")
-    sums = table_of(
-        sims.join(size.withColumnsRenamed({"rep": "a", "n": "na"}), "a").join(size.withColumnsRenamed({"rep": "b", "n": "nb"}), "b")
-        .select("a", "b", "na", "nb", (F.col("s") * F.col("na") * F.col("nb")).alias("s"))
-    )
-    cluster = reps.select("rep", F.col("rep").alias("cluster"))
-    while True:
-        mean = F.col("s") / (F.col("na") * F.col("nb").cast("double")) / SCALE
-        close = sums.withColumn("mean", mean).where(F.col("mean") >= threshold - 1e-9)
-        order = F.struct("mean", -F.col("a"), -F.col("b"))  # one order for both sides
-        both = close.select(F.col("a").alias("of"), "a", "b", "na", "nb", order.alias("o")).union(close.select(F.col("b"), "a", "b", "na", "nb", order.alias("o")))
-        best = both.groupBy("of").agg(F.max_by(F.struct("a", "b", "na", "nb"), "o").alias("p"))
-        merged = table_of(best.groupBy("p").agg(F.count("*").alias("k")).where("k = 2").select("p.*"))
-        if merged.isEmpty():
-            break
-        moved = merged.select(F.col("b").alias("old"), F.col("a").alias("new"), (F.col("na") + F.col("nb")).alias("n")).union(
-            merged.select(F.col("a"), F.col("a"), F.col("na") + F.col("nb"))
-        )
-        left, right = moved.select(*(F.col(c).alias(f"_l{c}") for c in moved.columns)), moved.select(*(F.col(c).alias(f"_r{c}") for c in moved.columns))
-        named = sums.join(left, F.col("a") == F.col("_lold"), "left").join(right, F.col("b") == F.col("_rold"), "left").select(
-            F.coalesce("_lnew", "a").alias("a"), F.coalesce("_rnew", "b").alias("b"), F.coalesce("_ln", "na").alias("na"), F.coalesce("_rn", "nb").alias("nb"), "s"
-        ).where("a <> b")
-        low = F.col("a") < F.col("b")
-        turned = named.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("na"),
-            F.when(low, F.col("nb")).otherwise(F.col("na")).alias("nb"), "s",
+        step, new = np.arange(len(ids)), np.zeros(len(ids), bool)
+        step[b], new[a], new[b] = a, True, True
+        into = step[into]
+        left = np.setdiff1d(left, b)
+        ask = left[new[left] | new[partner[left]]]
+    return pa.table({"id": pa.array(ids, pa.int64()), "into": pa.array(ids[into], pa.int64())})
+
+
+def _means(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("id").to_numpy(), matrix(table) / table.column("n").to_numpy().astype(np.float64)[:, None]
+
+
+def _met(batches: Iterator[pa.RecordBatch], shared: Broadcast, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The best partner of each cluster among those of its bucket in a chunk."""
+    chunk = shared.value
+    sides = {b: _means(chunk.filter(pc.equal(chunk.column("bucket"), b))) for b in chunk.column("bucket").unique().to_pylist()}
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for b in table.column("bucket").unique().to_pylist():
+            ids, x = _means(table.filter(pc.equal(table.column("bucket"), b)))
+            best, partner = _best_partners(ids, x, *sides[b], threshold)
+            seen = best > -np.inf
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[seen], pa.int64()), "best": pa.array(best[seen], pa.float64()), "partner": pa.array(partner[seen], pa.int64())})
+
+
+def _merged_in_rounds(inside: DataFrame, threshold: float, fits: int) -> tuple[DataFrame | None, DataFrame]:
+    """The merges (id, into) in buckets too large for a task, and the clusters (bucket, id, n, vec) that then fit.
+
+    A round sends the clusters out in chunks; those of the same buckets stream past and keep their best partner. Only that is written, and the new sums.
+    """
+    columns = ["bucket", "id", "n", "vec"]
+    sized = lambda df, large: df.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > fits if large else F.col("k") <= fits).select("bucket")
+    small, large = inside.join(sized(inside, False), "bucket", "left_semi").select(*columns), inside.join(sized(inside, True), "bucket", "left_semi")
+    if large.isEmpty():
+        return None, small
+    now = placed_table(large.select(*columns), [F.asc("bucket"), F.asc("id")])
+    parts = now.rdd.getNumPartitions()
+    cluster, left = None, small
+    while not now.isEmpty():
+        met = against_chunks(now, 2 * F.size("vec"), partial(_met, threshold=threshold), "id bigint, best double, partner bigint", slabs=SENT, same="bucket")
+        best = table_of(met.groupBy("id").agg(F.max_by("partner", F.struct("best", -F.col("partner"))).alias("partner")))
+        other = best.select(F.col("id").alias("partner"), F.col("partner").alias("back"))
+        merged = table_of(best.join(other, "partner").where("back = id and partner < id").select("id", F.col("partner").alias("into")))
+        cluster = merged if cluster is None else table_of(_moved(cluster.withColumnsRenamed({"id": "rep", "into": "cluster"}), merged).withColumnsRenamed({"rep": "id", "cluster": "into"}).union(merged))
+        going = now.join(best.select("id"), "id", "left_semi")
+        gone = going.join(merged, "id").select(F.col("into").alias("id"), F.col("n").alias("_n"), F.col("vec").alias("_vec"))
+        new = going.join(merged.select("id"), "id", "left_anti").join(gone, "id", "left").select(
+            "bucket", "id", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
+            F.when(F.col("_vec").isNull(), F.col("vec")).otherwise(F.zip_with("vec", "_vec", lambda x, y: x + y)).alias("vec"), "position",
         )
-        sums = table_of(turned.groupBy("a", "b", "na", "nb").agg(F.sum("s").alias("s")))
-        cluster = table_of(cluster.join(moved.select("old", "new"), F.col("cluster") == F.col("old"), "left").select("rep", F.coalesce("new", "cluster").alias("cluster")))
-    return cluster
+        new = table_of(new)
+        left = left.union(new.join(sized(new, False), "bucket", "left_semi").select(*columns))
+        now = table_of(new.join(sized(new, True), "bucket", "left_semi").repartition(parts, "position").sortWithinPartitions("position"))
+    return cluster, left
 
 
 def with_bindings(keyed: DataFrame, bindings: DataFrame) -> DataFrame:
