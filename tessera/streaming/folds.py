@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,11 +17,18 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 SCORES = "image_id bigint, score double, folded bigint, waiting int"
 
 
+#: Groups of images that keep their state together; fixed for the life of a checkpoint.
+SHARDS = 512
+_DONE = np.dtype([("image", "<i8"), ("score", "<f8"), ("folded", "<i8")])
+_WAITING = np.dtype([("image", "<i8"), ("at", "<i8"), ("seq", "<i8"), ("step", "<f8")])
+
+
 class ScoreFold(StatefulProcessor):
-    """An image's score: folded up to the watermark, with the swipes after it waiting in order.
+    """Images' scores: folded up to the watermark, with the swipes after it waiting in order.
 
-    State per image: ``done`` (score, number of folded swipes) and the list
-    ``waiting`` (at, seq, step) of swipes that an earlier one may still precede.
+    State per shard of images: ``done`` (image, score, number of folded swipes) and
+    ``waiting`` (image, at, seq, step), the swipes that an earlier one may still precede, as packed arrays:
+    a call for each image would cost more than its fold.
     A timer at the oldest waiting swipe folds what the watermark has passed, so
     an idle image ends with one row. Swipes under the watermark are dropped by the
     stream, as its delay says.
@@ -28,43 +36,49 @@ class ScoreFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", "score double, folded bigint")
-        self.waiting = handle.getListState("waiting", "at bigint, seq bigint, step double")
-
-    def _state(self) -> tuple[float, int, list[tuple]]:
-        score, folded = tuple(self.done.get()) if self.done.exists() else (BASE_SCORE, 0)
-        return score, folded, [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        self.state = handle.getValueState("state", "done binary, waiting binary")
 
     @staticmethod
-    def _fold(score: float, steps: list[tuple]) -> float:
-        for _, _, step in steps:
-            score = max(LOWEST, min(HIGHEST, score + step))
-        return score
-
-    def _settle(self, key, waiting: list[tuple], score: float, folded: int, watermark: int) -> pd.DataFrame:
-        """Fold what the watermark has passed, keep the rest, and give the score over both."""
-        waiting.sort()
-        passed = [w for w in waiting if w[0] <= watermark * 1000]
-        rest = waiting[len(passed) :]
-        score = self._fold(score, passed)
-        self.done.update((score, folded + len(passed)))
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        return pd.DataFrame({"image_id": [key[0]], "score": [self._fold(score, rest)], "folded": [folded + len(passed)], "waiting": [len(rest)]})
+    def _fold(score: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """``score`` after the steps of the images ``at`` in their order."""
+        found = score.tolist()
+        for i, step in zip(at.tolist(), steps.tolist()):
+            found[i] = max(LOWEST, min(HIGHEST, found[i] + step))
+        return np.array(found, np.float64)
+
+    def _settle(self, new: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        """Fold what the watermark has passed, keep the rest, and give the scores over both of the images with news."""
+        kept = self.state.get() if self.state.exists() else (b"", b"")
+        done, waiting = np.frombuffer(bytes(kept[0]), _DONE), np.frombuffer(bytes(kept[1]), _WAITING)
+        waiting = np.concatenate([waiting, new])
+        waiting = waiting[np.lexsort((waiting["step"], waiting["seq"], waiting["at"], waiting["image"]))]
+        passes = waiting["at"] <= watermark * 1000
+        passed, rest = waiting[passes], waiting[~passes]
+        seen = np.union1d(passed["image"], new["image"])
+        if not len(seen):
+            return
+        now = np.zeros(len(np.union1d(done["image"], new["image"])), _DONE)
+        now["image"], now["score"] = np.union1d(done["image"], new["image"]), BASE_SCORE
+        now[np.searchsorted(now["image"], done["image"])] = done
+        at = np.searchsorted(now["image"], passed["image"])
+        now["score"] = self._fold(now["score"], at, passed["step"])
+        now["folded"] += np.bincount(at, minlength=len(now))
+        self.state.update((now.tobytes(), rest.tobytes()))
+        if len(rest):
+            self.handle.registerTimer(int(rest["at"].min()) // 1000 + 1)
+        later = np.searchsorted(now["image"], rest["image"])
+        score, held, shown = self._fold(now["score"], later, rest["step"]), np.bincount(later, minlength=len(now)), np.searchsorted(now["image"], seen)
+        yield pd.DataFrame({"image_id": seen, "score": score[shown], "folded": now["folded"][shown], "waiting": held[shown].astype(np.int32)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        score, folded, waiting = self._state()
+        new = [np.zeros(0, _WAITING)]
         for part in rows:
-            for at, seq, gesture in zip(part["at_us"], part["seq"], part["gesture"]):
-                waiting.append((int(at), int(seq), float(SWIPE_STEPS[gesture])))
-        yield self._settle(key, waiting, score, folded, max(0, timerValues.getCurrentWatermarkInMs()))
+            new.append(np.zeros(len(part), _WAITING))
+            new[-1]["image"], new[-1]["at"], new[-1]["seq"], new[-1]["step"] = part["image_id"], part["at_us"], part["seq"], part["gesture"].map(SWIPE_STEPS)
+        yield from self._settle(np.concatenate(new), max(0, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        score, folded, waiting = self._state()
-        yield self._settle(key, waiting, score, folded, max(0, timerValues.getCurrentWatermarkInMs()))
+        yield from self._settle(np.zeros(0, _WAITING), max(0, timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
@@ -73,8 +87,9 @@ class ScoreFold(StatefulProcessor):
 def streamed_scores(swipes: DataFrame, late: str = "1 hour") -> DataFrame:
     """A stream of (image_id, score, folded, waiting): each image's score whenever it gets swipes (image_id, gesture, at, seq)."""
     steps = swipes.where(F.col("gesture").isin(*SWIPE_STEPS) & F.col("image_id").isNotNull() & F.col("at").isNotNull())
-    timed = steps.withWatermark("at", late).select("image_id", "at", F.unix_micros("at").alias("at_us"), F.coalesce("seq", F.lit(0)).alias("seq"), "gesture")
-    return timed.groupBy("image_id").transformWithStateInPandas(ScoreFold(), SCORES, "Update", "EventTime")
+    shard = F.pmod(F.xxhash64("image_id"), F.lit(SHARDS)).alias("shard")
+    timed = steps.withWatermark("at", late).select(shard, "image_id", "at", F.unix_micros("at").alias("at_us"), F.coalesce("seq", F.lit(0)).alias("seq"), "gesture")
+    return timed.groupBy("shard").transformWithStateInPandas(ScoreFold(), SCORES, "Update", "EventTime")
 
 
 def run_available(stream: DataFrame, rows: str, checkpoint: str, each_file: bool = False, mode: str = "append") -> None:
