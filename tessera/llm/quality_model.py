@@ -28,6 +28,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,11 +114,17 @@ def _weights(z: np.ndarray, n: np.ndarray, p: Ftrl) -> np.ndarray:
     return np.where(np.abs(z) <= p.l1, 0.0, w)
 
 
+#: Buckets whose states travel in one row: a state is cut into parts of so many.
+PART = 1 << 12
+_STATES = "shard int, part int, at array<int>, z array<double>, n array<double>"
+_MEANS = "at array<int>, z array<double>, n array<double>"
+
+
 def _trainer(p: Ftrl, state):
     """One pass over a shard (at most about max_docs / shards rows) from the broadcast state."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _train(rows, p, *state.value)
+        return _in_parts(_train(rows, p, *state.value))
 
     return run
 
@@ -140,6 +147,26 @@ def _train(rows: pd.DataFrame, p: Ftrl, bias: float, z0: np.ndarray, n0: np.ndar
     return pd.DataFrame({"shard": rows["shard"].iloc[0], "bucket": k.astype(np.int32), "z": z[k], "n": n[k]})
 
 
+def _in_parts(state: pd.DataFrame) -> pd.DataFrame:
+    """A shard's state (shard, bucket, z, n), sorted by bucket, with one row a part."""
+    bucket, z, n = (state[c].to_numpy() for c in ("bucket", "z", "n"))
+    parts, first = np.unique(bucket // PART, return_index=True)
+    cut_up = lambda x: pd.Series(np.split(x, first[1:]) if len(first) else [], dtype=object)
+    return pd.DataFrame({"shard": state["shard"].to_numpy()[first], "part": parts, "at": cut_up(bucket), "z": cut_up(z), "n": cut_up(n)})
+
+
+def _averaged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The shards' states of a part averaged per bucket, summed in the order of the shards; buckets that no shard has touched are left out."""
+    first = int(rows["part"].iloc[0]) * PART
+    z, n, shards = np.zeros(PART), np.zeros(PART), np.zeros(PART)
+    for _, at, dz, dn in sorted(zip(rows["shard"], rows["at"], rows["z"], rows["n"]), key=lambda r: r[0]):
+        z[at - first] += dz
+        n[at - first] += dn
+        shards[at - first] += 1
+    k = np.flatnonzero(shards)
+    return pd.DataFrame({"at": [(k + first).astype(np.int32)], "z": [z[k] / shards[k]], "n": [n[k] / shards[k]]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", p: Ftrl = Ftrl()) -> np.ndarray:
     """Weights by bucket and, last, the bias, learned from labelled rows of ``docs`` that are ``usable`` (an expression over doc_id)."""
     size = 1 << p.bits
@@ -156,17 +183,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
     bias = float(np.log((ones + 1) / (total - ones + 1)))
     for _ in range(p.rounds):
         state = docs.sparkSession.sparkContext.broadcast((bias, z, n))  # 2 ** bits numbers each
-        ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), "shard int, bucket int, z double, n double")
-        found = ran.toArrow()  # at most shards * 2 ** bits rows
+        ran = vectors.groupBy("shard").applyInPandas(_trainer(p, state), _STATES)
+        means = ran.groupBy("part").applyInPandas(_averaged, _MEANS).toArrow()  # at most 2 ** bits numbers each, however many shards
         state.destroy()
-        shard, k, dz, dn = (found.column(c).to_numpy() for c in ("shard", "bucket", "z", "n"))
-        total_z, total_n, shards = np.zeros(size), np.zeros(size), np.zeros(size)
-        for own in (shard == s for s in range(p.shards)):
-            total_z[k[own]] += dz[own]
-            total_n[k[own]] += dn[own]
-            shards[k[own]] += 1
-        # a bucket that a shard has not touched there keeps the state it began with
-        z, n = np.where(shards > 0, total_z / np.maximum(1, shards), z), np.where(shards > 0, total_n / np.maximum(1, shards), n)
+        at, new_z, new_n = (pc.list_flatten(means.column(c)).to_numpy() for c in ("at", "z", "n"))
+        z[at], n[at] = new_z, new_n  # a bucket that no shard has touched keeps the state it began with
     return np.append(_weights(z, n, p), bias).astype(np.float32)
 
 

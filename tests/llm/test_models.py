@@ -176,5 +176,32 @@ def test_weights_do_not_depend_on_the_partitions(tables):
     assert np.array_equal(one, two)
 
 
+def test_the_driver_gets_one_state_a_round(spark, tables, monkeypatch):
+    """However many shards: what comes to the driver is one number of each kind a bucket, the mean over the shards that touched it."""
+    docs, labels, _ = tables
+    p = quality_model.Ftrl(rounds=3, bits=13, shards=6)
+    frame, got = type(docs), []
+    whole = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: got.append(whole(self)) or got[-1])
+    weights = quality_model.fit(docs, labels, F.lit(True), p=p)
+    assert len(got) == p.rounds and all(sum(c.nbytes for c in t.columns) <= (4 + 8 + 8) * 2**p.bits + 4096 for t in got)
+
+    keyed = docs.drop("label").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id").select(
+        F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(p.shards)).cast("int").alias("shard"), F.xxhash64(F.lit("place"), "doc_id", "text").alias("place"),
+        "label", F.col("text").cast("binary").alias("text"),
+    )
+    rows = next(quality_model._vectors(iter(whole(keyed).combine_chunks().to_batches()), p)).to_pandas()
+    z, n = np.zeros(2**p.bits), np.zeros(2**p.bits)
+    bias = math.log((rows["label"].sum() + 1) / ((1 - rows["label"]).sum() + 1))
+    for _ in range(p.rounds):
+        ran = [quality_model._train(own, p, bias, z, n) for _, own in rows.groupby("shard")]
+        assert len(ran) == p.shards
+        for k in range(2**p.bits):
+            touched = [(r["z"].to_numpy()[i], r["n"].to_numpy()[i]) for r in ran if (i := np.searchsorted(r["bucket"], k)) < len(r) and r["bucket"].to_numpy()[i] == k]
+            if touched:
+                z[k], n[k] = (sum(x) / len(touched) for x in zip(*touched))
+    assert np.array_equal(weights, np.append(quality_model._weights(z, n, p), bias).astype(np.float32))
+
+
 def test_shapes():
     assert quality_model.shape(b"Ab12!!") == b"Aa9!" and quality_model.shape("é".encode()) == b"a"
