@@ -27,7 +27,7 @@ def prompt_tokens(prompt: Column) -> Column:
         raw_tokens(prompt),
         lambda p: F.when(p.rlike(f"[{CJK}]"), F.regexp_extract_all(p, F.lit(f"[{CJK}]|{_RUN}"), F.lit(0))).otherwise(F.array(p)),
     )
-    return F.flatten(cut)
+    return F.when(prompt.rlike(f"[{CJK}]"), F.flatten(cut)).otherwise(raw_tokens(prompt))
 
 
 def token_set(prompt: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import VISUAL_THRESHOLD
+from tessera.operators import blocks
 from tessera.operators.blocks import against_chunks, block_products, by_block_pair, placed_table
 from tessera.store import table_of
 
-#: Columns that tokens are hashed to in products of sets: the power of two from twice the larger set's size, within these; and marks in the closer check.
-_COLUMNS, _MARKS = (256, 2**15), 2**22
+#: Tokens are hashed to so many numbers; the most frequent ones, so many, are ordered by how frequent they are.
+_MARKS, _RANKED = 2**22, 2**16
+#: Of so many tokens of a set one more is looked for among its rare ones than two alike sets must share there, so that few others are counted whole.
+_SPARE = 25
 
 
 def _hashed_tokens() -> Column:
@@ -24,19 +28,19 @@ def _hashed_tokens() -> Column:
 
 
 def fold_sets(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Equal token sets of a bucket as one: members (bucket, id, rep), sets (bucket, id, tokens), ``id`` the least of a set's, and those hashed (bucket, id, n, h).
+    """Equal token sets of a bucket as one: members (bucket, id, rep, n), the rows' own sets (bucket, id, digest, tokens), and those that stand for equal ones, to be read once, hashed as ``_ranked`` (bucket, id, digest, n, h), ``id`` the least of a set's.
 
     Digests and hashes are written; tokens never are, they are made from ``rows`` again where they are read.
     """
-    own = rows.select("bucket", "id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.col("tokens").isNotNull())
-    own = own.withColumn("digest", F.unhex(F.sha2(F.concat_ws("\x1f", "tokens"), 256)))
+    own = rows.select("bucket", "id", F.sort_array(F.array_distinct("tokens")).alias("tokens")).where(F.col("tokens").isNotNull())
+    own = own.select("bucket", "id", F.unhex(F.sha2(F.concat_ws("\x1f", "tokens"), 256)).alias("digest"), "tokens")
     keyed = table_of(own.select("bucket", "id", "digest", F.size("tokens").alias("n"), _hashed_tokens().alias("h")))
     reps = table_of(keyed.groupBy("bucket", "digest").agg(F.min("id").alias("rep")))
-    firsts = reps.withColumnRenamed("rep", "id")
-    sets, hashed = (df.join(firsts, ["bucket", "id", "digest"], "left_semi").drop("digest") for df in (own, keyed))
+    hashed = keyed.join(reps.withColumnRenamed("rep", "id"), ["bucket", "id", "digest"], "left_semi")
     if not keyed.groupBy("bucket", "id", "digest").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        sets, hashed = (df.dropDuplicates(["bucket", "id"]) for df in (sets, hashed))
-    return keyed.select("bucket", "id", "digest").join(reps, ["bucket", "digest"]).select("bucket", "id", "rep"), sets, hashed
+        own, hashed = own.dropDuplicates(["bucket", "id", "digest"]), hashed.dropDuplicates(["bucket", "id"])
+    members = keyed.select("bucket", "id", "digest", "n").join(reps, ["bucket", "digest"]).select("bucket", "id", "rep", "n")
+    return members, own, _rare_first(hashed.where("n > 0"), keyed)
 
 
 def set_pairs(sets: DataFrame, threshold: float, hashed: DataFrame | None = None) -> DataFrame:
@@ -44,24 +48,69 @@ def set_pairs(sets: DataFrame, threshold: float, hashed: DataFrame | None = None
 
     Sets are placed by bucket and size and streamed past chunks of them, so a
     set meets the smaller ones of its bucket that are large enough; candidates
-    never leave their task. A product of hashed token counts bounds what two sets share, marks
-    on longer hashes bound it closer; what is left is checked on the whole sets, of which only those with a candidate are
-    written. ``hashed``: the same sets as ``fold_sets`` gives them.
+    never leave their task. A chunk is an index of its sets by their rare tokens, so sets
+    meet where they share some; those that share enough of them are counted on all hashed tokens, and what is left is
+    checked on the whole sets, of which only those with a candidate are made and written. ``hashed``: the same sets as ``fold_sets`` gives them.
     """
     t = threshold
     named = F.col("bucket").isNotNull() & F.col("id").isNotNull()
+    same = ["bucket", "id", *(["digest"] if hashed is not None else [])]
     if hashed is None:
-        hashed = table_of(sets.select("bucket", "id", F.size("tokens").alias("n"), _hashed_tokens().alias("h")))
-    hashed = hashed.where(named & (F.col("n") > 0))
-    placed = placed_table(hashed, [F.asc("bucket"), F.asc("n"), F.asc("id")])
-    met = against_chunks(placed, F.col("n"), partial(_sharing, t=t), "bucket string, a bigint, b bigint", later=True)
+        own = table_of(sets.select("bucket", "id", F.size("tokens").alias("n"), _hashed_tokens().alias("h")).where(F.col("n") > 0))
+        hashed = _rare_first(own, own)
+    placed = placed_table(hashed.where(named), [F.asc("bucket"), F.asc("n"), F.asc("id")])
+    met = against_chunks(placed, 2 * F.col("n"), partial(_sharing, t=t), "bucket string, a bigint, b bigint", later=True, slabs=4 * blocks.SLABS)
     linked = table_of(met.select("bucket", F.col("a").alias("id")).union(met.select("bucket", F.col("b"))).distinct())
-    tokens = table_of(sets.join(linked, ["bucket", "id"], "left_semi").select("bucket", "id", F.to_json("tokens").alias("w")))  # one text, as arrays of short ones travel at thrice the size
+    if "digest" in same:
+        linked = table_of(placed.select(*same).join(linked, ["bucket", "id"], "left_semi"))
+    few = sets.where(F.col("id").isin(linked.select("id")))  # unlike a join this goes below the making of tokens
+    tokens = table_of(few.select(*same, F.to_json("tokens").alias("w"))).join(linked, same, "left_semi")  # one text, as arrays of short ones travel at thrice the size
     ta, tb = (tokens.select("bucket", F.col("id").alias(k), F.col("w").alias(f"w{k}")) for k in ("a", "b"))
-    both = met.join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"]).select("bucket", "a", "b", *(F.from_json(f"w{k}", "array<string>").alias(f"t{k}") for k in ("a", "b")))
-    both = both.withColumn("both", F.size(F.array_intersect("ta", "tb")))
-    sim = F.col("both") / (F.size("ta") + F.size("tb") - F.col("both"))
-    return both.select("bucket", "a", "b", sim.alias("sim")).where(F.col("sim") >= t)
+    both = met.join(ta, ["bucket", "a"]).join(tb, ["bucket", "b"])
+    return both.mapInArrow(_similarity, "bucket string, a bigint, b bigint, sim double").where(F.col("sim") >= t)
+
+
+def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Jaccard of two sets (JSON texts wa, wb); where neighbouring rows have the same wb it is read once."""
+    text, own = None, set()
+    for batch in batches:
+        sim = []
+        for wa, wb in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist()):
+            if wb != text:
+                text, own = wb, set(json.loads(wb))
+            other = json.loads(wa)
+            both = len(own.intersection(other))
+            sim.append(both / (len(own) + len(other) - both))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "a", "b")), pa.array(sim, pa.float64())], names=["bucket", "a", "b", "sim"])
+
+
+def _rare_first(hashed: DataFrame, counted: DataFrame) -> DataFrame:
+    """``hashed`` with the hashes of each row numbered and sorted from rare to frequent ones in ``counted``.
+
+    Every task counts all its hashes and names its most frequent ones; the order of the others is any. It only decides how long lists in a chunk's index are.
+    """
+    most = counted.where("n > 0").select("h").mapInArrow(_most_frequent, "h int, k bigint").groupBy("h").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "h").limit(_RANKED)
+    top = most.select("h").toArrow().column("h").to_numpy()  # 256 KB at most
+    return hashed.mapInArrow(partial(_ranked, top=top), hashed.schema)
+
+
+def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(_MARKS, np.int64)
+    for batch in batches:
+        count += np.bincount(_lists(batch, "h")[0], minlength=_MARKS)
+    top = np.argpartition(count, -_RANKED)[-_RANKED:]
+    top = top[count[top] > 0]
+    yield pa.RecordBatch.from_arrays([pa.array(top, pa.int32()), pa.array(count[top], pa.int64())], names=["h", "k"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch], top: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rank = np.arange(_MARKS)
+    rank[top] = _MARKS + np.arange(len(top))[::-1]
+    for batch in batches:
+        h, at = _lists(batch, "h")
+        own = np.sort(np.repeat(np.arange(batch.num_rows) * 2 * _MARKS, np.diff(at)) + rank[h]) % (2 * _MARKS)
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()))
+        yield pa.RecordBatch.from_arrays([lists if c == "h" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
 
 def _lists(table: pa.Table | pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,53 +127,83 @@ def _tokens(h: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     return h[np.repeat(at[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())], size
 
 
-def _hashed(h: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-    """How many tokens of each of these rows fall in each of ``width`` columns."""
-    tokens, size = _tokens(h, at, rows)
-    return np.bincount(np.repeat(np.arange(len(rows)) * width, size) + tokens % width, minlength=len(rows) * width).reshape(-1, width).astype(np.float32)
+def _left_out(least: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the most frequent tokens of sets of ``n`` are not looked for at first, where a pair must share ``least``."""
+    return np.clip(np.floor(least - 1e-9).astype(np.int64) - 1 - n // _SPARE, 0, n - 1)
+
+
+class _Index:
+    """A chunk's sets by the rare tokens of each."""
+
+    def __init__(self, chunk: pa.Table, t: float) -> None:
+        self.ids, self.place = (chunk.column(c).to_numpy() for c in ("id", "position"))
+        self.n = chunk.column("n").to_numpy().astype(np.int64)
+        self.h, self.at = _lists(chunk, "h")
+        names, first, bucket = np.unique(np.array(chunk.column("bucket").to_pylist(), object), return_index=True, return_inverse=True)
+        self.bucket = dict(zip(names, range(len(names))))
+        self.starts, self.ends = first, first + np.bincount(bucket)  # a bucket's rows are neighbours
+        self.out = _left_out(2 * t / (1 + t) * self.n, self.n)
+        rare = self.n - self.out
+        row = np.repeat(np.arange(len(rare)), rare)
+        token = self.h[np.repeat(self.at[:-1] - np.cumsum(rare) + rare, rare) + np.arange(len(row))]
+        bits = len(rare).bit_length()
+        key = np.sort((bucket[row] * 2 * _MARKS + token << bits) + row)
+        self.rows, key = (key & (2**bits - 1)).astype(np.min_scalar_type(len(rare))), key >> bits  # small numbers, as they are copied for every row that asks
+        self.lists = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+        self.keys = key[self.lists[:-1]]
+
+    def counts(self, bucket: int, tokens: np.ndarray, upto: int) -> np.ndarray | None:
+        """How many of these tokens are among the rare ones of each row before ``upto``; None if of no row."""
+        own = bucket * 2 * _MARKS + tokens.astype(np.int64)
+        at = np.searchsorted(self.keys, own)
+        at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == own]
+        if not len(at):
+            return None
+        return np.bincount(np.concatenate([self.rows[i:j] for i, j in zip(self.lists[at].tolist(), self.lists[at + 1].tolist())]), minlength=upto)
 
 
 def _sharing(batches: Iterator[pa.RecordBatch], shared: Broadcast, t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (bucket, a, b) of the rows with smaller ones of the chunk that may share enough tokens: none that do are lost."""
-    chunk = shared.value
-    ids, n, place = (chunk.column(c).to_numpy() for c in ("id", "n", "position"))
-    h, at = _lists(chunk, "h")
-    names, first = np.unique(np.array(chunk.column("bucket").to_pylist(), object), return_index=True)
-    ends = dict(zip(names[np.argsort(first)], np.append(np.sort(first), len(ids))[1:]))
-    starts = dict(zip(names, first))
-    marks = np.zeros(_MARKS, bool)
+    """Pairs (bucket, a, b) of the rows with smaller ones of the chunk that may share enough tokens: none that do are lost.
+
+    Two sets share at least ``part`` of both sizes. Of their rarest tokens, all but those left out of one or the other, they then
+    share what is left of that, as the shared ones up to the last looked for of either are looked for in both.
+    """
+    if not hasattr(shared, "index"):  # the tasks of a worker share it
+        shared.index = _Index(shared.value, t)
+    x: _Index = shared.index
+    part = t / (1 + t)
+    marks = np.zeros(2 * _MARKS, bool)
     for batch in batches:
-        rid, rn, rplace = (batch.column(c).to_numpy() for c in ("id", "n", "position"))
+        rid, rplace = (batch.column(c).to_numpy() for c in ("id", "position"))
+        rn = batch.column("n").to_numpy().astype(np.int64)
         rh, rat = _lists(batch, "h")
         buckets = np.array(batch.column("bucket").to_pylist(), object)
-        widths = np.clip(2 ** np.ceil(np.log2(2 * rn)).astype(np.int64), *_COLUMNS)
-        for bucket, width in {*zip(buckets, widths)}:
-            if bucket not in starts:
-                continue
-            several = max(64, 2**21 // width)  # rows of a side at a time
-            like = np.flatnonzero((buckets == bucket) & (widths == width))
-            like = like[np.argsort(rplace[like])]
+        for bucket in {*buckets} & {*x.bucket}:
+            k = x.bucket[bucket]
+            start, end = x.starts[k], x.ends[k]
+            like = np.flatnonzero(buckets == bucket)
+            lo = start + np.searchsorted(x.n[start:end], t * rn[like] - 1e-9)
+            hi = start + np.searchsorted(x.place[start:end], rplace[like])
+            like, lo, hi = (v[lo < hi] for v in (like, lo, hi))
+            out = _left_out(part * (rn[like] + np.maximum(x.n[lo], t * rn[like])), rn[like])
+            least = np.ceil(np.minimum(1 + x.n[lo] // _SPARE, part * (rn[like] + x.n[lo])) - 1e-9).astype(np.int64)
             a, b = [], []
-            for rows in np.array_split(like, -(-len(like) // several)):
-                lo = starts[bucket] + np.searchsorted(n[starts[bucket] : ends[bucket]], t * rn[rows].min() - 1e-9)
-                hi = lo + np.searchsorted(place[lo : ends[bucket]], rplace[rows].max())
-                counts = _hashed(rh, rat, rows, width)
-                for begin in range(lo, hi, several):
-                    part = np.arange(begin, min(hi, begin + several))
-                    r, c = np.nonzero(counts @ np.minimum(_hashed(h, at, part, width), 1).T >= (t / (1 + t)) * (rn[rows][:, None] + n[None, part]) - 1e-9)
-                    keep = (n[part[c]] >= t * rn[rows[r]] - 1e-9) & (place[part[c]] < rplace[rows[r]])
-                    r, c = r[keep], c[keep]
-                    if not len(r):
-                        continue
-                    for row, found in zip(rows[np.unique(r)], np.split(part[c], np.flatnonzero(np.diff(r)) + 1)):
-                        own = rh[rat[row] : rat[row + 1]]
-                        marks[own] = True
-                        tokens, size = _tokens(h, at, found)
-                        shares = np.add.reduceat(marks[tokens], np.cumsum(size) - size, dtype=np.int64)
-                        marks[own] = False
-                        found = found[shares >= (t / (1 + t)) * (size + rn[row]) - 1e-9]
-                        a.append(ids[found])
-                        b.append(np.full(len(found), rid[row]))
+            for row, i, j, o, m in zip(like.tolist(), lo.tolist(), hi.tolist(), out.tolist(), least.tolist()):
+                own = rh[rat[row] : rat[row + 1]]
+                counts = x.counts(k, own[: len(own) - o], j)
+                if counts is None:
+                    continue
+                found = i + np.flatnonzero(counts[i:j] >= m)
+                found = found[counts[found] >= part * (rn[row] + x.n[found]) - np.maximum(o, x.out[found]) - 1e-9]
+                if not len(found):
+                    continue
+                marks[own] = True
+                tokens, size = _tokens(x.h, x.at, found)
+                shares = np.add.reduceat(marks[tokens], np.cumsum(size) - size, dtype=np.int64)
+                marks[own] = False
+                found = found[shares >= part * (size + rn[row]) - 1e-9]
+                a.append(x.ids[found])
+                b.append(np.full(len(found), rid[row]))
             if a:
                 a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(a), pa.string()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["bucket", "a", "b"])
@@ -138,8 +217,7 @@ def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """
     members, sets, hashed = fold_sets(rows)
     members = table_of(members)
-    filled = hashed.where("n > 0").select("bucket", F.col("id").alias("rep"))
-    copies = members.join(filled, ["bucket", "rep"])
+    copies = members.where("n > 0")
     x, y = copies.select("bucket", "rep", F.col("id").alias("a")), copies.select("bucket", "rep", F.col("id").alias("b"))
     equal = x.join(y, ["bucket", "rep"]).where("a < b").select("bucket", "a", "b", F.lit(1.0).alias("sim"))
     found = set_pairs(sets, threshold, hashed).withColumnsRenamed({"a": "ra", "b": "rb"})
@@ -147,8 +225,7 @@ def jaccard_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     spread = found.join(left, ["bucket", "ra"]).join(right, ["bucket", "rb"]).select(
         "bucket", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "sim"
     )
-    hollow = hashed.where("n = 0").select("bucket", F.col("id").alias("rep"))
-    empties = members.join(hollow, ["bucket", "rep"]).where("id <> rep").select("bucket", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    empties = members.where("n = 0 and id <> rep").select("bucket", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
     return spread.union(equal).union(empties)
 
 
