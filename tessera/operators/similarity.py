@@ -75,7 +75,7 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     text, own = None, set()
     for batch in batches:
         sim = []
-        for wa, wb in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist()):
+        for wa, wb in ((a.as_py(), b.as_py()) for a, b in zip(batch.column("wa"), batch.column("wb"))):
             if wb != text:
                 text, own = wb, set(json.loads(wb))
             other = json.loads(wa)
@@ -104,11 +104,14 @@ def _most_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _ranked(batches: Iterator[pa.RecordBatch], top: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rank = np.arange(_MARKS)
+    rank = np.arange(_MARKS, dtype=np.int32)
     rank[top] = _MARKS + np.arange(len(top))[::-1]
     for batch in batches:
         h, at = _lists(batch, "h")
-        own = np.sort(np.repeat(np.arange(batch.num_rows) * 2 * _MARKS, np.diff(at)) + rank[h]) % (2 * _MARKS)
+        own = np.repeat(np.arange(batch.num_rows) * 2 * _MARKS, np.diff(at))
+        own += rank[h]
+        own.sort()
+        own &= 2 * _MARKS - 1
         lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()))
         yield pa.RecordBatch.from_arrays([lists if c == "h" else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
 
@@ -144,11 +147,20 @@ class _Index:
         self.starts, self.ends = first, first + np.bincount(bucket)  # a bucket's rows are neighbours
         self.out = _left_out(2 * t / (1 + t) * self.n, self.n)
         rare = self.n - self.out
-        row = np.repeat(np.arange(len(rare)), rare)
-        token = self.h[np.repeat(self.at[:-1] - np.cumsum(rare) + rare, rare) + np.arange(len(row))]
+        row = np.repeat(np.arange(len(rare), dtype=np.int32), rare)
+        at = np.repeat((self.at[:-1] - np.cumsum(rare) + rare).astype(np.int32), rare)
+        at += np.arange(len(row), dtype=np.int32)
+        key = (bucket.astype(np.int64) * 2 * _MARKS)[row]  # in place from here, as a worker holds little
+        key += self.h[at]
+        del at
         bits = len(rare).bit_length()
-        key = np.sort((bucket[row] * 2 * _MARKS + token << bits) + row)
-        self.rows, key = (key & (2**bits - 1)).astype(np.min_scalar_type(len(rare))), key >> bits  # small numbers, as they are copied for every row that asks
+        key <<= bits
+        key += row
+        del row
+        key.sort()
+        small = np.min_scalar_type(len(rare))  # as they are copied for every row that asks
+        self.rows = key.astype(small) & small.type(2**bits - 1)
+        key >>= bits
         self.lists = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
         self.keys = key[self.lists[:-1]]
 
